@@ -425,3 +425,18 @@ def rule_scorecard(detected: DataFrame, manifest: DataFrame) -> DataFrame:
         .otherwise(F.coalesce(passed, F.lit(False)))
         .alias("passed"),
     )
+
+
+def rule_agreement(detected: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Detected against expected issue counts per source and rule, where a
+    source may have faults of several rules."""
+    cases = manifest.join(detected, ["source", "issue_type"], "full_outer")
+    expected = F.coalesce("expected", F.lit(0)).cast("bigint")
+    found = F.coalesce("issue_count", F.lit(0)).cast("bigint")
+    return cases.select(
+        "source",
+        "issue_type",
+        expected.alias("expected"),
+        found.alias("detected"),
+        (expected == found).alias("passed"),
+    )

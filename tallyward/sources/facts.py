@@ -127,3 +127,49 @@ def money_as_double(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {name: F.col(name).cast("double") for name in MEASURES if name in df.columns}
     )
+
+
+def with_source_year(df: DataFrame) -> DataFrame:
+    """Add ``source``: one reporting file per location and year."""
+    year = F.year("month").cast("string")
+    return df.withColumn("source", F.concat_ws("-", "location_id", year))
+
+
+def transcript_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as Markdown documents, one page and one heading per turn."""
+    title = F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n"))
+    heading = F.concat(
+        F.lit("## "), F.col("turn").cast("string"), F.lit(" "), F.col("role"), F.lit("\n")
+    )
+    return table(spark, folder, "conversations").select(
+        "conv_id",
+        "turn",
+        "role",
+        F.concat(F.when(F.col("turn") == 0, title).otherwise(""), heading, F.col("text")).alias("text"),
+    )
+
+
+def numbered_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as paged documents with a numbered heading on every even turn."""
+    heading = F.concat(
+        (F.col("turn") + 1).cast("string"), F.lit(". "), F.col("role"), F.lit("\n")
+    )
+    return table(spark, folder, "conversations").select(
+        "conv_id",
+        "turn",
+        "role",
+        F.concat(F.when(F.col("turn") % 2 == 0, heading).otherwise(""), F.col("text")).alias("text"),
+    )
+
+
+def letter_shares(text: Column) -> Column:
+    """A text's share of each letter a to z: a vector that needs no model."""
+    lower = F.lower(text)
+    counts = [
+        F.length(lower) - F.length(F.replace(lower, F.lit(chr(c)), F.lit("")))
+        for c in range(ord("a"), ord("z") + 1)
+    ]
+    return F.transform(
+        F.array(*counts),
+        lambda n: n / F.greatest(F.aggregate(F.array(*counts), F.lit(0), lambda a, b: a + b), F.lit(1)),
+    )
