@@ -1,5 +1,6 @@
 """Turning text cells into numbers and days without ever raising."""
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -37,12 +38,45 @@ def to_number(text: Column) -> Column:
     )
 
 
+# What the letters of a format stand for.
+_SHAPES = {
+    "yyyy": r"\d{4}",
+    "MM": r"\d{2}",
+    "dd": r"\d{2}",
+    "HH": r"\d{2}",
+    "mm": r"\d{2}",
+    "ss": r"\d{2}",
+    "M": r"\d{1,2}",
+    "d": r"\d{1,2}",
+}
+
+
+def shape_of(day_format: str) -> str | None:
+    """A pattern every text of the format matches; None if it has other letters."""
+    pattern = "^"
+    for part in re.findall(r"'[^']*'|y+|M+|d+|H+|m+|s+|.", day_format):
+        if part.startswith("'"):
+            pattern += re.escape(part.strip("'"))
+        elif part in _SHAPES:
+            pattern += _SHAPES[part]
+        elif part.isalpha():
+            return None
+        else:
+            pattern += re.escape(part)
+    return pattern + "$"
+
+
 def to_day(text: Column, formats: Sequence[str] = DAY_FORMATS) -> Column:
     """A date by the first format that fits the cell itself; NULL if none does."""
     cell = F.trim(text)
-    return F.coalesce(
-        *[F.try_to_timestamp(cell, F.lit(fmt)).cast("date") for fmt in formats]
-    )
+
+    def attempt(day_format: str) -> Column:
+        day = F.try_to_timestamp(cell, F.lit(day_format)).cast("date")
+        shape = shape_of(day_format)
+        # A failing parse costs far more than a failing match.
+        return day if shape is None else F.when(cell.rlike(shape), day)
+
+    return F.coalesce(*[attempt(f) for f in formats])
 
 
 def as_number(column: Column, dtype: T.DataType) -> Column:

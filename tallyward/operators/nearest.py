@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ from tallyward.session import durable
 
 BLOCK_ROWS = 512
 MAX_PIVOTS = 256
+MAX_PROBES = 512
 MAX_LANES = 1024
 LANE_BLOCKS = 64
 # Bounds what one copy of the pivots may hold on the driver and in a task.
@@ -74,10 +75,14 @@ def _distances(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float]:
     return np.sqrt(squared), math.sqrt(slack)
 
 
-def _probes(corpus: DataFrame, embedding: str, count: int) -> np.ndarray:
-    """A bounded number of corpus vectors, the same ones on every run."""
-    rows = corpus.orderBy(F.xxhash64("_vec_id", embedding), "_vec_id").limit(count)
-    return _matrix(r[0] for r in rows.select(embedding).collect())
+def _probes(corpus: DataFrame) -> tuple[np.ndarray, int]:
+    """A bounded number of corpus vectors, the same ones on every run, and the
+    corpus size; both from one pass."""
+    size = Observation()
+    seen = corpus.observe(size, F.count("*").alias("rows"))
+    order = F.xxhash64("_vec_id", "embedding")
+    rows = seen.orderBy(order, "_vec_id").limit(MAX_PROBES).select("embedding").collect()
+    return _matrix(r[0] for r in rows), size.get["rows"]
 
 
 def _pack(pivots: np.ndarray, describe, stored: str, carried: Sequence[str]):
@@ -224,21 +229,21 @@ def nearest(
     and the corpus columns named in ``carry``.
 
     ``skip_same_id`` leaves a query out of its own answer. Ids are unique in
-    each table. Calling this runs jobs: it counts the corpus, picks a few hundred
-    pivot vectors at most, and writes the packed corpus to the checkpoint folder.
+    each table. Calling this runs jobs: it picks a few hundred pivot vectors at most
+    and writes the packed corpus to the checkpoint folder.
     """
     spark = corpus.sparkSession
     schema = corpus.schema
     answer = _answer_schema(queries, query_id, schema, vec_id, carry)
     asked = _ready(queries, query_id, embedding, ())
     held = _ready(corpus, vec_id, embedding, carry)
-    pivots_wanted = max(1, min(MAX_PIVOTS, int(math.sqrt(held.count()) / 8)))
-    probes = _probes(held, "embedding", max(64, 2 * pivots_wanted))
+    probes, rows = _probes(held)
     if not len(probes):
         return spark.createDataFrame([], answer)
     width = probes.shape[1]
     probes = probes[: max(1, MAX_PROBE_VALUES // width)]
-    pivots = np.unique(probes, axis=0)[:pivots_wanted]
+    pivots = np.unique(probes, axis=0)
+    pivots = pivots[: max(1, min(MAX_PIVOTS, int(math.sqrt(rows) / 8)))]
     wanted = k + int(skip_same_id)
     element = schema[embedding].dataType.elementType
     stored = "<f4" if isinstance(element, T.FloatType) else "<f8"

@@ -396,8 +396,8 @@ def chunk_strategy_scorecard(spark, folder):
     conversations = facts.table(spark, folder, "conversations")
     name = F.concat_ws(" ", F.lit("Conversation"), "conv_id", F.lit("turn"), "turn", "role")
     pages = conversations.withColumn("text", F.concat(F.lit("## "), name, F.lit("\n"), "text"))
-    questions = conversations.select(
-        name.alias("question"), facts.letter_shares(F.col("text")).alias("embedding")
+    questions = facts.with_letter_shares(conversations, "text").select(
+        name.alias("question"), "embedding"
     )
     ties = ["role", "text"]
     strategies = {
@@ -408,10 +408,12 @@ def chunk_strategy_scorecard(spark, folder):
     }
     hits = None
     for strategy, pieces in strategies.items():
-        corpus = pieces.select(
-            F.concat_ws("-", "conv_id", "chunk_no").alias("chunk_id"),
-            facts.letter_shares(F.col("text")).alias("embedding"),
-            F.col("text").alias("chunk"),
+        corpus = durable(
+            facts.with_letter_shares(pieces, "text").select(
+                F.concat_ws("-", "conv_id", "chunk_no").alias("chunk_id"),
+                "embedding",
+                F.col("text").alias("chunk"),
+            )
         )
         # Only ids go through the search; texts are looked up for its answers.
         found = nearest.nearest(questions, corpus, query_id="question", vec_id="chunk_id")

@@ -1,6 +1,7 @@
 """Session settings for local runs, and durable intermediate results."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,11 +21,14 @@ def local_session(cores: int | str = 8, name: str = "tallyward") -> SparkSession
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The same rows, written to the cluster's checkpoint folder and read from
-    there, so that a lost executor does not bring the work before it back."""
+    """The same rows as a Parquet table in the cluster's checkpoint folder.
+
+    What reads it does not repeat the work before it, not even when executors
+    are lost, and still reads only the columns it needs. A temporary folder
+    stands in where the session names none.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyward-"))
-    return df.checkpoint()
+    path = f"{folder or tempfile.mkdtemp(prefix='tallyward-')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -16,21 +16,33 @@ MEASURES = (
 )
 
 
+# Stated so that building a plan does not open the files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+    " p_retailprice double",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
-def _hundredths(column: str) -> Column:
+def _hundredths(column: str) -> str:
     """Two-decimal amounts as whole hundredths: sums of longs are exact and
     stay in generated code, where wide decimals do not."""
-    return F.rint(F.col(column) * 100).cast("bigint")
+    return f"cast(rint({column} * 100) as bigint)"
 
 
-def _ten_thousandths(units: str) -> Column:
+def _amount(units: str) -> str:
     """Whole ten-thousandths as a decimal amount."""
-    return (F.col(units).cast("decimal(20,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast(
-        "decimal(24,4)"
-    )
+    return f"cast(cast({units} as decimal(20,0)) * 0.0001BD as decimal(24,4))"
 
 
 def operations(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,51 +51,45 @@ def operations(spark: SparkSession, folder: str) -> DataFrame:
     Line items are reduced to (supplier, month) before the supplier is looked
     up, so only the part price is joined at line-item size.
     """
-    lines = table(spark, folder, "lineitem")
-    part = table(spark, folder, "part").select(
-        "p_partkey", _hundredths("p_retailprice").alias("retail")
-    )
-    price = _hundredths("l_extendedprice")
-    sold = lines.select(
+    lines = table(spark, folder, "lineitem").selectExpr(
         "l_partkey",
         "l_suppkey",
         "l_quantity",
-        F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("month"),
-        price.alias("price"),
-        _hundredths("l_discount").alias("discount"),
-        _hundredths("l_tax").alias("tax"),
+        "trunc(cast(l_shipdate as date), 'MM') as month",
+        f"{_hundredths('l_extendedprice')} as price",
+        f"{_hundredths('l_discount')} as discount",
+        f"{_hundredths('l_tax')} as tax",
+    )
+    part = table(spark, folder, "part").selectExpr(
+        "p_partkey", f"{_hundredths('p_retailprice')} as retail"
     )
     monthly = (
-        sold.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(part, F.expr("l_partkey = p_partkey"))
         .groupBy("l_suppkey", "month")
         .agg(
-            F.sum(F.col("price") * (100 - F.col("discount"))).alias("revenue"),
-            F.sum(F.col("price") * 95).alias("budget"),
-            F.sum(F.col("price") * F.col("tax")).alias("labor"),
-            F.sum(F.col("retail") * F.col("l_quantity").cast("bigint") * 40).alias("other"),
-            F.sum("l_quantity").alias("volume"),
+            F.expr("sum(price * (100 - discount)) as revenue"),
+            F.expr("sum(price * 95) as budget"),
+            F.expr("sum(price * tax) as labor"),
+            F.expr("sum(retail * cast(l_quantity as bigint) * 40) as other"),
+            F.expr("sum(l_quantity) as volume"),
         )
     )
     places = (
         table(spark, folder, "supplier")
-        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(table(spark, folder, "nation"), F.expr("s_nationkey = n_nationkey"))
+        .join(table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey"))
         .select("s_suppkey", "s_name", "r_name")
     )
-    return monthly.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.concat(F.lit("SUP-"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias(
-            "location_id"
-        ),
-        F.col("s_name").alias("location_name"),
-        F.col("r_name").alias("region"),
+    return monthly.join(places, F.expr("l_suppkey = s_suppkey")).selectExpr(
+        "'SUP-' || lpad(cast(s_suppkey as string), 6, '0') as location_id",
+        "s_name as location_name",
+        "r_name as region",
         "month",
-        _ten_thousandths("revenue").alias("revenue"),
-        _ten_thousandths("budget").alias("budget_revenue"),
-        _ten_thousandths("labor").alias("labor_expense"),
-        _ten_thousandths("other").alias("other_expense"),
-        (_ten_thousandths("labor") + _ten_thousandths("other"))
-        .cast("decimal(24,4)")
-        .alias("total_expense"),
+        f"{_amount('revenue')} as revenue",
+        f"{_amount('budget')} as budget_revenue",
+        f"{_amount('labor')} as labor_expense",
+        f"{_amount('other')} as other_expense",
+        f"{_amount('labor + other')} as total_expense",
         "volume",
     )
 
@@ -162,14 +168,16 @@ def numbered_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def letter_shares(text: Column) -> Column:
-    """A text's share of each letter a to z: a vector that needs no model."""
-    lower = F.lower(text)
+def with_letter_shares(df: DataFrame, text: str, name: str = "embedding") -> DataFrame:
+    """Add a text's share of each letter a to z: a vector that needs no model."""
+    lower = F.lower(F.col(text))
     counts = [
         F.length(lower) - F.length(F.replace(lower, F.lit(chr(c)), F.lit("")))
         for c in range(ord("a"), ord("z") + 1)
     ]
-    return F.transform(
-        F.array(*counts),
-        lambda n: n / F.greatest(F.aggregate(F.array(*counts), F.lit(0), lambda a, b: a + b), F.lit(1)),
-    )
+    names = [f"_{i}" for i in range(len(counts))]
+    counted = df.withColumns(dict(zip(names, counts)))
+    letters = sum((F.col(n) for n in names), F.lit(0))
+    counted = counted.withColumn("_letters", F.greatest(letters, F.lit(1)))
+    shares = F.array(*[F.col(n) / F.col("_letters") for n in names])
+    return counted.withColumn(name, shares).drop("_letters", *names)

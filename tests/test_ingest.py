@@ -1,0 +1,279 @@
+import datetime
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from rows import as_csv, clean
+from tallyward.functions.coerce import shape_of, to_day, to_number
+from tallyward.operators import quality
+from tallyward.schema import MISSING_TOKENS
+from tallyward.sources import sinks, tables
+
+
+def write(folder, name, text):
+    path = folder / name
+    path.write_text(text)
+    return str(path)
+
+
+def one(df, column):
+    return [r[0] for r in df.select(column).collect()]
+
+
+def test_unknown_suffix_is_refused(spark):
+    for name in ("data.txt", "data.xlsx", "data"):
+        with pytest.raises(ValueError):
+            tables.load(name, spark)
+
+
+def test_csv_is_loaded_typed_and_complete(spark, tmp_path):
+    path = write(tmp_path, "clean.csv", as_csv(clean()))
+    df = tables.load(path, spark)
+    assert df.count() == 180
+    kinds = dict(df.dtypes)
+    assert kinds["month"] == "date" and kinds["revenue"] == "double"
+    assert kinds["location_id"] == "string"
+    assert one(df.agg(F.sum("revenue")), F.col("sum(revenue)")) == [
+        pytest.approx(sum(r[4] for r in clean()))
+    ]
+    assert one(df.select("source").distinct(), "source") == ["clean.csv"]
+
+
+def test_upper_case_suffix_is_read(spark, tmp_path):
+    path = write(tmp_path, "CLEAN.CSV", as_csv(clean(2)))
+    assert tables.load(path, spark).count() == 24
+
+
+def test_headers_become_plain_names(spark):
+    df = spark.createDataFrame([(1, 2, 3)], [" Location ID ", "Budget Revenue", "labor-expense"])
+    assert tables.normalize_headers(df).columns == [
+        "location_id",
+        "budget_revenue",
+        "labor_expense",
+    ]
+    assert df.columns[0] == " Location ID "
+
+
+def test_two_headers_with_one_name_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="revenue"):
+        tables.clean_names(["Revenue", " revenue"])
+    path = write(tmp_path, "twice.csv", "revenue,revenue\n1,2\n")
+    with pytest.raises(ValueError, match="revenue"):
+        tables.load(path, spark)
+
+
+def test_bad_cells_become_missing(spark):
+    df = spark.createDataFrame(
+        [("LOC-001", "100000", "2025-01-01"), (None, "bad-value", "not-a-date")],
+        ["location_id", "revenue", "month"],
+    )
+    good, bad = tables.normalize_types(df).collect()
+    assert tuple(good) == ("LOC-001", 100000.0, datetime.date(2025, 1, 1))
+    assert tuple(bad) == (None, None, None)
+
+
+@pytest.mark.parametrize("token", MISSING_TOKENS)
+def test_missing_tokens_in_every_kind_of_column(spark, token):
+    df = spark.createDataFrame([(token, token, token, token)], ["region", "revenue", "month", "note"])
+    assert tuple(tables.normalize_types(df).first()) == (None, None, None, None)
+
+
+def test_blank_text_is_not_missing(spark):
+    df = spark.createDataFrame([("  ", " 7 ")], ["region", "revenue"])
+    assert tuple(tables.normalize_types(df).first()) == ("  ", 7.0)
+
+
+@pytest.mark.parametrize(
+    "text,value",
+    [
+        ("1", 1.0),
+        ("-2.5", -2.5),
+        ("+3.", 3.0),
+        (".5", 0.5),
+        ("1e3", 1000.0),
+        ("1d", None),
+        ("1f", None),
+        ("1e400", None),
+        ("1,000", None),
+        ("$5", None),
+        ("12%", None),
+        ("(5)", None),
+        ("0x10", None),
+        ("-inf", float("-inf")),
+        ("Infinity", float("inf")),
+    ],
+)
+def test_number_grammar(spark, text, value):
+    df = spark.createDataFrame([(text,)], ["t"])
+    assert df.select(to_number(F.col("t"))).first()[0] == value
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(float("nan"),), (1.0,)], ["revenue"])
+    assert one(tables.normalize_types(df), "revenue") == [None, 1.0]
+
+
+@pytest.mark.parametrize(
+    "text,day",
+    [
+        ("2025-03-01", "2025-03-01"),
+        (" 2025-03-01 ", "2025-03-01"),
+        ("2025-03-01 10:11:12", "2025-03-01"),
+        ("2025-03-01T10:11:12", "2025-03-01"),
+        ("2025-03", "2025-03-01"),
+        ("2025/03/01", "2025-03-01"),
+        ("3/1/2025", "2025-03-01"),
+        ("202503", None),
+        ("2025-02-30", None),
+        ("2025-13-01", None),
+        ("soon", None),
+    ],
+)
+def test_day_formats(spark, text, day):
+    df = spark.createDataFrame([(text,)], ["t"])
+    found = df.select(to_day(F.col("t"))).first()[0]
+    assert (found and found.isoformat()) == day
+
+
+def test_extra_day_format(spark):
+    df = spark.createDataFrame([("202503",)], ["month"])
+    assert one(tables.normalize_types(df, ["yyyyMM"]), "month") == [datetime.date(2025, 3, 1)]
+    assert shape_of("yyyyMM") == r"^\d{4}\d{2}$"
+    assert shape_of("EEE d") is None
+
+
+def test_number_months_are_not_dates(spark):
+    df = spark.createDataFrame([(202501,)], ["month"])
+    assert one(tables.normalize_types(df), "month") == [None]
+
+
+def test_unknown_columns_pass_through(spark):
+    df = spark.createDataFrame([(5, [1, 2])], ["size", "parts"])
+    assert tuple(tables.normalize_types(df).first()) == (5, [1, 2])
+
+
+def test_empty_file_is_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="empty"):
+        tables.load(write(tmp_path, "empty.csv", ""), spark)
+
+
+def test_header_only_file_has_no_rows(spark, tmp_path):
+    df = tables.load(write(tmp_path, "head.csv", as_csv([])), spark)
+    assert df.count() == 0
+    assert quality.all_issues(df).count() == 0
+
+
+def test_too_long_rows_are_rejected_and_short_ones_padded(spark, tmp_path):
+    path = write(tmp_path, "odd.csv", "location_id,revenue\nA,1\nB,2,3\nC\nD,4,\n")
+    raw = tables.read_raw(spark, path)
+    assert one(tables.rejected_rows(raw), "location_id") == ["B"]
+    kept = tables.normalize_types(tables.accepted_rows(raw))
+    assert sorted((r[0], r[1]) for r in kept.collect()) == [("A", 1.0), ("C", None), ("D", 4.0)]
+    assert kept.count() == 3
+
+
+def test_quotes_and_line_breaks_in_cells(spark, tmp_path):
+    path = write(tmp_path, "q.csv", 'location_name,revenue\n"A ""x"", b",1\n"two\nlines",2\n')
+    df = tables.load(path, spark, multiline=True)
+    assert sorted(one(df, "location_name")) == ['A "x", b', "two\nlines"]
+
+
+def test_batch_of_files_with_different_layouts(spark, tmp_path):
+    rows = clean(3, 2)
+    names = "location_id,location_name,region,month,revenue,labor_expense,other_expense,volume"
+    short = [r[:5] + r[6:] for r in rows]
+    write(tmp_path, "a.csv", as_csv(rows))
+    write(tmp_path, "b.csv", as_csv(short, names.split(",")))
+    write(tmp_path, "c.csv", as_csv(rows, ["Location ID"] + as_csv([]).strip().split(",")[1:]))
+    df = tables.load(str(tmp_path / "*.csv"), spark)
+    assert df.count() == 18
+    issues = quality.all_issues(df).collect()
+    assert [(i.source, i.issue_type, i.column_name) for i in issues] == [
+        ("b.csv", "missing_required_column", "budget_revenue")
+    ]
+    verdicts = {r.source: r.clean for r in quality.validated(df).collect()}
+    assert verdicts == {"a.csv": True, "b.csv": False, "c.csv": True}
+
+
+def test_row_index_counts_data_rows_of_each_file(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        write(tmp_path, name, as_csv(clean(2, 3)))
+    df = tables.load(str(tmp_path / "*.csv"), spark, row_index=True)
+    got = {(r.source, r.row_index): (r.location_id, r.month) for r in df.collect()}
+    for name in ("a.csv", "b.csv"):
+        for number, row in enumerate(clean(2, 3)):
+            assert got[(name, number)] == (row[0], row[3])
+
+
+def test_row_index_over_several_blocks(spark, tmp_path):
+    text = "location_id,revenue\n" + "".join(f"L{i:05d},{i}\n" for i in range(5000))
+    path = write(tmp_path, "big.csv", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        df = tables.load(path, spark, row_index=True)
+        assert df.select(F.count_if(F.col("row_index") == F.col("revenue"))).first()[0] == 5000
+        assert tables.read_raw(spark, path).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_parquet_rows_are_numbered_too(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([("A", 1.0), ("B", 2.0)], ["Location ID", "revenue"]).coalesce(
+        1
+    ).write.parquet(path)
+    df = tables.load(path, spark, row_index=True)
+    assert sorted((r.location_id, r.row_index) for r in df.collect()) == [("A", 0), ("B", 1)]
+
+
+def test_written_tables_read_back(spark, tmp_path):
+    df = tables.load(write(tmp_path, "clean.csv", as_csv(clean(2, 2))), spark)
+    sinks.write_table(df, str(tmp_path / "out.csv"), "csv")
+    back = tables.load(str(tmp_path / "out.csv"), spark)
+    columns = [c for c in df.columns if not c.startswith("_") and c != "source"]
+    again = back.select(*columns).exceptAll(df.select(*columns))
+    assert back.count() == 4 and again.count() == 0
+    with pytest.raises(ValueError):
+        sinks.write_table(df, str(tmp_path / "x"), "xlsx")
+
+
+def test_manifest(spark, tmp_path):
+    manifest = {
+        "clean_file": "clean.csv",
+        "corrupted_files": [
+            {
+                "file": "gap.csv",
+                "rule": "missing_values",
+                "expected_issue_count": 2,
+                "expected": {"column": "revenue"},
+            },
+            {
+                "file": "twice.csv",
+                "rule": "duplicate_records",
+                "expected_issue_count": 1,
+                "expected": {"duplicate_group_size": 2},
+            },
+        ],
+    }
+    path = write(tmp_path, "m.json", json.dumps(manifest, indent=1))
+    got = sorted(map(tuple, tables.read_manifest(spark, path).collect()))
+    assert got == [
+        ("clean.csv", None, 0),
+        ("gap.csv", "missing_value", 2),
+        ("twice.csv", "duplicate_record", 1),
+    ]
+
+
+def test_fingerprint_ignores_order_and_sees_changes(spark):
+    df = spark.range(1000).withColumn("t", F.col("id").cast("string"))
+    first = tables.fingerprint(df).first()
+    assert first == tables.fingerprint(df.repartition(7).orderBy(F.desc("id"))).first()
+    assert first != tables.fingerprint(df.replace("17", "18", "t")).first()
+    assert tables.fingerprint(df.limit(0)).first().row_count == 0
+
+
+def test_preview_and_profile(spark):
+    df = spark.range(50).withColumn("x", F.lit(1))
+    assert [r.id for r in tables.preview(df, ["id"]).collect()] == list(range(20))
+    assert tuple(tables.profile(df).first()) == (50, 2)
