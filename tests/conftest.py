@@ -11,8 +11,9 @@ TABLES = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "tests")
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("checkpoints"))
+    session = local_session(8, "tests", **{"spark.checkpoint.dir": folder})
     yield session
     session.stop()
 
