@@ -21,7 +21,7 @@ from tallyward.session import durable
 
 BLOCK_ROWS = 512
 MAX_PIVOTS = 256
-MAX_PROBES = 512
+MAX_PROBES = 2048
 MAX_LANES = 1024
 LANE_BLOCKS = 64
 # Bounds what one copy of the pivots may hold on the driver and in a task.
@@ -93,6 +93,8 @@ def _pack(pivots: np.ndarray, describe, stored: str, carried: Sequence[str]):
     """
 
     def emit(cell: int, block: pd.DataFrame) -> pd.DataFrame:
+        # By id, so that a place in the block stands for the id among ties.
+        block = block.sort_values("_vec_id")
         vectors = _matrix(block["embedding"])
         return pd.DataFrame(
             {
@@ -136,17 +138,18 @@ def _corpus_block(pivots: np.ndarray):
 def _query_block(pivots: np.ndarray, probes: np.ndarray, rank: int, cells: dict[int, tuple]):
     """The cells a query block has to be compared with.
 
-    ``rank`` probes are at most as far as the bound ``reach``, so the wanted
-    neighbours are no farther. A cell none of whose vectors can be within
-    ``reach`` of any query in the block is left out.
+    ``rank`` probes are no farther from a query than its bound, so neither are
+    the wanted neighbours. A cell none of whose vectors can be within the
+    greatest bound of the block is left out.
     """
 
     def describe(vectors: np.ndarray, _: int) -> dict:
         gaps, slack = _distances(vectors, pivots)
-        reach = math.inf
+        bounds = np.full(len(vectors), np.inf)
         if len(probes) >= rank:
             near, near_slack = _distances(vectors, probes)
-            reach = float(np.partition(near, rank - 1, axis=1)[:, rank - 1].max() + near_slack)
+            bounds = np.partition(near, rank - 1, axis=1)[:, rank - 1] + near_slack
+        reach = float(bounds.max())
         low, high = gaps.min(axis=0) - slack, gaps.max(axis=0) + slack
         targets = [
             {"cell": c, "lane": lane, "q_low": float(low[c]), "q_high": float(high[c])}
@@ -154,13 +157,30 @@ def _query_block(pivots: np.ndarray, probes: np.ndarray, rank: int, cells: dict[
             if max(low[c] - cell_high, cell_low - high[c]) <= reach
             for lane in range(lanes)
         ]
-        return {"targets": [targets], "reach": [reach]}
+        return {
+            "bounds": [bounds.astype("<f8").tobytes()],
+            "reach": [reach],
+            "targets": [targets],
+        }
 
     return describe
 
 
+def _best(q: np.ndarray, c: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
+    """Which of the found pairs are among the k nearest of their query, ties
+    going to the lower place in the block."""
+    order = np.lexsort((c, distance, q))
+    grouped = q[order]
+    first = np.searchsorted(grouped, grouped, side="left")
+    return order[np.arange(len(order)) - first < k]
+
+
 def _compare(width: int, stored: str, k: int, carried: Sequence[str], skip_same_id: bool):
-    """Task code: for each pair of blocks, the k nearest rows per query."""
+    """Task code: for each pair of blocks, the k nearest rows per query.
+
+    The matrix product picks the candidates, with room for its rounding; their
+    distances are then summed dimension by dimension, as in one question.
+    """
 
     def exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         total = np.zeros(len(left))
@@ -180,16 +200,21 @@ def _compare(width: int, stored: str, k: int, carried: Sequence[str], skip_same_
                     rough[query_ids[:, None] == ids[None, :]] = np.inf
                 at = min(k, len(ids)) - 1
                 limit = np.partition(rough, at, axis=1)[:, at] + 2.0 * slack
+                bounds = np.frombuffer(row.bounds, "<f8")
+                limit = np.minimum(limit, bounds * bounds + 2.0 * slack)
                 q, c = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
-                found = pd.DataFrame(
+                if not len(q):
+                    continue
+                distance = exact(queries[q], block[c])
+                kept = _best(q, c, distance, k)
+                yield pd.DataFrame(
                     {
-                        "query_id": query_ids[q],
-                        "vec_id": ids[c],
-                        "distance": exact(queries[q], block[c]),
-                        **{n: np.asarray(getattr(row, n))[c] for n in carried},
+                        "query_id": query_ids[q[kept]],
+                        "vec_id": ids[c[kept]],
+                        "distance": distance[kept],
+                        **{n: np.asarray(getattr(row, n))[c[kept]] for n in carried},
                     }
-                ).sort_values(["query_id", "distance", "vec_id"])
-                yield found.groupby("query_id", sort=False).head(k)
+                )
 
     return compare
 
@@ -229,8 +254,8 @@ def nearest(
     and the corpus columns named in ``carry``.
 
     ``skip_same_id`` leaves a query out of its own answer. Ids are unique in
-    each table. Calling this runs jobs: it picks a few hundred pivot vectors at most
-    and writes the packed corpus to the checkpoint folder.
+    each table. Calling this runs jobs: it picks a few thousand probe vectors
+    at most and writes the packed corpus to the checkpoint folder.
     """
     spark = corpus.sparkSession
     schema = corpus.schema
@@ -268,11 +293,12 @@ def nearest(
     blocks = blocks.withColumn("lane", F.pmod(F.xxhash64("ids"), lanes[F.col("cell")]).cast("int"))
     query_blocks = asked.mapInPandas(
         _pack(pivots, _query_block(pivots, probes, wanted, cells), stored, ()),
-        f"ids array<{query_type}>, vectors binary, reach double, "
+        f"ids array<{query_type}>, vectors binary, bounds binary, reach double, "
         "targets array<struct<cell:int,lane:int,q_low:double,q_high:double>>",
     ).select(
         F.col("ids").alias("q_ids"),
         F.col("vectors").alias("q_vectors"),
+        "bounds",
         "reach",
         F.inline("targets"),
     )
@@ -280,7 +306,7 @@ def nearest(
     apart = F.greatest(F.col("q_low") - F.col("high"), F.col("low") - F.col("q_high"))
     pairs = query_blocks.join(blocks, ["cell", "lane"]).where(apart <= F.col("reach"))
     partial = T.StructType([f for f in answer.fields if f.name != "rank"])
-    found = pairs.select("q_ids", "q_vectors", "ids", "vectors", *carry).mapInPandas(
+    found = pairs.select("q_ids", "q_vectors", "bounds", "ids", "vectors", *carry).mapInPandas(
         _compare(width, stored, k, carry, skip_same_id), partial
     )
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")

@@ -1,6 +1,7 @@
 """The registered queries in plain SQL, for checking results in another engine."""
 
 from tallyward.functions.text import WHITE_SPACE
+from tallyward.sources.facts import LETTERS
 
 OPS = """
 ops AS (
@@ -403,9 +404,6 @@ ranked AS (
 hits AS (SELECT * FROM ranked WHERE rank <= 3)
 """
 
-LETTERS = [chr(c) for c in range(ord("a"), ord("z") + 1)]
-
-
 def _letter_shares(text: str) -> str:
     counts = ", ".join(
         f"length(lower({text})) - length(replace(lower({text}), '{c}', ''))" for c in LETTERS
@@ -440,7 +438,7 @@ chunks AS (
   SELECT 'fixed', conv_id || '-' || chunk_no, text FROM page_chunks),
 corpus AS (SELECT strategy, chunk_id, text, {_letter_shares('text')} AS e FROM chunks),
 pairs AS (
-  SELECT strategy, name, chunk_id, {_gap('q.e', 'c.e', 26)} AS distance
+  SELECT strategy, name, chunk_id, {_gap('q.e', 'c.e', len(LETTERS))} AS distance
   FROM questions q CROSS JOIN corpus c),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY strategy, name ORDER BY distance, chunk_id) AS rank

@@ -396,8 +396,8 @@ def chunk_strategy_scorecard(spark, folder):
     conversations = facts.table(spark, folder, "conversations")
     name = F.concat_ws(" ", F.lit("Conversation"), "conv_id", F.lit("turn"), "turn", "role")
     pages = conversations.withColumn("text", F.concat(F.lit("## "), name, F.lit("\n"), "text"))
-    questions = facts.with_letter_shares(conversations, "text").select(
-        name.alias("question"), "embedding"
+    questions = durable(
+        facts.with_letter_shares(conversations, "text").select(name.alias("question"), "embedding")
     )
     ties = ["role", "text"]
     strategies = {

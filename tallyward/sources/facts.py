@@ -169,16 +169,20 @@ def numbered_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# The letters whose shares make up a text's vector.
+LETTERS = "etaoinshrdlu"
+
+
 def with_letter_shares(df: DataFrame, text: str, name: str = "embedding") -> DataFrame:
-    """Add a text's share of each letter a to z: a vector that needs no model."""
-    lower = F.lower(F.col(text))
+    """Add how often a dozen common letters occur in a text, as shares of their
+    sum: a vector that needs no model."""
     counts = [
-        F.length(lower) - F.length(F.replace(lower, F.lit(chr(c)), F.lit("")))
-        for c in range(ord("a"), ord("z") + 1)
+        F.octet_length("_lower") - F.octet_length(F.replace(F.col("_lower"), F.lit(c), F.lit("")))
+        for c in LETTERS
     ]
     names = [f"_{i}" for i in range(len(counts))]
-    counted = df.withColumns(dict(zip(names, counts)))
+    counted = df.withColumn("_lower", F.lower(text)).withColumns(dict(zip(names, counts)))
     letters = sum((F.col(n) for n in names), F.lit(0))
     counted = counted.withColumn("_letters", F.greatest(letters, F.lit(1)))
     shares = F.array(*[F.col(n) / F.col("_letters") for n in names])
-    return counted.withColumn(name, shares).drop("_letters", *names)
+    return counted.withColumn(name, shares).drop("_lower", "_letters", *names)
