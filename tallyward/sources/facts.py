@@ -35,14 +35,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _hundredths(column: str) -> str:
-    """Two-decimal amounts as whole hundredths: sums of longs are exact and
-    stay in generated code, where wide decimals do not."""
+    """Two-decimal amounts as whole hundredths."""
     return f"cast(rint({column} * 100) as bigint)"
 
 
+def _unit_sum(units: str, name: str) -> Column:
+    """Sum of whole numbers as an exact decimal.
+
+    High and low bits are summed apart, both as longs: that stays in generated
+    code, where wide decimals do not, and no group is too large for it.
+    """
+    high = f"cast(sum(shiftright({units}, 20)) as decimal(20,0)) * 1048576"
+    low = f"cast(sum(({units}) & 1048575L) as decimal(20,0))"
+    return F.expr(f"cast({high} + {low} as decimal(26,0)) as {name}")
+
+
 def _amount(units: str) -> str:
     """Whole ten-thousandths as a decimal amount."""
-    return f"cast(cast({units} as decimal(20,0)) * 0.0001BD as decimal(24,4))"
+    return f"cast(({units}) * 0.0001BD as decimal(24,4))"
 
 
 def operations(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,10 +77,10 @@ def operations(spark: SparkSession, folder: str) -> DataFrame:
         lines.join(part, F.expr("l_partkey = p_partkey"))
         .groupBy("l_suppkey", "month")
         .agg(
-            F.expr("sum(price * (100 - discount)) as revenue"),
-            F.expr("sum(price * 95) as budget"),
-            F.expr("sum(price * tax) as labor"),
-            F.expr("sum(retail * cast(l_quantity as bigint) * 40) as other"),
+            _unit_sum("price * (100 - discount)", "revenue"),
+            _unit_sum("price * 95", "budget"),
+            _unit_sum("price * tax", "labor"),
+            _unit_sum("retail * cast(l_quantity as bigint) * 40", "other"),
             F.expr("sum(l_quantity) as volume"),
         )
     )
