@@ -20,6 +20,7 @@ from tallyward.schema import (
     ISSUE_SCHEMA,
     ISSUE_TYPES,
     KEY_COLUMNS,
+    RAW_MONTH_COLUMN,
     REQUIRED_COLUMNS,
     ROW_INDEX_COLUMN,
     SEVERITIES,
@@ -67,7 +68,17 @@ def _where(df: DataFrame) -> Column:
 
 
 def missing_mask(df: DataFrame, name: str) -> Column:
-    return F.col(name).isNull() & _present(df, name)
+    missing = F.col(name).isNull() & _present(df, name)
+    if name == "month":
+        missing = missing & ~unreadable_month_mask(df)
+    return missing
+
+
+def unreadable_month_mask(df: DataFrame) -> Column:
+    """Month cells with text that is no date, where that text was kept."""
+    if not {"month", RAW_MONTH_COLUMN} <= set(df.columns):
+        return F.lit(False)
+    return F.col("month").isNull() & F.col(RAW_MONTH_COLUMN).isNotNull()
 
 
 def _checked_columns(df: DataFrame) -> list[str]:
@@ -185,7 +196,7 @@ def _row_rules(df: DataFrame, tolerance: str, strict_double: bool) -> dict[int,
         )
         for name in _checked_columns(df)
     ]
-    negative, apart = [], []
+    impossible, apart = [], []
     if "volume" in df.columns:
         shown = shortest(F.col("volume"))
         text = F.concat(
@@ -196,7 +207,14 @@ def _row_rules(df: DataFrame, tolerance: str, strict_double: bool) -> dict[int,
             F.lit(")."),
         )
         action = F.concat(F.lit("Correct 'volume' to zero or more ("), place, F.lit(")."))
-        negative.append((negative_mask(df), "volume", shown, text, action))
+        impossible.append((negative_mask(df), "volume", shown, text, action))
+    if RAW_MONTH_COLUMN in df.columns:
+        shown = F.col(RAW_MONTH_COLUMN)
+        text = F.concat(
+            F.lit("Column 'month' holds '"), shown, F.lit("', which is no date ("), place, F.lit(").")
+        )
+        action = F.concat(F.lit("Write 'month' as a date ("), place, F.lit(")."))
+        impossible.append((unreadable_month_mask(df), "month", shown, text, action))
     if set(EXPENSE_COLUMNS) <= set(df.columns):
         shown = grouped(expense_difference(df, strict_double), 2)
         text = F.concat(
@@ -209,7 +227,7 @@ def _row_rules(df: DataFrame, tolerance: str, strict_double: bool) -> dict[int,
         action = F.concat(F.lit("Check the expense parts and the total ("), place, F.lit(")."))
         mask = unreconciled_mask(df, tolerance, strict_double)
         apart.append((mask, "total_expense", shown, text, action))
-    return {3: blanks, 4: negative, 5: apart}
+    return {3: blanks, 4: impossible, 5: apart}
 
 
 def row_issues(
@@ -292,11 +310,6 @@ def all_issues(
     return found.unionByName(row_issues(df, source, (3, 4, 5), tolerance, strict_double))
 
 
-def unreadable_months(df: DataFrame, raw: str, parsed: str = "month") -> DataFrame:
-    """Rows whose month cell holds text that is no date (opt-in rule)."""
-    return df.where(F.col(raw).isNotNull() & F.col(parsed).isNull())
-
-
 def with_bad_severity(issues: DataFrame) -> DataFrame:
     """Issue rows whose severity is outside its domain."""
     return issues.where(F.col("severity").isNull() | ~F.col("severity").isin(*SEVERITIES))
@@ -346,6 +359,7 @@ def source_profile(
             F.max(absent).alias("absent"),
             F.sum(blanks).alias("blanks"),
             F.count_if(negative_mask(df)).alias("negative"),
+            F.count_if(unreadable_month_mask(df)).alias("unreadable"),
             F.count_if(unreconciled_mask(df, tolerance, strict_double)).alias("apart"),
             *partial_sums(df, measures),
         )
@@ -354,7 +368,7 @@ def source_profile(
         F.max("absent").cast("bigint").alias(_count_name(ISSUE_TYPES[0])),
         F.count_if(F.col("keyed") > 1).alias(_count_name(ISSUE_TYPES[1])),
         F.sum("blanks").alias(_count_name(ISSUE_TYPES[2])),
-        F.sum("negative").alias(_count_name(ISSUE_TYPES[3])),
+        F.sum(F.col("negative") + F.col("unreadable")).alias(_count_name(ISSUE_TYPES[3])),
         F.sum("apart").alias(_count_name(ISSUE_TYPES[4])),
         *merged_sums(measures),
     )

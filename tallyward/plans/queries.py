@@ -5,7 +5,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.functions.coerce import as_day
 from tallyward.operators import charts, chunks, kpi, narrative, nearest, quality, scorecards
 from tallyward.session import durable
 from tallyward.sources import facts, tables
@@ -152,18 +151,18 @@ def dq_all_issues(spark, folder):
 def dq_invalid_dates(spark, folder):
     key = F.col("o_orderkey")
     orders = facts.table(spark, folder, "orders").select(
-        key.alias("key"),
+        key.cast("string").alias("location_id"),
         _spoiled(
             key,
             F.date_format("o_orderdate", "yyyy-MM-dd"),
             {7: "not-a-date", 11: "2001-02-30", 13: "NA", 17: "202501"},
-        ).alias("raw_value"),
+        ).alias("month"),
     )
-    dated = orders.withColumn(
-        "month", as_day(F.col("raw_value"), orders.schema["raw_value"].dataType, ["yyyy-MM-dd"])
+    read = tables.normalize_types(orders, ["yyyy-MM-dd"], keep_raw_month=True)
+    issues = quality.impossible_values(read, "orders")
+    return issues.select(
+        F.col("location_id").cast("bigint").alias("key"), F.col("observed").alias("raw_value")
     )
-    known = tables.normalize_types(dated.withColumnRenamed("raw_value", "raw"))
-    return quality.unreadable_months(known, "raw").select("key", F.col("raw").alias("raw_value"))
 
 
 @registered

@@ -69,6 +69,9 @@ MISSING_TOKENS = (
 # Carried by batches whose files differ in layout: the required or expense
 # columns the row's own file does not have.
 ABSENT_COLUMN = "_absent_columns"
+# Carried on request: the month cell as text, which turns on the rule that a
+# month nobody can read is an impossible value, not a missing one.
+RAW_MONTH_COLUMN = "_raw_month"
 SOURCE_COLUMN = "source"
 ROW_INDEX_COLUMN = "row_index"
 

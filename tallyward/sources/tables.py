@@ -17,6 +17,7 @@ from tallyward.schema import (
     MONTH_COLUMN,
     NUMERIC_COLUMNS,
     REQUIRED_COLUMNS,
+    RAW_MONTH_COLUMN,
     ROW_INDEX_COLUMN,
     SOURCE_COLUMN,
     TEXT_COLUMNS,
@@ -52,13 +53,21 @@ def normalize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*clean_names(df.columns))
 
 
-def normalize_types(df: DataFrame, day_formats: Sequence[str] = DAY_FORMATS) -> DataFrame:
+def normalize_types(
+    df: DataFrame,
+    day_formats: Sequence[str] = DAY_FORMATS,
+    keep_raw_month: bool = False,
+) -> DataFrame:
     """Known columns in their types; cells that do not fit become NULL.
 
     Missing tokens become NULL in every text column. Columns nothing is known
-    about keep their type. One projection, no shuffle.
+    about keep their type. ``keep_raw_month`` keeps the month as text too, for
+    the rule on unreadable months. One projection, no shuffle.
     """
     columns = []
+    if keep_raw_month and MONTH_COLUMN in df.columns:
+        raw = as_text(F.col(MONTH_COLUMN), df.schema[MONTH_COLUMN].dataType)
+        columns.append(raw.alias(RAW_MONTH_COLUMN))
     for field in df.schema.fields:
         name, dtype = field.name, field.dataType
         column = F.col(f"`{name}`")
@@ -198,13 +207,15 @@ def load(
     source: DataFrame | str | Sequence[str],
     spark: SparkSession | None = None,
     day_formats: Sequence[str] = DAY_FORMATS,
+    keep_raw_month: bool = False,
     **options,
 ) -> DataFrame:
     """A normalised operations table from paths or from a DataFrame."""
     if isinstance(source, DataFrame):
-        return normalize_types(normalize_headers(source), day_formats)
+        return normalize_types(normalize_headers(source), day_formats, keep_raw_month)
     spark = spark or SparkSession.active()
-    return normalize_types(accepted_rows(read_raw(spark, source, **options)), day_formats)
+    rows = accepted_rows(read_raw(spark, source, **options))
+    return normalize_types(rows, day_formats, keep_raw_month)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

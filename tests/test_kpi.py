@@ -139,3 +139,11 @@ def test_equal_variances_go_by_name(spark):
     rows = [(n, 10.0, 0.0) for n in "dbca"]
     df = table(spark, rows, "location_name string, revenue double, budget_revenue double")
     assert [r.location_name for r in charts.widest_variances(df, count=2).collect()] == ["a", "b"]
+
+
+def test_unit_sums_are_exact(spark):
+    from tallyward.sources.facts import _unit_sum
+
+    units = [2**62, 2**62, 2**62, -(2**61) - 7, -1, 0, 1048575, 1048576, -1048577]
+    df = spark.createDataFrame([(u,) for u in units], "u bigint")
+    assert int(df.agg(_unit_sum("u", "total")).first().total) == sum(units)

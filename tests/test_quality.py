@@ -1,4 +1,3 @@
-import datetime
 import math
 
 import pytest
@@ -7,6 +6,7 @@ from pyspark.sql import functions as F
 from rows import COLUMNS, clean, table
 from tallyward.operators import quality
 from tallyward.schema import ISSUE_SCHEMA, ISSUE_TYPES
+from tallyward.sources import tables as tables_module
 
 WITH_TOTAL = COLUMNS + ", total_expense double"
 
@@ -181,6 +181,23 @@ def test_row_index_is_named(spark):
     assert issue.row_index == 1 and "row 1," in issue.explanation
 
 
+def test_unreadable_month_is_impossible_when_its_text_is_kept(spark):
+    rows = [("A", "2025-01-01"), ("B", "soon"), ("C", None), ("D", "NA")]
+    raw = spark.createDataFrame(rows, "location_id string, month string")
+    kept = tables_module.normalize_types(raw, keep_raw_month=True)
+    issues = quality.row_issues(kept, "x").orderBy("location_id").collect()
+    assert [(i.location_id, i.issue_type) for i in issues] == [
+        ("B", "impossible_value"),
+        ("C", "missing_value"),
+        ("D", "missing_value"),
+    ]
+    assert "'soon'" in issues[0].explanation
+    found = counts(kept)
+    assert (found["impossible_value"], found["missing_value"]) == (1, 2)
+    plain = tables_module.normalize_types(raw)
+    assert quality.row_issues(plain, "x").where("issue_type = 'missing_value'").count() == 3
+
+
 def test_severity_domain(spark):
     good = quality.required_columns(table(spark, clean(1, 1)).drop("region"), "x")
     assert quality.with_bad_severity(good).count() == 0
@@ -214,4 +231,3 @@ def test_scorecard_against_manifest(spark):
         "miss.csv": (0, False),
         "gone.csv": (0, False),
     }
-    assert datetime.date(2025, 1, 1) == rows[0][3]
