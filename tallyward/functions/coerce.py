@@ -71,8 +71,11 @@ def to_day(text: Column, formats: Sequence[str] = DAY_FORMATS) -> Column:
     cell = F.trim(text)
 
     def attempt(day_format: str) -> Column:
-        day = F.try_to_timestamp(cell, F.lit(day_format)).cast("date")
         shape = shape_of(day_format)
+        if day_format == "yyyy-MM-dd":
+            day = cell.try_cast("date")
+        else:
+            day = F.try_to_timestamp(cell, F.lit(day_format)).cast("date")
         # A failing parse costs far more than a failing match.
         return day if shape is None else F.when(cell.rlike(shape), day)
 
@@ -80,9 +83,10 @@ def to_day(text: Column, formats: Sequence[str] = DAY_FORMATS) -> Column:
 
 
 def as_number(column: Column, dtype: T.DataType) -> Column:
-    """Numeric form of a column of any type; NaN counts as missing."""
+    """Numeric form of a column of any type; NaN counts as missing, and so do
+    the missing tokens, none of which reads as a number."""
     if isinstance(dtype, T.StringType):
-        return to_number(known(column))
+        return to_number(column)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         value = column.cast("double")
         return F.when(~F.isnan(value), value)

@@ -304,9 +304,14 @@ def all_issues(
     source: str | None = None,
     tolerance: str = TOLERANCE,
     strict_double: bool = False,
+    files: DataFrame | None = None,
 ) -> DataFrame:
-    """Issues of all rules; ``rule_order`` gives their fixed order."""
-    found = required_columns(df, source).unionByName(duplicate_keys(df, source))
+    """Issues of all rules; ``rule_order`` gives their fixed order.
+
+    ``files`` (source, _absent_columns) lists the sources, for those without rows.
+    """
+    found = required_columns(df if files is None else files, source)
+    found = found.unionByName(duplicate_keys(df, source))
     return found.unionByName(row_issues(df, source, (3, 4, 5), tolerance, strict_double))
 
 
@@ -333,9 +338,12 @@ def source_profile(
     source: str | None = None,
     tolerance: str = TOLERANCE,
     strict_double: bool = False,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """Per source: issues of each rule, and the KPI sums, from one scan.
 
+    With ``files`` (source, _absent_columns) sources without rows are there too.
+
     Rows are reduced per (source, location, month) first, which finds repeated
     keys and keeps a large source spread over many tasks, then per source.
     """
@@ -364,7 +372,7 @@ def source_profile(
             *partial_sums(df, measures),
         )
     )
-    return per_key.groupBy(F.col("_source").alias("source")).agg(
+    profile = per_key.groupBy(F.col("_source").alias("source")).agg(
         F.max("absent").cast("bigint").alias(_count_name(ISSUE_TYPES[0])),
         F.count_if(F.col("keyed") > 1).alias(_count_name(ISSUE_TYPES[1])),
         F.sum("blanks").alias(_count_name(ISSUE_TYPES[2])),
@@ -372,6 +380,13 @@ def source_profile(
         F.sum("apart").alias(_count_name(ISSUE_TYPES[4])),
         *merged_sums(measures),
     )
+    if files is None:
+        return profile
+    absent = F.array_intersect(ABSENT_COLUMN, F.array(*map(F.lit, REQUIRED_COLUMNS)))
+    listed = files.select("source", F.size(absent).cast("bigint").alias("_absent"))
+    counts = {_count_name(t): F.coalesce(_count_name(t), F.lit(0)) for t in ISSUE_TYPES}
+    counts[_count_name(ISSUE_TYPES[0])] = F.col("_absent")
+    return listed.join(profile, "source", "left").withColumns(counts).drop("_absent")
 
 
 def _total_issues() -> Column:

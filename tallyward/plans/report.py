@@ -77,7 +77,8 @@ def run_report(
     raw = tables.read_raw(spark, paths, **options)
     sinks.write_table(tables.rejected_rows(raw), f"{out}/rejected")
     sinks.write_table(tables.normalize_types(tables.accepted_rows(raw)), f"{out}/data")
-    report = build_report(spark.read.parquet(f"{out}/data"), gate=gate)
+    files = tables.source_files(spark, paths) if tables.OVERFLOW_COLUMN in raw.columns else None
+    report = build_report(spark.read.parquet(f"{out}/data"), gate=gate, files=files)
     sinks.write_table(report.issues, f"{out}/issues", "csv")
     sinks.write_table(report.verdicts, f"{out}/verdicts")
     sinks.write_table(report.metrics, f"{out}/metrics")

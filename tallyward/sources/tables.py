@@ -4,6 +4,7 @@ import csv
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,6 +91,13 @@ def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
     return tuple(next(csv.reader([first[0].lstrip("\ufeff")])))
 
 
+def _files(spark: SparkSession, paths: list[str]) -> list[str]:
+    files = sorted(unquote(f) for f in spark.read.text(paths).inputFiles())
+    if not files:
+        raise ValueError(f"Nothing to read in {paths}")
+    return files
+
+
 def _layouts(spark: SparkSession, files: list[str], one_layout: bool) -> dict[tuple, list[str]]:
     """Files by header. Columns of a CSV file go by position, so files with
     different headers are read apart."""
@@ -117,12 +125,30 @@ def _csv_layout(
     )
 
 
+def _absent(names: Iterable[str]) -> list[str]:
+    return sorted({*REQUIRED_COLUMNS, *EXPENSE_COLUMNS} - set(names))
+
+
 def _with_absent(df: DataFrame) -> DataFrame:
-    wanted = dict.fromkeys((*REQUIRED_COLUMNS, *EXPENSE_COLUMNS))
-    absent = [F.lit(c) for c in sorted(wanted) if c not in df.columns]
+    absent = [F.lit(c) for c in _absent(df.columns)]
     return df.withColumn(ABSENT_COLUMN, F.array(*absent).cast("array<string>"))
 
 
+def source_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """One row per CSV file: ``source`` and the columns it does not have.
+
+    Also names the files without a data row, which no scan of the rows shows.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    rows = [
+        (PurePosixPath(file).name, _absent(clean_names(header)))
+        for header, files in _layouts(spark, _files(spark, paths), False).items()
+        for file in files
+    ]
+    schema = f"{SOURCE_COLUMN} string, {ABSENT_COLUMN} array<string>"
+    return spark.createDataFrame(rows, schema)
+
+
 def _with_row_index(df: DataFrame) -> DataFrame:
     """Add the 0-based row number within its file.
 
@@ -167,12 +193,10 @@ def read_raw(
         raise ValueError(f"One format at a time, not {sorted(kinds)}")
     kind = kinds.pop()
     if kind == "csv":
-        files = sorted(spark.read.text(paths).inputFiles())
-        if not files:
-            raise ValueError(f"Nothing to read in {paths}")
+        layouts = _layouts(spark, _files(spark, paths), one_layout)
         parts = [
             _with_absent(_csv_layout(spark, header, group, multiline))
-            for header, group in _layouts(spark, files, one_layout).items()
+            for header, group in layouts.items()
         ]
         whole = parts[0]
         for part in parts[1:]:

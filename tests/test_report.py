@@ -69,6 +69,21 @@ def test_whole_report(spark, folder, tmp_path):
     assert report.verdicts.where("clean").count() == 1
 
 
+def test_files_without_rows_are_judged_too(spark, tmp_path):
+    (tmp_path / "head only.csv").write_text(as_csv([]))
+    (tmp_path / "no region.csv").write_text(as_csv([]).replace("region,", ""))
+    (tmp_path / "rows.csv").write_text(as_csv(clean(2, 2)))
+    report = run_report(spark, str(tmp_path / "*.csv"), str(tmp_path / "out"))
+    issues = report.issues.collect()
+    assert [(i.source, i.column_name) for i in issues] == [("no region.csv", "region")]
+    verdicts = {v.source: (v.issue_count, v.clean) for v in report.verdicts.collect()}
+    assert verdicts == {
+        "head only.csv": (0, True),
+        "no region.csv": (1, False),
+        "rows.csv": (0, True),
+    }
+
+
 def test_gate_can_be_left_out(spark, folder):
     df = tables.load(str(folder / "twice.csv"), spark)
     assert build_report(df).metrics.count() == 0
