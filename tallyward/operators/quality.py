@@ -7,9 +7,11 @@ different layouts), a rule leaves out the columns the row's file does not have.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyward.functions.text import grouped, shortest
 from tallyward.functions.totals import exact, merged_sums, partial_sums, with_blank_sums
@@ -54,17 +56,58 @@ def _row_index(df: DataFrame) -> Column:
     return F.lit(None).cast("bigint")
 
 
-def _where(df: DataFrame) -> Column:
-    """Words that tell which row an issue is about."""
-    place = F.concat(
-        F.lit("location "),
-        F.coalesce(_key(df, "location_id", "string"), F.lit("unknown")),
-        F.lit(", month "),
-        F.coalesce(_key(df, "month", "string"), F.lit("unknown")),
+# What a rule finds; the wording is added afterwards, once for all rules.
+FINDING = (
+    "rule_order",
+    "source",
+    "location_id",
+    "month",
+    "column_name",
+    "row_index",
+    "observed",
+)
+_PLACE = """concat(
+    if(row_index is null, '', concat('row ', row_index, ', ')),
+    'location ', coalesce(location_id, 'unknown'),
+    ', month ', coalesce(cast(month as string), 'unknown'))"""
+_EXPLANATION = """case
+    when rule_order = 1 then concat("The required column '", column_name, "' is not in the data.")
+    when rule_order = 2 then concat(observed, ' rows share ', place, '.')
+    when rule_order = 3 then concat("No value in column '", column_name, "' (", place, ').')
+    when rule_order = 4 and column_name = 'month' then concat(
+      "Column 'month' holds '", observed, "', which is no date (", place, ').')
+    when rule_order = 4 then concat(
+      "Column 'volume' holds the impossible negative value ", observed, ' (', place, ').')
+    else concat(
+      'Labor plus other expense is $', observed, ' away from the stated total (', place, ').')
+    end"""
+_ACTION = """case
+    when rule_order = 1 then concat("Supply the column '", column_name, "'.")
+    when rule_order = 2 then concat('Keep one row for ', place, '.')
+    when rule_order = 3 then concat("Fill in '", column_name, "' (", place, ').')
+    when rule_order = 4 and column_name = 'month' then concat(
+      "Write 'month' as a date (", place, ').')
+    when rule_order = 4 then concat("Correct 'volume' to zero or more (", place, ').')
+    else concat('Check the expense parts and the total (', place, ').')
+    end"""
+_TYPE = "element_at(array({}), rule_order)".format(", ".join(f"'{t}'" for t in ISSUE_TYPES))
+
+
+def _worded(findings: DataFrame) -> DataFrame:
+    """Findings as issue records."""
+    return findings.selectExpr(*FINDING, f"{_PLACE} as place").selectExpr(
+        "rule_order",
+        f"{_TYPE} as issue_type",
+        "'error' as severity",
+        "source",
+        "location_id",
+        "month",
+        "column_name",
+        "row_index",
+        "observed",
+        f"{_EXPLANATION} as explanation",
+        f"{_ACTION} as suggested_action",
     )
-    if ROW_INDEX_COLUMN in df.columns:
-        return F.concat(F.lit("row "), F.col(ROW_INDEX_COLUMN).cast("string"), F.lit(", "), place)
-    return place
 
 
 def missing_mask(df: DataFrame, name: str) -> Column:
@@ -117,8 +160,7 @@ def unreconciled_mask(
     return F.coalesce(off, F.lit(False))
 
 
-def required_columns(df: DataFrame, source: str | None = None) -> DataFrame:
-    """One issue per required column that is not there, by source and name."""
+def _absent_findings(df: DataFrame, source: str | None) -> DataFrame:
     if ABSENT_COLUMN in df.columns:
         files = df.select(_source(df, source).alias("source"), ABSENT_COLUMN).distinct()
         absent = files.select("source", F.explode(ABSENT_COLUMN).alias("column_name")).where(
@@ -126,34 +168,33 @@ def required_columns(df: DataFrame, source: str | None = None) -> DataFrame:
         )
     else:
         names = sorted(set(REQUIRED_COLUMNS) - set(df.columns))
-        spark = df.sparkSession
-        absent = spark.createDataFrame(
-            [(source, name) for name in names], "source string, column_name string"
-        )
-    name = F.col("column_name")
-    return _issues(
-        absent,
-        1,
-        source=F.col("source"),
-        column_name=name,
-        explanation=F.concat(F.lit("The required column '"), name, F.lit("' is not in the data.")),
-        suggested_action=F.concat(F.lit("Supply the column '"), name, F.lit("'.")),
+        if names and SOURCE_COLUMN in df.columns:
+            absent = df.select("source").distinct().withColumn(
+                "column_name", F.explode(F.array(*map(F.lit, names)))
+            )
+        else:
+            absent = df.sparkSession.createDataFrame(
+                [(source, name) for name in names], "source string, column_name string"
+            )
+    return absent.selectExpr(
+        "1 as rule_order",
+        "source",
+        "cast(null as string) as location_id",
+        "cast(null as date) as month",
+        "column_name",
+        "cast(null as bigint) as row_index",
+        "cast(null as string) as observed",
     )
 
 
-def _issues(df: DataFrame, rule: int, **columns: Column) -> DataFrame:
-    given = {
-        "rule_order": F.lit(rule),
-        "issue_type": F.lit(ISSUE_TYPES[rule - 1]),
-        "severity": F.lit("error"),
-        **columns,
-    }
-    return df.select(
-        *[
-            given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in ISSUE_SCHEMA.fields
-        ]
-    )
+def required_columns(df: DataFrame, source: str | None = None) -> DataFrame:
+    """One issue per required column that is not there, by source and name."""
+    return _worded(_absent_findings(df, source))
+
+
+def _no_findings(df: DataFrame) -> DataFrame:
+    fields = [f for f in ISSUE_SCHEMA.fields if f.name in FINDING]
+    return df.sparkSession.createDataFrame([], T.StructType(fields)).select(*FINDING)
 
 
 def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -161,120 +202,90 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("group_size")).where("group_size > 1")
 
 
-def duplicate_keys(df: DataFrame, source: str | None = None) -> DataFrame:
-    """One issue per repeated (location, month) of a source; missing keys are equal."""
+def _key_findings(df: DataFrame, source: str | None) -> DataFrame:
     if not set(KEY_COLUMNS) <= set(df.columns):
-        return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
+        return _no_findings(df)
     keyed = df.where(_present(df, "location_id") & _present(df, "month")).select(
-        _source(df, source).alias("_source"), *KEY_COLUMNS
+        _source(df, source).alias("source"), *KEY_COLUMNS
     )
-    repeated = duplicate_groups(keyed, ("_source", *KEY_COLUMNS))
-    size = F.col("group_size").cast("string")
-    place = _where(repeated)
-    return _issues(
-        repeated,
-        2,
-        source=F.col("_source"),
-        location_id=F.col("location_id"),
-        month=F.col("month"),
-        observed=size,
-        explanation=F.concat(size, F.lit(" rows share "), place, F.lit(".")),
-        suggested_action=F.concat(F.lit("Keep one row for "), place, F.lit(".")),
+    return duplicate_groups(keyed, ("source", *KEY_COLUMNS)).selectExpr(
+        "2 as rule_order",
+        "source",
+        "cast(location_id as string) as location_id",
+        "cast(month as date) as month",
+        "cast(null as string) as column_name",
+        "cast(null as bigint) as row_index",
+        "cast(group_size as string) as observed",
     )
 
 
-def _row_rules(df: DataFrame, tolerance: str, strict_double: bool) -> dict[int, list[tuple]]:
-    """Per rule: (failing mask, column name, observed, explanation, action)."""
-    place = _where(df)
-    blanks = [
-        (
-            missing_mask(df, name),
-            name,
-            F.lit(None).cast("string"),
-            F.concat(F.lit(f"No value in column '{name}' ("), place, F.lit(").")),
-            F.concat(F.lit(f"Fill in '{name}' ("), place, F.lit(").")),
-        )
-        for name in _checked_columns(df)
-    ]
-    impossible, apart = [], []
+def duplicate_keys(df: DataFrame, source: str | None = None) -> DataFrame:
+    """One issue per repeated (location, month) of a source; missing keys are equal."""
+    return _worded(_key_findings(df, source))
+
+
+def _row_checks(
+    df: DataFrame, rules: Sequence[int], tolerance: str, strict_double: bool
+) -> list[tuple[int, Column, str, Column]]:
+    """(rule, failing mask, column name, observed value) of every check on a row."""
+    checks = [(3, missing_mask(df, c), c, F.lit(None)) for c in _checked_columns(df)]
     if "volume" in df.columns:
-        shown = shortest(F.col("volume"))
-        text = F.concat(
-            F.lit("Column 'volume' holds the impossible negative value "),
-            shown,
-            F.lit(" ("),
-            place,
-            F.lit(")."),
-        )
-        action = F.concat(F.lit("Correct 'volume' to zero or more ("), place, F.lit(")."))
-        impossible.append((negative_mask(df), "volume", shown, text, action))
+        checks.append((4, negative_mask(df), "volume", shortest(F.col("volume"))))
     if RAW_MONTH_COLUMN in df.columns:
-        shown = F.col(RAW_MONTH_COLUMN)
-        text = F.concat(
-            F.lit("Column 'month' holds '"), shown, F.lit("', which is no date ("), place, F.lit(").")
-        )
-        action = F.concat(F.lit("Write 'month' as a date ("), place, F.lit(")."))
-        impossible.append((unreadable_month_mask(df), "month", shown, text, action))
+        checks.append((4, unreadable_month_mask(df), "month", F.col(RAW_MONTH_COLUMN)))
     if set(EXPENSE_COLUMNS) <= set(df.columns):
-        shown = grouped(expense_difference(df, strict_double), 2)
-        text = F.concat(
-            F.lit("Labor plus other expense is $"),
-            shown,
-            F.lit(" away from the stated total ("),
-            place,
-            F.lit(")."),
-        )
-        action = F.concat(F.lit("Check the expense parts and the total ("), place, F.lit(")."))
         mask = unreconciled_mask(df, tolerance, strict_double)
-        apart.append((mask, "total_expense", shown, text, action))
-    return {3: blanks, 4: impossible, 5: apart}
+        apart = grouped(expense_difference(df, strict_double), 2)
+        checks.append((5, mask, "total_expense", apart))
+    return [check for check in checks if check[0] in rules]
 
 
-def row_issues(
+def _row_findings(
     df: DataFrame,
-    source: str | None = None,
+    source: str | None,
     rules: Sequence[int] = (3, 4, 5),
     tolerance: str = TOLERANCE,
     strict_double: bool = False,
 ) -> DataFrame:
-    """Missing, impossible and unreconciled values in one scan without a shuffle.
-
-    Rows without a fault are filtered out before any issue is built.
-    """
-    checks = _row_rules(df, tolerance, strict_double)
-    found, masks = [], []
-    for rule in rules:
-        for mask, name, observed, explanation, action in checks[rule]:
-            masks.append(mask)
-            issue = F.struct(
+    """One scan without a shuffle; rows without a fault go first."""
+    checks = _row_checks(df, rules, tolerance, strict_double)
+    if not checks:
+        return _no_findings(df)
+    failing = reduce(Column.__or__, [mask for _, mask, _, _ in checks])
+    found = [
+        F.when(
+            mask,
+            F.struct(
                 F.lit(rule).alias("rule_order"),
-                F.lit(ISSUE_TYPES[rule - 1]).alias("issue_type"),
                 F.lit(name).alias("column_name"),
-                observed.alias("observed"),
-                explanation.alias("explanation"),
-                action.alias("suggested_action"),
-            )
-            found.append(F.when(mask, issue))
-    if not found:
-        return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
-    failing = masks[0]
-    for mask in masks[1:]:
-        failing = failing | mask
+                observed.cast("string").alias("observed"),
+            ),
+        )
+        for rule, mask, name, observed in checks
+    ]
     exploded = df.where(failing).select(
         _source(df, source).alias("source"),
         _key(df, "location_id", "string").alias("location_id"),
         _key(df, "month", "date").alias("month"),
         _row_index(df).alias("row_index"),
-        F.explode(F.array_compact(F.array(*found))).alias("issue"),
+        F.explode(F.array_compact(F.array(*found))).alias("finding"),
     )
-    flat = exploded.select("source", "location_id", "month", "row_index", "issue.*").withColumn(
-        "severity", F.lit("error")
-    )
-    return flat.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in ISSUE_SCHEMA.fields]
+    return exploded.select("source", "location_id", "month", "row_index", "finding.*").select(
+        *FINDING
     )
 
 
+def row_issues(
+    df: DataFrame,
+    source: str | None = None,
+    rules: Sequence[int] = (3, 4, 5),
+    tolerance: str = TOLERANCE,
+    strict_double: bool = False,
+) -> DataFrame:
+    """Missing, impossible and unreconciled values, by rule number."""
+    return _worded(_row_findings(df, source, rules, tolerance, strict_double))
+
+
 def missing_values(df: DataFrame, source: str | None = None) -> DataFrame:
     return row_issues(df, source, rules=(3,))
 
@@ -310,9 +321,10 @@ def all_issues(
 
     ``files`` (source, _absent_columns) lists the sources, for those without rows.
     """
-    found = required_columns(df if files is None else files, source)
-    found = found.unionByName(duplicate_keys(df, source))
-    return found.unionByName(row_issues(df, source, (3, 4, 5), tolerance, strict_double))
+    findings = _absent_findings(df if files is None else files, source)
+    findings = findings.unionByName(_key_findings(df, source))
+    rows = _row_findings(df, source, (3, 4, 5), tolerance, strict_double)
+    return _worded(findings.unionByName(rows))
 
 
 def with_bad_severity(issues: DataFrame) -> DataFrame:

@@ -42,6 +42,13 @@ def test_missing_column(spark):
     assert quality.clean_source_kpis(df, "x").count() == 0
 
 
+def test_missing_column_is_named_for_each_source(spark):
+    rows = [(*r, s) for s in ("a", "b") for r in clean(1, 2)]
+    df = table(spark, rows, COLUMNS + ", source string").drop("region")
+    issues = quality.all_issues(df).orderBy("source").collect()
+    assert [(i.source, i.column_name) for i in issues] == [("a", "region"), ("b", "region")]
+
+
 def test_one_issue_per_repeated_key(spark):
     rows = clean()
     df = table(spark, [*rows, rows[0], rows[0], rows[5]])
