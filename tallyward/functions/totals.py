@@ -1,8 +1,8 @@
 """Sums whose value does not depend on the order in which tasks finish.
 
-Doubles are added as decimals. Values no decimal(28, 6) can hold (infinities
-and magnitudes from 1e20 on) are added apart as doubles and joined in at the
-end, so nothing is dropped. The partial sums can be summed again, which lets an
+Doubles are added as decimals with twelve places. Infinities and magnitudes
+from 1e15 on, where a double has no cents left, are added apart as doubles and
+joined in at the end, so nothing is dropped. The partial sums can be summed again, which lets an
 operator aggregate by a fine key first and by a coarse one later.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LARGE = 1e15
 _EXACT = "__exact"
 _LOOSE = "__loose"
 
@@ -23,7 +24,7 @@ def exact(column: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.IntegralType):
         return column.cast("decimal(20,0)")
     value = column.cast("double")
-    return F.when(F.abs(value) < 1e20, value.try_cast("decimal(28,6)"))
+    return F.when(F.abs(value) < LARGE, value.try_cast("decimal(28,12)"))
 
 
 def partial_sums(df: DataFrame, names: Iterable[str]) -> list[Column]:
@@ -34,7 +35,7 @@ def partial_sums(df: DataFrame, names: Iterable[str]) -> list[Column]:
         sums.append(F.sum(exact(column, dtype)).alias(name + _EXACT))
         if isinstance(dtype, (T.DoubleType, T.FloatType)):
             value = column.cast("double")
-            huge = (F.abs(value) >= 1e20) & ~F.isnan(value)
+            huge = (F.abs(value) >= LARGE) & ~F.isnan(value)
             loose = F.sum(F.when(huge, value))
         else:
             loose = F.lit(None).cast("double")
@@ -53,7 +54,7 @@ def merged_sums(names: Iterable[str]) -> list[Column]:
 
 def with_blank_sums(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Add empty partial sums for measures the data does not have."""
-    wanted = [(n + _EXACT, "decimal(38,6)") for n in names]
+    wanted = [(n + _EXACT, "decimal(38,12)") for n in names]
     wanted += [(n + _LOOSE, "double") for n in names]
     blank = {c: F.lit(None).cast(t) for c, t in wanted if c not in df.columns}
     return df.withColumns(blank) if blank else df

@@ -148,7 +148,7 @@ def expense_difference(df: DataFrame, strict_double: bool = False) -> Column:
     if strict_double:
         return loose
     labor, other, stated = (exact(F.col(c), df.schema[c].dataType) for c in EXPENSE_COLUMNS)
-    return F.coalesce(F.abs(labor + other - stated).cast("decimal(38,6)").cast("double"), loose)
+    return F.coalesce(F.abs(labor + other - stated).cast("double"), loose)
 
 
 def unreconciled_mask(

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +27,29 @@ def local_session(
     return spark
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tallyward-")
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share; a temporary one in local runs without it."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows as a Parquet table in the cluster's checkpoint folder.
 
     What reads it does not repeat the work before it, not even when executors
-    are lost, and still reads only the columns it needs. A temporary folder
-    stands in where the session names none.
+    are lost, and still reads only the columns it needs.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{folder or tempfile.mkdtemp(prefix='tallyward-')}/{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -107,6 +107,9 @@ def test_sums_are_exact_and_keep_infinities(spark):
     rows = [(0.1,)] * 1000 + [(0.2,)] * 1000
     df = table(spark, rows, "revenue double").selectExpr("revenue", "revenue as budget_revenue")
     assert kpi.variance_to_budget(df.repartition(7)).first().actual_revenue == 300.0
+    fine = table(spark, [(1e-9,)] * 1000 + [(12345678.25,)], "revenue double")
+    fine = fine.selectExpr("revenue", "0.0D as budget_revenue")
+    assert kpi.variance_to_budget(fine).first().actual_revenue == 12345678.250001
     huge = table(spark, [(math.inf, 1e30), (5.0, 1e30)], "revenue double, budget_revenue double")
     row = kpi.variance_to_budget(huge).first()
     assert row.actual_revenue == math.inf and row.budget_revenue == 2e30
