@@ -40,14 +40,17 @@ def markdown_sections(df: DataFrame, document: str, text: str = "text") -> DataF
     Text before the first heading is left out; a document without a heading is
     one section without a name. Sections are numbered from 1 (0 when unnamed).
     """
-    exploded = df.where(F.col(text).isNotNull()).select(
-        document, F.posexplode(_pieces(F.col(text), MARKDOWN_HEADING)).alias("section_no", "piece"),
-        F.size(_pieces(F.col(text), MARKDOWN_HEADING)).alias("_pieces"),
+    cut = df.where(F.col(text).isNotNull()).select(
+        document, _pieces(F.col(text), MARKDOWN_HEADING).alias("_cut")
+    )
+    exploded = cut.select(document, "_cut", F.size("_cut").alias("_pieces")).select(
+        document, "_pieces", F.posexplode("_cut").alias("section_no", "piece")
     )
     kept = exploded.where((F.col("section_no") > 0) | (F.col("_pieces") == 1))
     named = F.when(F.col("section_no") > 0, _markdown_name(F.col("piece")))
+    number = F.col("section_no").cast("bigint").alias("section_no")
     return kept.select(
-        document, "section_no", named.alias("section"), strip(F.col("piece")).alias("text")
+        document, number, named.alias("section"), strip(F.col("piece")).alias("text")
     )
 
 

@@ -338,6 +338,26 @@ markdown AS (
   FROM marked WHERE section_no > 0 GROUP BY conv_id, section_no)
 """
 
+DOCUMENTS = f"""
+docs AS (
+  SELECT page_id, replace(replace(html, '<h1>', chr(10) || '## '), '</h1>', chr(10)) AS body
+  FROM pages),
+lines AS (
+  SELECT page_id, unnest(string_split(body, chr(10))) AS line,
+         generate_subscripts(string_split(body, chr(10)), 1) AS pos
+  FROM docs),
+marked AS (
+  SELECT *, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END)
+           OVER (PARTITION BY page_id ORDER BY pos) AS section_no,
+         sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END)
+           OVER (PARTITION BY page_id) AS headings
+  FROM lines)
+SELECT page_id, CAST(section_no AS bigint) AS section_no,
+       CASE WHEN section_no > 0 THEN {_strip("substring(arg_min(line, pos), 4)")} END AS section,
+       {_strip("string_agg(line, chr(10) ORDER BY pos)")} AS text
+FROM marked WHERE section_no > 0 OR headings = 0 GROUP BY page_id, section_no
+"""
+
 PAGED = f"""
 pages AS (
   SELECT conv_id, turn AS page, role, text AS said,
@@ -581,6 +601,7 @@ ORACLES: dict[str, str] = {
         WITH {CLAIMS} SELECT region, {_strip('head')} AS before, {_strip('tail')} AS after
         FROM rendered""",
     "section_chunks": f"WITH {MARKDOWN} SELECT conv_id, section_no, section, text FROM markdown",
+    "document_sections": f"WITH {DOCUMENTS}",
     "paged_section_chunks": f"WITH {PAGED} SELECT conv_id, section_no, section, text, page FROM paged",
     "fixed_chunks": f"WITH {FIXED}",
     "paged_fixed_chunks": f"""

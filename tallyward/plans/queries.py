@@ -324,6 +324,11 @@ def section_chunks(spark, folder):
     return chunks.markdown_page_sections(pages, "conv_id", "turn", ties=["role", "text"])
 
 
+@registered
+def document_sections(spark, folder):
+    return chunks.markdown_sections(facts.web_documents(spark, folder), "page_id")
+
+
 @registered
 def paged_section_chunks(spark, folder):
     pages = facts.numbered_pages(spark, folder)

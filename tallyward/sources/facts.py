@@ -166,6 +166,15 @@ def transcript_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def web_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Web pages as whole Markdown documents: the page heading opens a section,
+    what stands before it is lead-in."""
+    opened = F.replace("html", F.lit("<h1>"), F.lit("\n## "))
+    return table(spark, folder, "pages").select(
+        "page_id", F.replace(opened, F.lit("</h1>"), F.lit("\n")).alias("text")
+    )
+
+
 def numbered_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as paged documents with a numbered heading on every even turn."""
     heading = F.concat(
