@@ -43,8 +43,10 @@ def markdown_sections(df: DataFrame, document: str, text: str = "text") -> DataF
     cut = df.where(F.col(text).isNotNull()).select(
         document, _pieces(F.col(text), MARKDOWN_HEADING).alias("_cut")
     )
+    # A split has at least one piece, so the outer form changes nothing but
+    # the plan: the plain one adds a filter that splits every text again.
     exploded = cut.select(document, "_cut", F.size("_cut").alias("_pieces")).select(
-        document, "_pieces", F.posexplode("_cut").alias("section_no", "piece")
+        document, "_pieces", F.posexplode_outer("_cut").alias("section_no", "piece")
     )
     kept = exploded.where((F.col("section_no") > 0) | (F.col("_pieces") == 1))
     named = F.when(F.col("section_no") > 0, _markdown_name(F.col("piece")))
@@ -75,7 +77,7 @@ def _page_pieces(
         "_line",
         "group_total",
         F.col("before"),
-        F.posexplode("_cut").alias("_n", "_piece"),
+        F.posexplode_outer("_cut").alias("_n", "_piece"),
     ).select(
         F.col("_doc").alias(document),
         (F.col("before") + F.col("_n")).cast("bigint").alias("section_no"),
