@@ -37,10 +37,20 @@ def answers(df):
     return got
 
 
+@pytest.fixture(params=["10MB", "-1"])
+def threshold(spark, request):
+    """Every join once by broadcast and once by shuffle."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.unset(name)
+
+
 @pytest.mark.parametrize("skip", [True, False])
-def test_join_equals_brute_force(spark, monkeypatch, skip):
+def test_join_equals_brute_force(spark, monkeypatch, threshold, skip):
     monkeypatch.setattr(nearest, "BLOCK_ROWS", 16)
     monkeypatch.setattr(nearest, "LANE_BLOCKS", 2)
+    monkeypatch.setattr(nearest, "MAX_PROBES", 40)
     points = vectors(300)
     df = frame(spark, points).repartition(4)
     got = answers(nearest.nearest(df, df, k=4, skip_same_id=skip))
