@@ -9,16 +9,21 @@ away: every skipped block is proven to hold no nearer vector.
 """
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.session import durable
 
+# Task code travels with the tasks, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 512
 MAX_PIVOTS = 256
 MAX_PROBES = 2048
