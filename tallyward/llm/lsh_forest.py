@@ -310,7 +310,7 @@ def near_duplicates(
     named = found.join(sets.select(F.col("set_id").alias("node"), "least_id"), "node")
     roots = sets.select(F.col("set_id").alias("root"), F.col("least_id").alias("own_id"))
     least = named.groupBy("root").agg(F.min("least_id").alias("linked_id")).join(roots, "root")
-    least = least.select("root", F.least("linked_id", "own_id").alias("component_id"))
+    least = durable(least.select("root", F.least("linked_id", "own_id").alias("component_id")))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     known = durable(members.join(least, "root").select(F.col("node").alias("set_id"), "component_id"))
     everyone = sets.join(known, "set_id", "left").select(
