@@ -1,11 +1,24 @@
 """The queries of this subpackage: each takes a session and a folder of tables."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import adaptive_rules, lsh_forest, neighbour_quality, packing, sharding
+from tallyward.llm import (
+    adaptive_rules,
+    license_scan,
+    lsh_forest,
+    multiprobe,
+    neighbour_quality,
+    packing,
+    piece_sampling,
+    sharding,
+    url_filter,
+    warc,
+)
+from tallyward.session import checkpoint_folder, durable
 from tallyward.sources.facts import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +28,15 @@ ORACLES: dict[str, str] = {}
 
 SHARDS = 40
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+# Verdict, host and path.
+RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
 
 
 def registered(query):
@@ -86,6 +108,27 @@ def op3_adaptive_rules(spark, folder):
     )
 
 
+@registered
+def op4_warc_transactions(spark, folder):
+    path = f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.captures(table(spark, folder, "pages")), path)
+    found = warc.transactions(durable(warc.read(spark, path, with_payload=False)))
+    said, response = F.col("metadata.fields"), F.col("response")
+    return found.select(
+        said["page"].cast("long").alias("page_id"),
+        F.coalesce(response["payload_bytes"], said["payloadlength"].cast("long")).alias("payload_bytes"),
+        F.coalesce(response["payload_digest"], response["digest"]).alias("payload_digest"),
+        response["type"].alias("record_type"),
+        said["referstopage"].cast("long").alias("refers_to"),
+    )
+
+
+@registered
+def op5_license_notices(spark, folder):
+    found = license_scan.scanned(table(spark, folder, "documents"))
+    return found.drop("spans")
+
+
 @registered
 def op6_lsh_forest(spark, folder):
     return lsh_forest.near_duplicates(table(spark, folder, "documents"), width=4)
@@ -94,3 +137,82 @@ def op6_lsh_forest(spark, folder):
 @registered
 def op7_cost_packing(spark, folder):
     return packing.packed(table(spark, folder, "documents"), tokenizer_path(TOKENIZER))
+
+
+@registered
+def op8_multiprobe(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return multiprobe.nearest(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+def spam_urls(pages: DataFrame) -> DataFrame:
+    """The list: canonical URLs of pages whose host has a label that begins with spam."""
+    host, _, _ = url_filter.url_parts(F.col("url"))
+    listed = pages.where(F.rlike(host, F.lit(r"(^|\.)spam[^.]*\.")))
+    return listed.select(url_filter.canonical(F.col("url")).alias("canonical"))
+
+
+@registered
+def op9_url_filter(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judged(pages, RULES, spam_urls(pages)).drop("listed")
+
+
+@registered
+def op10_piece_sampling(spark, folder):
+    turns = table(spark, folder, "conversations")
+    return piece_sampling.sample_pieces(turns, "text", ["conv_id", "turn", "role"], tokenizer_path(PIECES))
+
+
+ORACLES["op9_url_filter"] = r"""
+WITH parts AS (
+    SELECT page_id,
+        translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([?][^#]*)?', 1, 's'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([?][^#]*)?', 2, 's') AS path,
+        regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([?][^#]*)?', 3, 's') AS query
+    FROM pages
+), forms AS (
+    SELECT page_id, host, path,
+        regexp_replace(regexp_replace(host, '^www[.]', ''), ':(80|443)$', '')
+            || regexp_replace(path, '/+$', '')
+            || CASE WHEN asked = '' THEN '' ELSE '?' || asked END AS form
+    FROM (
+        SELECT *, coalesce(array_to_string(list_sort(list_filter(
+            string_split(regexp_replace(query, '^[?]', ''), '&'),
+            lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=.*)?$'))), '&'), '') AS asked
+        FROM parts
+    )
+), listed AS (
+    SELECT DISTINCT form FROM forms WHERE regexp_matches(host, '(^|[.])spam[^.]*[.]')
+), rules(verdict, rule_host, rule_path) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+        ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fitting AS (
+    SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+        arg_max(verdict, length(rule_host || rule_path)) AS verdict
+    FROM (SELECT DISTINCT page_id, host, path FROM parts), rules
+    WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY page_id
+)
+SELECT f.page_id, f.host, f.path, r.rule,
+    coalesce(r.verdict, CASE WHEN f.host <> '' AND f.form IN (SELECT form FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM forms f LEFT JOIN fitting r USING (page_id)
+"""
+
+ORACLES["op4_warc_transactions"] = """
+WITH payloads AS (
+    SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), named AS (
+    SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex,
+        min(page_id) OVER (PARTITION BY body) AS first
+    FROM payloads
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+    translate(array_to_string(list_transform(range(8), lambda i:
+        to_base(('0x' || substr(hex, 5 * i + 1, 5))::BIGINT, 32, 4)), ''),
+        '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM named
+"""
