@@ -129,20 +129,20 @@ def limits(parts: DataFrame, by: list[str]) -> DataFrame:
             reach = F.greatest(SPREADS * (middle - low), F.lit(room))
             floor = middle - reach if side == "both" else F.lit(float("-inf"))
             columns += [floor.alias(f"{m}_low"), (middle + reach).alias(f"{m}_high")]
-        return groups.select(*[c for c in by if c in groups.columns], "documents", F.struct(*columns).alias(name))
+        return groups.where("documents > 0").select(*[c for c in by if c in groups.columns], "documents", F.struct(*columns).alias(name))
 
     language = by[:1]
     fine, middle, whole = bounds(parts, "own"), bounds(merged(parts, language), "wide"), bounds(merged(parts, []), "all")
     wide = middle.withColumnRenamed("documents", "wide_documents").withColumnRenamed(by[0], "_language")
-    # One row, the merger of every sketch.
-    joined = fine.join(wide, fine[by[0]].eqNullSafe(F.col("_language"))).drop("_language")
-    joined = joined.withColumn("_one", F.lit(1)).join(
-        whole.select("all", F.lit(1).alias("_one")), "_one"
-    )
+    joined = fine.join(wide, fine[by[0]].eqNullSafe(F.col("_language")))
+    # One row of a few numbers, the limits of the merger of every sketch.
+    last = whole.first()
+    numbers = last["all"].asDict() if last else {}
+    fallback = F.struct(*[F.lit(v).alias(k) for k, v in numbers.items()]) if numbers else F.col("own")
     chosen = (
         F.when(F.col("documents") >= LEAST_DOCUMENTS, F.col("own"))
         .when(F.col("wide_documents") >= LEAST_DOCUMENTS, F.col("wide"))
-        .otherwise(F.col("all"))
+        .otherwise(fallback)
     )
     return joined.select(*by, chosen.alias("limits"))
 
