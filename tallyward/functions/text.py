@@ -34,7 +34,5 @@ def ungrouped(value: Column, decimals: int) -> Column:
 def shortest(value: Column) -> Column:
     """A number as text, without '.0' on whole values."""
     number = value.cast("double")
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-    return F.when(whole, number.try_cast("bigint").cast("string")).otherwise(
-        value.cast("string")
-    )
+    whole = F.when(number == F.floor(number), number.try_cast("decimal(38,0)").cast("string"))
+    return F.coalesce(whole, value.cast("string"))

@@ -1,9 +1,10 @@
 """Sums whose value does not depend on the order in which tasks finish.
 
-Doubles are added as decimals with twelve places. Infinities and magnitudes
-from 1e15 on, where a double has no cents left, are added apart as doubles and
-joined in at the end, so nothing is dropped. The partial sums can be summed again, which lets an
-operator aggregate by a fine key first and by a coarse one later.
+Every finite double is a number of coarse units and a rest, and both are added as
+decimals, so sums are exact to fifteen places. An amount has to be smaller than 1e30;
+a larger one fails the query. Infinities, whose sum knows no order either, are added as
+doubles. The partial sums can be summed again, which lets an operator aggregate by a
+fine key first and by a coarse one later.
 """
 
 from collections.abc import Iterable, Sequence
@@ -12,9 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LARGE = 1e15
+# A power of two, so that taking units off a double is exact.
+UNIT = float(1 << 40)
 _EXACT = "__exact"
+_COARSE = "__coarse"
 _LOOSE = "__loose"
+_PARTS = {_EXACT: "decimal(38,15)", _COARSE: "decimal(28,0)", _LOOSE: "double"}
 
 
 def exact(column: Column, dtype: T.DataType) -> Column:
@@ -23,8 +27,7 @@ def exact(column: Column, dtype: T.DataType) -> Column:
         return column
     if isinstance(dtype, T.IntegralType):
         return column.cast("decimal(20,0)")
-    value = column.cast("double")
-    return F.when(F.abs(value) < LARGE, value.try_cast("decimal(28,12)"))
+    return column.cast("double").try_cast("decimal(28,12)")
 
 
 def partial_sums(df: DataFrame, names: Iterable[str]) -> list[Column]:
@@ -32,14 +35,20 @@ def partial_sums(df: DataFrame, names: Iterable[str]) -> list[Column]:
     for name in names:
         dtype = df.schema[name].dataType
         column = F.col(name)
-        sums.append(F.sum(exact(column, dtype)).alias(name + _EXACT))
         if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            value = column.cast("double")
-            huge = (F.abs(value) >= LARGE) & ~F.isnan(value)
-            loose = F.sum(F.when(huge, value))
+            value = F.nanvl(column.cast("double"), F.lit(None).cast("double"))
+            finite = F.when(F.abs(value) < float("inf"), value)
+            units = F.rint(finite / UNIT)
+            rest = (finite - units * UNIT).cast("decimal(28,15)")
+            units = units.cast("decimal(18,0)")
+            loose = F.when(F.abs(value) == float("inf"), value)
         else:
+            rest = exact(column, dtype)
+            units = F.lit(None).cast("decimal(18,0)")
             loose = F.lit(None).cast("double")
-        sums.append(loose.alias(name + _LOOSE))
+        sums.append(F.sum(rest).alias(name + _EXACT))
+        sums.append(F.sum(units).alias(name + _COARSE))
+        sums.append(F.sum(loose).alias(name + _LOOSE))
     return sums
 
 
@@ -48,23 +57,21 @@ def merged_sums(names: Iterable[str]) -> list[Column]:
     return [
         F.sum(name + part).alias(name + part)
         for name in names
-        for part in (_EXACT, _LOOSE)
+        for part in _PARTS
     ]
 
 
 def with_blank_sums(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Add empty partial sums for measures the data does not have."""
-    wanted = [(n + _EXACT, "decimal(38,12)") for n in names]
-    wanted += [(n + _LOOSE, "double") for n in names]
+    wanted = [(n + part, kind) for n in names for part, kind in _PARTS.items()]
     blank = {c: F.lit(None).cast(t) for c, t in wanted if c not in df.columns}
     return df.withColumns(blank) if blank else df
 
 
 def total(name: str) -> Column:
     """The finished sum as a double; 0.0 when there was nothing to add."""
-    return F.coalesce(F.col(name + _EXACT).cast("double"), F.lit(0.0)) + F.coalesce(
-        F.col(name + _LOOSE), F.lit(0.0)
-    )
+    part = {p: F.coalesce(F.col(name + p).cast("double"), F.lit(0.0)) for p in _PARTS}
+    return part[_COARSE] * UNIT + part[_EXACT] + part[_LOOSE]
 
 
 def sum_by(df: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:

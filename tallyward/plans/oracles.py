@@ -170,26 +170,26 @@ pack AS (
 told AS (
   SELECT *, 'Total revenue was $' || format('{{:,.0f}}', actual_revenue) || '. ' ||
     CASE WHEN variance_percent IS NULL THEN
-           'The result cannot be expressed as a percentage because the budget is zero.'
-         WHEN variance_amount > 0 THEN 'The amount $' || format('{{:,.0f}}', variance_amount)
-           || ' (' || format('{{:.1f}}', variance_percent) || '%) is above budget.'
-         WHEN variance_amount < 0 THEN 'The amount $' || format('{{:,.0f}}', abs(variance_amount))
-           || ' (' || format('{{:.1f}}', abs(variance_percent)) || '%) is below budget.'
-         ELSE 'Exactly on budget.' END || ' ' ||
+           'No budget was set, so there is no percentage to compare with.'
+         WHEN variance_amount > 0 THEN 'That is $' || format('{{:,.0f}}', variance_amount)
+           || ' (' || format('{{:.1f}}', variance_percent) || '%) above budget.'
+         WHEN variance_amount < 0 THEN 'That is $' || format('{{:,.0f}}', abs(variance_amount))
+           || ' (' || format('{{:.1f}}', abs(variance_percent)) || '%) below budget.'
+         ELSE 'That equals the budget.' END || ' ' ||
     CASE WHEN operating_margin_percent IS NULL THEN
-           'Operating margin is not available because total revenue is zero.'
+           'Without revenue there is no operating margin.'
          ELSE 'Operating margin was ' || format('{{:.1f}}', operating_margin_percent) || '%.'
     END || ' ' ||
     CASE WHEN labor_expense_percent IS NULL THEN
-           'Labor expense percentage is not available because total revenue is zero.'
+           'Without revenue there is no labor share.'
          ELSE 'Labor expense represented ' || format('{{:.1f}}', labor_expense_percent)
-           || '% of revenue.' END || ' ' ||
+           || '% of that revenue.' END || ' ' ||
     CASE WHEN latest_change > 0 THEN 'Revenue increased ' || format('{{:.1f}}', latest_change)
-           || '% from the previous month.'
-         WHEN latest_change < 0 THEN 'Revenue decreased ' || format('{{:.1f}}', abs(latest_change))
-           || '% from the previous month.'
-         WHEN latest_change = 0 THEN 'Revenue was unchanged from the previous month.'
-         ELSE 'Month-over-month revenue change is not available.' END AS narrative
+           || '% on the month before.'
+         WHEN latest_change < 0 THEN 'Revenue fell by ' || format('{{:.1f}}', abs(latest_change))
+           || '% on the month before.'
+         WHEN latest_change = 0 THEN 'Revenue stayed level with the month before.'
+         ELSE 'A change on the month before cannot be stated.' END AS narrative
   FROM pack)
 """
 
@@ -219,17 +219,7 @@ rendered AS (
 """
 
 
-def _amount(value: str) -> str:
-    return f"coalesce(CAST(CAST({value} AS decimal(28,4)) AS varchar), 'null')"
-
-
-def _fields(*pairs: tuple[str, str]) -> str:
-    """A JSON object of numbers as SQL text concatenation."""
-    inner = " || ',' || ".join(f"'\"{name}\":' || {_amount(value)}" for name, value in pairs)
-    return f"'{{' || {inner} || '}}'"
-
-
-def _issue(issue_type: str, source: str, text: str, action: str) -> str:
+def _issue_json(issue_type: str, source: str, text: str, action: str) -> str:
     return (
         f"'{{\"type\":\"{issue_type}\",\"severity\":\"error\",\"source\":\"' || {source} || "
         f"'\",\"explanation\":\"' || {text} || '\",\"suggested_action\":\"' || {action} || '\"}}'"
@@ -247,54 +237,44 @@ FACTS = f"""
 {DIRTY}, tagged AS (SELECT *, {_source('year')} AS source FROM dirty),
 {_series('source', 'tagged')}, blanks AS ({BLANK_CELLS}),
 totals AS (SELECT source, {TOTALS} FROM tagged GROUP BY source),
-months AS (
-  SELECT source, '[' || string_agg(
-      '{{"month":"' || CAST(month AS varchar) || '","revenue":' || {_amount('revenue')}
-      || ',"prior_month_revenue":' || {_amount('prior_month_revenue')}
-      || ',"change_amount":' || {_amount('change_amount')}
-      || ',"change_percent":' || {_amount('change_percent')} || '}}', ',' ORDER BY month)
-    || ']' AS months
-  FROM series GROUP BY source),
 listed AS (
-  SELECT source, 2 AS rule_order, location_id, month, '' AS column_name,
-         {_issue('duplicate_record', 'source',
-                 f"CAST(count(*) AS varchar) || ' rows share ' || {PLACE} || '.'",
-                 f"'Keep one row for ' || {PLACE} || '.'")} AS issue
+  SELECT source, 'duplicate_record' AS issue_type,
+         CAST(count(*) AS varchar) || ' rows share ' || {PLACE} || '.' AS explanation
   FROM tagged GROUP BY source, location_id, month HAVING count(*) > 1
   UNION ALL
-  SELECT source, 3, location_id, month, column_name,
-         {_issue('missing_value', 'source',
-                 f"'No value in column ''' || column_name || ''' (' || {PLACE} || ').'",
-                 f"'Fill in ''' || column_name || ''' (' || {PLACE} || ').'")}
+  SELECT source, 'missing_value', 'No value in column ''' || column_name || ''' (' || {PLACE} || ').'
   FROM blanks
   UNION ALL
-  SELECT source, 4, location_id, month, 'volume',
-         {_issue('impossible_value', 'source', *NEGATIVE)}
-  FROM tagged WHERE volume < 0
+  SELECT source, 'impossible_value', {NEGATIVE[0]} FROM tagged WHERE volume < 0
   UNION ALL
-  SELECT source, 5, location_id, month, 'total_expense',
-         {_issue('reconciliation_error', 'source',
-                 "'Labor plus other expense is $' || format('{:,.2f}', CAST("
-                 + DIFFERENCE + f" AS double)) || ' away from the stated total (' || {PLACE} || ').'",
-                 f"'Check the expense parts and the total (' || {PLACE} || ').'")}
+  SELECT source, 'reconciliation_error',
+         'Labor plus other expense is $' || format('{{:,.2f}}', CAST({DIFFERENCE} AS double))
+         || ' away from the stated total (' || {PLACE} || ').'
   FROM tagged WHERE {DIFFERENCE} > 0.01),
-issues AS (
-  SELECT source, string_agg(issue, ',' ORDER BY rule_order, location_id, month, column_name) AS issues
-  FROM listed GROUP BY source)
-SELECT source, 0 AS part,
-  '{{"calculated_metrics":{{"revenue_variance":' ||
-  {_fields(('actual_revenue', 'rev'), ('budget_revenue', 'bud'), ('variance_amount', 'rev - bud'),
-           ('variance_percent', 'CASE WHEN bud <> 0 THEN (rev - bud) / bud * 100 END'))}
-  || ',"month_over_month_revenue":' || months || ',"operating_margin":' ||
-  {_fields(('total_revenue', 'rev'), ('total_expense', 'lab + oth'),
-           ('operating_income', 'rev - (lab + oth)'),
-           ('operating_margin_percent',
-            'CASE WHEN rev <> 0 THEN (rev - (lab + oth)) / rev * 100 END'))}
-  || ',"labor_expense_percentage":' ||
-  {_fields(('total_labor_expense', 'lab'), ('total_revenue', 'rev'),
-           ('labor_expense_percent', 'CASE WHEN rev <> 0 THEN lab / rev * 100 END'))}
-  || '}},"validation_issues":[' || coalesce(issues, '') || ']}}' AS facts_json
-FROM totals JOIN months USING (source) LEFT JOIN issues USING (source)
+figures AS (
+  SELECT source, rev - bud AS off, lab + oth AS spent, rev - (lab + oth) AS income, rev, bud, lab
+  FROM totals)
+SELECT source, name, CAST(NULL AS date) AS month, value, CAST(NULL AS varchar) AS text FROM (
+  SELECT source, unnest([
+    {{'name': 'revenue_variance.actual_revenue', 'value': rev}},
+    {{'name': 'revenue_variance.budget_revenue', 'value': bud}},
+    {{'name': 'revenue_variance.variance_amount', 'value': off}},
+    {{'name': 'revenue_variance.variance_percent', 'value': CASE WHEN bud <> 0 THEN off / bud * 100 END}},
+    {{'name': 'operating_margin.total_revenue', 'value': rev}},
+    {{'name': 'operating_margin.total_expense', 'value': spent}},
+    {{'name': 'operating_margin.operating_income', 'value': income}},
+    {{'name': 'operating_margin.operating_margin_percent',
+      'value': CASE WHEN rev <> 0 THEN income / rev * 100 END}},
+    {{'name': 'labor_expense_percentage.total_labor_expense', 'value': lab}},
+    {{'name': 'labor_expense_percentage.total_revenue', 'value': rev}},
+    {{'name': 'labor_expense_percentage.labor_expense_percent',
+      'value': CASE WHEN rev <> 0 THEN lab / rev * 100 END}}
+  ], recursive := true) FROM figures)
+UNION ALL
+SELECT source, unnest(['revenue', 'prior_month_revenue', 'change_amount', 'change_percent']), month,
+  unnest([revenue, prior_month_revenue, change_amount, change_percent]), NULL FROM series
+UNION ALL
+SELECT source, issue_type, NULL, NULL, explanation FROM listed
 """
 
 
@@ -542,7 +522,7 @@ ORACLES: dict[str, str] = {
         FROM sources s LEFT JOIN kinds k USING (source) GROUP BY 1""",
     "issues_json": f"""
         WITH {DIRTY} SELECT location_id, month,
-          {_issue('impossible_value', "'all locations'", *NEGATIVE)} AS issue_json
+          {_issue_json('impossible_value', "'all locations'", *NEGATIVE)} AS issue_json
         FROM dirty WHERE volume < 0""",
     "dq_rule_scorecard": f"""
         WITH {DIRTY}, {TYPES}, {_found("'all'")},

@@ -297,9 +297,10 @@ def report_narrative(spark, folder):
 
 @registered
 def report_facts_json(spark, folder):
-    # Read for the KPIs, the keys, the rows and their counts.
+    # Read for the KPIs, the keys and the rows.
     ops = durable(facts.with_source_year(facts.operations_with_faults(spark, folder)))
-    return narrative.facts_json(kpi.metric_pack(ops, ["source"]), quality.all_issues(ops), "source")
+    lines = narrative.facts_json(kpi.metric_pack(ops, ["source"]), quality.all_issues(ops), "source")
+    return narrative.facts_values(lines, "source")
 
 
 @registered
