@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions.totals import sum_by, total
@@ -24,12 +24,17 @@ def revenue_trend(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def widest_variances(
-    df: DataFrame, dimension: str = "location_name", count: int = 10
+    df: DataFrame,
+    dimension: str = "location_name",
+    count: int = 10,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """The ``count`` values of ``dimension`` furthest from budget, lowest variance first."""
-    sums = sum_by(df, (dimension,), ("revenue", "budget_revenue"))
+    """The ``count`` values of ``dimension`` furthest from budget, lowest variance
+    first; of each group with ``by``."""
+    sums = sum_by(df, (*by, dimension), ("revenue", "budget_revenue"))
     gaps = (
         sums.select(
+            *by,
             dimension,
             total("revenue").alias("revenue"),
             total("budget_revenue").alias("budget_revenue"),
@@ -37,8 +42,13 @@ def widest_variances(
         .withColumn("variance_amount", F.col("revenue") - F.col("budget_revenue"))
         .withColumn("absolute_variance", F.abs("variance_amount"))
     )
-    top = gaps.orderBy(F.desc("absolute_variance"), dimension).limit(count)
-    return top.orderBy("variance_amount", dimension)
+    order = [F.desc("absolute_variance"), F.col(dimension)]
+    if not by:
+        top = gaps.orderBy(*order).limit(count)
+    else:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        top = gaps.withColumn("_place", place).where(F.col("_place") <= count).drop("_place")
+    return top.orderBy(*by, "variance_amount", dimension)
 
 
 CHARTS = {

@@ -100,11 +100,14 @@ def latest_month(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return last.select(*by, "last.*")
 
 
-def metric_pack(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def metric_pack(
+    df: DataFrame, by: Sequence[str] = (), groups: DataFrame | None = None
+) -> DataFrame:
     """All KPIs and the monthly series from one pass over the data.
 
     Rows are summed per month first. The totals and the ``months`` array (one
     entry per calendar month present) both come from those monthly sums.
+    ``groups`` lists all keys; those without rows have sums of zero and no month.
     """
     for key in by:
         df = df.where(F.col(key).isNotNull())
@@ -115,6 +118,8 @@ def metric_pack(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     packed = monthly.groupBy(*by).agg(
         *merged_sums(KPI_MEASURES), F.array_sort(F.collect_list(entry)).alias("sorted")
     )
+    if groups is not None:
+        packed = groups.select(*by).distinct().join(packed, list(by), "left")
 
     def with_prior(item: Column, index: Column) -> Column:
         prior = F.when(index > 0, F.get(F.col("sorted"), index - 1)["revenue"])
@@ -128,7 +133,9 @@ def metric_pack(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         )
 
     return packed.select(
-        *by, *kpi_columns(), F.transform("sorted", with_prior).alias("months")
+        *by,
+        *kpi_columns(),
+        F.coalesce(F.transform("sorted", with_prior), F.array()).alias("months"),
     )
 
 

@@ -354,7 +354,8 @@ def source_profile(
 ) -> DataFrame:
     """Per source: issues of each rule, and the KPI sums, from one scan.
 
-    With ``files`` (source, _absent_columns) sources without rows are there too.
+    With ``files`` (source, _absent_columns) sources without rows are there too,
+    as is a table that is one ``source`` by name, with or without rows.
 
     Rows are reduced per (source, location, month) first, which finds repeated
     keys and keeps a large source spread over many tasks, then per source.
@@ -392,6 +393,11 @@ def source_profile(
         F.sum("apart").alias(_count_name(ISSUE_TYPES[4])),
         *merged_sums(measures),
     )
+    if files is None and source is not None and SOURCE_COLUMN not in df.columns:
+        missing = sorted(set(REQUIRED_COLUMNS) - set(df.columns))
+        files = df.sparkSession.createDataFrame(
+            [(source, missing)], f"source string, {ABSENT_COLUMN} array<string>"
+        )
     if files is None:
         return profile
     absent = F.array_intersect(ABSENT_COLUMN, F.array(*map(F.lit, REQUIRED_COLUMNS)))

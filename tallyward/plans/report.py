@@ -6,7 +6,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyward.functions.coerce import DAY_FORMATS
 from tallyward.operators import charts, kpi, narrative, quality
+from tallyward.session import durable
 from tallyward.sources import sinks, tables
 
 SOURCE = ("source",)
@@ -24,23 +26,28 @@ class Report:
     facts: DataFrame
     actual_vs_budget: DataFrame
     monthly_revenue: DataFrame
+    largest_variances: DataFrame
 
 
 def build_report(
     data: DataFrame,
     source: str = "data",
     gate: bool = True,
-    **options,
+    files: DataFrame | None = None,
+    **rules,
 ) -> Report:
     """All report parts of a normalised table, per source.
 
     With ``gate`` only sources without an issue get KPIs, text and charts. The
     gate is applied to the results, which are far fewer rows than the data.
+    ``files`` (source, _absent_columns) lists all sources, so that those without
+    rows are reported on too. ``rules`` are those of the quality rules:
+    ``tolerance`` and ``strict_double``.
     """
     if "source" not in data.columns:
         data = data.withColumn("source", F.lit(source))
-    issues = quality.all_issues(data, **options)
-    verdicts = quality.validated(data, **options)
+    issues = quality.all_issues(data, files=files, **rules)
+    verdicts = quality.validated(data, files=files, **rules)
     clean = verdicts.where("clean").select(F.col("source").alias("_clean"))
 
     def gated(df: DataFrame) -> DataFrame:
@@ -48,7 +55,7 @@ def build_report(
             return df
         return df.join(clean, F.col("source") == F.col("_clean"), "left_semi")
 
-    pack = kpi.metric_pack(data, SOURCE)
+    pack = kpi.metric_pack(data, SOURCE, groups=files)
     reported = gated(pack)
     return Report(
         data=data,
@@ -59,6 +66,7 @@ def build_report(
         facts=narrative.facts_json(pack, issues, "source"),
         actual_vs_budget=gated(charts.actual_vs_budget(data, SOURCE)),
         monthly_revenue=gated(charts.revenue_trend(data, SOURCE)),
+        largest_variances=gated(charts.widest_variances(data, by=SOURCE)),
     )
 
 
@@ -67,23 +75,35 @@ def run_report(
     paths: str | Sequence[str],
     out: str,
     gate: bool = True,
-    **options,
+    day_formats: Sequence[str] = DAY_FORMATS,
+    keep_raw_month: bool = False,
+    tolerance: str = quality.TOLERANCE,
+    strict_double: bool = False,
+    **reading,
 ) -> Report:
     """Write a whole report under ``out``.
 
     The normalised rows are written first and read back: every later pass
     reads only the columns it needs from Parquet, and none parses text again.
+    ``reading`` are options of :func:`tallyward.sources.tables.read_raw`.
     """
-    raw = tables.read_raw(spark, paths, **options)
+    raw = tables.read_raw(spark, paths, **reading)
     sinks.write_table(tables.rejected_rows(raw), f"{out}/rejected")
-    sinks.write_table(tables.normalize_types(tables.accepted_rows(raw)), f"{out}/data")
-    files = tables.source_files(spark, paths) if tables.OVERFLOW_COLUMN in raw.columns else None
-    report = build_report(spark.read.parquet(f"{out}/data"), gate=gate, files=files)
+    rows = tables.normalize_types(tables.accepted_rows(raw), day_formats, keep_raw_month)
+    sinks.write_table(rows, f"{out}/data")
+    report = build_report(
+        spark.read.schema(rows.schema).parquet(f"{out}/data"),
+        gate=gate,
+        files=durable(tables.source_files(spark, paths)),
+        tolerance=tolerance,
+        strict_double=strict_double,
+    )
     sinks.write_table(report.issues, f"{out}/issues", "csv")
     sinks.write_table(report.verdicts, f"{out}/verdicts")
     sinks.write_table(report.metrics, f"{out}/metrics")
     sinks.write_table(report.facts, f"{out}/facts")
     sinks.write_table(report.actual_vs_budget, f"{out}/actual_vs_budget")
     sinks.write_table(report.monthly_revenue, f"{out}/monthly_revenue")
+    sinks.write_table(report.largest_variances, f"{out}/largest_variances")
     sinks.write_text(report.narratives, f"{out}/summary", "narrative")
     return report

@@ -2,11 +2,9 @@
 
 import csv
 from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from pathlib import PurePosixPath
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,10 +21,11 @@ from tallyward.schema import (
     SOURCE_COLUMN,
     TEXT_COLUMNS,
 )
+from tallyward.session import durable
 
 FORMATS = ("csv", "json", "parquet")
 OVERFLOW_COLUMN = "_overflow"
-_BLOCK, _ORDER = "_block", "_order"
+_FILE, _BLOCK, _ORDER = "_file", "_block", "_order"
 
 
 def table_format(path: str) -> str:
@@ -84,69 +83,137 @@ def normalize_types(
     return df.select(*columns)
 
 
-def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    first = spark.read.text(file).first()
-    if first is None:
-        raise ValueError(f"{file} is empty")
-    return tuple(next(csv.reader([first[0].lstrip("\ufeff")])))
+def _plain_path(path: Column) -> Column:
+    """A path as written, whichever way Spark shows it."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
+
+
+def _listed_path() -> Column:
+    return F.regexp_replace("path", "^file:/+", "file:/")
+
 
+def _folder(spark: SparkSession, paths: list[str]) -> str:
+    """The folder that all files lie in; refuses a batch with an empty or no file.
 
-def _files(spark: SparkSession, paths: list[str]) -> list[str]:
-    files = sorted(unquote(f) for f in spark.read.text(paths).inputFiles())
-    if not files:
+    Files are listed, not read.
+    """
+    files = spark.read.format("binaryFile").load(paths)
+    name = _listed_path()
+    found = files.agg(
+        F.min(name), F.max(name), F.min(F.when(F.col("length") == 0, name))
+    ).first()
+    first, last, empty = found
+    if first is None:
         raise ValueError(f"Nothing to read in {paths}")
-    return files
+    if empty is not None:
+        raise ValueError(f"{empty} is empty")
+    # What the least and the greatest path have in common, all have.
+    same = next((i for i, (a, b) in enumerate(zip(first, last)) if a != b), len(first))
+    return first[: first[:same].rfind("/") + 1]
 
 
-def _layouts(spark: SparkSession, files: list[str], one_layout: bool) -> dict[tuple, list[str]]:
-    """Files by header. Columns of a CSV file go by position, so files with
-    different headers are read apart."""
-    if one_layout:
-        return {_header(spark, files[0]): files}
-    with ThreadPoolExecutor(16) as pool:
-        headers = list(pool.map(lambda f: _header(spark, f), files))
-    groups: dict[tuple, list[str]] = {}
-    for header, file in zip(headers, files):
-        groups.setdefault(header, []).append(file)
-    return groups
+def _label(path: Column, folder: str) -> Column:
+    """A file's name within the batch: its path below the common folder."""
+    return F.substring(path, F.lit(len(folder) + 1), F.length(path))
 
 
-def _csv_layout(
-    spark: SparkSession, header: Sequence[str], files: list[str], multiline: bool
-) -> DataFrame:
-    names = clean_names(header)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW_COLUMN]])
-    reader = spark.read.schema(schema).options(header=True, escape='"', multiLine=multiline)
-    return reader.csv(files).withColumns(
-        {
-            SOURCE_COLUMN: F.col("_metadata.file_name"),
-            _BLOCK: F.col("_metadata.file_block_start"),
-        }
+def _headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row per CSV file: its path and first line. One job for all files."""
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
     )
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    return durable(first.select(_plain_path(F.col("path")).alias(_FILE), "header"))
+
+
+def _cells(header: str) -> tuple[str, ...]:
+    return tuple(next(csv.reader([header.lstrip("\ufeff")])))
+
+
+def _layouts(headers: DataFrame) -> dict[str, list[str]]:
+    """Clean column names by header line; as many as there are different ones."""
+    return {
+        r.header: clean_names(_cells(r.header)) for r in headers.select("header").distinct().collect()
+    }
 
 
 def _absent(names: Iterable[str]) -> list[str]:
     return sorted({*REQUIRED_COLUMNS, *EXPENSE_COLUMNS} - set(names))
 
 
-def _with_absent(df: DataFrame) -> DataFrame:
-    absent = [F.lit(c) for c in _absent(df.columns)]
-    return df.withColumn(ABSENT_COLUMN, F.array(*absent).cast("array<string>"))
+def _by_layout(layouts: dict[str, list[str]], value) -> Column:
+    """A value by the header line of the row's file."""
+    chosen = None
+    for header, names in layouts.items():
+        case = F.col("header") == header
+        chosen = F.when(case, value(names)) if chosen is None else chosen.when(case, value(names))
+    return chosen
+
+
+def _absent_list(names: Iterable[str]) -> Column:
+    return F.array(*[F.lit(c) for c in _absent(names)]).cast("array<string>")
+
+
+def _csv_rows(
+    spark: SparkSession, paths: list[str], headers: DataFrame, multiline: bool
+) -> DataFrame:
+    """Rows of all files by their own headers, in one scan.
+
+    Cells are read by place. With one header line for all files, places are
+    columns. With several, the row's file is looked up, and each column is
+    taken from where that file has it.
+    """
+    layouts = _layouts(headers)
+    width = max(map(len, layouts.values())) + 1
+    cells = [f"_c{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
+    reader = spark.read.schema(schema).options(header=True, escape='"', multiLine=multiline)
+    rows = reader.csv(paths).select(
+        *cells,
+        _plain_path(F.col("_metadata.file_path")).alias(_FILE),
+        F.col("_metadata.file_block_start").alias(_BLOCK),
+    )
+    names = list(dict.fromkeys(n for own in layouts.values() for n in own))
+    if len(layouts) == 1:
+        columns = [F.col(c).alias(n) for c, n in zip(cells, names)]
+        overflow, absent = F.col(cells[-1]), _absent_list(names)
+    else:
+        rows = rows.join(headers, _FILE)
+
+        def cell(name: str) -> Column:
+            # A file without the column has no case, hence NULL.
+            has = {h: own for h, own in layouts.items() if name in own}
+            return _by_layout(has, lambda own: F.col(cells[own.index(name)])).alias(name)
+
+        columns = [cell(n) for n in names]
+        overflow = _by_layout(layouts, lambda own: F.col(cells[len(own)]))
+        absent = _by_layout(layouts, _absent_list)
+    return rows.select(
+        *columns, overflow.alias(OVERFLOW_COLUMN), absent.alias(ABSENT_COLUMN), _FILE, _BLOCK
+    )
 
 
 def source_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per CSV file: ``source`` and the columns it does not have.
+    """One row per file: ``source`` and the known columns it does not have.
 
     Also names the files without a data row, which no scan of the rows shows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    rows = [
-        (PurePosixPath(file).name, _absent(clean_names(header)))
-        for header, files in _layouts(spark, _files(spark, paths), False).items()
-        for file in files
-    ]
-    schema = f"{SOURCE_COLUMN} string, {ABSENT_COLUMN} array<string>"
-    return spark.createDataFrame(rows, schema)
+    folder = _folder(spark, paths)
+    kind = table_format(paths[0])
+    if kind == "csv":
+        headers = _headers(spark, paths)
+        absent = _by_layout(_layouts(headers), _absent_list)
+        path = F.col(_FILE)
+    else:
+        headers = spark.read.format("binaryFile").load(paths)
+        absent = _absent_list(clean_names(spark.read.format(kind).load(paths).columns))
+        path = _listed_path()
+    return headers.select(_label(path, folder).alias(SOURCE_COLUMN), absent.alias(ABSENT_COLUMN))
 
 
 def _with_row_index(df: DataFrame) -> DataFrame:
@@ -158,7 +225,7 @@ def _with_row_index(df: DataFrame) -> DataFrame:
     """
     rows = df.withColumn(_ORDER, F.monotonically_increasing_id())
     blocks = rows.groupBy(
-        F.col(SOURCE_COLUMN).alias("_of"), F.col(_BLOCK).alias("_at")
+        F.col(_FILE).alias("_of"), F.col(_BLOCK).alias("_at")
     ).agg(F.count("*").alias("_rows"), F.min(_ORDER).alias("_first"))
     earlier = (
         Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
@@ -166,7 +233,7 @@ def _with_row_index(df: DataFrame) -> DataFrame:
     base = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
     blocks = blocks.select("_of", "_at", (base - F.col("_first")).alias("_shift"))
     joined = rows.join(
-        blocks, (F.col(SOURCE_COLUMN) == F.col("_of")) & (F.col(_BLOCK) == F.col("_at"))
+        blocks, (F.col(_FILE) == F.col("_of")) & (F.col(_BLOCK) == F.col("_at"))
     )
     return joined.withColumn(ROW_INDEX_COLUMN, F.col(_ORDER) + F.col("_shift")).drop(
         "_of", "_at", "_shift", _ORDER
@@ -176,42 +243,37 @@ def _with_row_index(df: DataFrame) -> DataFrame:
 def read_raw(
     spark: SparkSession,
     paths: str | Sequence[str],
-    one_layout: bool = False,
     multiline: bool = False,
     row_index: bool = False,
 ) -> DataFrame:
     """All files as one table with clean headers: text cells for CSV, plus
-    ``source`` (the file name) and the columns each file does not have.
+    ``source`` (the path below the folder the files share, so the file name
+    where they lie in one folder) and the columns each file does not have.
 
-    CSV files are grouped by header line, which costs one look at each file;
-    ``one_layout`` trusts the first. ``multiline`` allows line breaks in quoted
-    cells, at the price of one task per file. ``row_index`` numbers the rows.
+    Every CSV file is read by its own header line. ``multiline`` allows line
+    breaks in quoted cells, at the price of one task per file. ``row_index``
+    numbers the rows. Lists the files and reads their headers, in one job each.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     kinds = {table_format(p) for p in paths}
     if len(kinds) > 1:
         raise ValueError(f"One format at a time, not {sorted(kinds)}")
     kind = kinds.pop()
+    folder = _folder(spark, paths)
     if kind == "csv":
-        layouts = _layouts(spark, _files(spark, paths), one_layout)
-        parts = [
-            _with_absent(_csv_layout(spark, header, group, multiline))
-            for header, group in layouts.items()
-        ]
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part, allowMissingColumns=True)
+        whole = _csv_rows(spark, paths, _headers(spark, paths), multiline)
         whole = _with_row_index(whole) if row_index else whole
-        return whole.drop(_BLOCK)
+        named = whole.withColumn(SOURCE_COLUMN, _label(F.col(_FILE), folder))
+        return named.drop(_BLOCK, _FILE)
     df = spark.read.format(kind).load(paths)
     if not df.columns:
         raise ValueError(f"{paths} has no columns")
     names = clean_names(df.columns)
-    extra = {SOURCE_COLUMN: F.col("_metadata.file_name")}
+    extra = {SOURCE_COLUMN: _label(_plain_path(F.col("_metadata.file_path")), folder)}
     if row_index and kind == "parquet":
         extra[ROW_INDEX_COLUMN] = F.col("_metadata.row_index")
-    kept = df.withColumns(extra)
-    return _with_absent(kept.toDF(*names, *extra))
+    kept = df.withColumns(extra).toDF(*names, *extra)
+    return kept.withColumn(ABSENT_COLUMN, _absent_list(kept.columns))
 
 
 def rejected_rows(raw: DataFrame) -> DataFrame:
@@ -272,8 +334,20 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and a content hash that does not depend on row order."""
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+    """Row count and a content hash that does not depend on row order.
+
+    Each cell goes in with its length, a missing one as a mark of its own, so
+    that no value can move to a neighbouring cell unnoticed. Fifteen digits of
+    each row's MD5 are added up.
+    """
+
+    def cell(name: str) -> Column:
+        text = F.col(f"`{name}`").cast("string")
+        tagged = F.concat(F.length(text).cast("string"), F.lit(":"), text)
+        return F.coalesce(tagged, F.lit("-"))
+
+    digits = F.substring(F.md5(F.concat(*[cell(c) for c in df.columns])), 1, 15)
+    row_hash = F.conv(digits, 16, 10).cast("decimal(20,0)")
     return df.agg(
         F.count("*").alias("row_count"),
         F.coalesce(F.sum(row_hash), F.lit(0)).cast("string").alias("fingerprint"),

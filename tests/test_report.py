@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from rows import as_csv, clean
+from rows import COLUMNS, as_csv, clean
 from tallyward.operators import quality
 from tallyward.plans.report import build_report, run_report
 from tallyward.sources import tables
@@ -63,7 +63,9 @@ def test_whole_report(spark, folder, tmp_path):
     assert issues.count() == 5
     assert [r.source for r in read("metrics").collect()] == ["clean.csv"]
     assert read("monthly_revenue").count() == 12 and read("actual_vs_budget").count() == 12
-    assert read("facts").count() == 6
+    assert read("facts").where("line = 'calculated_metrics'").count() == 6
+    assert read("facts").where("line = 'validation_issue'").count() == 5
+    assert read("largest_variances").count() == 10
     text = spark.read.text(str(tmp_path / "out" / "summary")).first()[0]
     assert text.startswith("Total revenue was $19,")
     assert report.verdicts.where("clean").count() == 1
@@ -82,6 +84,83 @@ def test_files_without_rows_are_judged_too(spark, tmp_path):
         "no region.csv": (1, False),
         "rows.csv": (0, True),
     }
+    metrics = {m.source: m for m in report.metrics.collect()}
+    assert set(metrics) == {"head only.csv", "rows.csv"}
+    assert metrics["head only.csv"].actual_revenue == 0
+    assert metrics["head only.csv"].variance_percent is None and metrics["head only.csv"].months == []
+    texts = {n.source: n.narrative for n in report.narratives.collect()}
+    assert texts["head only.csv"].endswith("A change on the month before cannot be stated.")
+
+
+def test_tables_without_rows_are_judged_too(spark, tmp_path):
+    empty = spark.createDataFrame([], COLUMNS)
+    counts = {r.issue_type: r.issue_count for r in quality.issue_counts(empty, "x").collect()}
+    assert len(counts) == 5 and set(counts.values()) == {0}
+    (verdict,) = quality.validated(empty.drop("region"), "x").collect()
+    assert (verdict.source, verdict.issue_count, verdict.clean) == ("x", 1, False)
+    assert quality.clean_source_kpis(empty, "x").first().actual_revenue == 0
+    empty.coalesce(1).write.parquet(str(tmp_path / "none.parquet"))
+    report = run_report(spark, str(tmp_path / "none.parquet"), str(tmp_path / "out"))
+    assert [v.clean for v in report.verdicts.collect()] == [True]
+    assert report.metrics.first().operating_income == 0 and report.narratives.count() == 1
+
+
+def test_same_name_in_two_folders(spark, tmp_path):
+    for year in (2024, 2025):
+        (tmp_path / str(year)).mkdir()
+        (tmp_path / str(year) / "jan +1.csv").write_text(as_csv(clean(2, 1 + year % 2)))
+    report = run_report(spark, str(tmp_path / "*" / "*.csv"), str(tmp_path / "out"), row_index=True)
+    verdicts = {v.source: v.clean for v in report.verdicts.collect()}
+    assert verdicts == {"2024/jan +1.csv": True, "2025/jan +1.csv": True}
+    found = {}
+    for r in report.data.collect():
+        found.setdefault(r.source, []).append(r.row_index)
+    assert {s: sorted(i) for s, i in found.items()} == {
+        "2024/jan +1.csv": [0, 1],
+        "2025/jan +1.csv": [0, 1, 2, 3],
+    }
+    assert report.metrics.count() == 2
+
+
+def test_columns_go_by_their_own_header(spark, tmp_path):
+    names = as_csv([]).strip().split(",")
+    swapped = [*names[:4], names[5], names[4], *names[6:]]
+    rows = clean(2, 1)
+    (tmp_path / "a.csv").write_text(as_csv(rows))
+    (tmp_path / "b.csv").write_text(as_csv([(*r[:4], r[5], r[4], *r[6:]) for r in rows], swapped))
+    got = {}
+    for r in tables.load(str(tmp_path / "*.csv"), spark).collect():
+        got.setdefault(r.source, []).append((r.location_id, r.revenue, r.budget_revenue))
+    assert sorted(got["a.csv"]) == sorted(got["b.csv"]) == sorted((r[0], r[4], r[5]) for r in rows)
+
+
+def test_jobs_do_not_grow_with_the_files(spark, tmp_path):
+    def jobs(count):
+        folder = tmp_path / str(count)
+        folder.mkdir()
+        for i in range(count):
+            (folder / f"f{i}.csv").write_text(as_csv(clean(1, 1)))
+        tracker = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(f"read-{count}", "")
+        tables.read_raw(spark, str(folder / "*.csv"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(f"read-{count}"))
+
+    assert jobs(2) == jobs(12)
+
+
+def test_report_options_reach_the_rules(spark, tmp_path):
+    rows = [(*r, r[6] + r[7] + 0.5) for r in clean(2, 2)]
+    names = [*as_csv([]).strip().split(","), "total_expense"]
+    text = as_csv(rows, names).replace("2025-02-01", "soon")
+    (tmp_path / "a.csv").write_text(text)
+    strict = run_report(spark, str(tmp_path / "a.csv"), str(tmp_path / "one"), keep_raw_month=True)
+    kinds = [i.issue_type for i in strict.issues.collect()]
+    assert kinds.count("impossible_value") == 2 and kinds.count("reconciliation_error") == 4
+    loose = run_report(
+        spark, str(tmp_path / "a.csv"), str(tmp_path / "two"), tolerance="1", strict_double=True
+    )
+    assert {i.issue_type for i in loose.issues.collect()} == {"missing_value"}
 
 
 def test_gate_can_be_left_out(spark, folder):
