@@ -464,12 +464,29 @@ ORACLES: dict[str, str] = {
         FROM sources s CROSS JOIN types t
         LEFT JOIN found f ON f.source = s.source AND f.issue_type = t.issue_type
         GROUP BY 1, 2""",
+    "dataset_fingerprint": """
+        SELECT count(*) AS row_count, CAST(coalesce(sum(
+          CAST('0x' || substr(md5(concat(
+            coalesce(length(CAST(doc_id AS varchar)) || ':' || doc_id, '-'),
+            coalesce(length(text) || ':' || text, '-'),
+            coalesce(length(lang) || ':' || lang, '-'),
+            coalesce(length(source) || ':' || source, '-'),
+            coalesce(length(CAST(n_chars AS varchar)) || ':' || n_chars, '-'))), 1, 15) AS bigint)),
+          0) AS varchar) AS fingerprint
+        FROM documents""",
     "dq_required_columns": """
-        SELECT column_name, 'error' AS severity FROM (SELECT unnest([
-          'location_id', 'location_name', 'region', 'month', 'revenue', 'budget_revenue',
-          'labor_expense', 'other_expense', 'volume']) AS column_name)
-        WHERE column_name NOT IN (
-          SELECT name FROM (SELECT unnest(['s_suppkey', 's_name', 's_nationkey', 's_acctbal']) AS name))""",
+        SELECT r_name AS source, column_name, 'error' AS severity
+        FROM region CROSS JOIN (
+          SELECT unnest(['location_id', 'location_name', 'region', 'month', 'revenue',
+                         'budget_revenue', 'labor_expense', 'other_expense', 'volume']) AS column_name,
+                 unnest(range(9)) AS place)
+        WHERE (place + r_regionkey) % 4 = 0""",
+    "empty_source_counts": f"""
+        WITH {DIRTY}, {TYPES}, {_found('region')}
+        SELECT r_name AS source, t.issue_type, count(f.issue_type) AS issue_count
+        FROM region CROSS JOIN types t
+        LEFT JOIN found f ON f.source = r_name AND f.issue_type = t.issue_type AND r_regionkey % 2 = 0
+        GROUP BY 1, 2""",
     "dq_duplicate_keys": f"""
         WITH {DIRTY} SELECT location_id, month, count(*) AS group_size
         FROM dirty GROUP BY 1, 2 HAVING count(*) > 1""",
@@ -569,6 +586,14 @@ ORACLES: dict[str, str] = {
                  abs(rev - bud) AS absolute_variance
           FROM t ORDER BY absolute_variance DESC, location_name LIMIT 10)
         SELECT * FROM top ORDER BY variance_amount, location_name""",
+    "chart_largest_variances_by_source": f"""
+        WITH {OPS}, t AS (
+          SELECT {_source('region')} AS source, location_name, {TOTALS} FROM ops GROUP BY 1, 2),
+        gaps AS (
+          SELECT source, location_name, rev AS revenue, bud AS budget_revenue,
+                 rev - bud AS variance_amount, abs(rev - bud) AS absolute_variance FROM t)
+        SELECT * FROM gaps QUALIFY
+          row_number() OVER (PARTITION BY source ORDER BY absolute_variance DESC, location_name) <= 3""",
     "chart_largest_variances_by_region": f"""
         WITH {OPS}, t AS (SELECT region, {TOTALS} FROM ops GROUP BY 1)
         SELECT region, rev - bud AS variance_amount, abs(rev - bud) AS absolute_variance
@@ -625,4 +650,21 @@ ORACLES: dict[str, str] = {
                 FROM pairs_of) AS overall_percent
         FROM pairs_of""",
     "chunk_strategy_scorecard": STRATEGIES,
+    "corpus_citation": f"""
+        WITH {MARKDOWN}, {PAGED},
+        pieces AS (
+          SELECT 'markdown-' || conv_id || '-' || section_no AS vec_id,
+                 CAST(conv_id AS varchar) AS document, 'markdown' AS source_type, section,
+                 CAST(NULL AS bigint) AS page, text FROM markdown
+          UNION ALL
+          SELECT 'paged-' || conv_id || '-' || section_no, CAST(conv_id AS varchar), 'paged',
+                 section, page, text FROM paged),
+        corpus AS (SELECT *, {_letter_shares('text')} AS e FROM pieces),
+        questions AS (
+          SELECT conv_id || '-' || turn || '-' || role AS query_id, {_letter_shares('text')} AS e
+          FROM conversations)
+        SELECT query_id, vec_id, document, source_type, section, page
+        FROM questions q CROSS JOIN corpus c
+        QUALIFY row_number() OVER (
+          PARTITION BY query_id ORDER BY {_gap('q.e', 'c.e', len(LETTERS))}, vec_id) = 1""",
 }

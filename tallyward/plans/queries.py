@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.operators import charts, chunks, kpi, narrative, nearest, quality, scorecards
+from tallyward.schema import ABSENT_COLUMN, REQUIRED_COLUMNS
 from tallyward.session import durable
 from tallyward.sources import facts, tables
 
@@ -97,8 +98,26 @@ def multi_source_issue_counts(spark, folder):
 
 @registered
 def dq_required_columns(spark, folder):
-    supplier = facts.table(spark, folder, "supplier")
-    return quality.required_columns(supplier, "supplier").select("column_name", "severity")
+    """A batch with a source per region, each without some of the columns: those
+    whose place in the list, counted on from the region's key, is a multiple of four."""
+    region = facts.table(spark, folder, "region")
+    places = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(i).alias("i")) for i, c in enumerate(REQUIRED_COLUMNS)])
+    lacking = F.filter(places, lambda p: (p["i"] + F.col("r_regionkey")) % 4 == 0)
+    batch = region.select(
+        F.col("r_name").alias("source"), F.transform(lacking, lambda p: p["c"]).alias(ABSENT_COLUMN)
+    )
+    return quality.required_columns(batch).select("source", "column_name", "severity")
+
+
+@registered
+def empty_source_counts(spark, folder):
+    """Sources are the regions; those with an odd key have no row, and are judged too."""
+    region = facts.table(spark, folder, "region")
+    ops = facts.operations_with_faults(spark, folder).withColumnRenamed("region", "source")
+    kept = ops.join(region.where("r_regionkey % 2 = 0"), ops["source"] == F.col("r_name"), "left_semi")
+    nothing = F.array().cast("array<string>").alias(ABSENT_COLUMN)
+    files = region.select(F.col("r_name").alias("source"), nothing)
+    return quality.issue_counts(kept.withColumn("region", F.col("source")), files=files)
 
 
 @registered
@@ -277,6 +296,13 @@ def chart_largest_variances(spark, folder):
     return charts.chart_data(facts.operations(spark, folder), "largest_variances")
 
 
+@registered
+def chart_largest_variances_by_source(spark, folder):
+    """As a batch report has them: the three widest of each source."""
+    ops = facts.operations(spark, folder).withColumn("source", F.coalesce("region", F.lit("unknown")))
+    return charts.widest_variances(ops, count=3, by=["source"])
+
+
 @registered
 def chart_largest_variances_by_region(spark, folder):
     widest = charts.widest_variances(facts.operations(spark, folder), "region")
@@ -395,6 +421,28 @@ def routing_scorecard(spark, folder):
     return scorecards.routing_scorecard(expected.join(actual, "query_id"))
 
 
+@registered
+def corpus_citation(spark, folder):
+    """Every turn is a question; the nearest piece of the corpus is cited by document,
+    section and page."""
+    pieces = durable(
+        facts.with_letter_shares(
+            chunks.corpus(section_chunks(spark, folder), paged_section_chunks(spark, folder), "conv_id"), "text"
+        ).select("chunk_id", "embedding", "document", "source_type", "section", "page")
+    )
+    turns = facts.table(spark, folder, "conversations")
+    questions = durable(
+        facts.with_letter_shares(turns, "text").select(
+            F.concat_ws("-", "conv_id", "turn", "role").alias("question"), "embedding"
+        )
+    )
+    hits = nearest.nearest(questions, pieces, k=1, query_id="question", vec_id="chunk_id")
+    places = pieces.drop("embedding").withColumnRenamed("chunk_id", "vec_id")
+    return nearest.citations(
+        hits.join(places, "vec_id"), ["vec_id", "document", "source_type", "section", "page"]
+    )
+
+
 @registered
 def chunk_strategy_scorecard(spark, folder):
     """Every turn is a question; the right chunk carries the turn's heading."""

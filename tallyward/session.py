@@ -1,5 +1,8 @@
 """Session settings for local runs, and durable intermediate results."""
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -29,7 +32,9 @@ def local_session(
 
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tallyward-")
+    folder = tempfile.mkdtemp(prefix="tallyward-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -38,18 +43,35 @@ def checkpoint_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    # Only in "local" and "local[...]" are driver and executors one process.
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
     return _local_folder()
 
 
+_written: list[str] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows as a Parquet table in the cluster's checkpoint folder.
 
     What reads it does not repeat the work before it, not even when executors
-    are lost, and still reads only the columns it needs.
+    are lost, and still reads only the columns it needs. The table stays until
+    :func:`drop_durable`.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_durable(spark: SparkSession) -> int:
+    """Deletes every table that :func:`durable` has written in this process, and
+    says how many. Results that read them cannot be computed any more."""
+    count = len(_written)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count

@@ -6,7 +6,7 @@ from rows import COLUMNS, as_csv, clean
 from tallyward.operators import quality
 from tallyward.plans.report import build_report, run_report
 from tallyward.sources import tables
-from tallyward.session import durable
+from tallyward.session import checkpoint_folder, drop_durable, durable
 
 
 @pytest.fixture(scope="module")
@@ -174,3 +174,35 @@ def test_durable_rows_land_in_the_session_folder(spark):
     kept = durable(spark.range(10))
     assert kept.count() == 10
     assert spark.conf.get("spark.checkpoint.dir") in kept.inputFiles()[0]
+
+
+def test_durable_rows_are_dropped(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    path = Path(urlparse(durable(spark.range(3)).inputFiles()[0]).path)
+    assert path.exists()
+    assert drop_durable(spark) > 0
+    assert not path.parent.exists()
+
+
+@pytest.mark.parametrize("master,refused", [("local[4]", False), ("local", False), ("local-cluster[2,1,1024]", True), ("yarn", True)])
+def test_only_a_single_process_may_use_its_own_folder(master, refused):
+    class Context:
+        def __init__(self):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    if refused:
+        with pytest.raises(ValueError):
+            checkpoint_folder(Session)
+    else:
+        assert checkpoint_folder(Session)
