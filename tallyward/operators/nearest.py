@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +25,7 @@ from tallyward.session import durable
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 512
-MAX_PIVOTS = 256
 MAX_PROBES = 2048
-MAX_LANES = 1024
 LANE_BLOCKS = 64
 # Bounds what one copy of the pivots may hold on the driver and in a task.
 MAX_PROBE_VALUES = 4_000_000
@@ -48,7 +46,7 @@ def nearest_to(
 ) -> DataFrame:
     """The k rows nearest to one vector, nearest first, ties by id."""
     question = F.array(*[F.lit(float(v)) for v in vector])
-    scored = corpus.where(F.col(embedding).isNotNull()).withColumn(
+    scored = corpus.where(_usable(F.col(embedding))).withColumn(
         "distance", squared_distance(question, F.col(embedding))
     )
     best = scored.orderBy("distance", vec_id).limit(k)
@@ -82,12 +80,20 @@ def _distances(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float]:
 
 def _probes(corpus: DataFrame) -> tuple[np.ndarray, int]:
     """A bounded number of corpus vectors, the same ones on every run, and the
-    corpus size; both from one pass."""
-    size = Observation()
-    seen = corpus.observe(size, F.count("*").alias("rows"))
+    corpus size; both from one pass. Their number is bounded in values, too, before
+    any is fetched; vectors of different widths are refused."""
+    known = corpus.agg(
+        F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))
+    ).first()
+    rows, narrow, width = known
+    if not rows:
+        return np.zeros((0, 0)), 0
+    if narrow != width:
+        raise ValueError(f"Vectors of different widths: {narrow} and {width}")
+    most = max(1, min(MAX_PROBES, MAX_PROBE_VALUES // max(1, width)))
     order = F.xxhash64("_vec_id", "embedding")
-    rows = seen.orderBy(order, "_vec_id").limit(MAX_PROBES).select("embedding").collect()
-    return _matrix(r[0] for r in rows), size.get["rows"]
+    found = corpus.orderBy(order, "_vec_id").limit(most).select("embedding").collect()
+    return _matrix(r[0] for r in found), rows
 
 
 def _pack(pivots: np.ndarray, describe, stored: str, carried: Sequence[str]):
@@ -224,8 +230,14 @@ def _compare(width: int, stored: str, k: int, carried: Sequence[str], skip_same_
     return compare
 
 
+def _usable(vector: Column) -> Column:
+    """Whether a vector is there, with every element a finite number."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite, F.lit(False))
+
+
 def _ready(df: DataFrame, vec_id: str, embedding: str, carried: Sequence[str]) -> DataFrame:
-    return df.where(F.col(embedding).isNotNull()).select(
+    return df.where(_usable(F.col(embedding))).select(
         F.col(vec_id).alias("_vec_id"), F.col(embedding).alias("embedding"), *carried
     )
 
@@ -259,21 +271,28 @@ def nearest(
     and the corpus columns named in ``carry``.
 
     ``skip_same_id`` leaves a query out of its own answer. Ids are unique in
-    each table. Calling this runs jobs: it picks a few thousand probe vectors
-    at most and writes the packed corpus to the checkpoint folder.
+    each table. Vectors that are NULL or have an element that is NULL or not
+    finite are no neighbour of any query; as queries they get one row with a
+    NULL rank. Vectors of different widths are an error. Calling this runs
+    jobs: it picks a few thousand probe vectors at most and writes the packed
+    corpus to the checkpoint folder.
     """
     spark = corpus.sparkSession
     schema = corpus.schema
     answer = _answer_schema(queries, query_id, schema, vec_id, carry)
     asked = _ready(queries, query_id, embedding, ())
     held = _ready(corpus, vec_id, embedding, carry)
+    names = answer.fieldNames()
+    blanks = [F.lit(None).cast(answer[n].dataType).alias(n) for n in names[1:]]
+    unanswered = queries.where(~_usable(F.col(embedding))).select(
+        F.col(query_id).alias("query_id"), *blanks
+    )
     probes, rows = _probes(held)
     if not len(probes):
-        return spark.createDataFrame([], answer)
+        return unanswered
     width = probes.shape[1]
-    probes = probes[: max(1, MAX_PROBE_VALUES // width)]
     pivots = np.unique(probes, axis=0)
-    pivots = pivots[: max(1, min(MAX_PIVOTS, int(math.sqrt(rows) / 8)))]
+    pivots = pivots[: max(1, int(math.sqrt(rows) / 8))]
     wanted = k + int(skip_same_id)
     element = schema[embedding].dataType.elementType
     stored = "<f4" if isinstance(element, T.FloatType) else "<f8"
@@ -289,7 +308,7 @@ def nearest(
     blocks = durable(blocks)
     ranges = blocks.groupBy("cell").agg(F.min("low"), F.max("high"), F.count("*")).collect()
     cells = {
-        cell: (low, high, min(MAX_LANES, math.ceil(count / LANE_BLOCKS)))
+        cell: (low, high, math.ceil(count / LANE_BLOCKS))
         for cell, low, high, count in ranges
     }
     # A cell with many blocks is dealt over several lanes, each joined on its
@@ -316,7 +335,7 @@ def nearest(
     )
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(*answer.fieldNames())
+    return ranked.select(*names).unionByName(unanswered)
 
 
 def _answer_schema(queries, query_id, schema, vec_id, carry) -> T.StructType:

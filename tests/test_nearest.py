@@ -154,3 +154,25 @@ def test_routing_scores(spark):
         ("define", "define"): 4,
     }
     assert {r.overall_percent for r in got} == {87.5}
+
+
+def test_unusable_vectors_spoil_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    good = [(i, [float(i), 1.0]) for i in range(61)]
+    bad = [(100, [nan, 1.0]), (101, [None, 1.0]), (102, None), (103, [inf, 0.0])]
+    df = spark.createDataFrame(good + bad, "vec_id int, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(df, df, k=2, skip_same_id=True).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert all(got[i] == [(None, None)] for i, _ in bad)
+    assert sorted(got[0]) == [(1, 1), (2, 2)] and sorted(got[30]) == [(1, 29), (2, 31)]
+    assert len(got) == 65
+    assert nearest.nearest_to(df, [3.0, 1.0], k=1).first().vec_id == 3
+    only_bad = df.where("vec_id >= 100")
+    assert {r["rank"] for r in nearest.nearest(df, only_bad).collect()} == {None}
+
+
+def test_widths_must_agree(spark):
+    df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id int, embedding array<double>")
+    with pytest.raises(ValueError, match="widths"):
+        nearest.nearest(df, df)
