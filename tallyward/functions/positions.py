@@ -23,30 +23,29 @@ def running_before(
 
     ``position`` is an integral column. Totals per span are aggregated first
     and accumulated over spans (one narrow row each); only then are rows
-    ordered, inside their own span.
+    ordered, inside their own span. Ordering and the lookup of the totals share
+    one exchange of the rows, since both go by the same two keys.
     """
-    rows = df.withColumn("_span", F.floor(F.col(position) / span))
-    spans = rows.groupBy(
-        F.col(group).alias("_group"), F.col("_span").alias("_of_span")
-    ).agg(F.sum(value).alias("_in_span"))
-    all_spans = Window.partitionBy("_group")
-    earlier = all_spans.orderBy("_of_span").rowsBetween(Window.unboundedPreceding, -1)
+    # Keys without NULL: a plain equality, so that one partitioning serves both.
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-"))
+    place = F.coalesce(F.floor(F.col(position) / span), F.lit(-(1 << 62)))
+    rows = df.withColumn("_key", key).withColumn("_span", place)
+    spans = rows.groupBy("_key", "_span").agg(F.sum(value).alias("_in_span"))
+    all_spans = Window.partitionBy("_key")
+    earlier = all_spans.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select(
-        "_group",
-        "_of_span",
+        "_key",
+        "_span",
         F.coalesce(F.sum("_in_span").over(earlier), F.lit(0)).alias("_base"),
         F.sum("_in_span").over(all_spans).alias("group_total"),
     )
     inside = (
-        Window.partitionBy(group, "_span")
+        Window.partitionBy("_key", "_span")
         .orderBy(position, *ties)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = rows.join(
-        spans,
-        rows[group].eqNullSafe(spans["_group"])
-        & rows["_span"].eqNullSafe(spans["_of_span"]),
+    counted = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = counted.join(spans, ["_key", "_span"])
+    return joined.withColumn("before", F.col("_base") + F.col("_inside")).drop(
+        "_key", "_span", "_base", "_inside"
     )
-    return joined.withColumn(
-        "before", F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))
-    ).drop("_span", "_group", "_of_span", "_base")

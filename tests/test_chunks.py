@@ -182,3 +182,30 @@ def test_corpus(spark):
         "paged-1-0": ("paged", "1. C", 1),
         "paged-1-1": ("paged", "1. C", 1),
     }
+
+
+def _text_exchanges(df, names):
+    """Exchanges of the plan before it runs that carry one of the columns."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    found = 0
+    for at, line in enumerate(lines):
+        if "Exchange" in line and "Reused" not in line:
+            below = lines[at + 1] if at + 1 < len(lines) else ""
+            found += any(f"{n}#" in below for n in names)
+    return found
+
+
+@pytest.mark.parametrize("split", ["markdown", "numbered", "fixed"])
+def test_page_text_is_numbered_in_one_exchange(spark, split):
+    pages = spark.range(50).selectExpr("id % 3 as doc", "id as page", "'1. a' as text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        if split == "fixed":
+            df = chunks.fixed_page_chunks(pages, "doc", "page")
+            assert _text_exchanges(df, ["text"]) <= 1
+        else:
+            cut = chunks.markdown_page_sections if split == "markdown" else chunks.numbered_page_sections
+            # By span, and the pieces by section.
+            assert _text_exchanges(cut(pages, "doc", "page"), ["text", "_cut", "_lines", "_piece"]) <= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
