@@ -7,6 +7,10 @@ where few labels share two values, all of them are compared; where many do, only
 those next to each other, which are those that share most. Candidates are confirmed
 on the full sets, and confirmed links are joined to components.
 
+A label in a crowded region may have its link farther away than the window. Crowded
+labels are therefore sorted again, with what they are already linked to: neighbours of
+the same component need no link, so a wider window reaches past them to all others.
+
 Texts with equal sets are one node from the start, so a text with any number of
 copies costs as much as one.
 """
@@ -29,6 +33,8 @@ TREES = 16
 DEPTH = 6
 LEAST_DEPTH = 2
 WINDOW = 8
+# Window and least depth of the further passes over crowded regions.
+PASSES = ((64, 3), (512, 4))
 ROWS_A_TASK = 50_000
 LABEL = 4 * DEPTH
 
@@ -75,41 +81,43 @@ def _full_sets(width: int):
 
         for batch in texts.blocks(batches):
             hashes, counts = texts.word_hashes(*texts.utf8(batch.column("text")))
-            ids, found = [], []
             wanted = batch.column("set_id").to_pylist()
-            sets = texts.shingle_sets(hashes, counts, width)
-            for set_id, own in zip(wanted, sets, strict=True):
-                packed = own.tobytes()
-                if hashlib.md5(packed).digest() == set_id:
-                    ids.append(set_id)
-                    found.append(packed)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.binary()), pa.array(found, pa.binary())], ["set_id", "shingles"]
+            packed = [own.tobytes() for own in texts.shingle_sets(hashes, counts, width)]
+            right = [hashlib.md5(p).digest() == i for p, i in zip(packed, wanted, strict=True)]
+            rows = pa.RecordBatch.from_arrays(
+                [batch.column("set_id"), batch.column("crowded"), pa.array(packed, pa.binary())],
+                ["set_id", "crowded", "shingles"],
             )
+            yield rows.filter(pa.array(right, pa.bool_()))
 
     return gather
 
 
-def _neighbours(labels: np.ndarray, tree: np.ndarray, sizes: np.ndarray, share: int):
-    """Places of neighbours in one sorted run of labels, with distance and shared depth."""
-    rows = len(labels)
-    for step in range(1, min(WINDOW, rows - 1) + 1):
-        same = labels[:-step] == labels[step:]
-        depth = np.where(tree[:-step] == tree[step:], np.cumprod(same, axis=1).sum(axis=1), 0)
-        small = np.minimum(sizes[:-step], sizes[step:])
-        large = np.maximum(sizes[:-step], sizes[step:])
-        at = np.flatnonzero((depth >= LEAST_DEPTH) & (100 * small >= share * large))
-        yield at, at + step, depth[at], step
-
+def _neighbours(rows: pa.Table, share: int, window: int, least: int):
+    """Places of neighbours in one sorted run of labels, with shared depth and distance.
 
-def _decoded(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    labels = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)
-    ids = np.array(batch.column("set_id").to_pylist(), dtype=object)
-    sizes = batch.column("n_shingles").to_numpy()
-    return labels.astype(np.uint32), batch.column("tree").to_numpy(), sizes, ids
-
-
-def _pairs(ids: np.ndarray, found) -> pa.RecordBatch:
+    Depth 0 marks a pair that only tells that the region goes on beyond the window.
+    Neighbours with the same root are none.
+    """
+    labels = np.frombuffer(b"".join(rows.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)
+    labels, tree = labels.astype(np.uint32), rows.column("tree").to_numpy()
+    sizes, roots = rows.column("n_shingles").to_numpy(), None
+    if "root" in rows.column_names:
+        roots = np.unique(np.array(rows.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+    for step in range(1, min(window, len(labels) - 1) + 1):
+        near = (tree[:-step] == tree[step:]) & (labels[:-step, :least] == labels[step:, :least]).all(axis=1)
+        if roots is not None:
+            near &= roots[:-step] != roots[step:]
+        at = np.flatnonzero(near)
+        small, large = np.minimum(sizes[at], sizes[at + step]), np.maximum(sizes[at], sizes[at + step])
+        fits = 100 * small >= share * large
+        if step < window:
+            at, fits = at[fits], fits[fits]
+        yield at, at + step, np.where(fits, least, 0), step
+
+
+def _pairs(rows: pa.Table, found) -> pa.RecordBatch:
+    ids = np.array(rows.column("set_id").to_pylist(), dtype=object)
     left, right, depths, steps = [], [], [], []
     for one, two, depth, step in found:
         a, b = ids[one], ids[two]
@@ -133,10 +141,13 @@ def _pairs(ids: np.ndarray, found) -> pa.RecordBatch:
 PAIRS = "a binary, b binary, depth int, step int"
 
 
-def _sorted_run(share: int):
+def _sorted_run(share: int, window: int, least: int, columns: str):
     """Task code over one range of the sorted orders: candidate pairs, and the rows
     at either end, which have neighbours in the next range."""
-    edge = PAIRS + ", border int, tree int, label binary, set_id binary, n_shingles long"
+    edge = f"{PAIRS}, border int, {columns}"
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    types = [kinds[c.split()[1]] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId()
@@ -146,75 +157,68 @@ def _sorted_run(share: int):
             # Rows of the batch before, for neighbours across the two.
             table = table if kept is None else pa.concat_tables([kept, table])
             fresh = 0 if kept is None else kept.num_rows
-            if head is None or head.num_rows < WINDOW:
-                head = table.slice(0, WINDOW)
-            labels, tree, sizes, ids = _decoded(table)
+            if head is None or head.num_rows < window:
+                head = table.slice(0, window)
             new = (
                 (a[b >= fresh], b[b >= fresh], d[b >= fresh], s)
-                for a, b, d, s in _neighbours(labels, tree, sizes, share)
+                for a, b, d, s in _neighbours(table, share, window, least)
             )
-            pairs = _pairs(ids, new)
-            yield _widened(pairs, None, 0)
-            kept = table.slice(max(0, table.num_rows - WINDOW))
+            yield widened(_pairs(table, new), None, 0)
+            kept = table.slice(max(0, table.num_rows - window))
         if kept is not None:
-            yield _widened(None, head, place)
-            yield _widened(None, kept, place + 1)
+            yield widened(None, head, place)
+            yield widened(None, kept, place + 1)
 
-    def _widened(pairs, rows, border):
+    def widened(pairs, rows, border):
         size = pairs.num_rows if pairs is not None else rows.num_rows
-        none = lambda kind: pa.nulls(size, kind)
-        left = [pairs.column(i) for i in range(4)] if pairs is not None else [
-            none(pa.binary()), none(pa.binary()), none(pa.int32()), none(pa.int32())
-        ]
-        right = [none(pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.binary()), none(pa.int64())]
+        left = [pa.nulls(size, t) for t in (pa.binary(), pa.binary(), pa.int32(), pa.int32())]
+        right = [pa.nulls(size, t) for t in (pa.int32(), *types)]
+        if pairs is not None:
+            left = pairs.columns
         if rows is not None:
-            own = rows.combine_chunks()
-            right = [
-                pa.array(np.full(size, border, np.int32)),
-                *[own.column(n).combine_chunks() for n in ("tree", "label", "set_id", "n_shingles")],
-            ]
-        names = ["a", "b", "depth", "step", "border", "tree", "label", "set_id", "n_shingles"]
-        return pa.RecordBatch.from_arrays(left + right, names)
+            own = [rows.column(n).combine_chunks() for n in names]
+            right = [pa.array(np.full(size, border, np.int32)), *own]
+        return pa.RecordBatch.from_arrays([*left, *right], ["a", "b", "depth", "step", "border", *names])
 
     return run, edge
 
 
-def _across(share: int):
+def _across(share: int, window: int, least: int):
     """Task code: neighbours on the two sides of a border between ranges."""
 
     def join(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("tree", "ascending"), ("label", "ascending"), ("set_id", "ascending")])
+        order = [("tree", "ascending"), ("label", "ascending"), ("set_id", "ascending")]
         # A short range sends a row to a border once as head and once as tail.
-        labels, tree, sizes, ids = _decoded(table)
-        return pa.Table.from_batches([_pairs(ids, _neighbours(labels, tree, sizes, share))])
+        table = table.sort_by(order)
+        return pa.Table.from_batches([_pairs(table, _neighbours(table, share, window, least))])
 
     return join
 
 
-def candidates(sets: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) of set ids that some tree puts side by side; from set_id,
-    n_shingles and labels, one row per set."""
+def candidates(sets: DataFrame, share: int, window: int = WINDOW, least: int = LEAST_DEPTH) -> DataFrame:
+    """Pairs (a, b) of set ids that some tree puts within ``window`` of each other with
+    ``least`` values shared; from set_id, n_shingles and labels, one row per set, and root
+    if pairs with the same root are not wanted. Depth is 0 where the sizes rule a link
+    out; such pairs, like all with a step of ``window``, say that more may lie beyond."""
+    carried = ", root binary" if "root" in sets.columns else ""
+    columns = "tree int, label binary, set_id binary, n_shingles long" + carried
+    names = [c.split()[0] for c in columns.split(", ")]
     # Below four shingles no two different sets share four fifths.
     usable = sets.where(F.col("n_shingles") * (100 - share) >= share)
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = usable.select("set_id", "n_shingles", "labels", tree.alias("tree")).select(
-        "tree",
-        F.expr(f"substring(labels, tree * {LABEL} + 1, {LABEL})").alias("label"),
-        "set_id",
-        "n_shingles",
+    rows = usable.select("*", tree.alias("tree")).withColumn(
+        "label", F.expr(f"substring(labels, tree * {LABEL} + 1, {LABEL})")
     )
     order = ["tree", "label", "set_id"]
     parts = max(1, -(-TREES * usable.count() // ROWS_A_TASK))
-    run, schema = _sorted_run(share)
-    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    run, schema = _sorted_run(share, window, least, columns)
+    ordered = rows.select(*names).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = durable(ordered.mapInArrow(run, schema))
-    edges = found.where(F.col("border").isNotNull()).select(
-        "border", "tree", "label", "set_id", "n_shingles"
-    )
-    crossing = edges.groupBy("border").applyInArrow(_across(share), PAIRS)
+    edges = found.where(F.col("border").isNotNull()).select("border", *names)
+    crossing = edges.groupBy("border").applyInArrow(_across(share, window, least), PAIRS)
     inside = found.where(F.col("a").isNotNull()).select("a", "b", "depth", "step")
     both = inside.unionByName(crossing).where(F.col("a") != F.col("b"))
-    return both.groupBy("a", "b").agg(F.max("depth").alias("depth"), F.min("step").alias("step"))
+    return both.groupBy("a", "b").agg(F.max("depth").alias("depth"), F.max("step").alias("step"))
 
 
 def _overlap(share: int):
@@ -305,8 +309,25 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
     )
     pairs = durable(candidates(sets, share))
-    links = durable(_confirmed(source, sets, pairs, width, share))
-    found = components(links)
+    full = _gathered(source, sets, pairs, width)
+    found = components(_confirmed(full, pairs, share))
+    # Only labels whose region goes on beyond the window can have missed a link.
+    tried = pairs.select("a", "b")
+    crowded = _crowded(pairs, WINDOW)
+    for window, least in PASSES:
+        again = sets.select("set_id", "n_shingles", "labels").join(crowded, "set_id", "left_semi")
+        roots = found.select(F.col("node").alias("set_id"), "root")
+        again = again.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        again = durable(again)
+        if again.isEmpty():
+            break
+        pairs = durable(candidates(again, share, window, least))
+        fresh = pairs.join(tried, ["a", "b"], "left_anti")
+        links = _confirmed(full.where("crowded"), fresh, share)
+        known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = components(links.unionByName(known))
+        tried = tried.unionByName(pairs.select("a", "b"))
+        crowded = _crowded(pairs, window)
     named = found.join(sets.select(F.col("set_id").alias("node"), "least_id"), "node")
     roots = sets.select(F.col("set_id").alias("root"), F.col("least_id").alias("own_id"))
     least = named.groupBy("root").agg(F.min("least_id").alias("linked_id")).join(roots, "root")
@@ -324,18 +345,28 @@ def near_duplicates(
     return answer.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _confirmed(source: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, share: int) -> DataFrame:
-    """The candidate pairs that hold on full sets. Only sets with a candidate are
-    built again, from one text each."""
-    id_type = source.schema["doc_id"].dataType
-    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id")))
-    wanted = sets.select("set_id", "least_id").join(wanted.distinct(), "set_id", "left_semi")
+def _crowded(pairs: DataFrame, window: int) -> DataFrame:
+    """The sets that have a neighbour at the end of the window."""
+    edge = pairs.where(F.col("step") == window)
+    return edge.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+
+
+def _gathered(source: DataFrame, sets: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """set_id, crowded and shingles of every set with a candidate, built again from one
+    text each."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id"), (F.col("step") == WINDOW).alias("crowded"))
+    wanted = ends.groupBy("set_id").agg(F.max("crowded").alias("crowded"))
+    wanted = durable(sets.select("set_id", "least_id").join(wanted, "set_id"))
     # A null id is looked up like any other.
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    held = source.join(wanted, key("doc_id") == key("least_id")).select("set_id", "text")
-    full = held.mapInArrow(_full_sets(width), "set_id binary, shingles binary")
-    full = durable(full.dropDuplicates(["set_id"]))
+    held = source.join(wanted, key("doc_id") == key("least_id")).select("set_id", "crowded", "text")
+    full = held.mapInArrow(_full_sets(width), "set_id binary, crowded boolean, shingles binary")
+    return durable(full.dropDuplicates(["set_id"]))
+
+
+def _confirmed(full: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
+    """The candidate pairs that hold on full sets."""
     left = full.select(F.col("set_id").alias("a"), F.col("shingles").alias("left"))
     right = full.select(F.col("set_id").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = pairs.where("depth > 0").select("a", "b").join(left, "a").join(right, "b")
     return both.mapInArrow(_overlap(share), "a binary, b binary")
