@@ -20,7 +20,7 @@ from tallyward.llm import texts
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_TOKENS = 1_000_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_000_000
 END_OF_TEXT = 2
 
 
@@ -81,36 +81,45 @@ def balanced(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int
 
 
 class Words:
-    """Token ids of words, remembered by word.
+    """Token ids of words, remembered by word for as long as the worker lives.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its words in turn.
+    those of its words in turn. Nor does it join a letter and a sign, so a word of
+    letters with a comma or full stop at its end is that word and the sign.
     """
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        # Task code is sent anew with each task; what it remembers stays here.
+        kept = sys.__dict__.setdefault("tallyward_words", {})
+        if path not in kept:
+            import os
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            kept[path] = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = kept[path]
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        ended = {w for w in fresh if w[-1:] in (b",", b".") and w[:-1].decode().isalpha()}
+        plain = (fresh - ended).union(w[:-1] for w in ended)
+        plain = list(plain.union((b",", b".")).difference(self.known))
+        for start in range(0, len(plain), 10_000):
+            part = plain[start : start + 10_000]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            for word, entry in zip(part, found, strict=True):
+                self.known[word] = np.array(entry.ids, "<u4").tobytes()
+        for word in ended:
+            self.known[word] = self.known[word[:-1]] + self.known[word[-1:]]
 
     def ids(self, words: list[bytes]) -> bytes:
         """Their ids, four bytes each."""
         fresh = set(words).difference(self.known)
         if fresh:
-            if len(self.known) + len(fresh) > WORDS_KEPT:
+            if len(self.known) + 2 * len(fresh) > WORDS_KEPT:
                 self.known.clear()
                 fresh = set(words)
-            fresh = list(fresh)
-            for start in range(0, len(fresh), 10_000):
-                part = fresh[start : start + 10_000]
-                found = self.tokenizer.encode_batch_fast(
-                    [w.decode() for w in part], add_special_tokens=False
-                )
-                for word, entry in zip(part, found, strict=True):
-                    self.known[word] = np.array(entry.ids, "<u4").tobytes()
+            self._learn(fresh)
         return b"".join(map(self.known.__getitem__, words))
 
 
