@@ -1,11 +1,13 @@
 """Exact nearest neighbours by squared Euclidean distance.
 
 One question against a corpus is a scan and a top-k. Many questions against a
-corpus is a block join: vectors are packed into blocks near a common pivot, a
-query block is sent to the cells its own best-so-far distances cannot rule out
-(triangle inequality), and each pair of blocks is compared by matrix product
-inside a task, which hands on at most k rows per query. Nothing is sampled
-away: every skipped block is proven to hold no nearer vector.
+corpus is a block join in two passes. Vectors are packed into blocks near a common
+pivot. First each query block meets the blocks of its own cell, which gives every
+query a distance that its answer cannot exceed. Then ranges of distances to all
+pivots tell, block by block and before any vector moves, which other blocks may hold
+something nearer (triangle inequality); only those are compared. A pair of blocks is
+compared by matrix product inside a task, which hands on at most k rows per query.
+Nothing is sampled away: every skipped block is proven to hold no nearer vector.
 """
 
 import math
@@ -15,7 +17,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,7 +101,7 @@ def _probes(corpus: DataFrame) -> tuple[np.ndarray, int]:
 def _pack(pivots: np.ndarray, describe, stored: str, carried: Sequence[str]):
     """Task code: rows to blocks of vectors that share their nearest pivot.
 
-    ``describe(vectors, cell)`` adds what a block has to tell about itself.
+    ``describe(block, vectors, cell)`` adds what a block has to tell about itself.
     Buffers hold less than one block per cell.
     """
 
@@ -112,7 +114,7 @@ def _pack(pivots: np.ndarray, describe, stored: str, carried: Sequence[str]):
                 "ids": [list(block["_vec_id"])],
                 "vectors": [vectors.astype(stored).tobytes()],
                 **{c: [list(block[c])] for c in carried},
-                **describe(vectors, cell),
+                **describe(block, vectors, cell),
             }
         )
 
@@ -136,41 +138,60 @@ def _pack(pivots: np.ndarray, describe, stored: str, carried: Sequence[str]):
     return pack
 
 
+def _ranges(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest distance of a block to each pivot."""
+    gaps, slack = _distances(vectors, pivots)
+    return gaps.min(axis=0) - slack, gaps.max(axis=0) + slack
+
+
 def _corpus_block(pivots: np.ndarray):
-    """Where a corpus block lies: its cell and range of distances to the pivot."""
+    """Where a corpus block lies: its cell, and its distances to all pivots."""
 
-    def describe(vectors: np.ndarray, cell: int) -> dict:
-        gaps, slack = _distances(vectors, pivots[cell : cell + 1])
-        return {"cell": [cell], "low": [gaps.min() - slack], "high": [gaps.max() + slack]}
+    def describe(block: pd.DataFrame, vectors: np.ndarray, cell: int) -> dict:
+        low, high = _ranges(vectors, pivots)
+        return {"cell": [cell], "low": [low], "high": [high]}
 
     return describe
 
 
-def _query_block(pivots: np.ndarray, probes: np.ndarray, rank: int, cells: dict[int, tuple]):
-    """The cells a query block has to be compared with.
+def _probe_bounds(vectors: np.ndarray, probes: np.ndarray, rank: int) -> np.ndarray:
+    """What the probes tell about the answers: ``rank`` of them are no farther away."""
+    if len(probes) < rank or not len(vectors):
+        return np.full(len(vectors), np.inf)
+    near, slack = _distances(vectors, probes)
+    return np.partition(near, rank - 1, axis=1)[:, rank - 1] + slack
 
-    ``rank`` probes are no farther from a query than its bound, so neither are
-    the wanted neighbours. A cell none of whose vectors can be within the
-    greatest bound of the block is left out.
-    """
 
-    def describe(vectors: np.ndarray, _: int) -> dict:
-        gaps, slack = _distances(vectors, pivots)
-        bounds = np.full(len(vectors), np.inf)
-        if len(probes) >= rank:
-            near, near_slack = _distances(vectors, probes)
-            bounds = np.partition(near, rank - 1, axis=1)[:, rank - 1] + near_slack
+def _first_block(probes: np.ndarray, rank: int):
+    """A query block for its own cell."""
+
+    def describe(block: pd.DataFrame, vectors: np.ndarray, cell: int) -> dict:
+        bounds = _probe_bounds(vectors, probes, rank)
+        return {"cell": [cell], "bounds": [bounds.astype("<f8").tobytes()]}
+
+    return describe
+
+
+def _second_block(pivots: np.ndarray, probes: np.ndarray, rank: int, cells: dict[int, tuple]):
+    """A query block with the other cells that may hold a nearer vector than it has."""
+
+    def describe(block: pd.DataFrame, vectors: np.ndarray, own: int) -> dict:
+        low, high = _ranges(vectors, pivots)
+        bounds = block["_bound"].to_numpy(np.float64).copy()
+        # Queries whose own cell holds too few vectors.
+        open_now = np.isinf(bounds)
+        bounds[open_now] = _probe_bounds(vectors[open_now], probes, rank)
         reach = float(bounds.max())
-        low, high = gaps.min(axis=0) - slack, gaps.max(axis=0) + slack
         targets = [
-            {"cell": c, "lane": lane, "q_low": float(low[c]), "q_high": float(high[c])}
-            for c, (cell_low, cell_high, lanes) in cells.items()
-            if max(low[c] - cell_high, cell_low - high[c]) <= reach
-            for lane in range(lanes)
+            c
+            for c, (cell_low, cell_high) in cells.items()
+            if c != own and max((low - cell_high).max(), (cell_low - high).max()) <= reach
         ]
         return {
             "bounds": [bounds.astype("<f8").tobytes()],
             "reach": [reach],
+            "q_low": [low],
+            "q_high": [high],
             "targets": [targets],
         }
 
@@ -266,6 +287,7 @@ def nearest(
     embedding: str = "embedding",
     carry: Sequence[str] = (),
     skip_same_id: bool = False,
+    watch: Observation | None = None,
 ) -> DataFrame:
     """The k nearest corpus rows of every query: query_id, rank, vec_id, distance
     and the corpus columns named in ``carry``.
@@ -274,8 +296,9 @@ def nearest(
     each table. Vectors that are NULL or have an element that is NULL or not
     finite are no neighbour of any query; as queries they get one row with a
     NULL rank. Vectors of different widths are an error. Calling this runs
-    jobs: it picks a few thousand probe vectors at most and writes the packed
-    corpus to the checkpoint folder.
+    jobs: it picks a few thousand probe vectors at most, writes the packed
+    corpus to the checkpoint folder and makes the first pass. ``watch`` observes
+    the ``pairs`` of blocks that the second pass compares.
     """
     spark = corpus.sparkSession
     schema = corpus.schema
@@ -292,7 +315,7 @@ def nearest(
         return unanswered
     width = probes.shape[1]
     pivots = np.unique(probes, axis=0)
-    pivots = pivots[: max(1, int(math.sqrt(rows) / 8))]
+    pivots = pivots[: max(1, int(math.sqrt(rows) / 2))]
     wanted = k + int(skip_same_id)
     element = schema[embedding].dataType.elementType
     stored = "<f4" if isinstance(element, T.FloatType) else "<f8"
@@ -300,42 +323,77 @@ def nearest(
     id_type = schema[vec_id].dataType.simpleString()
     query_type = queries.schema[query_id].dataType.simpleString()
     carried = "".join(f", {c} array<{schema[c].dataType.simpleString()}>" for c in carry)
+    ranges = "low array<double>, high array<double>"
     blocks = _few_copies(held, wanted).mapInPandas(
         _pack(pivots, _corpus_block(pivots), stored, carry),
-        f"ids array<{id_type}>, vectors binary{carried}, cell int, low double, high double",
+        f"ids array<{id_type}>, vectors binary{carried}, cell int, {ranges}",
     )
-    # The packed corpus is read twice, for its cells and for the join.
-    blocks = durable(blocks)
-    ranges = blocks.groupBy("cell").agg(F.min("low"), F.max("high"), F.count("*")).collect()
-    cells = {
-        cell: (low, high, math.ceil(count / LANE_BLOCKS))
-        for cell, low, high, count in ranges
-    }
+    # The packed corpus is read for its ranges, and in both passes.
+    blocks = durable(blocks.withColumn("block", F.xxhash64("ids")))
+    cells, lanes = _cells(blocks, len(pivots))
+    spread = F.create_map(*[F.lit(v) for cell, count in lanes.items() for v in (cell, count)])
+    partial = T.StructType([f for f in answer.fields if f.name != "rank"])
+    columns = ("q_ids", "q_vectors", "bounds", "ids", "vectors", *carry)
+    compare = _compare(width, stored, k, carry, skip_same_id)
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
     # A cell with many blocks is dealt over several lanes, each joined on its
     # own, so that no task gets the whole of a crowded cell.
-    lanes = F.create_map(*[F.lit(v) for cell, c in cells.items() for v in (cell, c[2])])
-    blocks = blocks.withColumn("lane", F.pmod(F.xxhash64("ids"), lanes[F.col("cell")]).cast("int"))
-    query_blocks = asked.mapInPandas(
-        _pack(pivots, _query_block(pivots, probes, wanted, cells), stored, ()),
-        f"ids array<{query_type}>, vectors binary, bounds binary, reach double, "
-        "targets array<struct<cell:int,lane:int,q_low:double,q_high:double>>",
-    ).select(
-        F.col("ids").alias("q_ids"),
-        F.col("vectors").alias("q_vectors"),
-        "bounds",
-        "reach",
-        F.inline("targets"),
+    in_lanes = blocks.withColumn("lane", F.pmod(F.col("block"), spread[F.col("cell")]).cast("int"))
+    packed = f"ids array<{query_type}>, vectors binary"
+    named = [F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")]
+    first = asked.mapInPandas(
+        _pack(pivots, _first_block(probes, wanted), stored, ()), f"{packed}, cell int, bounds binary"
+    ).select(*named, "cell", "bounds")
+    lane = F.explode(F.sequence(F.lit(0), F.coalesce(spread[F.col("cell")], F.lit(1)) - 1))
+    met = first.withColumn("lane", lane).join(in_lanes, ["cell", "lane"])
+    near = durable(ranked(met.select(*columns).mapInPandas(compare, partial)).select(*names))
+
+    # With k neighbours found, the answer is no farther than the last of them.
+    last = near.groupBy("query_id").agg(
+        F.count("*").alias("_found"), (F.sqrt(F.max("distance")) * (1 + 1e-9)).alias("_reach")
     )
-    # No vector of the block can be nearer than this to any query of the other.
-    apart = F.greatest(F.col("q_low") - F.col("high"), F.col("low") - F.col("q_high"))
-    pairs = query_blocks.join(blocks, ["cell", "lane"]).where(apart <= F.col("reach"))
-    partial = T.StructType([f for f in answer.fields if f.name != "rank"])
-    found = pairs.select("q_ids", "q_vectors", "bounds", "ids", "vectors", *carry).mapInPandas(
-        _compare(width, stored, k, carry, skip_same_id), partial
+    bound = F.when(F.col("_found") >= k, F.col("_reach")).otherwise(F.lit(float("inf")))
+    bounded = asked.join(last, F.col("_vec_id") == F.col("query_id"), "left").select(
+        "_vec_id", "embedding", F.coalesce(bound, F.lit(float("inf"))).alias("_bound")
     )
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(*names).unionByName(unanswered)
+    second = bounded.mapInPandas(
+        _pack(pivots, _second_block(pivots, probes, wanted, cells), stored, ()),
+        f"{packed}, bounds binary, reach double, q_low array<double>, q_high array<double>, "
+        "targets array<int>",
+    )
+    second = durable(
+        second.select(*named, "bounds", "reach", "q_low", "q_high", "targets", F.xxhash64("ids").alias("q_block"))
+    )
+    # Which blocks meet is settled on their ranges alone.
+    looks = second.select("q_block", "reach", "q_low", "q_high", F.explode("targets").alias("cell"))
+    widest = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: x - y))
+    apart = F.greatest(widest("q_low", "high"), widest("low", "q_high"))
+    pairs = looks.join(blocks.select("block", "cell", "low", "high"), "cell").where(
+        apart <= F.col("reach")
+    )
+    pairs = pairs.select("q_block", "block")
+    if watch is not None:
+        pairs = pairs.observe(watch, F.count("*").alias("pairs"))
+    met = pairs.join(blocks.drop("cell", "low", "high"), "block").join(
+        second.select("q_block", "q_ids", "q_vectors", "bounds"), "q_block"
+    )
+    rest = met.select(*columns).mapInPandas(compare, partial)
+    both = near.drop("rank").unionByName(rest.select(*[n for n in names if n != "rank"]))
+    return ranked(both).select(*names).unionByName(unanswered)
+
+
+def _cells(blocks: DataFrame, pivots: int) -> tuple[dict[int, tuple], dict[int, int]]:
+    """Ranges of distances of each cell to all pivots, and over how many lanes its
+    blocks are dealt. There are at most as many cells as pivots."""
+    bounds = [F.min(F.get("low", F.lit(i))) for i in range(pivots)]
+    bounds += [F.max(F.get("high", F.lit(i))) for i in range(pivots)]
+    rows = blocks.groupBy("cell").agg(F.count("*"), F.array(*bounds)).collect()
+    cells = {cell: (np.array(b[:pivots]), np.array(b[pivots:])) for cell, _, b in rows}
+    return cells, {cell: math.ceil(count / LANE_BLOCKS) for cell, count, _ in rows}
 
 
 def _answer_schema(queries, query_id, schema, vec_id, carry) -> T.StructType:

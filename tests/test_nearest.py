@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,13 +94,13 @@ def test_far_cells_are_left_out_before_the_join(spark):
     pivots = np.unique(probes, axis=0)[:6]
     gaps, _ = nearest._distances(points, pivots)
     own = gaps.argmin(axis=1)
-    cells = {
-        c: (gaps[own == c, c].min(), gaps[own == c, c].max(), 1) for c in range(6) if (own == c).any()
-    }
+    cells = {c: nearest._ranges(points[own == c], pivots) for c in range(6) if (own == c).any()}
     block = points[own == own[0]]
-    told = nearest._query_block(pivots, probes, 4, cells)(block, own[0])
-    reached = {t["cell"] for t in told["targets"][0]}
-    assert own[0] in reached and len(reached) < len(cells)
+    near = np.sort(nearest._distances(block, block)[0], axis=1)[:, 4]
+    told = nearest._second_block(pivots, probes, 4, cells)(pd.DataFrame({"_bound": near}), block, own[0])
+    # Its own cell has been compared in the first pass.
+    reached = set(told["targets"][0])
+    assert own[0] not in reached and len(reached) < len(cells) - 1
 
 
 def test_one_question(spark):
@@ -176,3 +177,25 @@ def test_widths_must_agree(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id int, embedding array<double>")
     with pytest.raises(ValueError, match="widths"):
         nearest.nearest(df, df)
+
+
+def test_far_blocks_are_not_compared(spark, monkeypatch):
+    from pyspark.sql import Observation
+
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 16)
+    dice = np.random.default_rng(3)
+    centres = dice.normal(size=(8, 8)) * 100
+    points = (centres[np.arange(4000) % 8] + dice.normal(size=(4000, 8))).round(3)
+    corpus = frame(spark, points)
+    watch = Observation()
+    found = nearest.nearest(corpus, corpus, k=3, skip_same_id=True, watch=watch).collect()
+    blocks = 4000 / 16
+    # All pairs of blocks would be blocks squared at least; a cluster's own are an eighth.
+    assert watch.get["pairs"] < 0.35 * blocks * blocks
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 4000, 250):
+        gaps = ((points - points[q]) ** 2).sum(axis=1)
+        gaps[q] = np.inf
+        assert got[q] == list(np.lexsort((np.arange(4000), gaps))[:3])
