@@ -33,8 +33,11 @@ TREES = 16
 DEPTH = 6
 LEAST_DEPTH = 2
 WINDOW = 8
-# Window and least depth of the further passes over crowded regions.
-PASSES = ((64, 3), (512, 4))
+# Window and least depth of each further pass over crowded regions.
+PASSES = ((64, 3),)
+# Min-hashes of all trees that two labels of a crowded region have to share: four
+# standard deviations below what a similarity of 0.8 gives.
+LEAST_SHARED = 61
 ROWS_A_TASK = 50_000
 LABEL = 4 * DEPTH
 
@@ -97,12 +100,15 @@ def _neighbours(rows: pa.Table, share: int, window: int, least: int):
     """Places of neighbours in one sorted run of labels, with shared depth and distance.
 
     Depth 0 marks a pair that only tells that the region goes on beyond the window.
-    Neighbours with the same root are none.
+    Neighbours with the same root are none, nor are those whose labels of all trees
+    agree in too few places.
     """
     labels = np.frombuffer(b"".join(rows.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)
     labels, tree = labels.astype(np.uint32), rows.column("tree").to_numpy()
     sizes, roots = rows.column("n_shingles").to_numpy(), None
     if "root" in rows.column_names:
+        whole = np.frombuffer(b"".join(rows.column("labels").to_pylist()), np.uint32)
+        whole = whole.reshape(-1, TREES * DEPTH)
         roots = np.unique(np.array(rows.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
     for step in range(1, min(window, len(labels) - 1) + 1):
         near = (tree[:-step] == tree[step:]) & (labels[:-step, :least] == labels[step:, :least]).all(axis=1)
@@ -111,6 +117,8 @@ def _neighbours(rows: pa.Table, share: int, window: int, least: int):
         at = np.flatnonzero(near)
         small, large = np.minimum(sizes[at], sizes[at + step]), np.maximum(sizes[at], sizes[at + step])
         fits = 100 * small >= share * large
+        if roots is not None:
+            fits[fits] = (whole[at[fits]] == whole[at[fits] + step]).sum(axis=1) >= LEAST_SHARED
         if step < window:
             at, fits = at[fits], fits[fits]
         yield at, at + step, np.where(fits, least, 0), step
@@ -200,7 +208,7 @@ def candidates(sets: DataFrame, share: int, window: int = WINDOW, least: int = L
     ``least`` values shared; from set_id, n_shingles and labels, one row per set, and root
     if pairs with the same root are not wanted. Depth is 0 where the sizes rule a link
     out; such pairs, like all with a step of ``window``, say that more may lie beyond."""
-    carried = ", root binary" if "root" in sets.columns else ""
+    carried = ", root binary, labels binary" if "root" in sets.columns else ""
     columns = "tree int, label binary, set_id binary, n_shingles long" + carried
     names = [c.split()[0] for c in columns.split(", ")]
     # Below four shingles no two different sets share four fifths.
@@ -323,9 +331,10 @@ def near_duplicates(
             break
         pairs = durable(candidates(again, share, window, least))
         fresh = pairs.join(tried, ["a", "b"], "left_anti")
-        links = _confirmed(full.where("crowded"), fresh, share)
-        known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = components(links.unionByName(known))
+        links = durable(_confirmed(full.where("crowded"), fresh, share))
+        if not links.isEmpty():
+            known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            found = components(links.unionByName(known))
         tried = tried.unionByName(pairs.select("a", "b"))
         crowded = _crowded(pairs, window)
     named = found.join(sets.select(F.col("set_id").alias("node"), "least_id"), "node")
