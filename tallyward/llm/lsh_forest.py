@@ -7,9 +7,11 @@ where few labels share two values, all of them are compared; where many do, only
 those next to each other, which are those that share most. Candidates are confirmed
 on the full sets, and confirmed links are joined to components.
 
-A label in a crowded region may have its link farther away than the window. Crowded
-labels are therefore sorted again, with what they are already linked to: neighbours of
-the same component need no link, so a wider window reaches past them to all others.
+A label in a crowded region may have its link farther away than the window. A region
+is all sets that share two values in a tree. Where one has more sets than the window
+sees and these are not all linked yet, each set meets every other one of the region on
+full sets: dealt over lanes, a block for every two lanes, of which a task hands on
+only links that join components. Nothing there is capped or estimated.
 
 Texts with equal sets are one node from the start, so a text with any number of
 copies costs as much as one.
@@ -33,8 +35,10 @@ TREES = 16
 DEPTH = 6
 LEAST_DEPTH = 2
 WINDOW = 8
-# Window and least depth of each further pass over crowded regions.
-PASSES = ((64, 3),)
+# Sets and shingles of a lane, of which a block of a crowded region holds two.
+LANE_SETS = 512
+LANE_SHINGLES = 1_000_000
+COLUMNS = 2048
 # Min-hashes of all trees that two labels of a crowded region have to share: four
 # standard deviations below what a similarity of 0.8 gives.
 LEAST_SHARED = 61
@@ -88,8 +92,8 @@ def _full_sets(width: int):
             packed = [own.tobytes() for own in texts.shingle_sets(hashes, counts, width)]
             right = [hashlib.md5(p).digest() == i for p, i in zip(packed, wanted, strict=True)]
             rows = pa.RecordBatch.from_arrays(
-                [batch.column("set_id"), batch.column("crowded"), pa.array(packed, pa.binary())],
-                ["set_id", "crowded", "shingles"],
+                [batch.column("set_id"), pa.array(packed, pa.binary())],
+                ["set_id", "shingles"],
             )
             yield rows.filter(pa.array(right, pa.bool_()))
 
@@ -203,6 +207,11 @@ def _across(share: int, window: int, least: int):
     return join
 
 
+def _usable(sets: DataFrame, share: int) -> DataFrame:
+    """Below four shingles no two different sets share four fifths."""
+    return sets.where(F.col("n_shingles") * (100 - share) >= share)
+
+
 def candidates(sets: DataFrame, share: int, window: int = WINDOW, least: int = LEAST_DEPTH) -> DataFrame:
     """Pairs (a, b) of set ids that some tree puts within ``window`` of each other with
     ``least`` values shared; from set_id, n_shingles and labels, one row per set, and root
@@ -211,8 +220,7 @@ def candidates(sets: DataFrame, share: int, window: int = WINDOW, least: int = L
     carried = ", root binary, labels binary" if "root" in sets.columns else ""
     columns = "tree int, label binary, set_id binary, n_shingles long" + carried
     names = [c.split()[0] for c in columns.split(", ")]
-    # Below four shingles no two different sets share four fifths.
-    usable = sets.where(F.col("n_shingles") * (100 - share) >= share)
+    usable = _usable(sets, share)
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = usable.select("*", tree.alias("tree")).withColumn(
         "label", F.expr(f"substring(labels, tree * {LABEL} + 1, {LABEL})")
@@ -249,6 +257,81 @@ def _overlap(share: int):
     return confirm
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets share, at [i, j] with i < j."""
+    many = len(sets)
+    values = np.concatenate(sets)
+    owners = np.repeat(np.arange(many), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    holders = np.diff(np.append(starts, len(values)))
+    common = np.zeros((many, many), np.int64)
+    # Values of few sets count pair by pair, those of many as a product of matrices.
+    few = max(2, many // 32)
+    rare = np.repeat((holders > 1) & (holders <= few), holders)
+    run, owner = np.repeat(np.arange(len(starts)), holders)[rare], owners[rare]
+    for step in range(1, few):
+        at = np.flatnonzero(run[:-step] == run[step:])
+        if not len(at):
+            break
+        common += np.bincount(owner[at] * many + owner[at + step], minlength=many * many).reshape(many, many)
+    often = holders > few
+    owner = owners[np.repeat(often, holders)]
+    ends = np.concatenate(([0], np.cumsum(holders[often])))
+    for start in range(0, len(ends) - 1, COLUMNS):
+        cuts = ends[start : start + COLUMNS + 1]
+        held = np.zeros((many, len(cuts) - 1), np.float32)
+        held[owner[cuts[0] : cuts[-1]], np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))] = 1
+        common += (held @ held.T).astype(np.int64)
+    return common
+
+
+def _block(share: int):
+    """Task code over two lanes of a region: links that join its components."""
+
+    def join(table: pa.Table) -> pa.Table:
+        ids = table.column("set_id").to_pylist()
+        lanes = table.column("lane").to_numpy()
+        roots = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+        same = roots[:, None] == roots
+        left, right = [], []
+        if not same.all():
+            sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+            sizes = np.array([len(s) for s in sets])
+            common = np.triu(_common(sets), 1)
+            linked = (100 + share) * common >= share * (sizes[:, None] + sizes)
+            # Each lane has met itself in a block of its own.
+            if lanes.min() != lanes.max():
+                linked &= lanes[:, None] != lanes
+            linked = np.triu(linked, 1) & ~same
+            linked |= linked.T
+            left, right = _joining(linked, same)
+        pick = lambda places: pa.array([ids[i] for i in places], pa.binary())
+        return pa.table({"a": pick(left), "b": pick(right)})
+
+    return join
+
+
+def _joining(linked: np.ndarray, same: np.ndarray) -> tuple[list[int], list[int]]:
+    """The links by which a walk over links and sets of the same root comes to a root."""
+    left, right, new = [], [], np.ones(len(linked), bool)
+    for start in range(len(linked)):
+        if not new[start]:
+            continue
+        new &= ~same[start]
+        reached = list(np.flatnonzero(same[start]))
+        while reached:
+            one = reached.pop()
+            for two in np.flatnonzero(linked[one] & new):
+                if new[two]:
+                    left.append(one)
+                    right.append(two)
+                    new &= ~same[two]
+                    reached.extend(np.flatnonzero(same[two]))
+    return left, right
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node with a link, root the least node reachable.
 
@@ -317,26 +400,13 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
     )
     pairs = durable(candidates(sets, share))
-    full = _gathered(source, sets, pairs, width)
+    crowded = durable(_crowded(sets, share))
+    full = _gathered(source, sets, pairs, crowded, width)
     found = components(_confirmed(full, pairs, share))
-    # Only labels whose region goes on beyond the window can have missed a link.
-    tried = pairs.select("a", "b")
-    crowded = _crowded(pairs, WINDOW)
-    for window, least in PASSES:
-        again = sets.select("set_id", "n_shingles", "labels").join(crowded, "set_id", "left_semi")
-        roots = found.select(F.col("node").alias("set_id"), "root")
-        again = again.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        again = durable(again)
-        if again.isEmpty():
-            break
-        pairs = durable(candidates(again, share, window, least))
-        fresh = pairs.join(tried, ["a", "b"], "left_anti")
-        links = durable(_confirmed(full.where("crowded"), fresh, share))
-        if not links.isEmpty():
-            known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            found = components(links.unionByName(known))
-        tried = tried.unionByName(pairs.select("a", "b"))
-        crowded = _crowded(pairs, window)
+    links = durable(_met(full, crowded, found, share))
+    if not links.isEmpty():
+        known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = components(links.unionByName(known))
     named = found.join(sets.select(F.col("set_id").alias("node"), "least_id"), "node")
     roots = sets.select(F.col("set_id").alias("root"), F.col("least_id").alias("own_id"))
     least = named.groupBy("root").agg(F.min("least_id").alias("linked_id")).join(roots, "root")
@@ -354,25 +424,55 @@ def near_duplicates(
     return answer.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _crowded(pairs: DataFrame, window: int) -> DataFrame:
-    """The sets that have a neighbour at the end of the window."""
-    edge = pairs.where(F.col("step") == window)
-    return edge.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-
-
-def _gathered(source: DataFrame, sets: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """set_id, crowded and shingles of every set with a candidate, built again from one
-    text each."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id"), (F.col("step") == WINDOW).alias("crowded"))
-    wanted = ends.groupBy("set_id").agg(F.max("crowded").alias("crowded"))
+def _crowded(sets: DataFrame, share: int) -> DataFrame:
+    """region, set_id and n_shingles of every set in a region with more sets than the
+    window compares all of."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    rows = _usable(sets, share).select("set_id", "n_shingles", "labels", tree.alias("tree"))
+    # Regions with one hash are searched as one.
+    prefix = F.expr(f"substring(labels, tree * {LABEL} + 1, {4 * LEAST_DEPTH})")
+    rows = rows.select(F.xxhash64("tree", prefix).alias("region"), "set_id", "n_shingles")
+    many = rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > WINDOW + 1)
+    return rows.join(many.select("region"), "region", "left_semi")
+
+
+def _gathered(source: DataFrame, sets: DataFrame, pairs: DataFrame, crowded: DataFrame, width: int) -> DataFrame:
+    """set_id and shingles of every set with a candidate or in a crowded region, built
+    again from one text each."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
+    wanted = ends.unionByName(crowded.select("set_id")).distinct()
     wanted = durable(sets.select("set_id", "least_id").join(wanted, "set_id"))
     # A null id is looked up like any other.
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    held = source.join(wanted, key("doc_id") == key("least_id")).select("set_id", "crowded", "text")
-    full = held.mapInArrow(_full_sets(width), "set_id binary, crowded boolean, shingles binary")
+    held = source.join(wanted, key("doc_id") == key("least_id")).select("set_id", "text")
+    full = held.mapInArrow(_full_sets(width), "set_id binary, shingles binary")
     return durable(full.dropDuplicates(["set_id"]))
 
 
+def _met(full: DataFrame, crowded: DataFrame, found: DataFrame, share: int) -> DataFrame:
+    """Links between sets of a crowded region that ``found`` has in different components:
+    as many as join all that any link of the region joins."""
+    roots = found.select(F.col("node").alias("set_id"), "root")
+    rows = crowded.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    rows = durable(rows)
+    regions = rows.groupBy("region").agg(
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.count("*").alias("n"),
+        F.sum("n_shingles").alias("shingles"),
+    )
+    lanes = F.greatest(F.ceil(F.col("n") / LANE_SETS), F.ceil(F.col("shingles") / LANE_SHINGLES)).cast("int")
+    open_regions = regions.where("low <> high").select("region", lanes.alias("lanes"))
+    dealt = rows.join(open_regions, "region").withColumn("lane", F.expr("cast(pmod(xxhash64(set_id), lanes) AS int)"))
+    other = F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))
+    dealt = dealt.select("region", "set_id", "root", "lane", other.alias("other"))
+    block = dealt.select(
+        "region", F.least("lane", "other").alias("one"), F.greatest("lane", "other").alias("two"), "lane", "set_id", "root"
+    )
+    joined = block.join(full, "set_id")
+    return joined.groupBy("region", "one", "two").applyInArrow(_block(share), "a binary, b binary")
+
+
 def _confirmed(full: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
     """The candidate pairs that hold on full sets."""
     left = full.select(F.col("set_id").alias("a"), F.col("shingles").alias("left"))
