@@ -39,9 +39,6 @@ WINDOW = 8
 LANE_SETS = 512
 LANE_SHINGLES = 1_000_000
 COLUMNS = 2048
-# Min-hashes of all trees that two labels of a crowded region have to share: four
-# standard deviations below what a similarity of 0.8 gives.
-LEAST_SHARED = 61
 ROWS_A_TASK = 50_000
 LABEL = 4 * DEPTH
 
@@ -101,56 +98,30 @@ def _full_sets(width: int):
 
 
 def _neighbours(rows: pa.Table, share: int, window: int, least: int):
-    """Places of neighbours in one sorted run of labels, with shared depth and distance.
-
-    Depth 0 marks a pair that only tells that the region goes on beyond the window.
-    Neighbours with the same root are none, nor are those whose labels of all trees
-    agree in too few places.
-    """
+    """Places of neighbours in one sorted run of labels whose sizes allow a link."""
     labels = np.frombuffer(b"".join(rows.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)
     labels, tree = labels.astype(np.uint32), rows.column("tree").to_numpy()
-    sizes, roots = rows.column("n_shingles").to_numpy(), None
-    if "root" in rows.column_names:
-        whole = np.frombuffer(b"".join(rows.column("labels").to_pylist()), np.uint32)
-        whole = whole.reshape(-1, TREES * DEPTH)
-        roots = np.unique(np.array(rows.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+    sizes = rows.column("n_shingles").to_numpy()
     for step in range(1, min(window, len(labels) - 1) + 1):
         near = (tree[:-step] == tree[step:]) & (labels[:-step, :least] == labels[step:, :least]).all(axis=1)
-        if roots is not None:
-            near &= roots[:-step] != roots[step:]
         at = np.flatnonzero(near)
         small, large = np.minimum(sizes[at], sizes[at + step]), np.maximum(sizes[at], sizes[at + step])
-        fits = 100 * small >= share * large
-        if roots is not None:
-            fits[fits] = (whole[at[fits]] == whole[at[fits] + step]).sum(axis=1) >= LEAST_SHARED
-        if step < window:
-            at, fits = at[fits], fits[fits]
-        yield at, at + step, np.where(fits, least, 0), step
+        at = at[100 * small >= share * large]
+        yield at, at + step
 
 
 def _pairs(rows: pa.Table, found) -> pa.RecordBatch:
     ids = np.array(rows.column("set_id").to_pylist(), dtype=object)
-    left, right, depths, steps = [], [], [], []
-    for one, two, depth, step in found:
+    left, right = [], []
+    for one, two in found:
         a, b = ids[one], ids[two]
         swap = a > b
         left.extend(np.where(swap, b, a))
         right.extend(np.where(swap, a, b))
-        depths.append(depth)
-        steps.append(np.full(len(one), step))
-    whole = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(left, pa.binary()),
-            pa.array(right, pa.binary()),
-            pa.array(whole(depths).astype(np.int32)),
-            pa.array(whole(steps).astype(np.int32)),
-        ],
-        ["a", "b", "depth", "step"],
-    )
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
 
-PAIRS = "a binary, b binary, depth int, step int"
+PAIRS = "a binary, b binary"
 
 
 def _sorted_run(share: int, window: int, least: int, columns: str):
@@ -172,8 +143,7 @@ def _sorted_run(share: int, window: int, least: int, columns: str):
             if head is None or head.num_rows < window:
                 head = table.slice(0, window)
             new = (
-                (a[b >= fresh], b[b >= fresh], d[b >= fresh], s)
-                for a, b, d, s in _neighbours(table, share, window, least)
+                (a[b >= fresh], b[b >= fresh]) for a, b in _neighbours(table, share, window, least)
             )
             yield widened(_pairs(table, new), None, 0)
             kept = table.slice(max(0, table.num_rows - window))
@@ -183,14 +153,14 @@ def _sorted_run(share: int, window: int, least: int, columns: str):
 
     def widened(pairs, rows, border):
         size = pairs.num_rows if pairs is not None else rows.num_rows
-        left = [pa.nulls(size, t) for t in (pa.binary(), pa.binary(), pa.int32(), pa.int32())]
+        left = [pa.nulls(size, t) for t in (pa.binary(), pa.binary())]
         right = [pa.nulls(size, t) for t in (pa.int32(), *types)]
         if pairs is not None:
             left = pairs.columns
         if rows is not None:
             own = [rows.column(n).combine_chunks() for n in names]
             right = [pa.array(np.full(size, border, np.int32)), *own]
-        return pa.RecordBatch.from_arrays([*left, *right], ["a", "b", "depth", "step", "border", *names])
+        return pa.RecordBatch.from_arrays([*left, *right], ["a", "b", "border", *names])
 
     return run, edge
 
@@ -214,11 +184,9 @@ def _usable(sets: DataFrame, share: int) -> DataFrame:
 
 def candidates(sets: DataFrame, share: int, window: int = WINDOW, least: int = LEAST_DEPTH) -> DataFrame:
     """Pairs (a, b) of set ids that some tree puts within ``window`` of each other with
-    ``least`` values shared; from set_id, n_shingles and labels, one row per set, and root
-    if pairs with the same root are not wanted. Depth is 0 where the sizes rule a link
-    out; such pairs, like all with a step of ``window``, say that more may lie beyond."""
-    carried = ", root binary, labels binary" if "root" in sets.columns else ""
-    columns = "tree int, label binary, set_id binary, n_shingles long" + carried
+    ``least`` values shared, but for those whose sizes rule a link out; from set_id,
+    n_shingles and labels, one row per set."""
+    columns = "tree int, label binary, set_id binary, n_shingles long"
     names = [c.split()[0] for c in columns.split(", ")]
     usable = _usable(sets, share)
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
@@ -232,9 +200,9 @@ def candidates(sets: DataFrame, share: int, window: int = WINDOW, least: int = L
     found = durable(ordered.mapInArrow(run, schema))
     edges = found.where(F.col("border").isNotNull()).select("border", *names)
     crossing = edges.groupBy("border").applyInArrow(_across(share, window, least), PAIRS)
-    inside = found.where(F.col("a").isNotNull()).select("a", "b", "depth", "step")
+    inside = found.where(F.col("a").isNotNull()).select("a", "b")
     both = inside.unionByName(crossing).where(F.col("a") != F.col("b"))
-    return both.groupBy("a", "b").agg(F.max("depth").alias("depth"), F.max("step").alias("step"))
+    return both.distinct()
 
 
 def _overlap(share: int):
@@ -477,5 +445,5 @@ def _confirmed(full: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
     """The candidate pairs that hold on full sets."""
     left = full.select(F.col("set_id").alias("a"), F.col("shingles").alias("left"))
     right = full.select(F.col("set_id").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.where("depth > 0").select("a", "b").join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
     return both.mapInArrow(_overlap(share), "a binary, b binary")

@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +283,25 @@ def test_a_star_of_variants_linked_only_with_their_base(spark):
     assert found == dict.fromkeys(texts, 0)
 
 
+def test_candidates_that_agree_in_few_min_hashes_are_compared():
+    # Of a block, links count on full sets, over every distance and past any number of
+    # sets of one component.
+    shared = np.arange(1, 401, dtype=np.uint64)
+    sets = [shared] * 200 + [np.concatenate((shared[:356], np.arange(1000, 1044, dtype=np.uint64)))]
+    sets += [np.concatenate((shared[:355], np.arange(2000, 2045, dtype=np.uint64)))]
+    rows = pa.table(
+        {
+            "set_id": pa.array([b"%03d" % i for i in range(202)], pa.binary()),
+            "lane": pa.array([0] * 202, pa.int32()),
+            "root": pa.array([b"000"] * 200 + [b"200", b"201"], pa.binary()),
+            "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
+        }
+    )
+    found = lsh_forest._block(80)(rows).to_pylist()
+    # 356 of 444 are enough, 355 of 445 are not.
+    assert [{r["a"], r["b"]} & {b"200", b"201"} for r in found] == [{b"200"}]
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, nothing):
     rows = lsh_forest.near_duplicates(odd, width=4).collect()
     found = {}
