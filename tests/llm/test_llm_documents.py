@@ -302,6 +302,21 @@ def test_candidates_that_agree_in_few_min_hashes_are_compared():
     assert [{r["a"], r["b"]} & {b"200", b"201"} for r in found] == [{b"200"}]
 
 
+def test_a_component_in_between_hides_no_link():
+    own = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 5000, 10)]
+    sets = [own[0], *[own[1]] * 300, own[2]]
+    rows = pa.table(
+        {
+            "set_id": pa.array([b"%03d" % i for i in range(302)], pa.binary()),
+            "lane": pa.array([0] * 302, pa.int32()),
+            "root": pa.array([b"000", *[b"001"] * 300, b"301"], pa.binary()),
+            "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
+        }
+    )
+    # 90 of 110 are shared, and 300 sets of one component lie in between.
+    assert lsh_forest._block(80)(rows).to_pylist() == [{"a": b"000", "b": b"301"}]
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, nothing):
     rows = lsh_forest.near_duplicates(odd, width=4).collect()
     found = {}
