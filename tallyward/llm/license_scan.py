@@ -97,8 +97,14 @@ class Scanner:
                 else:
                     joined.append([start, end])
             for start, end in joined:
-                for match in pattern.finditer(words, start, end):
-                    found.append((label, match.start(), match.end(), sum(match.fuzzy_counts), length))
+                # The best match of a window may have others on both sides.
+                parts = [(start, end)]
+                while parts:
+                    start, end = parts.pop()
+                    match = pattern.search(words, start, end) if end - start >= length - edits else None
+                    if match:
+                        found.append((label, match.start(), match.end(), sum(match.fuzzy_counts), length))
+                        parts += [(start, match.start()), (match.end(), end)]
         return found
 
     def scan(self, text: bytes) -> dict:

@@ -442,3 +442,9 @@ def test_notices_with_edits(spark):
     assert (found[5].labels, found[5].score, found[5].spans) == ("", 0.0, [])
     assert found[6].score == 1.0
     assert (found[7].n_words, found[7].first_word, found[7].labels) == (0, None, "")
+
+
+def test_a_notice_with_more_edits_before_a_better_one():
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES)
+    spans = scanner.scan(b"the mozila public license mozilla public license end")["spans"]
+    assert [(s[0], s[1], s[2], s[5]) for s in spans] == [("mpl", 1, 3, 1), ("mpl", 4, 6, 0)]
