@@ -44,29 +44,27 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     spoken = F.filter(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     first = docs.withColumn("_words", words).withColumn("_lines", spoken)
     n = F.size("_words")
-    # Windows as one sortable number each: hash above, place below.
+    # Windows sort by their whole hash, then by place.
     second = (
         first.withColumn("n_words", n.cast("long"))
         .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
         .withColumn("n_symbols", F.regexp_count(body, F.lit(SYMBOLS)).cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("_hashes", F.transform("_words", lambda word: F.xxhash64(word)))
-        .withColumn("_bits", F.ceil(F.log2(n + 1)).cast("int"))
         .drop("_words", "_lines")
     )
-    packed = F.expr(
-        "CASE WHEN n_words < 3 THEN cast(array() AS array<long>) ELSE "
-        "transform(slice(_hashes, 1, cast(n_words AS int) - 2), (h, i) -> "
-        "shiftleft(xxhash64(h, _hashes[i + 1], _hashes[i + 2]), _bits) | i) END"
+    windows = F.expr(
+        "CASE WHEN n_words < 3 THEN cast(array() AS array<struct<h: bigint, place: bigint>>) ELSE "
+        "transform(slice(_hashes, 1, cast(n_words AS int) - 2), (h, i) -> named_struct("
+        "'h', xxhash64(h, _hashes[i + 1], _hashes[i + 2]), 'place', cast(i AS bigint))) END"
     )
-    third = second.withColumn("_windows", F.sort_array(packed)).drop("_hashes")
+    third = second.withColumn("_windows", F.sort_array(windows)).drop("_hashes")
     twice = F.expr(
         "transform(filter(_windows, (w, i) -> "
-        "(i > 0 AND shiftright(w, _bits) = shiftright(_windows[i - 1], _bits)) OR "
-        "(i + 1 < size(_windows) AND shiftright(w, _bits) = shiftright(_windows[i + 1], _bits))), "
-        "w -> w & (shiftleft(1L, _bits) - 1L))"
+        "(i > 0 AND w.h = _windows[i - 1].h) OR "
+        "(i + 1 < size(_windows) AND w.h = _windows[i + 1].h)), w -> w.place)"
     )
-    fourth = third.withColumn("_places", F.sort_array(twice)).drop("_windows", "_bits")
+    fourth = third.withColumn("_places", F.sort_array(twice)).drop("_windows")
     # A repeated window covers three words; what the next one covers is not counted twice.
     covered = F.expr(
         "aggregate(_places, cast(named_struct('n', 0L, 'last', -3L) AS struct<n: bigint, last: bigint>), "

@@ -136,6 +136,13 @@ def test_counts_equal_brute_force(spark, tables, documents, odd):
             assert tuple(r[n] for n in names) == rule_counts(r.text), r.doc_id
 
 
+def test_no_window_of_a_very_long_text_is_taken_for_another(spark):
+    # All words differ, so nothing is repeated; with 42 bits of the hash, windows agree.
+    body = "array_join(transform(sequence(1, 4190000), i -> concat('w', i)), ' ')"
+    row = adaptive_rules.counted(spark.range(1).select(F.expr(body).alias("text"))).first()
+    assert (row.n_words, row.n_repeat_words) == (4_190_000, 0)
+
+
 def test_limits_follow_the_group(spark):
     # In source b every document has many symbols, so there they are no fault.
     rows = []
