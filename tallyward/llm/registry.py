@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyward.llm import (
     adaptive_rules,
+    filter_audit,
     license_scan,
     lsh_forest,
     multiprobe,
@@ -17,6 +18,7 @@ from tallyward.llm import (
     sharding,
     url_filter,
     warc,
+    winnowing,
 )
 from tallyward.session import checkpoint_folder, durable
 from tallyward.sources.facts import table
@@ -164,6 +166,16 @@ def op10_piece_sampling(spark, folder):
     return piece_sampling.sample_pieces(turns, "text", ["conv_id", "turn", "role"], tokenizer_path(PIECES))
 
 
+@registered
+def op11_winnowing(spark, folder):
+    return winnowing.fingerprinted(table(spark, folder, "documents"))
+
+
+@registered
+def op12_filter_audit(spark, folder):
+    return filter_audit.audited(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 ORACLES["op9_url_filter"] = r"""
 WITH parts AS (
     SELECT page_id,
@@ -216,3 +228,87 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
     CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM named
 """
+
+# Fixed values of op11: runs of 5 tokens, windows of 8 runs, pieces of 16 code points.
+ORACLES["op11_winnowing"] = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS text FROM documents
+), edited AS (
+    SELECT doc_id, text, length(text) AS n, other,
+        left(text, length(text) - length(text) // 3) || left(other, length(text) // 3) AS edit
+    FROM (
+        SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS other
+        FROM docs WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+    )
+), texts AS (
+    SELECT DISTINCT text FROM (SELECT text FROM docs UNION ALL SELECT edit FROM edited)
+), coded AS (
+    SELECT text, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]{1,16}'),
+        lambda w: ('0x' || left(md5(w), 7))::BIGINT + 1) AS v
+    FROM texts
+), runs AS (
+    SELECT text, list_transform(range(1, greatest(len(v) - 4, least(len(v), 1)) + 1), lambda i:
+        (((((((v[i] * 1000003 + coalesce(v[i + 1], 0)) % 2147483647) * 1000003
+            + coalesce(v[i + 2], 0)) % 2147483647) * 1000003
+            + coalesce(v[i + 3], 0)) % 2147483647) * 1000003
+            + coalesce(v[i + 4], 0)) % 2147483647 * 2147483648 + (2147483648 - i)) AS r
+    FROM coded
+), picked AS (
+    SELECT text, list_reverse_sort(list_distinct(list_transform(
+        range(1, greatest(len(r) - 7, least(len(r), 1)) + 1),
+        lambda i: list_min(r[i:i + 7]))), 'NULLS LAST') AS p
+    FROM runs
+), fingers AS (
+    SELECT text, list_distinct(list_transform(p, lambda x: x // 2147483648)) AS h,
+        coalesce(array_to_string(list_transform(list_sort(list_transform(p, lambda x:
+            {'place': 2147483647 - x % 2147483648, 'hash': x // 2147483648})),
+            lambda s: lower(to_hex(s.hash)) || ':' || s.place::VARCHAR), ' '), '') AS print
+    FROM picked
+)
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edit) AS edited_sha256, a.print AS fingerprint,
+    b.print AS edited_fingerprint,
+    CASE WHEN len(a.h) + len(b.h) = 0 THEN 1.0::DOUBLE
+        ELSE len(list_intersect(a.h, b.h))::DOUBLE / len(list_distinct(list_concat(a.h, b.h))) END AS near_edited,
+    CASE WHEN len(a.h) + len(c.h) = 0 THEN 1.0::DOUBLE
+        ELSE len(list_intersect(a.h, c.h))::DOUBLE / len(list_distinct(list_concat(a.h, c.h))) END AS near_next
+FROM edited e JOIN fingers a ON a.text = e.text JOIN fingers b ON b.text = e.edit JOIN fingers c ON c.text = e.other
+"""
+
+ORACLES["op12_filter_audit"] = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+        min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), masks AS (
+    SELECT doc_id, part,
+        (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+        + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text))::INT
+        + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first_id, false)::INT AS mask
+    FROM docs
+), marks AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), counts AS (
+    SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM masks LEFT JOIN marks USING (doc_id) GROUP BY part, mask
+), letters(f, b) AS (
+    VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.b | b.b | c.b | d.b | e.b = 31
+), steps AS (
+    SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+    FROM orders, range(1, 6) AS t(step)
+), found AS (
+    SELECT part, filter_order, step, bit,
+        coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+    FROM counts, steps GROUP BY part, filter_order, step, bit
+)
+SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM found
+"""
