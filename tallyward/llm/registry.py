@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyward.llm import (
     adaptive_rules,
+    conversation_repair,
     filter_audit,
     license_scan,
     lsh_forest,
@@ -176,6 +177,11 @@ def op12_filter_audit(spark, folder):
     return filter_audit.audited(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@registered
+def op13_conversation_repair(spark, folder):
+    return conversation_repair.repaired(table(spark, folder, "conversations"))
+
+
 ORACLES["op9_url_filter"] = r"""
 WITH parts AS (
     SELECT page_id,
