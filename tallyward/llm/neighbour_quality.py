@@ -105,7 +105,8 @@ def scores(space: Space, rows: np.ndarray) -> np.ndarray:
 def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Space:
     """A space from at most ``SAMPLE`` texts of each label, those with the lowest
     hash of their id. ``labels`` has doc_id and label (0 or 1); null labels and ids
-    are left out, an id with both labels counts as 0."""
+    are left out, an id with both labels counts as 0, of rows with one id the least text
+    is taken."""
     known = (
         labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -118,8 +119,10 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
         F.broadcast(sample), "doc_id"
     )
+    # One text an id, so that there are no more rows than sampled ids.
+    held = held.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
     rows = held.select("label", "text").mapInArrow(_featured, "label int, features binary")
-    rows = rows.orderBy("features", "label").limit(4 * SAMPLE).collect()
+    rows = rows.orderBy("features", "label").collect()
     found = np.array([np.frombuffer(r.features, np.float32) for r in rows], np.float32)
     return space_of(found.reshape(-1, WIDTH), np.array([r.label for r in rows], np.int64))
 

@@ -20,7 +20,9 @@ from tallyward.llm import texts
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_TOKENS = 1_000_000
-WORDS_KEPT = 1_000_000
+# What a worker remembers: bytes of words and of their ids, some 100 a word on top.
+BYTES_KEPT = 64_000_000
+BYTES_A_WORD = 100
 END_OF_TEXT = 2
 
 
@@ -84,8 +86,9 @@ class Words:
     """Token ids of words, remembered by word for as long as the worker lives.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its words in turn. Nor does it join a letter and a sign, so a word of
-    letters with a comma or full stop at its end is that word and the sign.
+    those of its words in turn. Nor does it join an ASCII letter and a sign, so a word of
+    such letters with a comma or full stop at its end is that word and the sign. Other
+    letters may become several characters in the tokenizer, so their words go to it whole.
     """
 
     def __init__(self, path: str):
@@ -97,27 +100,32 @@ class Words:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            kept[path] = Tokenizer.from_file(path), {}
-        self.tokenizer, self.known = kept[path]
+            kept[path] = Tokenizer.from_file(path), {}, [0]
+        self.tokenizer, self.known, self.held = kept[path]
+
+    def _remember(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held[0] += len(word) + len(ids) + BYTES_A_WORD
 
     def _learn(self, fresh: set[bytes]) -> None:
-        ended = {w for w in fresh if w[-1:] in (b",", b".") and w[:-1].decode().isalpha()}
+        ended = {w for w in fresh if w[-1:] in (b",", b".") and w[:-1].isalpha()}
         plain = (fresh - ended).union(w[:-1] for w in ended)
         plain = list(plain.union((b",", b".")).difference(self.known))
         for start in range(0, len(plain), 10_000):
             part = plain[start : start + 10_000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             for word, entry in zip(part, found, strict=True):
-                self.known[word] = np.array(entry.ids, "<u4").tobytes()
+                self._remember(word, np.array(entry.ids, "<u4").tobytes())
         for word in ended:
-            self.known[word] = self.known[word[:-1]] + self.known[word[-1:]]
+            self._remember(word, self.known[word[:-1]] + self.known[word[-1:]])
 
     def ids(self, words: list[bytes]) -> bytes:
         """Their ids, four bytes each."""
         fresh = set(words).difference(self.known)
         if fresh:
-            if len(self.known) + 2 * len(fresh) > WORDS_KEPT:
+            if self.held[0] > BYTES_KEPT:
                 self.known.clear()
+                self.held[0] = 0
                 fresh = set(words)
             self._learn(fresh)
         return b"".join(map(self.known.__getitem__, words))
@@ -127,8 +135,8 @@ def _tokens(words: Words, text: bytes) -> np.ndarray:
     parts = []
     # A special token's name in capitals is ordinary text.
     split = (text if b"<|" in text else text.lower()).split()
-    for start in range(0, len(split), 100_000):
-        parts.append(words.ids(split[start : start + 100_000]))
+    for start in range(0, len(split), 10_000):
+        parts.append(words.ids(split[start : start + 10_000]))
     parts.append(END_OF_TEXT.to_bytes(4, "little"))
     return np.frombuffer(b"".join(parts), "<u4")
 

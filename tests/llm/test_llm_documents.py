@@ -395,6 +395,44 @@ def test_words_give_the_ids_of_the_text(text):
     assert packing._tokens(packing.Words(path), text.encode()).tolist() == expected
 
 
+def test_signs_after_every_letter():
+    """Some letters become several characters, the last of which joins a sign."""
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path(registry.TOKENIZER)
+    tokenizer, words = Tokenizer.from_file(path), packing.Words(path)
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha()]
+    for sign in ".,":
+        for start in range(0, len(letters), 5000):
+            texts = ["ab" + letter + sign for letter in letters[start : start + 5000]]
+            wanted = tokenizer.encode_batch(texts, add_special_tokens=False)
+            found = [packing._tokens(words, t.encode()).tolist() for t in texts]
+            assert found == [[*w.ids, 2] for w in wanted]
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path(registry.TOKENIZER)
+    tokenizer, words = Tokenizer.from_file(path), packing.Words(path)
+    monkeypatch.setattr(packing, "BYTES_KEPT", 3000)
+    for i in range(40):
+        text = f"{'x' * 500}{i} y{i}, z{i}."
+        assert packing._tokens(words, text.encode()).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert len(words.known) < 40 or i == 0
+
+
+def test_packing_long_texts(odd):
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path(registry.TOKENIZER)
+    tokenizer = Tokenizer.from_file(path)
+    rows = packing.packed(odd, path, with_ids=True).collect()
+    for key, text in ((6, LONG), (9, "w" * 3_000_000), (None, "no id here at all")):
+        own = sorted((r.start, r.ids) for r in rows if r.doc_id == key)
+        assert [i for _, ids in own for i in ids] == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_packing_nothing(nothing):
     assert packing.packed(nothing, registry.tokenizer_path(registry.TOKENIZER)).collect() == []
 
