@@ -1,6 +1,8 @@
 """Documents to training sequences: classified, judged by rules, freed of near
 copies, packed. Each stage reads what the stage before it has written."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,28 +12,52 @@ from tallyward.session import durable
 from tallyward.sources.facts import table
 
 
+READ = ("doc_id", "text", "lang", "source")
+
+
+def _unclashed(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``work`` leaves of the documents, in their own columns. It sees the columns
+    it reads by name and all others under names that no operator uses."""
+    names = docs.columns
+    safe = [n if n in READ else f"_column_{i}" for i, n in enumerate(names)]
+    kept = work(docs.toDF(*safe))
+    return kept.select(*[F.col(s).alias(n) for s, n in zip(safe, names, strict=True)])
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose labelled neighbours vote for quality."""
+    """Documents whose labelled neighbours vote for quality. Empty and null texts get the
+    share of good labels and stay with a majority of them."""
     space = quality_space(spark, docs, sf_dir)
-    voted = neighbour_quality.scored(docs, space, carry=tuple(docs.columns))
-    return voted.where("score >= 0.5").select(*docs.columns)
+
+    def work(rows: DataFrame) -> DataFrame:
+        return neighbour_quality.scored(rows, space, carry=tuple(rows.columns)).where("score >= 0.5")
+
+    return _unclashed(docs, work)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within the limits of their language and source."""
-    return adaptive_rules.judged(docs, keep_text=True).where("kept").select(*docs.columns)
+    """Documents within the limits of their language and source; those without a text
+    have too few words."""
+    return _unclashed(docs, lambda rows: adaptive_rules.judged(rows, keep_text=True).where("kept"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id; of a
-    repeated row one."""
-    kept = lsh_forest.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    match = F.col("doc_id").eqNullSafe(F.col("_kept"))
-    return docs.join(kept, match, "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near copies, the one with the least id; of rows with
+    the same id and text one. Only rows whose id comes again are compared by text."""
+
+    def work(rows: DataFrame) -> DataFrame:
+        found = lsh_forest.near_duplicates(rows).where("kept")
+        counts = durable(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
+        match = F.col("doc_id").eqNullSafe(F.col("_kept"))
+        once = rows.join(counts.where("_rows = 1"), match, "left_semi")
+        again = rows.join(counts.where("_rows > 1"), match, "left_semi")
+        return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+
+    return _unclashed(docs, work)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of 4096 tokens."""
+    """The pieces of the documents in sequences of 4096 tokens; a null text is empty."""
     return packing.packed(docs, tokenizer_path(TOKENIZER))
 
 
