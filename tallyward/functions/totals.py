@@ -31,8 +31,12 @@ def exact(column: Column, dtype: T.DataType) -> Column:
 
 
 def partial_sums(df: DataFrame, names: Iterable[str]) -> list[Column]:
+    """Aggregates of measures; those that ``df`` holds as partial sums are added up."""
     sums = []
     for name in names:
+        if has_sums(df, name):
+            sums += merged_sums([name])
+            continue
         dtype = df.schema[name].dataType
         column = F.col(name)
         if isinstance(dtype, (T.DoubleType, T.FloatType)):
@@ -52,6 +56,11 @@ def partial_sums(df: DataFrame, names: Iterable[str]) -> list[Column]:
     return sums
 
 
+def has_sums(df: DataFrame, name: str) -> bool:
+    """Whether ``df`` holds a measure as partial sums."""
+    return name + _EXACT in df.columns
+
+
 def merged_sums(names: Iterable[str]) -> list[Column]:
     """Aggregates that add up the columns made by :func:`partial_sums`."""
     return [

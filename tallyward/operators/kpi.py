@@ -151,7 +151,11 @@ def with_latest(pack: DataFrame) -> DataFrame:
 
 
 def region_and_location(df: DataFrame) -> DataFrame:
-    """KPIs per location, per region and over everything (missing key = all)."""
+    """KPIs per location, per region and over everything (missing key = all).
+
+    Only locations, which are summed first, go into the sums of regions and of all.
+    """
     df = df.where(F.col("region").isNotNull() & F.col("location_id").isNotNull())
-    sums = df.rollup("region", "location_id").agg(*partial_sums(df, KPI_MEASURES))
+    locations = df.groupBy("region", "location_id").agg(*partial_sums(df, KPI_MEASURES))
+    sums = locations.rollup("region", "location_id").agg(*merged_sums(KPI_MEASURES))
     return sums.select("region", "location_id", *kpi_columns())

@@ -8,20 +8,28 @@ pivots tell, block by block and before any vector moves, which other blocks may
 something nearer (triangle inequality); only those are compared. A pair of blocks is
 compared by matrix product inside a task, which hands on at most k rows per query.
 Nothing is sampled away: every skipped block is proven to hold no nearer vector.
+
+A corpus that is asked more than once is packed once: :func:`corpus_index` keeps blocks,
+ranges and pivots as tables under the corpus's fingerprint, and opens them where they
+are there already.
 """
 
+import hashlib
 import math
 import sys
+import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyward.session import durable
+from tallyward.session import checkpoint_folder, durable, exists, written
+from tallyward.sources.tables import fingerprint
 
 # Task code travels with the tasks, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -278,6 +286,103 @@ def _few_copies(corpus: DataFrame, keep: int) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Index:
+    """A packed corpus: its blocks as a table, and what the driver knows of them. A corpus
+    without a usable vector has no blocks."""
+
+    blocks: DataFrame | None
+    pivots: np.ndarray
+    probes: np.ndarray
+    cells: dict[int, tuple]
+    lanes: dict[int, int]
+    stored: str
+    keep: int
+    carry: tuple[str, ...]
+
+
+def _packed(corpus: DataFrame, keep: int, vec_id: str, embedding: str, carry: Sequence[str], save=durable) -> Index:
+    """The corpus in blocks, which ``save`` writes."""
+    schema = corpus.schema
+    held = _ready(corpus, vec_id, embedding, carry)
+    element = schema[embedding].dataType.elementType
+    stored = "<f4" if isinstance(element, T.FloatType) else "<f8"
+    probes, rows = _probes(held)
+    if not len(probes):
+        return Index(None, probes, probes, {}, {}, stored, keep, tuple(carry))
+    pivots = np.unique(probes, axis=0)
+    pivots = pivots[: max(1, int(math.sqrt(rows) / 2))]
+    id_type = schema[vec_id].dataType.simpleString()
+    carried = "".join(f", {c} array<{schema[c].dataType.simpleString()}>" for c in carry)
+    ranges = "low array<double>, high array<double>"
+    blocks = _few_copies(held, keep).mapInPandas(
+        _pack(pivots, _corpus_block(pivots), stored, carry),
+        f"ids array<{id_type}>, vectors binary{carried}, cell int, {ranges}",
+    )
+    # The packed corpus is read for its ranges, and in both passes.
+    blocks = save(blocks.withColumn("block", F.xxhash64("ids")))
+    cells, lanes = _cells(blocks, len(pivots))
+    return Index(blocks, pivots, probes, cells, lanes, stored, keep, tuple(carry))
+
+
+def corpus_index(
+    corpus: DataFrame,
+    k: int = 3,
+    vec_id: str = "vec_id",
+    embedding: str = "embedding",
+    carry: Sequence[str] = (),
+    folder: str | None = None,
+) -> Index:
+    """The index of a corpus for up to ``k`` answers to a query, from ``folder`` if it is
+    there, else packed and written there.
+
+    An index goes by the fingerprint of ids, vectors and carried columns, so a changed
+    corpus is packed anew and an unchanged one is read once, for its fingerprint. Its last
+    table names the others, so a half-written index is none. Without a ``folder`` it is
+    kept in the checkpoint folder until :func:`tallyward.session.drop_durable`.
+    """
+    spark = corpus.sparkSession
+    keep = k + 1
+    known = corpus.select(vec_id, embedding, *carry)
+    seen = fingerprint(known.withColumn(embedding, F.to_json(embedding))).first()
+    said = (known.schema.json(), seen["row_count"], seen["fingerprint"], keep)
+    place = f"{folder or checkpoint_folder(spark)}/corpus-{hashlib.md5(repr(said).encode()).hexdigest()}"
+    if exists(spark, f"{place}/about/_SUCCESS"):
+        return _opened(spark, place, keep, carry)
+    name = f"blocks-{uuid.uuid4().hex}"
+
+    def save(blocks: DataFrame) -> DataFrame:
+        blocks.write.parquet(f"{place}/{name}")
+        return spark.read.schema(blocks.schema).parquet(f"{place}/{name}")
+
+    if folder is None:
+        written(place)
+    index = _packed(corpus, keep, vec_id, embedding, carry, save)
+    packed = lambda m: bytearray(np.ascontiguousarray(m, "<f8").tobytes())
+    cells = [(cell, index.lanes[cell], packed(low), packed(high)) for cell, (low, high) in index.cells.items()]
+    about = (name if index.blocks is not None else None, index.stored, index.probes.shape[1])
+    row = [(*about, packed(index.pivots), packed(index.probes), cells)]
+    spark.createDataFrame(row, ABOUT).coalesce(1).write.mode("overwrite").parquet(f"{place}/about")
+    return index
+
+
+ABOUT = (
+    "blocks string, stored string, width int, pivots binary, probes binary, "
+    "cells array<struct<cell int, lanes int, low binary, high binary>>"
+)
+
+
+def _opened(spark: SparkSession, place: str, keep: int, carry: Sequence[str]) -> Index:
+    about = spark.read.schema(ABOUT).parquet(f"{place}/about").first()
+    matrix = lambda packed: np.frombuffer(packed, "<f8").reshape(-1, about.width)
+    if about.blocks is None:
+        return Index(None, np.zeros((0, 0)), np.zeros((0, 0)), {}, {}, about.stored, keep, tuple(carry))
+    cells = {c.cell: (np.frombuffer(c.low, "<f8"), np.frombuffer(c.high, "<f8")) for c in about.cells}
+    lanes = {c.cell: c.lanes for c in about.cells}
+    blocks = spark.read.parquet(f"{place}/{about.blocks}")
+    return Index(blocks, matrix(about.pivots), matrix(about.probes), cells, lanes, about.stored, keep, tuple(carry))
+
+
 def nearest(
     queries: DataFrame,
     corpus: DataFrame,
@@ -288,6 +393,7 @@ def nearest(
     carry: Sequence[str] = (),
     skip_same_id: bool = False,
     watch: Observation | None = None,
+    index: "Index | None" = None,
 ) -> DataFrame:
     """The k nearest corpus rows of every query: query_id, rank, vec_id, distance
     and the corpus columns named in ``carry``.
@@ -297,40 +403,28 @@ def nearest(
     finite are no neighbour of any query; as queries they get one row with a
     NULL rank. Vectors of different widths are an error. Calling this runs
     jobs: it picks a few thousand probe vectors at most, writes the packed
-    corpus to the checkpoint folder and makes the first pass. ``watch`` observes
-    the ``pairs`` of blocks that the second pass compares.
+    corpus to the checkpoint folder and makes the first pass. With an ``index``
+    of the corpus, see :func:`corpus_index`, neither is the corpus read nor packed.
+    ``watch`` observes the ``pairs`` of blocks that the second pass compares.
     """
-    spark = corpus.sparkSession
     schema = corpus.schema
     answer = _answer_schema(queries, query_id, schema, vec_id, carry)
     asked = _ready(queries, query_id, embedding, ())
-    held = _ready(corpus, vec_id, embedding, carry)
     names = answer.fieldNames()
     blanks = [F.lit(None).cast(answer[n].dataType).alias(n) for n in names[1:]]
     unanswered = queries.where(~_usable(F.col(embedding))).select(
         F.col(query_id).alias("query_id"), *blanks
     )
-    probes, rows = _probes(held)
-    if not len(probes):
-        return unanswered
-    width = probes.shape[1]
-    pivots = np.unique(probes, axis=0)
-    pivots = pivots[: max(1, int(math.sqrt(rows) / 2))]
     wanted = k + int(skip_same_id)
-    element = schema[embedding].dataType.elementType
-    stored = "<f4" if isinstance(element, T.FloatType) else "<f8"
-
-    id_type = schema[vec_id].dataType.simpleString()
+    if index is None:
+        index = _packed(corpus, wanted, vec_id, embedding, carry)
+    elif index.keep < wanted or not set(carry) <= set(index.carry):
+        raise ValueError(f"The index answers up to {index.keep} rows and carries {index.carry}")
+    if index.blocks is None:
+        return unanswered
+    blocks, pivots, probes, cells, lanes = index.blocks, index.pivots, index.probes, index.cells, index.lanes
+    width, stored = probes.shape[1], index.stored
     query_type = queries.schema[query_id].dataType.simpleString()
-    carried = "".join(f", {c} array<{schema[c].dataType.simpleString()}>" for c in carry)
-    ranges = "low array<double>, high array<double>"
-    blocks = _few_copies(held, wanted).mapInPandas(
-        _pack(pivots, _corpus_block(pivots), stored, carry),
-        f"ids array<{id_type}>, vectors binary{carried}, cell int, {ranges}",
-    )
-    # The packed corpus is read for its ranges, and in both passes.
-    blocks = durable(blocks.withColumn("block", F.xxhash64("ids")))
-    cells, lanes = _cells(blocks, len(pivots))
     spread = F.create_map(*[F.lit(v) for cell, count in lanes.items() for v in (cell, count)])
     partial = T.StructType([f for f in answer.fields if f.name != "rank"])
     columns = ("q_ids", "q_vectors", "bounds", "ids", "vectors", *carry)

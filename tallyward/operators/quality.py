@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.functions.text import grouped, shortest
-from tallyward.functions.totals import exact, merged_sums, partial_sums, with_blank_sums
+from tallyward.functions.totals import exact, has_sums, merged_sums, partial_sums, with_blank_sums
 from tallyward.operators.kpi import KPI_MEASURES, kpi_columns
 from tallyward.schema import (
     ABSENT_COLUMN,
@@ -310,6 +310,10 @@ def unreconciled_expenses(
     return row_issues(df, source, (5,), tolerance, strict_double)
 
 
+# Copies of one issue that one row is spread into at a time.
+COPIES = 4096
+
+
 def all_issues(
     df: DataFrame,
     source: str | None = None,
@@ -320,11 +324,43 @@ def all_issues(
     """Issues of all rules; ``rule_order`` gives their fixed order.
 
     ``files`` (source, _absent_columns) lists the sources, for those without rows.
+
+    One scan and one shuffle: each row gives a mark of its key and its own findings,
+    and equal ones are counted. A mark that comes again is a repeated key, a finding
+    as many issues as rows have it, so no list of a key's rows is ever built.
     """
-    findings = _absent_findings(df if files is None else files, source)
-    findings = findings.unionByName(_key_findings(df, source))
-    rows = _row_findings(df, source, (3, 4, 5), tolerance, strict_double)
-    return _worded(findings.unionByName(rows))
+    absent = _absent_findings(df if files is None else files, source)
+    keyed = F.lit(set(KEY_COLUMNS) <= set(df.columns))
+    keyed = keyed & _present(df, "location_id") & _present(df, "month")
+
+    def entry(rule: int, column: Column, observed: Column, row: Column) -> Column:
+        return F.struct(
+            F.lit(rule).alias("rule_order"),
+            column.cast("string").alias("column_name"),
+            observed.cast("string").alias("observed"),
+            row.cast("bigint").alias("row_index"),
+        )
+
+    nothing = F.lit(None)
+    entries = [F.when(keyed, entry(2, nothing, nothing, nothing))]
+    for rule, mask, name, observed in _row_checks(df, (3, 4, 5), tolerance, strict_double):
+        entries.append(F.when(mask, entry(rule, F.lit(name), observed, _row_index(df))))
+    tagged = df.select(
+        _source(df, source).alias("source"),
+        _key(df, "location_id", "string").alias("location_id"),
+        _key(df, "month", "date").alias("month"),
+        F.explode(F.array_compact(F.array(*entries))).alias("entry"),
+    ).select("source", "location_id", "month", "entry.*")
+    names = ("source", "location_id", "month", "rule_order", "column_name", "observed", "row_index")
+    counted = tagged.groupBy(*names).agg(F.count("*").alias("n")).where("rule_order > 2 OR n > 1")
+    times = F.when(F.col("rule_order") == 2, 1).otherwise(F.col("n"))
+    parts = counted.withColumn("times", times).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.expr(f"(times - 1) div {COPIES}")))
+    )
+    copies = F.least(F.lit(COPIES), F.col("times") - F.col("part") * COPIES)
+    listed = parts.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    size = F.when(F.col("rule_order") == 2, F.col("n").cast("string")).otherwise(F.col("observed"))
+    return _worded(absent.unionByName(listed.withColumn("observed", size).select(*FINDING)))
 
 
 def with_bad_severity(issues: DataFrame) -> DataFrame:
@@ -345,6 +381,42 @@ def _count_name(issue_type: str) -> str:
     return f"n_{issue_type}"
 
 
+def fault_counts(df: DataFrame, tolerance: str = TOLERANCE, strict_double: bool = False) -> list[Column]:
+    """Aggregates that count rows with a key and faults of each rule; see
+    :func:`merged_faults`."""
+    blanks = F.lit(0)
+    for name in _checked_columns(df):
+        blanks = blanks + missing_mask(df, name).cast("int")
+    both = set(KEY_COLUMNS) <= set(df.columns)
+    keyed = _present(df, "location_id") & _present(df, "month") & F.lit(both)
+    if ABSENT_COLUMN in df.columns:
+        absent = F.size(F.array_intersect(ABSENT_COLUMN, F.array(*map(F.lit, REQUIRED_COLUMNS))))
+    else:
+        absent = F.lit(len(set(REQUIRED_COLUMNS) - set(df.columns)))
+    return [
+        F.count_if(keyed).alias("_keyed"),
+        F.max(absent).alias("_absent"),
+        F.sum(blanks).alias("_blanks"),
+        F.count_if(negative_mask(df)).alias("_negative"),
+        F.count_if(unreadable_month_mask(df)).alias("_unreadable"),
+        F.count_if(unreconciled_mask(df, tolerance, strict_double)).alias("_apart"),
+    ]
+
+
+def merged_faults() -> list[Column]:
+    """Aggregates that put the columns made by :func:`fault_counts` together."""
+    added = [F.sum(c).alias(c) for c in ("_keyed", "_blanks", "_negative", "_unreadable", "_apart")]
+    return [*added, F.max("_absent").alias("_absent")]
+
+
+def is_cube(df: DataFrame) -> bool:
+    return "_keyed" in df.columns
+
+
+def cube_measures(df: DataFrame) -> list[str]:
+    return [c for c in KPI_MEASURES if has_sums(df, c)]
+
+
 def source_profile(
     df: DataFrame,
     source: str | None = None,
@@ -358,39 +430,24 @@ def source_profile(
     as is a table that is one ``source`` by name, with or without rows.
 
     Rows are reduced per (source, location, month) first, which finds repeated
-    keys and keeps a large source spread over many tasks, then per source.
+    keys and keeps a large source spread over many tasks, then per source. A cube
+    (:mod:`tallyward.operators.cube`) is reduced already.
     """
-    columns = _checked_columns(df)
-    blanks = F.lit(0)
-    for name in columns:
-        blanks = blanks + missing_mask(df, name).cast("int")
     keys = [c for c in KEY_COLUMNS if c in df.columns]
-    both = len(keys) == len(KEY_COLUMNS)
-    keyed = _present(df, "location_id") & _present(df, "month") & F.lit(both)
-    if ABSENT_COLUMN in df.columns:
-        absent = F.size(F.array_intersect(ABSENT_COLUMN, F.array(*map(F.lit, REQUIRED_COLUMNS))))
+    if is_cube(df):
+        measures = cube_measures(df)
+        sums = [*merged_faults(), *merged_sums(measures)]
+        per_key = df.withColumnRenamed(SOURCE_COLUMN, "_source").groupBy("_source", *keys).agg(*sums)
     else:
-        absent = F.lit(len(set(REQUIRED_COLUMNS) - set(df.columns)))
-    measures = [c for c in KPI_MEASURES if c in df.columns]
-    per_key = (
-        df.withColumn("_source", _source(df, source))
-        .groupBy("_source", *keys)
-        .agg(
-            F.count_if(keyed).alias("keyed"),
-            F.max(absent).alias("absent"),
-            F.sum(blanks).alias("blanks"),
-            F.count_if(negative_mask(df)).alias("negative"),
-            F.count_if(unreadable_month_mask(df)).alias("unreadable"),
-            F.count_if(unreconciled_mask(df, tolerance, strict_double)).alias("apart"),
-            *partial_sums(df, measures),
-        )
-    )
+        measures = [c for c in KPI_MEASURES if c in df.columns]
+        sums = [*fault_counts(df, tolerance, strict_double), *partial_sums(df, measures)]
+        per_key = df.withColumn("_source", _source(df, source)).groupBy("_source", *keys).agg(*sums)
     profile = per_key.groupBy(F.col("_source").alias("source")).agg(
-        F.max("absent").cast("bigint").alias(_count_name(ISSUE_TYPES[0])),
-        F.count_if(F.col("keyed") > 1).alias(_count_name(ISSUE_TYPES[1])),
-        F.sum("blanks").alias(_count_name(ISSUE_TYPES[2])),
-        F.sum(F.col("negative") + F.col("unreadable")).alias(_count_name(ISSUE_TYPES[3])),
-        F.sum("apart").alias(_count_name(ISSUE_TYPES[4])),
+        F.max("_absent").cast("bigint").alias(_count_name(ISSUE_TYPES[0])),
+        F.count_if(F.col("_keyed") > 1).alias(_count_name(ISSUE_TYPES[1])),
+        F.sum("_blanks").alias(_count_name(ISSUE_TYPES[2])),
+        F.sum(F.col("_negative") + F.col("_unreadable")).alias(_count_name(ISSUE_TYPES[3])),
+        F.sum("_apart").alias(_count_name(ISSUE_TYPES[4])),
         *merged_sums(measures),
     )
     if files is None and source is not None and SOURCE_COLUMN not in df.columns:
@@ -431,10 +488,13 @@ def issue_type_sets(df: DataFrame, source: str | None = None, **options) -> Data
 
 def validated(df: DataFrame, source: str | None = None, **options) -> DataFrame:
     """Per source: issue count and whether it may be reported on."""
+    return verdicts(source_profile(df, source, **options))
+
+
+def verdicts(profile: DataFrame) -> DataFrame:
+    """The verdict on each source of a :func:`source_profile`."""
     count = _total_issues().cast("bigint")
-    return source_profile(df, source, **options).select(
-        "source", count.alias("issue_count"), (count == 0).alias("clean")
-    )
+    return profile.select("source", count.alias("issue_count"), (count == 0).alias("clean"))
 
 
 def clean_source_kpis(df: DataFrame, source: str | None = None, **options) -> DataFrame:

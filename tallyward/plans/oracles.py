@@ -527,6 +527,20 @@ ORACLES: dict[str, str] = {
           SELECT {_source('year')} AS source, {TOTALS} FROM dirty GROUP BY 1)
         SELECT source, {VARIANCE} FROM totals
         WHERE source NOT IN (SELECT source FROM found)""",
+    "summary_cube": f"""
+        WITH {DIRTY} SELECT {_source('year')} AS source, location_id, region, month, count(*) AS row_count,
+          {_sum('revenue')} AS revenue, {_sum('budget_revenue')} AS budget_revenue,
+          {_sum('labor_expense')} AS labor_expense, {_sum('other_expense')} AS other_expense,
+          CAST(sum((region IS NULL)::INT + (revenue IS NULL)::INT) AS bigint) AS blank_cells,
+          count(*) FILTER (volume < 0) AS negative_volumes,
+          count(*) FILTER ({DIFFERENCE} > 0.01) AS unreconciled
+        FROM dirty GROUP BY ALL""",
+    "cube_gated_kpis": f"""
+        WITH {DIRTY}, {_found(_source('year'))},
+        totals AS (
+          SELECT {_source('year')} AS source, {TOTALS} FROM dirty GROUP BY 1)
+        SELECT source, {VARIANCE}, {MARGIN}, {LABOR} FROM totals
+        WHERE source NOT IN (SELECT source FROM found)""",
     "issue_counts": f"""
         WITH {DIRTY}, {TYPES}, {_found("'all'")}
         SELECT t.issue_type, count(f.issue_type) AS issue_count

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.operators import charts, chunks, kpi, narrative, nearest, quality, scorecards
+from tallyward.operators import charts, chunks, cube, kpi, narrative, nearest, quality, scorecards
 from tallyward.schema import ABSENT_COLUMN, REQUIRED_COLUMNS
 from tallyward.session import durable
 from tallyward.sources import facts, tables
@@ -159,8 +159,7 @@ def dq_reconciliation(spark, folder):
 
 @registered
 def dq_all_issues(spark, folder):
-    # Read twice, for keys and for rows.
-    ops = durable(facts.operations_with_faults(spark, folder))
+    ops = facts.operations_with_faults(spark, folder)
     return quality.all_issues(ops, ALL).select(
         "rule_order", "issue_type", "severity", "location_id", "month", "column_name"
     )
@@ -192,6 +191,22 @@ def gated_kpis(spark, folder):
     )
 
 
+@registered
+def summary_cube(spark, folder):
+    ops = facts.with_source_year(facts.operations_with_faults(spark, folder))
+    return cube.cells(cube.summary_cube(ops)).drop("location_name", "unreadable_months")
+
+
+@registered
+def cube_gated_kpis(spark, folder):
+    """Two batches, odd months and even ones, each with its cube; the gate and the KPIs
+    of both from the cubes put together."""
+    ops = facts.with_source_year(facts.operations_with_faults(spark, folder))
+    odd = F.month("month") % 2 == 1
+    both = cube.merged(*[cube.summary_cube(ops.where(part)) for part in (odd, ~odd)])
+    return quality.clean_source_kpis(both)
+
+
 @registered
 def issue_counts(spark, folder):
     counts = quality.issue_counts(facts.operations_with_faults(spark, folder), ALL)
@@ -388,7 +403,9 @@ def corpus_build(spark, folder):
 @registered
 def knn_top3(spark, folder):
     vectors = facts.table(spark, folder, "embeddings")
-    hits = nearest.nearest(vectors, vectors, k=3, carry=["label"], skip_same_id=True)
+    # The scorecards and citations ask the same corpus: whichever comes first packs it.
+    index = nearest.corpus_index(vectors, k=3, carry=["label"])
+    hits = nearest.nearest(vectors, vectors, k=3, carry=["label"], skip_same_id=True, index=index)
     return hits.select("query_id", "rank", "vec_id", "label", "distance")
 
 

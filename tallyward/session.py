@@ -62,10 +62,21 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    written(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(path: str) -> None:
+    """Has :func:`drop_durable` delete the path as well."""
+    _written.append(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any file system that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def drop_durable(spark: SparkSession) -> int:
     """Deletes every table that :func:`durable` has written in this process, and
     says how many. Results that read them cannot be computed any more."""

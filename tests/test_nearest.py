@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyward.operators import nearest, scorecards
+from tallyward.plans.queries import REGISTRY
+from tallyward.session import drop_durable
 
 
 def vectors(count, width=6, seed=0, clusters=4):
@@ -199,3 +201,87 @@ def test_far_blocks_are_not_compared(spark, monkeypatch):
         gaps = ((points - points[q]) ** 2).sum(axis=1)
         gaps[q] = np.inf
         assert got[q] == list(np.lexsort((np.arange(4000), gaps))[:3])
+
+
+def _counted_packings(monkeypatch):
+    packings = []
+    packed = nearest._packed
+    monkeypatch.setattr(nearest, "_packed", lambda *a, **o: packings.append(1) or packed(*a, **o))
+    return packings
+
+
+def test_scorecards_and_citations_pack_the_corpus_once(spark, tables, monkeypatch):
+    drop_durable(spark)
+    packings = _counted_packings(monkeypatch)
+    names = ("knn_top3", "knn_citation", "retrieval_scorecard", "routing_scorecard")
+    first = [sorted(map(tuple, REGISTRY[n](spark, tables).collect())) for n in names]
+    assert packings == [1]
+    # Dropped with the other tables, so the next one packs again, to the same answers.
+    drop_durable(spark)
+    assert sorted(map(tuple, REGISTRY["knn_top3"](spark, tables).collect())) == first[0]
+    assert packings == [1, 1]
+
+
+def test_saved_index_answers_as_the_corpus_does(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist(), f"name {i % 7}") for i in range(400)]
+    rows += [(1000 + i, rows[3][1], "copy") for i in range(50)] + [(2000, None, "none")]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>, name string")
+    folder = str(tmp_path / "index")
+    packings = _counted_packings(monkeypatch)
+    for k, skip in ((5, False), (2, True), (5, True)):
+        index = nearest.corpus_index(corpus, k=5, carry=["name"], folder=folder)
+        found = nearest.nearest(corpus, corpus, k, carry=["name"], skip_same_id=skip, index=index)
+        plain = nearest.nearest(corpus, corpus, k, carry=["name"], skip_same_id=skip)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+    # One for the index, one for each search without it.
+    assert len(packings) == 4
+    drop_durable(spark)
+    nearest.corpus_index(corpus, k=5, carry=["name"], folder=folder)
+    assert len(packings) == 4
+
+
+@pytest.mark.parametrize("change", ["vector", "id", "carried", "gone", "more"])
+def test_changed_corpus_is_packed_anew(spark, tmp_path, monkeypatch, change):
+    columns = "vec_id long, embedding array<float>, name string"
+    rows = [(i, [float(i), 1.0], "n") for i in range(20)]
+    folder = str(tmp_path / "index")
+    packings = _counted_packings(monkeypatch)
+    nearest.corpus_index(spark.createDataFrame(rows, columns), carry=["name"], folder=folder)
+    nearest.corpus_index(spark.createDataFrame(rows[::-1], columns), carry=["name"], folder=folder)
+    assert len(packings) == 1
+    other = {
+        "vector": [*rows[:-1], (19, [19.0, 1.5], "n")],
+        "id": [*rows[:-1], (99, [19.0, 1.0], "n")],
+        "carried": [*rows[:-1], (19, [19.0, 1.0], "other")],
+        "gone": rows[:-1],
+        "more": [*rows, rows[-1]],
+    }[change]
+    index = nearest.corpus_index(spark.createDataFrame(other, columns), carry=["name"], folder=folder)
+    assert len(packings) == 2
+    found = nearest.nearest(spark.createDataFrame([(0, [19.0, 1.5])], "vec_id long, embedding array<float>"), spark.createDataFrame(other, columns), k=1, carry=["name"], index=index).first()
+    assert found.vec_id == {"id": 99, "gone": 18}.get(change, 19)
+
+
+def test_index_of_an_empty_corpus_and_too_small_an_index(spark, tmp_path):
+    columns = "vec_id long, embedding array<double>"
+    nothing = spark.createDataFrame([(1, None)], columns)
+    asked = spark.createDataFrame([(7, [1.0, 2.0])], columns)
+    for _ in range(2):
+        index = nearest.corpus_index(nothing, folder=str(tmp_path))
+        assert nearest.nearest(asked, nothing, index=index).collect() == []
+    corpus = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(9)], columns)
+    index = nearest.corpus_index(corpus, k=2, folder=str(tmp_path))
+    with pytest.raises(ValueError, match="answers up to 3"):
+        nearest.nearest(asked, corpus, k=4, index=index)
+
+
+def test_half_written_index_is_none(spark, tmp_path, monkeypatch):
+    corpus = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(9)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(nearest, "ABOUT", "no schema")
+    with pytest.raises(Exception):
+        nearest.corpus_index(corpus, folder=str(tmp_path))
+    monkeypatch.undo()
+    packings = _counted_packings(monkeypatch)
+    nearest.corpus_index(corpus, folder=str(tmp_path))
+    assert packings == [1]
