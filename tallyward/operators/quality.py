@@ -192,6 +192,37 @@ def required_columns(df: DataFrame, source: str | None = None) -> DataFrame:
     return _worded(_absent_findings(df, source))
 
 
+def presence(df: DataFrame, source: str | None = None) -> DataFrame:
+    """source and present: one bit per required column, set where a row of the source
+    has a value in it. Bitmaps of parts of a source are put together by ``bit_or``."""
+    bits = F.lit(0)
+    for i, name in enumerate(REQUIRED_COLUMNS):
+        if name in df.columns:
+            held = F.col(name).isNotNull() & _present(df, name)
+            bits = bits + F.when(held, 1 << i).otherwise(0)
+    return df.groupBy(_source(df, source).alias("source")).agg(F.bit_or(bits).alias("present"))
+
+
+def wholly_missing_columns(df: DataFrame, source: str | None = None) -> DataFrame:
+    """:func:`required_columns` for a table whose files are not known any more: a column
+    is not there if no row of the source has a value in it. One scan; what is shuffled is
+    a bitmap per task and source."""
+    names = F.array(*[F.lit(c) for c in REQUIRED_COLUMNS])
+    lacking = F.filter(names, lambda c, i: F.expr("present").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) == 0)
+    absent = presence(df, source).select("source", F.explode(lacking).alias("column_name"))
+    return _worded(
+        absent.selectExpr(
+            "1 as rule_order",
+            "source",
+            "cast(null as string) as location_id",
+            "cast(null as date) as month",
+            "column_name",
+            "cast(null as bigint) as row_index",
+            "cast(null as string) as observed",
+        )
+    )
+
+
 def _no_findings(df: DataFrame) -> DataFrame:
     fields = [f for f in ISSUE_SCHEMA.fields if f.name in FINDING]
     return df.sparkSession.createDataFrame([], T.StructType(fields)).select(*FINDING)

@@ -1,6 +1,7 @@
 """The registered queries in plain SQL, for checking results in another engine."""
 
 from tallyward.functions.text import WHITE_SPACE
+from tallyward.schema import REQUIRED_COLUMNS
 from tallyward.sources.facts import LETTERS
 
 OPS = """
@@ -103,6 +104,26 @@ types AS (
 """
 
 
+HASHED = """
+hashed AS (
+  SELECT doc_id, CAST('0x' || substr(md5(concat(
+    coalesce(length(text) || ':' || text, '-'), coalesce(length(lang) || ':' || lang, '-'),
+    coalesce(length(source) || ':' || source, '-'),
+    coalesce(length(CAST(n_chars AS varchar)) || ':' || n_chars, '-'))), 1, 15) AS bigint) AS digits
+  FROM documents)
+"""
+
+
+def _power(exponent: str, prime: int, base: int, bits: int = 40) -> str:
+    """base ** exponent modulo the prime."""
+    result, factor = "CAST(1 AS bigint)", base
+    for bit in range(bits):
+        step = f"CASE WHEN (({exponent}) >> {bit}) & 1 = 1 THEN {factor} ELSE 1 END"
+        result = f"(({result} * {step}) % {prime})"
+        factor = factor * factor % prime
+    return result
+
+
 def _sum(column: str) -> str:
     return f"CAST(coalesce(sum(CAST({column} AS decimal(28,4))), 0) AS double)"
 
@@ -474,13 +495,28 @@ ORACLES: dict[str, str] = {
             coalesce(length(CAST(n_chars AS varchar)) || ':' || n_chars, '-'))), 1, 15) AS bigint)),
           0) AS varchar) AS fingerprint
         FROM documents""",
-    "dq_required_columns": """
-        SELECT r_name AS source, column_name, 'error' AS severity
-        FROM region CROSS JOIN (
-          SELECT unnest(['location_id', 'location_name', 'region', 'month', 'revenue',
-                         'budget_revenue', 'labor_expense', 'other_expense', 'volume']) AS column_name,
-                 unnest(range(9)) AS place)
-        WHERE (place + r_regionkey) % 4 = 0""",
+    "dq_required_columns": f"""
+        WITH {DIRTY}, named AS (
+          SELECT *, location_id || '/' || strftime(month, '%Y-%m') AS source FROM dirty),
+        held AS (
+          SELECT source, unnest([
+            {", ".join(f"{{'column_name': '{c}', 'cells': count({c})}}" for c in REQUIRED_COLUMNS)}], recursive := true)
+          FROM named GROUP BY source)
+        SELECT source, column_name, 'error' AS severity FROM held WHERE cells = 0""",
+    "ordered_fingerprint": f"""
+        WITH {HASHED} SELECT count(*) AS row_count, concat(
+          CAST(coalesce(sum(digits % 2147483647 * {_power('doc_id', 2147483647, 1000003)} % 2147483647), 0)
+            % 2147483647 AS bigint), '-',
+          CAST(coalesce(sum(digits % 2147483629 * {_power('doc_id', 2147483629, 998244353)} % 2147483629), 0)
+            % 2147483629 AS bigint)) AS fingerprint
+        FROM hashed""",
+    "fingerprint_spans": f"""
+        WITH {HASHED} SELECT doc_id // 64 AS span, count(*) AS row_count,
+          CAST(sum(digits % 2147483647 * {_power('doc_id % 64', 2147483647, 1000003)} % 2147483647)
+            % 2147483647 AS bigint) AS first,
+          CAST(sum(digits % 2147483629 * {_power('doc_id % 64', 2147483629, 998244353)} % 2147483629)
+            % 2147483629 AS bigint) AS second
+        FROM hashed GROUP BY 1""",
     "empty_source_counts": f"""
         WITH {DIRTY}, {TYPES}, {_found('region')}
         SELECT r_name AS source, t.issue_type, count(f.issue_type) AS issue_count

@@ -86,6 +86,17 @@ def dataset_fingerprint(spark, folder):
     return tables.fingerprint(facts.table(spark, folder, "documents"))
 
 
+@registered
+def ordered_fingerprint(spark, folder):
+    return tables.ordered_fingerprint(facts.table(spark, folder, "documents"), "doc_id")
+
+
+@registered
+def fingerprint_spans(spark, folder):
+    """Where a version of the documents differs from another: a digest per 64 ids."""
+    return tables.span_digests(facts.table(spark, folder, "documents"), "doc_id", 64)
+
+
 # Data quality
 
 
@@ -98,15 +109,11 @@ def multi_source_issue_counts(spark, folder):
 
 @registered
 def dq_required_columns(spark, folder):
-    """A batch with a source per region, each without some of the columns: those
-    whose place in the list, counted on from the region's key, is a multiple of four."""
-    region = facts.table(spark, folder, "region")
-    places = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(i).alias("i")) for i, c in enumerate(REQUIRED_COLUMNS)])
-    lacking = F.filter(places, lambda p: (p["i"] + F.col("r_regionkey")) % 4 == 0)
-    batch = region.select(
-        F.col("r_name").alias("source"), F.transform(lacking, lambda p: p["c"]).alias(ABSENT_COLUMN)
-    )
-    return quality.required_columns(batch).select("source", "column_name", "severity")
+    """Each location sends a file a month: the columns a file has no value in."""
+    ops = facts.operations_with_faults(spark, folder)
+    files = F.concat_ws("/", "location_id", F.date_format("month", "yyyy-MM"))
+    found = quality.wholly_missing_columns(ops.withColumn("source", files))
+    return found.select("source", "column_name", "severity")
 
 
 @registered

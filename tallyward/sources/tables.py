@@ -333,22 +333,89 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and a content hash that does not depend on row order.
-
-    Each cell goes in with its length, a missing one as a mark of its own, so
-    that no value can move to a neighbouring cell unnoticed. Fifteen digits of
-    each row's MD5 are added up.
-    """
+def _row_hash(names: Sequence[str]) -> Column:
+    """Fifteen digits of the MD5 of all cells. Each cell goes in with its length, a
+    missing one as a mark of its own, so that no value can move to a neighbouring cell
+    unnoticed."""
 
     def cell(name: str) -> Column:
         text = F.col(f"`{name}`").cast("string")
         tagged = F.concat(F.length(text).cast("string"), F.lit(":"), text)
         return F.coalesce(tagged, F.lit("-"))
 
-    digits = F.substring(F.md5(F.concat(*[cell(c) for c in df.columns])), 1, 15)
-    row_hash = F.conv(digits, 16, 10).cast("decimal(20,0)")
+    digits = F.substring(F.md5(F.concat(*[cell(c) for c in names])), 1, 15)
+    return F.conv(digits, 16, 10)
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """Row count and a content hash that does not depend on row order: the hashes of
+    all rows added up."""
     return df.agg(
         F.count("*").alias("row_count"),
-        F.coalesce(F.sum(row_hash), F.lit(0)).cast("string").alias("fingerprint"),
+        F.coalesce(F.sum(_row_hash(df.columns).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("fingerprint"),
+    )
+
+
+# Two polynomials, each over a prime below 2 ** 31, so that products fit a long.
+POLYNOMIALS = ((2147483647, 1000003), (2147483629, 998244353))
+POSITION_BITS = 62
+
+
+def _power(exponent: Column, prime: int, base: int, bits: int) -> Column:
+    """base ** exponent modulo the prime, by the bits of the exponent."""
+    squares = F.array(
+        *[F.struct(F.lit(i).alias("bit"), F.lit(pow(base, 1 << i, prime)).cast("bigint").alias("factor")) for i in range(bits)]
+    )
+
+    def step(result: Column, square: Column) -> Column:
+        is_set = F.call_function("shiftright", exponent, square["bit"]).bitwiseAND(F.lit(1).cast("bigint")) == 1
+        return F.when(is_set, F.pmod(result * square["factor"], F.lit(prime))).otherwise(result)
+
+    return F.aggregate(squares, F.lit(1).cast("bigint"), step)
+
+
+def span_digests(df: DataFrame, position: str, span: int = 4096) -> DataFrame:
+    """span, row_count, first and second: for every ``span`` positions how many rows lie
+    there, and a digest of what stands where.
+
+    ``position`` is a whole number from 0, such as a row number; rows without one are the
+    span that has no number, and their order does not count. A digest is a pair of
+    polynomials, each row's hash being the coefficient of its place in the span. So two
+    rows that change places change it, and comparing the digests of two versions tells
+    where they differ. Rows are neither moved nor sorted: digests are sums, put together
+    from those of the tasks.
+    """
+    place = F.col(position).cast("bigint")
+    inside = F.coalesce(F.pmod(place, F.lit(span)), F.lit(0)).cast("bigint")
+    digits = _row_hash([c for c in df.columns if c != position]).cast("bigint")
+    narrow = df.select(
+        F.expr(f"cast(floor(`{position}` / {span}) AS bigint)").alias("span"), inside.alias("inside"), digits.alias("digits")
     )
+    terms = [
+        F.pmod(F.pmod("digits", F.lit(prime)) * _power(F.col("inside"), prime, base, span.bit_length()), F.lit(prime)).alias(name)
+        for name, (prime, base) in zip(("first", "second"), POLYNOMIALS, strict=True)
+    ]
+    sums = [
+        F.pmod(F.sum(name), F.lit(prime)).cast("bigint").alias(name)
+        for name, (prime, _) in zip(("first", "second"), POLYNOMIALS, strict=True)
+    ]
+    return narrow.select("span", *terms).groupBy("span").agg(F.count("*").alias("row_count"), *sums)
+
+
+def ordered_fingerprint(df: DataFrame, position: str, span: int = 4096) -> DataFrame:
+    """Row count and a content hash that depends on which row stands where, put together
+    from :func:`span_digests`. The same for any ``span``."""
+    return joined_digests(span_digests(df, position, span), span)
+
+
+def joined_digests(digests: DataFrame, span: int = 4096) -> DataFrame:
+    """One fingerprint of many spans, each shifted to its place. Where a batch is
+    appended, its spans' digests join those that were kept."""
+    start = F.coalesce(F.col("span") * span, F.lit(0)).cast("bigint")
+    parts = [
+        F.pmod(F.sum(F.pmod(F.col(name) * _power(start, prime, base, POSITION_BITS), F.lit(prime))), F.lit(prime))
+        for name, (prime, base) in zip(("first", "second"), POLYNOMIALS, strict=True)
+    ]
+    both = F.concat_ws("-", *[F.coalesce(p.cast("bigint"), F.lit(0)).cast("string") for p in parts])
+    rows = F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count")
+    return digests.agg(rows, both.alias("fingerprint"))
