@@ -4,8 +4,9 @@ Every distinct shingle set gets one label per tree, a string of min-hashes. Each
 tree is a sorted order of all labels. Neighbours in an order whose labels share a
 long enough prefix are candidates. How deep that prefix is follows from the region:
 where few labels share two values, all of them are compared; where many do, only
-those next to each other, which are those that share most. Candidates are confirmed
-on the full sets, and confirmed links are joined to components.
+those next to each other, which are those that share most. Counts of shingles by bucket
+bound what two sets share, which drops most pairs that are none, and no other. The rest
+are confirmed on the full sets, next neighbours first, then those not linked by them.
 
 A label in a crowded region may have its link farther away than the window. A region
 is all sets that share two values in a tree. Where one has more sets than the window
@@ -38,13 +39,16 @@ WINDOW = 8
 # Sets and shingles of a lane, of which a block of a crowded region holds two.
 LANE_SETS = 512
 LANE_SHINGLES = 1_000_000
+# Buckets in which a set's shingles are counted, to bound what two sets can share.
+BUCKETS = 64
 COLUMNS = 2048
 ROWS_A_TASK = 50_000
 LABEL = 4 * DEPTH
 
 
 def _signatures(width: int):
-    """Task code: shingle count, id of the set, and the labels of all trees."""
+    """Task code: shingle count, id of the set, the labels of all trees, and how many
+    shingles fall into each bucket (255: that many or more)."""
 
     def min_hashes(own: np.ndarray) -> np.ndarray:
         factor = (texts.seeded(TREES * DEPTH, 3) | np.uint64(1))[:, None]
@@ -59,19 +63,22 @@ def _signatures(width: int):
 
         for batch in texts.blocks(batches):
             hashes, counts = texts.word_hashes(*texts.utf8(batch.column("text")))
-            sizes, ids, labels = [], [], []
+            sizes, ids, labels, spreads = [], [], [], []
             for own in texts.shingle_sets(hashes, counts, width):
                 sizes.append(len(own))
                 ids.append(hashlib.md5(own.tobytes()).digest() if len(own) else None)
                 labels.append(min_hashes(own).tobytes() if len(own) else None)
+                spread = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
+                spreads.append(np.minimum(spread, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(ids, pa.binary()),
                     pa.array(labels, pa.binary()),
+                    pa.array(spreads, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_id", "labels"],
+                ["doc_id", "n_shingles", "set_id", "labels", "spread"],
             )
 
     return sign
@@ -98,30 +105,37 @@ def _full_sets(width: int):
 
 
 def _neighbours(rows: pa.Table, share: int, window: int, least: int):
-    """Places of neighbours in one sorted run of labels whose sizes allow a link."""
+    """Places and distance of neighbours in one sorted run of labels whose sizes and
+    buckets allow a link: two sets share no more than the lesser count of each bucket."""
     labels = np.frombuffer(b"".join(rows.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)
     labels, tree = labels.astype(np.uint32), rows.column("tree").to_numpy()
     sizes = rows.column("n_shingles").to_numpy()
+    spread = np.frombuffer(b"".join(rows.column("spread").to_pylist()), np.uint8).reshape(-1, BUCKETS)
     for step in range(1, min(window, len(labels) - 1) + 1):
         near = (tree[:-step] == tree[step:]) & (labels[:-step, :least] == labels[step:, :least]).all(axis=1)
         at = np.flatnonzero(near)
         small, large = np.minimum(sizes[at], sizes[at + step]), np.maximum(sizes[at], sizes[at + step])
         at = at[100 * small >= share * large]
-        yield at, at + step
+        lesser = np.minimum(spread[at], spread[at + step])
+        most = (100 + share) * lesser.sum(axis=1, dtype=np.int64)
+        at = at[(most >= share * (sizes[at] + sizes[at + step])) | (lesser == 255).any(axis=1)]
+        yield at, at + step, step
 
 
 def _pairs(rows: pa.Table, found) -> pa.RecordBatch:
     ids = np.array(rows.column("set_id").to_pylist(), dtype=object)
-    left, right = [], []
-    for one, two in found:
+    left, right, steps = [], [], []
+    for one, two, step in found:
         a, b = ids[one], ids[two]
         swap = a > b
         left.extend(np.where(swap, b, a))
         right.extend(np.where(swap, a, b))
-    return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+        steps.extend([step] * len(one))
+    columns = [pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(steps, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "step"])
 
 
-PAIRS = "a binary, b binary"
+PAIRS = "a binary, b binary, step int"
 
 
 def _sorted_run(share: int, window: int, least: int, columns: str):
@@ -143,7 +157,7 @@ def _sorted_run(share: int, window: int, least: int, columns: str):
             if head is None or head.num_rows < window:
                 head = table.slice(0, window)
             new = (
-                (a[b >= fresh], b[b >= fresh]) for a, b in _neighbours(table, share, window, least)
+                (a[b >= fresh], b[b >= fresh], step) for a, b, step in _neighbours(table, share, window, least)
             )
             yield widened(_pairs(table, new), None, 0)
             kept = table.slice(max(0, table.num_rows - window))
@@ -153,14 +167,14 @@ def _sorted_run(share: int, window: int, least: int, columns: str):
 
     def widened(pairs, rows, border):
         size = pairs.num_rows if pairs is not None else rows.num_rows
-        left = [pa.nulls(size, t) for t in (pa.binary(), pa.binary())]
+        left = [pa.nulls(size, t) for t in (pa.binary(), pa.binary(), pa.int32())]
         right = [pa.nulls(size, t) for t in (pa.int32(), *types)]
         if pairs is not None:
             left = pairs.columns
         if rows is not None:
             own = [rows.column(n).combine_chunks() for n in names]
             right = [pa.array(np.full(size, border, np.int32)), *own]
-        return pa.RecordBatch.from_arrays([*left, *right], ["a", "b", "border", *names])
+        return pa.RecordBatch.from_arrays([*left, *right], ["a", "b", "step", "border", *names])
 
     return run, edge
 
@@ -184,9 +198,10 @@ def _usable(sets: DataFrame, share: int) -> DataFrame:
 
 def candidates(sets: DataFrame, share: int, window: int = WINDOW, least: int = LEAST_DEPTH) -> DataFrame:
     """Pairs (a, b) of set ids that some tree puts within ``window`` of each other with
-    ``least`` values shared, but for those whose sizes rule a link out; from set_id,
-    n_shingles and labels, one row per set."""
-    columns = "tree int, label binary, set_id binary, n_shingles long"
+    ``least`` values shared, but for those whose sizes or buckets rule a link out, and the
+    least distance (step) in any tree; from set_id, n_shingles, labels and spread, one row
+    per set."""
+    columns = "tree int, label binary, set_id binary, n_shingles long, spread binary"
     names = [c.split()[0] for c in columns.split(", ")]
     usable = _usable(sets, share)
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
@@ -200,9 +215,9 @@ def candidates(sets: DataFrame, share: int, window: int = WINDOW, least: int = L
     found = durable(ordered.mapInArrow(run, schema))
     edges = found.where(F.col("border").isNotNull()).select("border", *names)
     crossing = edges.groupBy("border").applyInArrow(_across(share, window, least), PAIRS)
-    inside = found.where(F.col("a").isNotNull()).select("a", "b")
+    inside = found.where(F.col("a").isNotNull()).select("a", "b", "step")
     both = inside.unionByName(crossing).where(F.col("a") != F.col("b"))
-    return both.distinct()
+    return both.groupBy("a", "b").agg(F.min("step").alias("step"))
 
 
 def _overlap(share: int):
@@ -359,22 +374,24 @@ def near_duplicates(
     id_type = docs.schema[doc_id].dataType.simpleString()
     signed = durable(
         source.mapInArrow(
-            _signatures(width), f"doc_id {id_type}, n_shingles long, set_id binary, labels binary"
+            _signatures(width),
+            f"doc_id {id_type}, n_shingles long, set_id binary, labels binary, spread binary",
         )
     )
     sets = durable(
         signed.where("set_id IS NOT NULL")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
+        .agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("n_shingles", "labels", "spread")])
     )
     pairs = durable(candidates(sets, share))
     crowded = durable(_crowded(sets, share))
     full = _gathered(source, sets, pairs, crowded, width)
-    found = components(_confirmed(full, pairs, share))
+    # Next neighbours first: in a large group they link most, and spare the other pairs.
+    found = components(_confirmed(full, pairs.where("step = 1"), share))
+    farther = durable(_confirmed(full, _apart(pairs.where("step > 1"), found), share))
+    found = _with_links(found, farther)
     links = durable(_met(full, crowded, found, share))
-    if not links.isEmpty():
-        known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = components(links.unionByName(known))
+    found = _with_links(found, links)
     named = found.join(sets.select(F.col("set_id").alias("node"), "least_id"), "node")
     roots = sets.select(F.col("set_id").alias("root"), F.col("least_id").alias("own_id"))
     least = named.groupBy("root").agg(F.min("least_id").alias("linked_id")).join(roots, "root")
@@ -392,6 +409,22 @@ def near_duplicates(
     return answer.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    for end in ("a", "b"):
+        roots = found.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        pairs = pairs.join(roots, end, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _with_links(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with further links (a, b)."""
+    if links.isEmpty():
+        return found
+    known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(links.unionByName(known))
+
+
 def _crowded(sets: DataFrame, share: int) -> DataFrame:
     """region, set_id and n_shingles of every set in a region with more sets than the
     window compares all of."""
