@@ -6,7 +6,7 @@ long enough prefix are candidates. How deep that prefix is follows from the regi
 where few labels share two values, all of them are compared; where many do, only
 those next to each other, which are those that share most. Counts of shingles by bucket
 bound what two sets share, which drops most pairs that are none, and no other. The rest
-are confirmed on the full sets, next neighbours first, then those not linked by them.
+are confirmed on the full sets, and confirmed links are joined to components.
 
 A label in a crowded region may have its link farther away than the window. A region
 is all sets that share two values in a tree. Where one has more sets than the window
@@ -105,7 +105,7 @@ def _full_sets(width: int):
 
 
 def _neighbours(rows: pa.Table, share: int, window: int, least: int):
-    """Places and distance of neighbours in one sorted run of labels whose sizes and
+    """Places of neighbours in one sorted run of labels whose sizes and
     buckets allow a link: two sets share no more than the lesser count of each bucket."""
     labels = np.frombuffer(b"".join(rows.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)
     labels, tree = labels.astype(np.uint32), rows.column("tree").to_numpy()
@@ -119,23 +119,21 @@ def _neighbours(rows: pa.Table, share: int, window: int, least: int):
         lesser = np.minimum(spread[at], spread[at + step])
         most = (100 + share) * lesser.sum(axis=1, dtype=np.int64)
         at = at[(most >= share * (sizes[at] + sizes[at + step])) | (lesser == 255).any(axis=1)]
-        yield at, at + step, step
+        yield at, at + step
 
 
 def _pairs(rows: pa.Table, found) -> pa.RecordBatch:
     ids = np.array(rows.column("set_id").to_pylist(), dtype=object)
-    left, right, steps = [], [], []
-    for one, two, step in found:
+    left, right = [], []
+    for one, two in found:
         a, b = ids[one], ids[two]
         swap = a > b
         left.extend(np.where(swap, b, a))
         right.extend(np.where(swap, a, b))
-        steps.extend([step] * len(one))
-    columns = [pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(steps, pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, ["a", "b", "step"])
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
 
-PAIRS = "a binary, b binary, step int"
+PAIRS = "a binary, b binary"
 
 
 def _sorted_run(share: int, window: int, least: int, columns: str):
@@ -157,7 +155,7 @@ def _sorted_run(share: int, window: int, least: int, columns: str):
             if head is None or head.num_rows < window:
                 head = table.slice(0, window)
             new = (
-                (a[b >= fresh], b[b >= fresh], step) for a, b, step in _neighbours(table, share, window, least)
+                (a[b >= fresh], b[b >= fresh]) for a, b in _neighbours(table, share, window, least)
             )
             yield widened(_pairs(table, new), None, 0)
             kept = table.slice(max(0, table.num_rows - window))
@@ -167,14 +165,14 @@ def _sorted_run(share: int, window: int, least: int, columns: str):
 
     def widened(pairs, rows, border):
         size = pairs.num_rows if pairs is not None else rows.num_rows
-        left = [pa.nulls(size, t) for t in (pa.binary(), pa.binary(), pa.int32())]
+        left = [pa.nulls(size, t) for t in (pa.binary(), pa.binary())]
         right = [pa.nulls(size, t) for t in (pa.int32(), *types)]
         if pairs is not None:
             left = pairs.columns
         if rows is not None:
             own = [rows.column(n).combine_chunks() for n in names]
             right = [pa.array(np.full(size, border, np.int32)), *own]
-        return pa.RecordBatch.from_arrays([*left, *right], ["a", "b", "step", "border", *names])
+        return pa.RecordBatch.from_arrays([*left, *right], ["a", "b", "border", *names])
 
     return run, edge
 
@@ -198,9 +196,8 @@ def _usable(sets: DataFrame, share: int) -> DataFrame:
 
 def candidates(sets: DataFrame, share: int, window: int = WINDOW, least: int = LEAST_DEPTH) -> DataFrame:
     """Pairs (a, b) of set ids that some tree puts within ``window`` of each other with
-    ``least`` values shared, but for those whose sizes or buckets rule a link out, and the
-    least distance (step) in any tree; from set_id, n_shingles, labels and spread, one row
-    per set."""
+    ``least`` values shared, but for those whose sizes or buckets rule a link out; from
+    set_id, n_shingles, labels and spread, one row per set."""
     columns = "tree int, label binary, set_id binary, n_shingles long, spread binary"
     names = [c.split()[0] for c in columns.split(", ")]
     usable = _usable(sets, share)
@@ -215,9 +212,9 @@ def candidates(sets: DataFrame, share: int, window: int = WINDOW, least: int = L
     found = durable(ordered.mapInArrow(run, schema))
     edges = found.where(F.col("border").isNotNull()).select("border", *names)
     crossing = edges.groupBy("border").applyInArrow(_across(share, window, least), PAIRS)
-    inside = found.where(F.col("a").isNotNull()).select("a", "b", "step")
+    inside = found.where(F.col("a").isNotNull()).select("a", "b")
     both = inside.unionByName(crossing).where(F.col("a") != F.col("b"))
-    return both.groupBy("a", "b").agg(F.min("step").alias("step"))
+    return both.distinct()
 
 
 def _overlap(share: int):
@@ -386,10 +383,7 @@ def near_duplicates(
     pairs = durable(candidates(sets, share))
     crowded = durable(_crowded(sets, share))
     full = _gathered(source, sets, pairs, crowded, width)
-    # Next neighbours first: in a large group they link most, and spare the other pairs.
-    found = components(_confirmed(full, pairs.where("step = 1"), share))
-    farther = durable(_confirmed(full, _apart(pairs.where("step > 1"), found), share))
-    found = _with_links(found, farther)
+    found = components(_confirmed(full, pairs, share))
     links = durable(_met(full, crowded, found, share))
     found = _with_links(found, links)
     named = found.join(sets.select(F.col("set_id").alias("node"), "least_id"), "node")
@@ -409,14 +403,6 @@ def near_duplicates(
     return answer.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    for end in ("a", "b"):
-        roots = found.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        pairs = pairs.join(roots, end, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
 def _with_links(found: DataFrame, links: DataFrame) -> DataFrame:
     """Components with further links (a, b)."""
     if links.isEmpty():
