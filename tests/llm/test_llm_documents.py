@@ -493,3 +493,33 @@ def test_a_notice_with_more_edits_before_a_better_one():
     scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES)
     spans = scanner.scan(b"the mozila public license mozilla public license end")["spans"]
     assert [(s[0], s[1], s[2], s[5]) for s in spans] == [("mpl", 1, 3, 1), ("mpl", 4, 6, 0)]
+
+
+def test_buckets_rule_out_no_link():
+    """Of neighbours in a run, every pair at four fifths or more stays, large sets included."""
+    pick = np.random.default_rng(12)
+    sets = []
+    for size in (4, 9, 40, 300, 3000, 40_000):
+        base = pick.integers(0, 2**63, size, dtype=np.uint64)
+        for share in (0, 0.05, 0.11, 0.12, 0.3, 1):
+            fresh = int(size * share)
+            sets.append(np.unique(np.concatenate([base[fresh:], pick.integers(0, 2**63, fresh, dtype=np.uint64)])))
+    spreads = [np.minimum(np.bincount((s >> np.uint64(58)).astype(int), minlength=64), 255).astype(np.uint8).tobytes() for s in sets]
+    assert any(255 in s for s in spreads)
+    rows = pa.table(
+        {
+            "label": pa.array([bytes(lsh_forest.LABEL)] * len(sets)),
+            "tree": pa.array([0] * len(sets), pa.int32()),
+            "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+            "spread": pa.array(spreads),
+        }
+    )
+    near = lsh_forest._neighbours(rows, 80, len(sets), 2)
+    found = {(int(a), int(b)) for one, two in near for a, b in zip(one, two, strict=True)}
+    wanted = set()
+    for a, b in combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+            wanted.add((a, b))
+    assert wanted and wanted <= found
+    assert len(found) < len(sets) * (len(sets) - 1) // 2
