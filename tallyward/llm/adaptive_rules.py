@@ -21,20 +21,24 @@ MOST_REPEATED = 50
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \t\n\x0b\x0c\r]+"
 SYMBOLS = "[#*$%&|<>]"
+NO_LETTERS = r"[^\p{L}\p{M}\p{N}]+"
 
-# Each measure with the side on which it can fail and the least room it is given
-# above the spread of its group.
+# Each measure with the side on which it can fail, the quantile whose distance from the
+# median is the group's spread, how many spreads are allowed, and the least room, for
+# groups whose documents are all alike. Bad documents gather on the side that fails, so
+# the spread is taken on the other one; shares of repetition are mostly 0 there. Signs
+# are characters of words that are no letter, mark or digit.
 MEASURES = {
-    "symbol_share": ("high", 0.15),
-    "repeat_share": ("high", 0.4),
-    "dup_line_share": ("high", 0.4),
-    "word_length": ("both", 2.0),
+    "sign_share": ("high", 0.1, 6.0, 0.05),
+    "word_length": ("both", 0.1, 6.0, 1.1),
+    "repeat_share": ("high", 0.9, 12.0, 0.05),
+    "dup_line_share": ("high", 0.9, 12.0, 0.25),
 }
-SPREADS = 4.0
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
+    """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_letters (letters, marks and digits) and n_lines (those with a word).
 
     A null text counts as one without words.
     """
@@ -49,6 +53,8 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
         first.withColumn("n_words", n.cast("long"))
         .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
         .withColumn("n_symbols", F.regexp_count(body, F.lit(SYMBOLS)).cast("long"))
+        .withColumn("n_letters", F.length(F.regexp_replace(body, NO_LETTERS, "")).cast("long"))
+        .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("_hashes", F.transform("_words", lambda word: F.xxhash64(word)))
         .drop("_words", "_lines")
@@ -83,17 +89,18 @@ def base_failed() -> Column:
 def _measured(counts: DataFrame) -> DataFrame:
     words = F.nullif(F.col("n_words"), F.lit(0)).cast("double")
     return (
-        counts.withColumn("symbol_share", F.col("n_symbols") / words)
-        .withColumn("repeat_share", F.col("n_repeat_words") / words)
-        .withColumn("dup_line_share", F.col("n_dup_lines") / words)
+        counts.withColumn("sign_share", (F.col("word_chars") - F.col("n_letters")) / words)
         .withColumn("word_length", F.col("word_chars") / words)
+        .withColumn("repeat_share", F.col("n_repeat_words") / words)
+        .withColumn("dup_line_share", F.col("n_dup_lines") / F.nullif(F.col("n_lines"), F.lit(0)))
     )
 
 
 def sketches(measured: DataFrame, by: list[str]) -> DataFrame:
-    """One mergeable quantile sketch per group and measure, over all documents with a word."""
+    """One mergeable quantile sketch per group and measure, over all documents that pass the
+    fixed rules."""
     return (
-        measured.where("n_words > 0")
+        measured.where(~base_failed())
         .groupBy(*by)
         .agg(
             F.count("*").alias("documents"),
@@ -114,19 +121,20 @@ def merged(parts: DataFrame, by: list[str]) -> DataFrame:
 def limits(parts: DataFrame, by: list[str]) -> DataFrame:
     """Lowest and highest accepted value of each measure per group.
 
-    The limit lies a number of spreads beyond the median; the spread is that between
-    the lowest tenth and the median, which a group keeps even if nearly half of it is
-    bad. A group with few documents has the limits of its language, or of all.
+    A limit lies a number of spreads beyond the median; the spread is the distance from
+    the median to a quantile of the group (see ``MEASURES``). A group with few documents
+    has the limits of its language, or of all.
     """
 
     def bounds(groups: DataFrame, name: str) -> DataFrame:
         columns = []
-        for m, (side, room) in MEASURES.items():
-            low = F.kll_sketch_get_quantile_double(m, F.lit(0.1))
+        for m, (side, rank, spreads, room) in MEASURES.items():
             middle = F.kll_sketch_get_quantile_double(m, F.lit(0.5))
-            reach = F.greatest(SPREADS * (middle - low), F.lit(room))
-            floor = middle - reach if side == "both" else F.lit(float("-inf"))
-            columns += [floor.alias(f"{m}_low"), (middle + reach).alias(f"{m}_high")]
+            spread = F.abs(F.kll_sketch_get_quantile_double(m, F.lit(rank)) - middle)
+            reach = F.greatest(spreads * spread, F.lit(room))
+            low = F.lit(float("-inf")) if side == "high" else middle - reach
+            high = F.lit(float("inf")) if side == "low" else middle + reach
+            columns += [low.alias(f"{m}_low"), high.alias(f"{m}_high"), (spreads * spread > room).alias(f"{m}_own")]
         return groups.where("documents > 0").select(*[c for c in by if c in groups.columns], "documents", F.struct(*columns).alias(name))
 
     language = by[:1]
@@ -156,12 +164,13 @@ def judged(
     base_failed and kept.
 
     A document is kept if it passes the fixed rules and each measure is within the
-    limits of its language and source. Null languages and sources are groups of their
-    own. Documents without a word fail. Columns of ``docs`` that have the name of a count
-    or verdict are handed on as ``_given_`` and that name. Limits are written before they are used, so
-    all rows are judged by the same ones.
+    limits of its language and source, taken over the documents there that pass them.
+    Null languages and sources are groups of their own. Documents without a word fail.
+    Columns of ``docs`` that have the name of a count or verdict are handed on as
+    ``_given_`` and that name. Limits are written before they are used, so all rows are
+    judged by the same ones.
     """
-    helpers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    helpers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "n_lines"]
     clash = {c: f"_given_{c}" for c in docs.columns if c in (*helpers, *MEASURES, "limits", "base_failed", "kept")}
     plain = docs.withColumnsRenamed(clash)
     counts = counted(plain, text)
@@ -181,5 +190,5 @@ def judged(
     return (
         joined.withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
-        .drop("_lang", "_source", "limits", *MEASURES)
+        .drop("_lang", "_source", "limits", "n_letters", "n_lines", *MEASURES)
     )

@@ -162,19 +162,51 @@ def test_limits_equal_exact_quantiles(spark, tables):
     measured = adaptive_rules._measured(adaptive_rules.counted(docs)).cache()
     parts = adaptive_rules.sketches(measured, ["lang", "source"])
     limits = {(r.lang, r.source): r.limits for r in adaptive_rules.limits(parts, ["lang", "source"]).collect()}
-    rows = [r for r in measured.collect() if r.n_words]
+    failed = lambda r: r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+    rows = [r for r in measured.collect() if not failed(r)]
 
     def quantile(values, share):
         values = sorted(values)
         return values[max(0, int(np.ceil(share * len(values))) - 1)]
 
+    assert limits
     for (lang, source), found in limits.items():
         own = [r for r in rows if (r.lang, r.source) == (lang, source)]
         wide = [r for r in rows if r.lang == lang]
         group = own if len(own) >= 30 else wide if len(wide) >= 30 else rows
-        values = [r.symbol_share for r in group]
-        middle, low = quantile(values, 0.5), quantile(values, 0.1)
-        assert found.symbol_share_high == pytest.approx(middle + max(4 * (middle - low), 0.15))
+        for m, (side, rank, spreads, room) in adaptive_rules.MEASURES.items():
+            values = [r[m] for r in group]
+            middle = quantile(values, 0.5)
+            reach = max(spreads * abs(quantile(values, rank) - middle), room)
+            low, high = found[f"{m}_low"], found[f"{m}_high"]
+            assert low == (-np.inf if side == "high" else pytest.approx(middle - reach))
+            assert high == (np.inf if side == "low" else pytest.approx(middle + reach))
+
+
+def test_sketches_set_the_limits_not_the_least_rooms(spark, tables):
+    docs = spark.read.parquet(f"{tables.replace('0.001', '0.01')}/documents.parquet")
+    measured = adaptive_rules._measured(adaptive_rules.counted(docs)).cache()
+    parts = adaptive_rules.sketches(measured, ["lang", "source"])
+    own = [r.limits for r in adaptive_rules.limits(parts, ["lang", "source"]).collect()]
+    for m in ("sign_share", "word_length", "repeat_share"):
+        assert sum(f[f"{m}_own"] for f in own) >= 0.9 * len(own), m
+    # In another corpus, with a sign after every other word, each limit is another one.
+    spoken = docs.withColumn("text", F.regexp_replace("text", " (\\S+) (\\S+) (\\S+)", " $1-! $2$3 $1-! $2$3"))
+    measured = adaptive_rules._measured(adaptive_rules.counted(spoken)).cache()
+    parts = adaptive_rules.sketches(measured, ["lang", "source"])
+    other = [r.limits for r in adaptive_rules.limits(parts, ["lang", "source"]).collect()]
+    for name in ("sign_share_high", "word_length_low", "word_length_high", "repeat_share_high"):
+        assert not {f[name] for f in own} & {f[name] for f in other}, name
+
+
+def test_good_documents_stay_and_bad_ones_go(spark, tables):
+    folder = tables.replace("0.001", "0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in registry.op3_adaptive_rules(spark, folder).collect() if not r.base_failed]
+    good = [r.kept for r in rows if labels.get(r.doc_id) == 1]
+    bad = [r.kept for r in rows if labels.get(r.doc_id) == 0]
+    assert sum(good) >= 0.98 * len(good)
+    assert sum(bad) <= 0.1 * len(bad)
 
 
 def test_rules_of_odd_rows(spark, odd, nothing):
