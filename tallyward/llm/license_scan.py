@@ -6,9 +6,12 @@ whole notice with bounded errors, and reports what it found and where. Phrases t
 have to stand exactly are found by their words.
 """
 
+import re
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -48,6 +51,19 @@ def seeds(notice: str, edits: int) -> list[tuple[int, bytes]]:
     return [(a, notice[a:b].encode()) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _runs(hits: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Sorted hits, cut where none reaches across."""
+    run, reach = [], 0
+    for hit in hits:
+        if run and hit[0] >= reach:
+            yield run
+            run, reach = [], 0
+        run.append(hit)
+        reach = max(reach, hit[1])
+    if run:
+        yield run
+
+
 class Scanner:
     """Finds phrases and notices in one text."""
 
@@ -79,32 +95,33 @@ class Scanner:
         return found
 
     def fuzzy(self, words: bytes) -> list[tuple[str, int, int, int, int]]:
-        """(label, start, end, edits, length of the notice) of every notice found."""
+        """(label, start, end, edits, length of the notice) of every notice found.
+
+        Windows around seeds are searched one by one, in order, each from where the last
+        match of the notice ends, so the work grows with the number of seeds."""
         found = []
         for pieces, pattern, label, length, edits in self.notices:
-            windows = []
+            windows = set()
             for offset, piece in pieces:
                 at = words.find(piece)
                 while at >= 0:
                     start = max(0, at - offset - edits - 1)
-                    windows.append((start, min(len(words), at - offset + length + edits + 1)))
+                    windows.add((start, min(len(words), at - offset + length + edits + 1)))
                     at = words.find(piece, at + 1)
-            # Windows that overlap are searched as one.
-            joined: list[list[int]] = []
-            for start, end in sorted(windows):
-                if joined and start <= joined[-1][1]:
-                    joined[-1][1] = max(end, joined[-1][1])
-                else:
-                    joined.append([start, end])
-            for start, end in joined:
-                # The best match of a window may have others on both sides.
-                parts = [(start, end)]
-                while parts:
-                    start, end = parts.pop()
-                    match = pattern.search(words, start, end) if end - start >= length - edits else None
-                    if match:
-                        found.append((label, match.start(), match.end(), sum(match.fuzzy_counts), length))
-                        parts += [(start, match.start()), (match.end(), end)]
+            hits = set()
+            for start, end in windows:
+                match = pattern.search(words, start, end) if end - start >= length - edits else None
+                if match:
+                    hits.add((match.start(), match.end(), sum(match.fuzzy_counts)))
+            # Of matches that overlap in a run of them, the one with least edits goes first.
+            for run in _runs(sorted(hits)):
+                taken: list[tuple[int, int, int]] = []
+                for hit in sorted(run, key=lambda h: (h[2], h[0] - h[1], h[0])):
+                    at = bisect_left(taken, hit)
+                    free = at == 0 or taken[at - 1][1] <= hit[0]
+                    if free and (at == len(taken) or hit[1] <= taken[at][0]):
+                        taken.insert(at, hit)
+                found += [(label, *hit, length) for hit in taken]
         return found
 
     def scan(self, text: bytes) -> dict:
@@ -118,7 +135,9 @@ class Scanner:
             if places:
                 labels.add(label)
         near = self.fuzzy(words)
-        number = lambda at: words.count(b" ", 0, at) - 1
+        # Before every word there is one space more.
+        gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 32) if starts or near else None
+        number = lambda at: int(np.searchsorted(gaps, at)) - 1
         spans = []
         if near:
             bounds = self._bounds(text)
@@ -140,10 +159,10 @@ class Scanner:
 
     def _bounds(self, text: bytes):
         """Where a word, by number, begins and ends in the text, in code points."""
-        import re
-
         found = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(self.table))]
-        return lambda i: tuple(len(text[:at].decode("utf-8", "replace")) for at in found[i])
+        # Code points before a byte: bytes that do not go on with one.
+        points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+        return lambda i: tuple(int(points[at]) for at in found[i])
 
 
 FIELDS = (

@@ -128,8 +128,7 @@ def op4_warc_transactions(spark, folder):
 
 @registered
 def op5_license_notices(spark, folder):
-    found = license_scan.scanned(table(spark, folder, "documents"))
-    return found.drop("spans")
+    return license_scan.scanned(table(spark, folder, "documents"))
 
 
 @registered
@@ -149,16 +148,24 @@ def op8_multiprobe(spark, folder):
 
 
 def spam_urls(pages: DataFrame) -> DataFrame:
-    """The list: canonical URLs of pages whose host has a label that begins with spam."""
+    """Canonical URLs of pages whose host has a label that begins with spam."""
     host, _, _ = url_filter.url_parts(F.col("url"))
     listed = pages.where(F.rlike(host, F.lit(r"(^|\.)spam[^.]*\.")))
     return listed.select(url_filter.canonical(F.col("url")).alias("canonical"))
 
 
+def thin_urls(pages: DataFrame) -> DataFrame:
+    """Canonical URLs of pages of which tags make up over two fifths."""
+    shown = F.length(F.regexp_replace("html", "<[^>]*>", ""))
+    thin = pages.where(100 * shown < 60 * F.length("html"))
+    return thin.select(url_filter.canonical(F.col("url")).alias("canonical"))
+
+
 @registered
 def op9_url_filter(spark, folder):
-    pages = table(spark, folder, "pages").select("page_id", "url")
-    return url_filter.judged(pages, RULES, spam_urls(pages)).drop("listed")
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    listed = spam_urls(pages).unionByName(thin_urls(pages))
+    return url_filter.judged(pages, RULES, listed).drop("listed")
 
 
 @registered
@@ -188,10 +195,11 @@ WITH parts AS (
         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([?][^#]*)?', 1, 's'),
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([?][^#]*)?', 2, 's') AS path,
-        regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([?][^#]*)?', 3, 's') AS query
+        regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([?][^#]*)?', 3, 's') AS query,
+        coalesce(100 * length(regexp_replace(html, '<[^>]*>', '', 'g')) < 60 * length(html), false) AS thin
     FROM pages
 ), forms AS (
-    SELECT page_id, host, path,
+    SELECT page_id, host, path, thin,
         regexp_replace(regexp_replace(host, '^www[.]', ''), ':(80|443)$', '')
             || regexp_replace(path, '/+$', '')
             || CASE WHEN asked = '' THEN '' ELSE '?' || asked END AS form
@@ -202,7 +210,7 @@ WITH parts AS (
         FROM parts
     )
 ), listed AS (
-    SELECT DISTINCT form FROM forms WHERE regexp_matches(host, '(^|[.])spam[^.]*[.]')
+    SELECT DISTINCT form FROM forms WHERE thin OR regexp_matches(host, '(^|[.])spam[^.]*[.]')
 ), rules(verdict, rule_host, rule_path) AS (
     VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
         ('block', 'net', '/es/'), ('block', 'net', '/fr/')

@@ -521,6 +521,33 @@ def test_notices_with_edits(spark):
     assert (found[7].n_words, found[7].first_word, found[7].labels) == (0, None, "")
 
 
+def test_thousands_of_edited_notices_in_one_text():
+    """Each is found in its place, and twice as many take about twice the time."""
+    import time
+
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES)
+    spent = []
+    for many in (2000, 20_000):
+        text = "".join(f"é{i} Relesed under the MIT license, w{i}. " for i in range(many))
+        before = time.process_time()
+        spans = [s for s in scanner.scan(text.encode())["spans"] if s[0] == "mit"]
+        spent.append(time.process_time() - before)
+        assert len(spans) == many
+        assert all(text[s[3] : s[4]] == "Relesed under the MIT license" and s[5] == 1 for s in spans)
+        assert [s[1] for s in spans] == [1 + 7 * i for i in range(many)]
+    assert spent[1] < 30 * max(spent[0], 0.05)
+
+
+def test_spans_of_the_query_lie_in_the_texts(spark, tables, documents):
+    rows = registry.op5_license_notices(spark, tables).where("size(spans) > 0").collect()
+    assert rows
+    for r in rows:
+        text = documents[r.doc_id].text
+        for span in r.spans:
+            assert len(TERM.findall(lowered(text[span.start : span.end]))) == span.last_word - span.first_word + 1
+            assert span.label in r.labels.split(",")
+
+
 def test_a_notice_with_more_edits_before_a_better_one():
     scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES)
     spans = scanner.scan(b"the mozila public license mozilla public license end")["spans"]

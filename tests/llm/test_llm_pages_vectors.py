@@ -82,7 +82,7 @@ def test_no_pages(spark, odd, tmp_path):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, tables, name):
     engine = duckdb.connect()
-    for table in ("pages", "documents", "embeddings"):
+    for table in ("pages", "documents", "embeddings", "labels"):
         engine.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tables}/{table}.parquet'")
     df = registry.REGISTRY[name](spark, tables)
     result = engine.execute(registry.ORACLES[name])
@@ -129,6 +129,23 @@ def test_longest_rule_wins_and_the_list_decides_the_rest(spark, odd):
     assert len(url_filter.judged(odd, [], listed.limit(0)).collect()) == len(PAGES)
 
 
+def test_verdicts_of_the_query_need_the_list_and_the_join(spark, tables, monkeypatch):
+    folder = tables.replace("0.001", "0.1")
+    verdicts = lambda: {r.page_id: r.verdict for r in registry.op9_url_filter(spark, folder).where("rule IS NULL").collect()}
+    right = verdicts()
+    blocked = {p for p, v in right.items() if v == "block"}
+    assert 0.02 * len(right) < len(blocked) < 0.5 * len(right)
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    named = {r.page_id for r in pages.where("split_part(split_part(url, '://', 2), '/', 1) LIKE '%spam%'").collect()}
+    assert len(blocked - named) > len(blocked) / 2
+    # A filter that passes all leaves the verdicts to the join; one that passes none allows all.
+    whole = url_filter.bloom
+    monkeypatch.setattr(url_filter, "bloom", lambda *a: np.full_like(whole(*a), 0xFFFFFFFF))
+    assert verdicts() == right
+    monkeypatch.setattr(url_filter, "bloom", lambda *a: np.zeros_like(whole(*a)))
+    assert set(verdicts().values()) == {"allow"}
+
+
 def test_filter_has_no_false_negative_and_few_positives(spark, monkeypatch):
     listed = spark.range(5000).select(F.concat(F.lit("l.org/"), "id").alias("canonical"))
     others = spark.range(5000).select(F.concat(F.lit("m.org/"), "id").alias("canonical"))
