@@ -22,6 +22,8 @@ DAY_FORMATS = (
     "yyyy/MM/dd",
     "M/d/yyyy",
 )
+MONTH_FIRST, DAY_FIRST = "M/d/yyyy", "d/M/yyyy"
+SLASHED = r"^(\d{1,2})/(\d{1,2})/\d{4}$"
 
 
 def known(text: Column) -> Column:
@@ -66,8 +68,25 @@ def shape_of(day_format: str) -> str | None:
     return pattern + "$"
 
 
-def to_day(text: Column, formats: Sequence[str] = DAY_FORMATS) -> Column:
-    """A date by the first format that fits the cell itself; NULL if none does."""
+def order_votes(text: Column) -> list[Column]:
+    """Sums over cells, which add up over parts: ``slashed``, those of the shape 1/2/2025;
+    ``day_first`` and ``month_first``, those of them that only one order can read."""
+    cell = F.trim(text)
+    part = lambda i: F.regexp_extract(cell, SLASHED, i).try_cast("int")
+    month = lambda i: part(i).between(1, 12)
+    day = lambda i: part(i).between(13, 31)
+    return [
+        F.count_if(cell.rlike(SLASHED)).alias("slashed"),
+        F.count_if(day(1) & month(2)).alias("day_first"),
+        F.count_if(month(1) & day(2)).alias("month_first"),
+    ]
+
+
+def to_day(
+    text: Column, formats: Sequence[str] = DAY_FORMATS, day_first: Column | None = None
+) -> Column:
+    """A date by the first format that fits the cell itself; NULL if none does. Where
+    ``day_first`` holds, the day stands before the month in cells such as 1/2/2025."""
     cell = F.trim(text)
 
     def attempt(day_format: str) -> Column:
@@ -79,7 +98,12 @@ def to_day(text: Column, formats: Sequence[str] = DAY_FORMATS) -> Column:
         # A failing parse costs far more than a failing match.
         return day if shape is None else F.when(cell.rlike(shape), day)
 
-    return F.coalesce(*[attempt(f) for f in formats])
+    def chosen(day_format: str) -> Column:
+        if day_first is None or day_format != MONTH_FIRST:
+            return attempt(day_format)
+        return F.when(day_first, attempt(DAY_FIRST)).otherwise(attempt(MONTH_FIRST))
+
+    return F.coalesce(*[chosen(f) for f in formats])
 
 
 def as_number(column: Column, dtype: T.DataType) -> Column:
@@ -101,10 +125,12 @@ def as_text(column: Column, dtype: T.DataType) -> Column:
     return column.cast("string")
 
 
-def as_day(column: Column, dtype: T.DataType, formats: Sequence[str]) -> Column:
+def as_day(
+    column: Column, dtype: T.DataType, formats: Sequence[str], day_first: Column | None = None
+) -> Column:
     """Date form of a column; bare numbers are not dates."""
     if isinstance(dtype, T.StringType):
-        return to_day(known(column), formats)
+        return to_day(known(column), formats, day_first)
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return column.cast("date")
     return to_day(column.cast("string"), formats)

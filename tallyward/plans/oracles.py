@@ -699,6 +699,37 @@ ORACLES: dict[str, str] = {
                (SELECT sum(cases) FILTER (WHERE expected = actual) / sum(cases) * 100
                 FROM pairs_of) AS overall_percent
         FROM pairs_of""",
+    "day_order_by_source": """
+        WITH raw AS (
+          SELECT source, day,
+                 CASE WHEN left(source, 1) IN ('1', '3') OR left(source, 1) = '5' AND day(day) <= 12
+                      THEN strftime(day, '%-d/%-m/%Y')
+                      WHEN left(source, 1) IN ('2', '4') THEN strftime(day, '%-m/%-d/%Y')
+                      ELSE strftime(day, '%Y-%m-%d') END AS cell
+          FROM (SELECT o_orderpriority AS source, CAST(o_orderdate AS date) AS day FROM orders)),
+        parts AS (
+          SELECT *, contains(cell, '/') AS slash, TRY_CAST(split_part(cell, '/', 1) AS int) AS one,
+                 TRY_CAST(split_part(cell, '/', 2) AS int) AS two
+          FROM raw),
+        votes AS (
+          SELECT source, count(*) FILTER (slash) AS slashed,
+                 count(*) FILTER (slash AND one > 12) AS day_first,
+                 count(*) FILTER (slash AND two > 12) AS month_first
+          FROM parts GROUP BY source),
+        orders_of AS (
+          SELECT *, CASE WHEN day_first > month_first THEN 'day' ELSE 'month' END AS day_order,
+                 slashed > 0 AND day_first = month_first AS ambiguous
+          FROM votes),
+        read AS (
+          SELECT source, day,
+                 CASE WHEN NOT slash THEN TRY_CAST(cell AS date)
+                      WHEN day_order = 'day' THEN CAST(try_strptime(cell, '%d/%m/%Y') AS date)
+                      ELSE CAST(try_strptime(cell, '%m/%d/%Y') AS date) END AS month
+          FROM parts JOIN orders_of USING (source))
+        SELECT o.*, r.days, r.right_days
+        FROM orders_of o JOIN (
+          SELECT source, count(month) AS days, count(*) FILTER (month = day) AS right_days
+          FROM read GROUP BY source) r USING (source)""",
     "chunk_strategy_scorecard": STRATEGIES,
     "corpus_citation": f"""
         WITH {MARKDOWN}, {PAGED},

@@ -34,6 +34,26 @@ def _spoiled(key: Column, good: Column, bad: dict[int, str | Column]) -> Column:
 # Reading and normalising
 
 
+@registered
+def day_order_by_source(spark, folder):
+    """Order dates, written by each priority in its own way, and how many read right."""
+    written = facts.table(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("source"), F.col("o_orderdate").cast("date").alias("day")
+    )
+    way = F.substring("source", 1, 1)
+    early = (way == "5") & (F.dayofmonth("day") <= 12)
+    cell = (
+        F.when(way.isin("1", "3") | early, F.date_format("day", "d/M/yyyy"))
+        .when(way.isin("2", "4"), F.date_format("day", "M/d/yyyy"))
+        .otherwise(F.date_format("day", "yyyy-MM-dd"))
+    )
+    raw = written.withColumn("month", cell)
+    read = tables.load(raw, day_order="vote").groupBy("source").agg(
+        F.count("month").alias("days"), F.count_if(F.col("month") == F.col("day")).alias("right_days")
+    )
+    return tables.day_orders(raw).join(read, "source")
+
+
 @registered
 def normalize_types(spark, folder):
     key = F.col("l_orderkey")

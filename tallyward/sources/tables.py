@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyward.functions.coerce import DAY_FORMATS, as_day, as_number, as_text, known
+from tallyward.functions.coerce import (
+    DAY_FORMATS,
+    as_day,
+    as_number,
+    as_text,
+    known,
+    order_votes,
+)
 from tallyward.schema import (
     ABSENT_COLUMN,
     EXPENSE_COLUMNS,
@@ -26,6 +33,8 @@ from tallyward.session import durable
 FORMATS = ("csv", "json", "parquet")
 OVERFLOW_COLUMN = "_overflow"
 _FILE, _BLOCK, _ORDER = "_file", "_block", "_order"
+_DAY_FIRST = "_day_first"
+DAY_ORDERS = ("month", "day", "vote")
 
 
 def table_format(path: str) -> str:
@@ -57,12 +66,14 @@ def normalize_types(
     df: DataFrame,
     day_formats: Sequence[str] = DAY_FORMATS,
     keep_raw_month: bool = False,
+    day_first: Column | None = None,
 ) -> DataFrame:
     """Known columns in their types; cells that do not fit become NULL.
 
     Missing tokens become NULL in every text column. Columns nothing is known
     about keep their type. ``keep_raw_month`` keeps the month as text too, for
-    the rule on unreadable months. One projection, no shuffle.
+    the rule on unreadable months. ``day_first`` tells rows whose month cells have
+    the day before the month. One projection, no shuffle.
     """
     columns = []
     if keep_raw_month and MONTH_COLUMN in df.columns:
@@ -76,7 +87,7 @@ def normalize_types(
         elif name in TEXT_COLUMNS:
             column = as_text(column, dtype)
         elif name == MONTH_COLUMN:
-            column = as_day(column, dtype, day_formats)
+            column = as_day(column, dtype, day_formats, day_first)
         elif isinstance(dtype, T.StringType) and name != SOURCE_COLUMN:
             column = known(column)
         columns.append(column.alias(name))
@@ -289,19 +300,64 @@ def accepted_rows(raw: DataFrame) -> DataFrame:
     return raw.where(F.col(OVERFLOW_COLUMN).isNull()).drop(OVERFLOW_COLUMN)
 
 
+def day_orders(raw: DataFrame) -> DataFrame:
+    """How each source writes its days: ``source``, the votes of its month cells (see
+    ``order_votes``), ``day_order`` (day or month, what more cells say) and ``ambiguous``.
+
+    Where as many cells speak for either order, none among them, the month comes first,
+    and a source with cells of that shape is ambiguous. Sums of sums, so a source may
+    hold any share of the rows. A table without sources is one, named NULL.
+    """
+    dtype = raw.schema[MONTH_COLUMN].dataType
+    cell = known(F.col(MONTH_COLUMN)) if isinstance(dtype, T.StringType) else F.lit(None).cast("string")
+    name = F.col(SOURCE_COLUMN) if SOURCE_COLUMN in raw.columns else F.lit(None).cast("string")
+    votes = raw.groupBy(name.alias(SOURCE_COLUMN)).agg(*order_votes(cell))
+    return votes.withColumns(
+        {
+            "day_order": F.when(F.col("day_first") > F.col("month_first"), "day").otherwise("month"),
+            "ambiguous": (F.col("slashed") > 0) & (F.col("day_first") == F.col("month_first")),
+        }
+    )
+
+
+def _typed(
+    rows: DataFrame, day_formats: Sequence[str], keep_raw_month: bool, day_order: str
+) -> DataFrame:
+    if day_order not in DAY_ORDERS:
+        raise ValueError(f"No day order {day_order!r}: use one of {', '.join(DAY_ORDERS)}")
+    if day_order == "month" or MONTH_COLUMN not in rows.columns:
+        return normalize_types(rows, day_formats, keep_raw_month)
+    if day_order == "day":
+        return normalize_types(rows, day_formats, keep_raw_month, F.lit(True))
+    settled = durable(
+        day_orders(rows).select(
+            F.col(SOURCE_COLUMN).alias("_of"), (F.col("day_order") == "day").alias(_DAY_FIRST)
+        )
+    )
+    name = F.col(SOURCE_COLUMN) if SOURCE_COLUMN in rows.columns else F.lit(None).cast("string")
+    known_rows = rows.join(settled, name.eqNullSafe(F.col("_of")), "left").drop("_of")
+    first = F.coalesce(_DAY_FIRST, F.lit(False))
+    return normalize_types(known_rows, day_formats, keep_raw_month, first).drop(_DAY_FIRST)
+
+
 def load(
     source: DataFrame | str | Sequence[str],
     spark: SparkSession | None = None,
     day_formats: Sequence[str] = DAY_FORMATS,
     keep_raw_month: bool = False,
+    day_order: str = "month",
     **options,
 ) -> DataFrame:
-    """A normalised operations table from paths or from a DataFrame."""
+    """A normalised operations table from paths or from a DataFrame.
+
+    ``day_order`` is how cells such as 1/2/2025 are read: month first, day first, or by
+    a vote of all cells of the source, which costs one more scan of the month cells.
+    """
     if isinstance(source, DataFrame):
-        return normalize_types(normalize_headers(source), day_formats, keep_raw_month)
+        return _typed(normalize_headers(source), day_formats, keep_raw_month, day_order)
     spark = spark or SparkSession.active()
     rows = accepted_rows(read_raw(spark, source, **options))
-    return normalize_types(rows, day_formats, keep_raw_month)
+    return _typed(rows, day_formats, keep_raw_month, day_order)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -277,3 +277,48 @@ def test_preview_and_profile(spark):
     df = spark.range(50).withColumn("x", F.lit(1))
     assert [r.id for r in tables.preview(df, ["id"]).collect()] == list(range(20))
     assert tuple(tables.profile(df).first()) == (50, 2)
+
+
+def test_each_source_is_read_by_the_order_most_of_its_cells_show(spark, tmp_path):
+    days = {
+        "eu.csv": ["3/4/2025", "25/4/2025", " 1/5/2025 ", "2025-06-07", "null", "31/2/2025"],
+        "us.csv": ["3/4/2025", "4/25/2025", "12/31/2025", "25/4/2025"],
+        "open.csv": ["3/4/2025", "1/2/2025", "99/1/2025"],
+        "even.csv": ["25/4/2025", "4/25/2025", "5/6/2025"],
+        "iso.csv": ["2025-01-02", "not-a-date"],
+        "bare.csv": [],
+    }
+    for name, cells in days.items():
+        write(tmp_path, name, "location_id,month\n" + "".join(f"A{i},{c}\n" for i, c in enumerate(cells)))
+    paths = f"{tmp_path}/*.csv"
+    raw = tables.accepted_rows(tables.read_raw(spark, paths))
+    found = {r.source: tuple(r)[1:] for r in tables.day_orders(raw).collect()}
+    assert found == {
+        "eu.csv": (4, 2, 0, "day", False), "us.csv": (4, 1, 2, "month", False),
+        "open.csv": (3, 0, 0, "month", True), "even.csv": (3, 1, 1, "month", True),
+        "iso.csv": (0, 0, 0, "month", False),
+    }
+    date = datetime.date
+    df = tables.load(paths, spark, day_order="vote")
+    assert df.columns == tables.load(paths, spark).columns
+    read = {}
+    for r in df.collect():
+        read.setdefault(r.source, {})[r.location_id] = r.month
+    assert list(read["eu.csv"].values()) == [
+        date(2025, 4, 3), date(2025, 4, 25), date(2025, 5, 1), date(2025, 6, 7), None, None,
+    ]
+    assert list(read["us.csv"].values()) == [date(2025, 3, 4), date(2025, 4, 25), date(2025, 12, 31), None]
+    assert list(read["even.csv"].values()) == [None, date(2025, 4, 25), date(2025, 5, 6)]
+    always = tables.load(f"{tmp_path}/open.csv", spark, day_order="day")
+    assert one(always, "month") == [date(2025, 4, 3), date(2025, 2, 1), None]
+    with pytest.raises(ValueError, match="year"):
+        tables.load(paths, spark, day_order="year")
+
+
+def test_votes_of_a_table_without_sources_or_rows(spark):
+    cells = spark.createDataFrame([("25/1/2025",), ("2/1/2025",)], "month string")
+    assert one(tables.load(cells, day_order="vote"), "month") == [datetime.date(2025, 1, 25), datetime.date(2025, 1, 2)]
+    assert tables.load(cells.limit(0), day_order="vote").collect() == []
+    dated = cells.select(F.lit(datetime.date(2025, 1, 2)).alias("month"))
+    assert one(tables.load(dated, day_order="vote"), "month") == [datetime.date(2025, 1, 2)] * 2
+    assert tables.load(cells.select(F.col("month").alias("other")), day_order="vote").count() == 2
