@@ -4,15 +4,24 @@ Every distinct shingle set gets one label per tree, a string of min-hashes. Each
 tree is a sorted order of all labels. Neighbours in an order whose labels share a
 long enough prefix are candidates. How deep that prefix is follows from the region:
 where few labels share two values, all of them are compared; where many do, only
-those next to each other, which are those that share most. Counts of shingles by bucket
-bound what two sets share, which drops most pairs that are none, and no other. The rest
-are confirmed on the full sets, and confirmed links are joined to components.
+those next to each other, which are those that share most. Parities of shingles by bucket
+bound in how many shingles two sets differ, which drops most pairs that are no link, and
+no other.
+
+The rest are confirmed on the full sets, in two steps. First each set meets the
+neighbour with the longest common prefix in every tree, a fixed number of pairs a set,
+and the confirmed links are joined to components. Of all other candidates only those
+between components are left to confirm, so a group of many copies does not send its
+sets once for each two of them.
 
 A label in a crowded region may have its link farther away than the window. A region
 is all sets that share two values in a tree. Where one has more sets than the window
-sees and these are not all linked yet, each set meets every other one of the region on
-full sets: dealt over lanes, a block for every two lanes, of which a task hands on
-only links that join components. Nothing there is capped or estimated.
+sees and these are not all linked yet, its sets are joined exactly, by prefix filter:
+two sets with a link share one of the rarest shingles of each, as many as may differ.
+Shingles that only sets of one component hold need no join, and passages that many
+texts share are not rare. Lists of a shingle are dealt over lanes, and a block for every
+two lanes passes on the pairs that sizes and parities allow. Nothing there is capped or
+estimated.
 
 Texts with equal sets are one node from the start, so a text with any number of
 copies costs as much as one.
@@ -23,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -36,19 +46,38 @@ TREES = 16
 DEPTH = 6
 LEAST_DEPTH = 2
 WINDOW = 8
-# Sets and shingles of a lane, of which a block of a crowded region holds two.
+# Sets of a lane, of which a block of one rare shingle holds two.
 LANE_SETS = 512
-LANE_SHINGLES = 1_000_000
-# Buckets in which a set's shingles are counted, to bound what two sets can share.
-BUCKETS = 64
-COLUMNS = 2048
+# Shingles that a task turns over at once.
+SLICE = 1_000_000
+# Buckets of which a set's sketch holds a bit each, to bound how far two sets differ.
+BUCKET_BITS = 9
 ROWS_A_TASK = 50_000
 LABEL = 4 * DEPTH
 
 
+def _parities(own: np.ndarray) -> bytes:
+    """For each bucket whether an odd number of the set's shingles falls into it."""
+    buckets = (own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(buckets, minlength=1 << BUCKET_BITS) & 1).tobytes()
+
+
+def _possible(sizes: np.ndarray, spread: np.ndarray, one, two, share: int) -> np.ndarray:
+    """Whether sizes and parities allow a link: where two parities differ, so do the sets."""
+    total = sizes[one] + sizes[two]
+    apart = np.bitwise_count(spread[one] ^ spread[two]).sum(axis=1, dtype=np.int64)
+    fit = 100 * np.minimum(sizes[one], sizes[two]) >= share * np.maximum(sizes[one], sizes[two])
+    return fit & ((100 + share) * (total - apart) >= 2 * share * total)
+
+
+def _sketches(rows: pa.Table) -> np.ndarray:
+    held = b"".join(rows.column("spread").to_pylist())
+    return np.frombuffer(held, np.uint64).reshape(-1, (1 << BUCKET_BITS) // 64)
+
+
 def _signatures(width: int):
-    """Task code: shingle count, id of the set, the labels of all trees, and how many
-    shingles fall into each bucket (255: that many or more)."""
+    """Task code: shingle count, id of the set, the labels of all trees, and the parities
+    of the buckets."""
 
     def min_hashes(own: np.ndarray) -> np.ndarray:
         factor = (texts.seeded(TREES * DEPTH, 3) | np.uint64(1))[:, None]
@@ -68,8 +97,7 @@ def _signatures(width: int):
                 sizes.append(len(own))
                 ids.append(hashlib.md5(own.tobytes()).digest() if len(own) else None)
                 labels.append(min_hashes(own).tobytes() if len(own) else None)
-                spread = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
-                spreads.append(np.minimum(spread, 255).astype(np.uint8).tobytes())
+                spreads.append(_parities(own))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -105,35 +133,46 @@ def _full_sets(width: int):
 
 
 def _neighbours(rows: pa.Table, share: int, window: int, least: int):
-    """Places of neighbours in one sorted run of labels whose sizes and
-    buckets allow a link: two sets share no more than the lesser count of each bucket."""
+    """Places of neighbours in one sorted run of labels whose sizes and parities allow a
+    link."""
     labels = np.frombuffer(b"".join(rows.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)
     labels, tree = labels.astype(np.uint32), rows.column("tree").to_numpy()
     sizes = rows.column("n_shingles").to_numpy()
-    spread = np.frombuffer(b"".join(rows.column("spread").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+    spread = _sketches(rows)
     for step in range(1, min(window, len(labels) - 1) + 1):
         near = (tree[:-step] == tree[step:]) & (labels[:-step, :least] == labels[step:, :least]).all(axis=1)
         at = np.flatnonzero(near)
-        small, large = np.minimum(sizes[at], sizes[at + step]), np.maximum(sizes[at], sizes[at + step])
-        at = at[100 * small >= share * large]
-        lesser = np.minimum(spread[at], spread[at + step])
-        most = (100 + share) * lesser.sum(axis=1, dtype=np.int64)
-        at = at[(most >= share * (sizes[at] + sizes[at + step])) | (lesser == 255).any(axis=1)]
+        at = at[_possible(sizes, spread, at, at + step, share)]
         yield at, at + step
 
 
+def _closest(rows: pa.Table) -> np.ndarray:
+    """Whether a row and the next one have, for one of the two, the longest common prefix
+    of all; what lies beyond the rows counts as shorter."""
+    labels = np.frombuffer(b"".join(rows.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)
+    tree = rows.column("tree").to_numpy()
+    depth = np.logical_and.accumulate(labels[:-1] == labels[1:], axis=1).sum(axis=1)
+    depth[tree[:-1] != tree[1:]] = 0
+    around = np.concatenate(([0], depth, [0]))
+    longest = (depth >= around[:-2]) | (depth >= around[2:])
+    return np.append(longest, False)
+
+
 def _pairs(rows: pa.Table, found) -> pa.RecordBatch:
     ids = np.array(rows.column("set_id").to_pylist(), dtype=object)
-    left, right = [], []
+    closest = _closest(rows)
+    left, right, first = [], [], []
     for one, two in found:
         a, b = ids[one], ids[two]
         swap = a > b
         left.extend(np.where(swap, b, a))
         right.extend(np.where(swap, a, b))
-    return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+        first.extend((two - one == 1) & closest[one])
+    columns = [pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(first, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "closest"])
 
 
-PAIRS = "a binary, b binary"
+PAIRS = "a binary, b binary, closest boolean"
 
 
 def _sorted_run(share: int, window: int, least: int, columns: str):
@@ -165,14 +204,14 @@ def _sorted_run(share: int, window: int, least: int, columns: str):
 
     def widened(pairs, rows, border):
         size = pairs.num_rows if pairs is not None else rows.num_rows
-        left = [pa.nulls(size, t) for t in (pa.binary(), pa.binary())]
+        left = [pa.nulls(size, t) for t in (pa.binary(), pa.binary(), pa.bool_())]
         right = [pa.nulls(size, t) for t in (pa.int32(), *types)]
         if pairs is not None:
             left = pairs.columns
         if rows is not None:
             own = [rows.column(n).combine_chunks() for n in names]
             right = [pa.array(np.full(size, border, np.int32)), *own]
-        return pa.RecordBatch.from_arrays([*left, *right], ["a", "b", "border", *names])
+        return pa.RecordBatch.from_arrays([*left, *right], ["a", "b", "closest", "border", *names])
 
     return run, edge
 
@@ -196,8 +235,9 @@ def _usable(sets: DataFrame, share: int) -> DataFrame:
 
 def candidates(sets: DataFrame, share: int, window: int = WINDOW, least: int = LEAST_DEPTH) -> DataFrame:
     """Pairs (a, b) of set ids that some tree puts within ``window`` of each other with
-    ``least`` values shared, but for those whose sizes or buckets rule a link out; from
-    set_id, n_shingles, labels and spread, one row per set."""
+    ``least`` values shared, but for those whose sizes or parities rule a link out, and
+    whether one of the two is the other's closest in some tree; from set_id, n_shingles,
+    labels and spread, one row per set."""
     columns = "tree int, label binary, set_id binary, n_shingles long, spread binary"
     names = [c.split()[0] for c in columns.split(", ")]
     usable = _usable(sets, share)
@@ -212,9 +252,9 @@ def candidates(sets: DataFrame, share: int, window: int = WINDOW, least: int = L
     found = durable(ordered.mapInArrow(run, schema))
     edges = found.where(F.col("border").isNotNull()).select("border", *names)
     crossing = edges.groupBy("border").applyInArrow(_across(share, window, least), PAIRS)
-    inside = found.where(F.col("a").isNotNull()).select("a", "b")
+    inside = found.where(F.col("a").isNotNull()).select("a", "b", "closest")
     both = inside.unionByName(crossing).where(F.col("a") != F.col("b"))
-    return both.distinct()
+    return both.groupBy("a", "b").agg(F.max("closest").alias("closest"))
 
 
 def _overlap(share: int):
@@ -237,79 +277,80 @@ def _overlap(share: int):
     return confirm
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """How many values each two sets share, at [i, j] with i < j."""
-    many = len(sets)
-    values = np.concatenate(sets)
-    owners = np.repeat(np.arange(many), [len(s) for s in sets])
-    order = np.argsort(values, kind="stable")
-    values, owners = values[order], owners[order]
-    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-    holders = np.diff(np.append(starts, len(values)))
-    common = np.zeros((many, many), np.int64)
-    # Values of few sets count pair by pair, those of many as a product of matrices.
-    few = max(2, many // 32)
-    rare = np.repeat((holders > 1) & (holders <= few), holders)
-    run, owner = np.repeat(np.arange(len(starts)), holders)[rare], owners[rare]
-    for step in range(1, few):
-        at = np.flatnonzero(run[:-step] == run[step:])
-        if not len(at):
-            break
-        common += np.bincount(owner[at] * many + owner[at + step], minlength=many * many).reshape(many, many)
-    often = holders > few
-    owner = owners[np.repeat(often, holders)]
-    ends = np.concatenate(([0], np.cumsum(holders[often])))
-    for start in range(0, len(ends) - 1, COLUMNS):
-        cuts = ends[start : start + COLUMNS + 1]
-        held = np.zeros((many, len(cuts) - 1), np.float32)
-        held[owner[cuts[0] : cuts[-1]], np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))] = 1
-        common += (held @ held.T).astype(np.int64)
-    return common
-
-
-def _block(share: int):
-    """Task code over two lanes of a region: links that join its components."""
-
-    def join(table: pa.Table) -> pa.Table:
-        ids = table.column("set_id").to_pylist()
-        lanes = table.column("lane").to_numpy()
-        roots = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
-        same = roots[:, None] == roots
+def _slices(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingles of the sets, a slice at a time, with the key of the set of each."""
+    for batch in batches:
+        held = batch.column("shingles")
+        sizes = pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        places = np.concatenate(([0], np.cumsum(sizes)))
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(places, places[start] + SLICE, side="right")) - 1)
+            values = np.frombuffer(b"".join(held[start:end].to_pylist()), np.int64)
+            yield values, np.repeat(keys[start:end], sizes[start:end])
+            start = end
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task code: how many sets hold each shingle, and the least and largest root of them."""
+    for values, roots in _slices(batches, "root"):
+        order = np.argsort(values, kind="stable")
+        values, roots = values[order], roots[order]
+        starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        count = np.diff(np.append(starts, len(values)))
+        low, high = np.minimum.reduceat(roots, starts), np.maximum.reduceat(roots, starts)
+        columns = [pa.array(c) for c in (values[starts], count, low, high)]
+        yield pa.RecordBatch.from_arrays(columns, ["shingle", "n", "low", "high"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task code: one row per set and shingle."""
+    for values, nodes in _slices(batches, "node"):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(values)], ["node", "shingle"])
+
+
+def _runs(share: int):
+    """Task code over blocks in order (rows of one shingle and two lanes): pairs of sets
+    of different roots whose sizes and parities allow a link."""
+
+    def paired(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids = rows.column("set_id").to_pylist()
+        roots, lanes, sizes = (rows.column(c).to_numpy() for c in ("root", "lane", "n_shingles"))
+        one, two = (rows.column(c).to_numpy() for c in ("one", "two"))
+        spread = _sketches(rows)
         left, right = [], []
-        if not same.all():
-            sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-            sizes = np.array([len(s) for s in sets])
-            common = np.triu(_common(sets), 1)
-            linked = (100 + share) * common >= share * (sizes[:, None] + sizes)
-            # Each lane has met itself in a block of its own.
-            if lanes.min() != lanes.max():
-                linked &= lanes[:, None] != lanes
-            linked = np.triu(linked, 1) & ~same
-            linked |= linked.T
-            left, right = _joining(linked, same)
-        pick = lambda places: pa.array([ids[i] for i in places], pa.binary())
-        return pa.table({"a": pick(left), "b": pick(right)})
-
-    return join
+        for start, end in zip(starts, np.append(starts[1:], rows.num_rows), strict=True):
+            if (roots[start:end] == roots[start]).all():
+                continue
+            for i in range(start, end - 1):
+                at = np.arange(i + 1, end)
+                keep = roots[at] != roots[i]
+                # Each lane has met itself in a block of its own.
+                if one[start] != two[start]:
+                    keep &= lanes[at] != lanes[i]
+                at = at[keep]
+                for j in at[_possible(sizes, spread, at, np.full(len(at), i), share)]:
+                    left.append(min(ids[i], ids[j]))
+                    right.append(max(ids[i], ids[j]))
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if kept is None else pa.concat_tables([kept, table])
+            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("shingle", "one", "two")])
+            new = np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            starts = np.flatnonzero(new)
+            # The last block may go on in the next batch.
+            kept = table.slice(starts[-1])
+            if len(starts) > 1:
+                yield paired(table.slice(0, starts[-1]), starts[:-1])
+        if kept is not None:
+            yield paired(kept, np.array([0]))
 
-def _joining(linked: np.ndarray, same: np.ndarray) -> tuple[list[int], list[int]]:
-    """The links by which a walk over links and sets of the same root comes to a root."""
-    left, right, new = [], [], np.ones(len(linked), bool)
-    for start in range(len(linked)):
-        if not new[start]:
-            continue
-        new &= ~same[start]
-        reached = list(np.flatnonzero(same[start]))
-        while reached:
-            one = reached.pop()
-            for two in np.flatnonzero(linked[one] & new):
-                if new[two]:
-                    left.append(one)
-                    right.append(two)
-                    new &= ~same[two]
-                    reached.extend(np.flatnonzero(same[two]))
-    return left, right
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -383,9 +424,10 @@ def near_duplicates(
     pairs = durable(candidates(sets, share))
     crowded = durable(_crowded(sets, share))
     full = _gathered(source, sets, pairs, crowded, width)
-    found = components(_confirmed(full, pairs, share))
-    links = durable(_met(full, crowded, found, share))
-    found = _with_links(found, links)
+    found = components(_confirmed(full, pairs.where("closest"), share))
+    others = _apart(pairs.where("NOT closest"), found)
+    others = others.unionByName(_met(full, sets, crowded, found, share)).distinct()
+    found = _with_links(found, durable(_confirmed(full, others, share)))
     named = found.join(sets.select(F.col("set_id").alias("node"), "least_id"), "node")
     roots = sets.select(F.col("set_id").alias("root"), F.col("least_id").alias("own_id"))
     least = named.groupBy("root").agg(F.min("least_id").alias("linked_id")).join(roots, "root")
@@ -436,28 +478,63 @@ def _gathered(source: DataFrame, sets: DataFrame, pairs: DataFrame, crowded: Dat
     return durable(full.dropDuplicates(["set_id"]))
 
 
-def _met(full: DataFrame, crowded: DataFrame, found: DataFrame, share: int) -> DataFrame:
-    """Links between sets of a crowded region that ``found`` has in different components:
-    as many as join all that any link of the region joins."""
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends ``found`` has in different components."""
+    ends = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    named = pairs.join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+    roots = [F.coalesce(f"{c}_root", c) for c in ("a", "b")]
+    return named.where(roots[0] != roots[1]).select("a", "b")
+
+
+def _met(full: DataFrame, sets: DataFrame, crowded: DataFrame, found: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) between components of ``found`` with every link that two sets of a
+    crowded region have, and others that sizes and parities allow.
+
+    Shingles are ordered by the number of sets that hold them, after those that sets of
+    one component alone hold. Of n shingles a set needs ``share`` in a hundred in
+    common with another, so it lists its first ones, one more than it can spare.
+    """
     roots = found.select(F.col("node").alias("set_id"), "root")
-    rows = crowded.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    rows = durable(rows)
-    regions = rows.groupBy("region").agg(
-        F.min("root").alias("low"),
-        F.max("root").alias("high"),
-        F.count("*").alias("n"),
-        F.sum("n_shingles").alias("shingles"),
+    rows = crowded.join(roots, "set_id", "left")
+    rows = durable(rows.withColumn("root", F.xxhash64(F.coalesce("root", "set_id"))))
+    regions = rows.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    apart = rows.join(regions.where("low <> high"), "region", "left_semi")
+    apart = apart.select("set_id", "root", "n_shingles").distinct()
+    apart = durable(apart.withColumn("node", F.xxhash64("set_id")))
+    held = durable(apart.join(full, "set_id").select("node", "root", "shingles"))
+    counts = held.select("root", "shingles").mapInArrow(_holders, "shingle long, n long, low long, high long")
+    counts = counts.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    counts = counts.where("low <> high").select("shingle", "n")
+    listed = held.select("node", "shingles").mapInArrow(_listed, "node long, shingle long").join(counts, "shingle")
+    own = Window.partitionBy("node")
+    listed = listed.select(
+        "node",
+        "shingle",
+        F.row_number().over(own.orderBy("n", "shingle")).alias("place"),
+        F.count("*").over(own).alias("joined"),
     )
-    lanes = F.greatest(F.ceil(F.col("n") / LANE_SETS), F.ceil(F.col("shingles") / LANE_SHINGLES)).cast("int")
-    open_regions = regions.where("low <> high").select("region", lanes.alias("lanes"))
-    dealt = rows.join(open_regions, "region").withColumn("lane", F.expr("cast(pmod(xxhash64(set_id), lanes) AS int)"))
+    needed = F.ceil(F.col("n_shingles") * share / 100)
+    first = listed.join(apart, "node").where(F.col("place") <= F.col("joined") + 1 - needed)
+    first = durable(first.select("shingle", "node", "root"))
+    lists = first.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    lists = lists.where("low <> high").select("shingle", F.ceil(F.col("n") / LANE_SETS).cast("int").alias("lanes"))
+    dealt = first.select("shingle", "node").join(lists, "shingle")
+    dealt = dealt.withColumn("lane", F.expr("cast(pmod(xxhash64(node), lanes) AS int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))
-    dealt = dealt.select("region", "set_id", "root", "lane", other.alias("other"))
-    block = dealt.select(
-        "region", F.least("lane", "other").alias("one"), F.greatest("lane", "other").alias("two"), "lane", "set_id", "root"
+    dealt = dealt.select("shingle", "node", "lane", other.alias("other"))
+    block = ["shingle", "one", "two"]
+    facts = apart.join(sets.select("set_id", "spread"), "set_id")
+    rows = dealt.join(facts, "node").select(
+        "shingle",
+        F.least("lane", "other").alias("one"),
+        F.greatest("lane", "other").alias("two"),
+        "lane",
+        "set_id",
+        "root",
+        "n_shingles",
+        "spread",
     )
-    joined = block.join(full, "set_id")
-    return joined.groupBy("region", "one", "two").applyInArrow(_block(share), "a binary, b binary")
+    return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(_runs(share), "a binary, b binary")
 
 
 def _confirmed(full: DataFrame, pairs: DataFrame, share: int) -> DataFrame:

@@ -322,38 +322,56 @@ def test_a_star_of_variants_linked_only_with_their_base(spark):
     assert found == dict.fromkeys(texts, 0)
 
 
-def test_candidates_that_agree_in_few_min_hashes_are_compared():
-    # Of a block, links count on full sets, over every distance and past any number of
-    # sets of one component.
+def crowd_links(spark, own, roots):
+    """Confirmed pairs, by place, between sets of one crowded region."""
+    ids = [b"%04d" % i for i in range(len(own))]
+    sizes = [len(s) for s in own]
+    full = spark.createDataFrame([(i, s.tobytes()) for i, s in zip(ids, own, strict=True)], "set_id binary, shingles binary")
+    rows = [(i, n, lsh_forest._parities(s)) for i, n, s in zip(ids, sizes, own, strict=True)]
+    sets = spark.createDataFrame(rows, "set_id binary, n_shingles long, spread binary")
+    crowded = spark.createDataFrame([(7, i, n) for i, n in zip(ids, sizes, strict=True)], "region long, set_id binary, n_shingles long")
+    linked = [(ids[i], ids[r]) for i, r in enumerate(roots) if r is not None]
+    found = spark.createDataFrame(linked, "node binary, root binary")
+    pairs = lsh_forest._met(full, sets, crowded, found, 80).distinct()
+    return {(int(r.a), int(r.b)) for r in lsh_forest._confirmed(full, pairs, 80).collect()}
+
+
+def test_sets_of_a_crowded_region_are_compared_past_a_component(spark):
+    # Links count on full sets, past any number of sets of one component.
     shared = np.arange(1, 401, dtype=np.uint64)
     sets = [shared] * 200 + [np.concatenate((shared[:356], np.arange(1000, 1044, dtype=np.uint64)))]
     sets += [np.concatenate((shared[:355], np.arange(2000, 2045, dtype=np.uint64)))]
-    rows = pa.table(
-        {
-            "set_id": pa.array([b"%03d" % i for i in range(202)], pa.binary()),
-            "lane": pa.array([0] * 202, pa.int32()),
-            "root": pa.array([b"000"] * 200 + [b"200", b"201"], pa.binary()),
-            "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
-        }
-    )
-    found = lsh_forest._block(80)(rows).to_pylist()
     # 356 of 444 are enough, 355 of 445 are not.
-    assert [{r["a"], r["b"]} & {b"200", b"201"} for r in found] == [{b"200"}]
+    assert crowd_links(spark, sets, [0] * 200 + [None] * 2) == {(i, 200) for i in range(200)}
 
 
-def test_a_component_in_between_hides_no_link():
-    own = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 5000, 10)]
-    sets = [own[0], *[own[1]] * 300, own[2]]
-    rows = pa.table(
-        {
-            "set_id": pa.array([b"%03d" % i for i in range(302)], pa.binary()),
-            "lane": pa.array([0] * 302, pa.int32()),
-            "root": pa.array([b"000", *[b"001"] * 300, b"301"], pa.binary()),
-            "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
-        }
-    )
+def test_a_component_in_between_hides_no_link(spark):
+    own = [np.arange(k, k + 100, dtype=np.uint64) for k in (1, 5001, 11)]
     # 90 of 110 are shared, and 300 sets of one component lie in between.
-    assert lsh_forest._block(80)(rows).to_pylist() == [{"a": b"000", "b": b"301"}]
+    assert crowd_links(spark, [own[0], *[own[1]] * 300, own[2]], [None, *[1] * 300, None]) == {(0, 301)}
+
+
+@pytest.mark.parametrize("lane", [3, 512])
+def test_a_crowded_region_over_lanes_equals_brute_force(spark, monkeypatch, lane):
+    monkeypatch.setattr(lsh_forest, "LANE_SETS", lane)
+    pick = np.random.default_rng(4)
+    passage = pick.integers(0, 2**64, 60, dtype=np.uint64)
+    sets = []
+    for size in (40, 90, 200):
+        base = pick.integers(0, 2**64, size, dtype=np.uint64)
+        for _ in range(30):
+            kept = base[pick.random(size) > pick.choice([0, 0.05, 0.1, 0.15])]
+            fresh = pick.integers(0, 2**64, int(pick.integers(0, size // 8)), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate((passage, kept, fresh))))
+    roots = [0 if i < 8 else 40 if 40 <= i < 44 else None for i in range(len(sets))]
+    wanted = set()
+    for a, b in combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        same = roots[a] is not None and roots[a] == roots[b]
+        if not same and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+            wanted.add((a, b))
+    assert len(wanted) > 200
+    assert crowd_links(spark, sets, roots) == wanted
 
 
 def test_near_duplicates_of_odd_rows(spark, odd, nothing):
@@ -554,7 +572,7 @@ def test_a_notice_with_more_edits_before_a_better_one():
     assert [(s[0], s[1], s[2], s[5]) for s in spans] == [("mpl", 1, 3, 1), ("mpl", 4, 6, 0)]
 
 
-def test_buckets_rule_out_no_link():
+def test_parities_rule_out_no_link():
     """Of neighbours in a run, every pair at four fifths or more stays, large sets included."""
     pick = np.random.default_rng(12)
     sets = []
@@ -563,8 +581,7 @@ def test_buckets_rule_out_no_link():
         for share in (0, 0.05, 0.11, 0.12, 0.3, 1):
             fresh = int(size * share)
             sets.append(np.unique(np.concatenate([base[fresh:], pick.integers(0, 2**63, fresh, dtype=np.uint64)])))
-    spreads = [np.minimum(np.bincount((s >> np.uint64(58)).astype(int), minlength=64), 255).astype(np.uint8).tobytes() for s in sets]
-    assert any(255 in s for s in spreads)
+    spreads = [lsh_forest._parities(s) for s in sets]
     rows = pa.table(
         {
             "label": pa.array([bytes(lsh_forest.LABEL)] * len(sets)),
