@@ -4,10 +4,16 @@ One question against a corpus is a scan and a top-k. Many questions against a
 corpus is a block join in two passes. Vectors are packed into blocks near a common
 pivot. First each query block meets the blocks of its own cell, which gives every
 query a distance that its answer cannot exceed. Then ranges of distances to all
-pivots tell, block by block and before any vector moves, which other blocks may hold
-something nearer (triangle inequality); only those are compared. A pair of blocks is
-compared by matrix product inside a task, which hands on at most k rows per query.
-Nothing is sampled away: every skipped block is proven to hold no nearer vector.
+pivots tell, block by block, which other blocks may hold something nearer (triangle
+inequality); only those are compared. A pair of blocks is compared by matrix product
+inside a task, which hands on at most k rows per query. Nothing is sampled away: every
+skipped block is proven to hold no nearer vector.
+
+Rows are brought together by cell before they are packed, so there are about as many
+blocks as full ones and cells, however many tasks there are. Pairs of blocks never go
+through a shuffle: a task of the second pass reads a share of the query blocks and a
+share of the corpus blocks and pairs them there, so what is written grows as the
+vectors do, while the comparing is quadratic where vectors do not cluster.
 
 A corpus that is asked more than once is packed once: :func:`corpus_index` keeps blocks,
 ranges and pivots as tables under the corpus's fingerprint, and opens them where they
@@ -37,6 +43,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK_ROWS = 512
 MAX_PROBES = 2048
 LANE_BLOCKS = 64
+# Rows that a task packs.
+PACKED_ROWS = 32_768
+# Blocks of a share, of which a task pairs two, unless that makes too many shares.
+SHARE_BLOCKS = 32
+MAX_SHARES = 64
+# Pivots to which the driver and the tasks know the distances of whole cells.
+CELL_PIVOTS = 64
 # Bounds what one copy of the pivots may hold on the driver and in a task.
 MAX_PROBE_VALUES = 4_000_000
 
@@ -102,12 +115,33 @@ def _probes(corpus: DataFrame) -> tuple[np.ndarray, int]:
         raise ValueError(f"Vectors of different widths: {narrow} and {width}")
     most = max(1, min(MAX_PROBES, MAX_PROBE_VALUES // max(1, width)))
     order = F.xxhash64("_vec_id", "embedding")
-    found = corpus.orderBy(order, "_vec_id").limit(most).select("embedding").collect()
+    # In one task: a limit that is collected as it is brings as many rows of every task.
+    found = corpus.orderBy(order, "_vec_id").limit(most).select("embedding").coalesce(1).collect()
     return _matrix(r[0] for r in found), rows
 
 
-def _pack(pivots: np.ndarray, describe, stored: str, carried: Sequence[str]):
-    """Task code: rows to blocks of vectors that share their nearest pivot.
+def _nearest_pivot(pivots: np.ndarray):
+    """Task code: rows with the number of the pivot nearest to them."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            gaps, _ = _distances(_matrix(batch["embedding"]), pivots)
+            yield batch.assign(cell=gaps.argmin(axis=1).astype(np.int32))
+
+    return place
+
+
+def _by_cell(rows: DataFrame, pivots: np.ndarray, count: int) -> DataFrame:
+    """Rows with their cell, those of a cell together. A crowded cell takes several tasks."""
+    placed = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())])
+    parts = max(1, -(-count // PACKED_ROWS))
+    return rows.mapInPandas(_nearest_pivot(pivots), placed).repartitionByRange(parts, "cell", "_vec_id")
+
+
+def _pack(describe, stored: str, carried: Sequence[str]):
+    """Task code: rows to blocks of vectors that share their cell.
 
     ``describe(block, vectors, cell)`` adds what a block has to tell about itself.
     Buffers hold less than one block per cell.
@@ -131,8 +165,7 @@ def _pack(pivots: np.ndarray, describe, stored: str, carried: Sequence[str]):
         for batch in batches:
             if batch.empty:
                 continue
-            gaps, _ = _distances(_matrix(batch["embedding"]), pivots)
-            for cell, rows in batch.groupby(gaps.argmin(axis=1), sort=True):
+            for cell, rows in batch.groupby("cell", sort=True):
                 if cell in waiting:
                     rows = pd.concat([waiting.pop(cell), rows], ignore_index=True)
                 while len(rows) >= BLOCK_ROWS:
@@ -181,7 +214,8 @@ def _first_block(probes: np.ndarray, rank: int):
 
 
 def _second_block(pivots: np.ndarray, probes: np.ndarray, rank: int, cells: dict[int, tuple]):
-    """A query block with the other cells that may hold a nearer vector than it has."""
+    """A query block with the other cells that may hold a nearer vector than it has, and the
+    ranges that tell the same of a block. Cells are known by their first few pivots."""
 
     def describe(block: pd.DataFrame, vectors: np.ndarray, own: int) -> dict:
         low, high = _ranges(vectors, pivots)
@@ -193,13 +227,15 @@ def _second_block(pivots: np.ndarray, probes: np.ndarray, rank: int, cells: dict
         targets = [
             c
             for c, (cell_low, cell_high) in cells.items()
-            if c != own and max((low - cell_high).max(), (cell_low - high).max()) <= reach
+            if c != own
+            and max((low[: len(cell_low)] - cell_high).max(), (cell_low - high[: len(cell_low)]).max()) <= reach
         ]
         return {
             "bounds": [bounds.astype("<f8").tobytes()],
             "reach": [reach],
-            "q_low": [low],
-            "q_high": [high],
+            "cell": [own],
+            "low": [low],
+            "high": [high],
             "targets": [targets],
         }
 
@@ -288,14 +324,15 @@ def _few_copies(corpus: DataFrame, keep: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """A packed corpus: its blocks as a table, and what the driver knows of them. A corpus
-    without a usable vector has no blocks."""
+    """A packed corpus: its blocks as a table, and what the driver knows of them: the
+    ranges of each cell and its number of blocks. A corpus without a usable vector has no
+    blocks."""
 
     blocks: DataFrame | None
     pivots: np.ndarray
     probes: np.ndarray
     cells: dict[int, tuple]
-    lanes: dict[int, int]
+    sizes: dict[int, int]
     stored: str
     keep: int
     carry: tuple[str, ...]
@@ -315,14 +352,14 @@ def _packed(corpus: DataFrame, keep: int, vec_id: str, embedding: str, carry: Se
     id_type = schema[vec_id].dataType.simpleString()
     carried = "".join(f", {c} array<{schema[c].dataType.simpleString()}>" for c in carry)
     ranges = "low array<double>, high array<double>"
-    blocks = _few_copies(held, keep).mapInPandas(
-        _pack(pivots, _corpus_block(pivots), stored, carry),
+    blocks = _by_cell(_few_copies(held, keep), pivots, rows).mapInPandas(
+        _pack(_corpus_block(pivots), stored, carry),
         f"ids array<{id_type}>, vectors binary{carried}, cell int, {ranges}",
     )
     # The packed corpus is read for its ranges, and in both passes.
     blocks = save(blocks.withColumn("block", F.xxhash64("ids")))
-    cells, lanes = _cells(blocks, len(pivots))
-    return Index(blocks, pivots, probes, cells, lanes, stored, keep, tuple(carry))
+    cells, sizes = _cells(blocks, min(len(pivots), CELL_PIVOTS))
+    return Index(blocks, pivots, probes, cells, sizes, stored, keep, tuple(carry))
 
 
 def corpus_index(
@@ -345,7 +382,7 @@ def corpus_index(
     keep = k + 1
     known = corpus.select(vec_id, embedding, *carry)
     seen = fingerprint(known.withColumn(embedding, F.to_json(embedding))).first()
-    said = (known.schema.json(), seen["row_count"], seen["fingerprint"], keep)
+    said = (ABOUT, known.schema.json(), seen["row_count"], seen["fingerprint"], keep)
     place = f"{folder or checkpoint_folder(spark)}/corpus-{hashlib.md5(repr(said).encode()).hexdigest()}"
     if exists(spark, f"{place}/about/_SUCCESS"):
         return _opened(spark, place, keep, carry)
@@ -359,7 +396,7 @@ def corpus_index(
         written(place)
     index = _packed(corpus, keep, vec_id, embedding, carry, save)
     packed = lambda m: bytearray(np.ascontiguousarray(m, "<f8").tobytes())
-    cells = [(cell, index.lanes[cell], packed(low), packed(high)) for cell, (low, high) in index.cells.items()]
+    cells = [(cell, index.sizes[cell], packed(low), packed(high)) for cell, (low, high) in index.cells.items()]
     about = (name if index.blocks is not None else None, index.stored, index.probes.shape[1])
     row = [(*about, packed(index.pivots), packed(index.probes), cells)]
     spark.createDataFrame(row, ABOUT).coalesce(1).write.mode("overwrite").parquet(f"{place}/about")
@@ -368,7 +405,7 @@ def corpus_index(
 
 ABOUT = (
     "blocks string, stored string, width int, pivots binary, probes binary, "
-    "cells array<struct<cell int, lanes int, low binary, high binary>>"
+    "cells array<struct<cell int, blocks long, low binary, high binary>>"
 )
 
 
@@ -378,9 +415,9 @@ def _opened(spark: SparkSession, place: str, keep: int, carry: Sequence[str]) ->
     if about.blocks is None:
         return Index(None, np.zeros((0, 0)), np.zeros((0, 0)), {}, {}, about.stored, keep, tuple(carry))
     cells = {c.cell: (np.frombuffer(c.low, "<f8"), np.frombuffer(c.high, "<f8")) for c in about.cells}
-    lanes = {c.cell: c.lanes for c in about.cells}
+    sizes = {c.cell: c.blocks for c in about.cells}
     blocks = spark.read.parquet(f"{place}/{about.blocks}")
-    return Index(blocks, matrix(about.pivots), matrix(about.probes), cells, lanes, about.stored, keep, tuple(carry))
+    return Index(blocks, matrix(about.pivots), matrix(about.probes), cells, sizes, about.stored, keep, tuple(carry))
 
 
 def nearest(
@@ -422,10 +459,11 @@ def nearest(
         raise ValueError(f"The index answers up to {index.keep} rows and carries {index.carry}")
     if index.blocks is None:
         return unanswered
-    blocks, pivots, probes, cells, lanes = index.blocks, index.pivots, index.probes, index.cells, index.lanes
-    width, stored = probes.shape[1], index.stored
+    blocks, pivots, probes, stored = index.blocks, index.pivots, index.probes, index.stored
+    width = probes.shape[1]
+    count = asked.count()
     query_type = queries.schema[query_id].dataType.simpleString()
-    spread = F.create_map(*[F.lit(v) for cell, count in lanes.items() for v in (cell, count)])
+    lanes = _lanes(index.sizes)
     partial = T.StructType([f for f in answer.fields if f.name != "rank"])
     columns = ("q_ids", "q_vectors", "bounds", "ids", "vectors", *carry)
     compare = _compare(width, stored, k, carry, skip_same_id)
@@ -436,14 +474,13 @@ def nearest(
 
     # A cell with many blocks is dealt over several lanes, each joined on its
     # own, so that no task gets the whole of a crowded cell.
-    in_lanes = blocks.withColumn("lane", F.pmod(F.col("block"), spread[F.col("cell")]).cast("int"))
-    packed = f"ids array<{query_type}>, vectors binary"
-    named = [F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")]
-    first = asked.mapInPandas(
-        _pack(pivots, _first_block(probes, wanted), stored, ()), f"{packed}, cell int, bounds binary"
-    ).select(*named, "cell", "bounds")
-    lane = F.explode(F.sequence(F.lit(0), F.coalesce(spread[F.col("cell")], F.lit(1)) - 1))
-    met = first.withColumn("lane", lane).join(in_lanes, ["cell", "lane"])
+    held = blocks.select("ids", "vectors", *carry, "cell", F.pmod("block", lanes).cast("int").alias("lane"))
+    packed = f"ids array<{query_type}>, vectors binary, cell int, bounds binary"
+    named = [F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "bounds"]
+    first = _by_cell(asked, pivots, count).mapInPandas(_pack(_first_block(probes, wanted), stored, ()), packed)
+    lane = F.explode(F.sequence(F.lit(0), (lanes - 1).cast("int"))).alias("lane")
+    # Never by broadcast: packed vectors are much smaller in a file than in memory.
+    met = first.select(*named, "cell", lane).join(held.hint("merge"), ["cell", "lane"])
     near = durable(ranked(met.select(*columns).mapInPandas(compare, partial)).select(*names))
 
     # With k neighbours found, the answer is no farther than the last of them.
@@ -454,40 +491,56 @@ def nearest(
     bounded = asked.join(last, F.col("_vec_id") == F.col("query_id"), "left").select(
         "_vec_id", "embedding", F.coalesce(bound, F.lit(float("inf"))).alias("_bound")
     )
-    second = bounded.mapInPandas(
-        _pack(pivots, _second_block(pivots, probes, wanted, cells), stored, ()),
-        f"{packed}, bounds binary, reach double, q_low array<double>, q_high array<double>, "
-        "targets array<int>",
-    )
     second = durable(
-        second.select(*named, "bounds", "reach", "q_low", "q_high", "targets", F.xxhash64("ids").alias("q_block"))
-    )
-    # Which blocks meet is settled on their ranges alone.
-    looks = second.select("q_block", "reach", "q_low", "q_high", F.explode("targets").alias("cell"))
-    widest = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: x - y))
-    apart = F.greatest(widest("q_low", "high"), widest("low", "q_high"))
-    pairs = looks.join(blocks.select("block", "cell", "low", "high"), "cell").where(
-        apart <= F.col("reach")
+        _by_cell(bounded, pivots, count).mapInPandas(
+            _pack(_second_block(pivots, probes, wanted, index.cells), stored, ()),
+            f"{packed}, reach double, low array<double>, high array<double>, targets array<int>",
+        )
     )
-    pairs = pairs.select("q_block", "block")
+    # Which blocks meet is settled on their ranges alone, first by cells and own pivots.
+    q, c = second.alias("q").repartition(_shares(second.count())), blocks.drop("block").alias("c")
+    c = c.repartition(_shares(sum(index.sizes.values())))
+    ahead = lambda a, b, at: F.get(f"{a}.low", at) - F.get(f"{b}.high", at)
+    widest = lambda a, b: F.array_max(F.zip_with(f"{a}.low", f"{b}.high", lambda x, y: x - y))
+    maybe = F.array_contains("q.targets", F.col("c.cell"))
+    for apart in (
+        ahead("q", "c", F.col("c.cell")),
+        ahead("c", "q", F.col("q.cell")),
+        widest("q", "c"),
+        widest("c", "q"),
+    ):
+        maybe = maybe & (apart <= F.col("q.reach"))
+    met = q.join(c.hint("shuffle_replicate_nl"), maybe)
     if watch is not None:
-        pairs = pairs.observe(watch, F.count("*").alias("pairs"))
-    met = pairs.join(blocks.drop("cell", "low", "high"), "block").join(
-        second.select("q_block", "q_ids", "q_vectors", "bounds"), "q_block"
-    )
-    rest = met.select(*columns).mapInPandas(compare, partial)
+        met = met.observe(watch, F.count("*").alias("pairs"))
+    of_query = [F.col("q.ids").alias("q_ids"), F.col("q.vectors").alias("q_vectors"), "q.bounds"]
+    met = met.select(*of_query, "c.ids", "c.vectors", *[f"c.{n}" for n in carry])
+    rest = met.mapInPandas(compare, partial)
     both = near.drop("rank").unionByName(rest.select(*[n for n in names if n != "rank"]))
     return ranked(both).select(*names).unionByName(unanswered)
 
 
 def _cells(blocks: DataFrame, pivots: int) -> tuple[dict[int, tuple], dict[int, int]]:
-    """Ranges of distances of each cell to all pivots, and over how many lanes its
-    blocks are dealt. There are at most as many cells as pivots."""
+    """Ranges of distances of each cell to the first pivots, and its number of blocks.
+    There are at most as many cells as pivots in all."""
     bounds = [F.min(F.get("low", F.lit(i))) for i in range(pivots)]
     bounds += [F.max(F.get("high", F.lit(i))) for i in range(pivots)]
     rows = blocks.groupBy("cell").agg(F.count("*"), F.array(*bounds)).collect()
     cells = {cell: (np.array(b[:pivots]), np.array(b[pivots:])) for cell, _, b in rows}
-    return cells, {cell: math.ceil(count / LANE_BLOCKS) for cell, count, _ in rows}
+    return cells, {cell: count for cell, count, _ in rows}
+
+
+def _lanes(sizes: dict[int, int]) -> Column:
+    """Over how many lanes the blocks of a cell are dealt."""
+    crowded = {cell: math.ceil(count / LANE_BLOCKS) for cell, count in sizes.items() if count > LANE_BLOCKS}
+    if not crowded:
+        return F.lit(1)
+    spread = F.create_map(*[F.lit(v) for pair in crowded.items() for v in pair])
+    return F.coalesce(spread[F.col("cell")], F.lit(1))
+
+
+def _shares(blocks: int) -> int:
+    return max(1, min(MAX_SHARES, math.ceil(blocks / SHARE_BLOCKS)))
 
 
 def _answer_schema(queries, query_id, schema, vec_id, carry) -> T.StructType:

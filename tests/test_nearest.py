@@ -285,3 +285,31 @@ def test_half_written_index_is_none(spark, tmp_path, monkeypatch):
     packings = _counted_packings(monkeypatch)
     nearest.corpus_index(corpus, folder=str(tmp_path))
     assert packings == [1]
+
+
+def test_pairs_of_blocks_are_not_shuffled_and_blocks_are_not_broken_by_tasks(spark, monkeypatch):
+    """Vectors that do not cluster: every block meets most others, and still only rows move."""
+    from pyspark.sql import Observation
+
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nearest, "SHARE_BLOCKS", 4)
+    points = np.random.default_rng(5).normal(size=(600, 8)).round(2)
+    df = frame(spark, points).repartition(24)
+    watch = Observation()
+    found = nearest.nearest(df, df, k=3, skip_same_id=True, watch=watch)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert answers(found) == brute(points, points, 3, True)
+    index = nearest._packed(df, 4, "vec_id", "embedding", ())
+    cells = len(index.sizes)
+    assert sum(index.sizes.values()) <= 600 // 16 + cells
+    assert watch.get["pairs"] <= (600 // 16 + cells) ** 2
+
+
+def test_driver_holds_few_ranges_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "CELL_PIVOTS", 3)
+    points = vectors(900)
+    df = frame(spark, points)
+    index = nearest._packed(df, 4, "vec_id", "embedding", ())
+    assert len(index.pivots) == 15 and {len(low) for low, _ in index.cells.values()} == {3}
+    assert answers(nearest.nearest(df, df, k=3, skip_same_id=True, index=nearest.corpus_index(df))) == brute(points, points, 3, True)
