@@ -17,6 +17,8 @@ from tallyward.operators import quality
 from tallyward.operators.kpi import KPI_MEASURES
 from tallyward.schema import SOURCE_COLUMN
 
+# Cube rows that a task puts together; it holds them in up to three hash maps.
+TASK_ROWS = 200_000
 DIMENSIONS = ("location_id", "location_name", "region", "month")
 
 
@@ -41,11 +43,14 @@ def summary_cube(
     )
 
 
-def merged(*cubes: DataFrame) -> DataFrame:
+def merged(*cubes: DataFrame, tasks: int | None = None) -> DataFrame:
     """One cube of several, whose batches need not be apart in any key. Measures and
-    keys that a cube lacks count as missing in all its rows."""
+    keys that a cube lacks count as missing in all its rows. It is put together in as
+    many ``tasks`` as :func:`tasks_for` says, else as the session has shuffle partitions."""
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cubes)
     keys = [c for c in DIMENSIONS if c in both.columns]
+    if tasks is not None:
+        both = both.repartition(tasks, SOURCE_COLUMN, *keys)
     return both.groupBy(SOURCE_COLUMN, *keys).agg(
         F.sum("_rows").alias("_rows"),
         *quality.merged_faults(),
@@ -53,6 +58,12 @@ def merged(*cubes: DataFrame) -> DataFrame:
     )
 
 
+def tasks_for(*cubes: DataFrame) -> int:
+    """Into how many tasks written cubes go, so that none holds more than a fixed number of
+    their rows, whatever their size. Counts them, which for tables reads no rows."""
+    return max(1, -(-sum(c.count() for c in cubes) // TASK_ROWS))
+
+
 def cells(cube: DataFrame) -> DataFrame:
     """The cube for reading: keys, rows, finished sums and faults by kind."""
     keys = [c for c in (SOURCE_COLUMN, *DIMENSIONS) if c in cube.columns]

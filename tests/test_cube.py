@@ -119,3 +119,18 @@ def test_equal_issues_of_many_rows_are_all_listed(spark, monkeypatch):
     assert kinds.count((3, "LOC-1", "month", None)) == kinds.count((3, "LOC-1", "location_name", None)) == 10
     assert kinds.count((4, "LOC-1", "volume", "-5.0")) + kinds.count((4, "LOC-1", "volume", "-5")) == 10
     assert len(kinds) == 1 + 3 * 11
+
+
+def test_cubes_are_put_together_in_tasks_of_bounded_size(spark, tables, monkeypatch):
+    monkeypatch.setattr(cube, "TASK_ROWS", 500)
+    asked = []
+    merged = cube.merged
+    monkeypatch.setattr(cube, "merged", lambda *c, **o: asked.append((c, o["tasks"])) or merged(*c, **o))
+    found = sorted(map(tuple, REGISTRY["cube_gated_kpis"](spark, tables).collect()))
+    cubes, tasks = asked[0]
+    rows = sum(c.count() for c in cubes)
+    assert tasks == -(-rows // 500) > 1
+    assert merged(*cubes, tasks=tasks).count() == merged(*cubes).count()
+    # Read from tables, so that no task holds the maps of both batches as well.
+    assert all("HashAggregate" not in c._jdf.queryExecution().executedPlan().toString() for c in cubes)
+    assert found == sorted(map(tuple, quality.clean_source_kpis(merged(*cubes)).collect()))
