@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import adaptive_rules, lsh_forest, neighbour_quality, packing
+from tallyward.llm import adaptive_rules, lsh_forest, neighbour_quality, packing, sieve
 from tallyward.llm.registry import TOKENIZER, quality_space, tokenizer_path
 from tallyward.session import durable
 from tallyward.sources.facts import table
@@ -43,15 +43,23 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the least id; of rows with
-    the same id and text one. Only rows whose id comes again are compared by text."""
+    the same id and text one. Only rows whose id comes again are compared by text, and no
+    text moves but theirs and those of a few kept rows that a filter mistakes for others."""
 
     def work(rows: DataFrame) -> DataFrame:
-        found = lsh_forest.near_duplicates(rows).where("kept")
-        counts = durable(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
-        match = F.col("doc_id").eqNullSafe(F.col("_kept"))
-        once = rows.join(counts.where("_rows = 1"), match, "left_semi")
-        again = rows.join(counts.where("_rows > 1"), match, "left_semi")
-        return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+        found = lsh_forest.near_duplicates(rows)
+        ids = durable(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count_if("kept").alias("_rows")))
+        own = F.xxhash64("_id")
+        # Most rows are kept once or left out for certain by filters of ids.
+        other = ids.where("_rows <> 1").select(own)
+        unsure = durable(sieve.passed(ids.where("_rows > 0"), own, other))
+        split = sieve.marked(rows, F.xxhash64("doc_id"), other, "_other")
+        sure = split.where("NOT _other").drop("_other")
+        met = durable(sieve.passed(split.where("_other").drop("_other"), F.xxhash64("doc_id"), unsure.select(own)))
+        match = F.col("doc_id").eqNullSafe(F.col("_id"))
+        once = met.join(unsure.where("_rows = 1"), match, "left_semi")
+        again = met.join(unsure.where("_rows > 1"), match, "left_semi")
+        return sure.unionByName(once).unionByName(again.dropDuplicates(["doc_id", "text"]))
 
     return _unclashed(docs, work)
 

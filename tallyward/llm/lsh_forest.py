@@ -37,7 +37,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tallyward.llm import texts
+from tallyward.llm import sieve, texts
 from tallyward.session import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -50,6 +50,9 @@ WINDOW = 8
 LANE_SETS = 512
 # Shingles that a task turns over at once.
 SLICE = 1_000_000
+# Of its listed shingles the first that a set carries, so that two sets are paired once as
+# far as these tell.
+HEAD = 8
 # Buckets of which a set's sketch holds a bit each, to bound how far two sets differ.
 BUCKET_BITS = 9
 ROWS_A_TASK = 50_000
@@ -113,21 +116,17 @@ def _signatures(width: int):
 
 
 def _full_sets(width: int):
-    """Task code: the shingles of a text whose set is known by id."""
+    """Task code: the shingles of a text, with the id of their set."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in texts.blocks(batches):
             hashes, counts = texts.word_hashes(*texts.utf8(batch.column("text")))
-            wanted = batch.column("set_id").to_pylist()
             packed = [own.tobytes() for own in texts.shingle_sets(hashes, counts, width)]
-            right = [hashlib.md5(p).digest() == i for p, i in zip(packed, wanted, strict=True)]
-            rows = pa.RecordBatch.from_arrays(
-                [batch.column("set_id"), pa.array(packed, pa.binary())],
-                ["set_id", "shingles"],
-            )
-            yield rows.filter(pa.array(right, pa.bool_()))
+            ids = [hashlib.md5(p).digest() for p in packed]
+            columns = [pa.array(ids, pa.binary()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["set_id", "shingles"])
 
     return gather
 
@@ -310,15 +309,35 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(values)], ["node", "shingle"])
 
 
+def _heads(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The first listed shingles of each set, a row each, and which places are taken."""
+    held = rows.column("head").combine_chunks()
+    taken = np.arange(HEAD) < pc.list_value_length(held).to_numpy(zero_copy_only=False)[:, None]
+    heads = np.zeros(taken.shape, np.int64)
+    heads[taken] = held.flatten().to_numpy(zero_copy_only=False)
+    return heads, taken
+
+
+def _first_here(heads: tuple[np.ndarray, np.ndarray], one: int, two: np.ndarray, shingle: int) -> np.ndarray:
+    """Whether the set ``one`` and each of ``two`` meet at ``shingle`` first, as far as
+    their first shingles tell. All lists have one order, so a shingle that both have there
+    comes before others, and the two meet at it as well."""
+    values, taken = heads
+    own = values[one, taken[one]]
+    both = ((values[two][:, None, :] == own[:, None]) & taken[two][:, None, :]).any(axis=2)
+    return ~both.any(axis=1) | (own[both.argmax(axis=1)] == shingle)
+
+
 def _runs(share: int):
     """Task code over blocks in order (rows of one shingle and two lanes): pairs of sets
-    of different roots whose sizes and parities allow a link."""
+    of different roots whose sizes and parities allow a link, if this can be the first
+    shingle where they meet and enough shingles come after it."""
 
     def paired(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         ids = rows.column("set_id").to_pylist()
         roots, lanes, sizes = (rows.column(c).to_numpy() for c in ("root", "lane", "n_shingles"))
-        one, two = (rows.column(c).to_numpy() for c in ("one", "two"))
-        spread = _sketches(rows)
+        shingles, rests, one, two = (rows.column(c).to_numpy() for c in ("shingle", "rest", "one", "two"))
+        spread, heads = _sketches(rows), _heads(rows)
         left, right = [], []
         for start, end in zip(starts, np.append(starts[1:], rows.num_rows), strict=True):
             if (roots[start:end] == roots[start]).all():
@@ -330,7 +349,10 @@ def _runs(share: int):
                 if one[start] != two[start]:
                     keep &= lanes[at] != lanes[i]
                 at = at[keep]
-                for j in at[_possible(sizes, spread, at, np.full(len(at), i), share)]:
+                common = 1 + np.minimum(rests[at], rests[i])
+                at = at[(100 + share) * common >= share * (sizes[at] + sizes[i])]
+                at = at[_possible(sizes, spread, at, np.full(len(at), i), share)]
+                for j in at[_first_here(heads, i, at, shingles[i])]:
                     left.append(min(ids[i], ids[j]))
                     right.append(max(ids[i], ids[j]))
         return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
@@ -421,8 +443,11 @@ def near_duplicates(
         .groupBy("set_id")
         .agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("n_shingles", "labels", "spread")])
     )
-    pairs = durable(candidates(sets, share))
-    crowded = durable(_crowded(sets, share))
+    regions = durable(_regions(sets, share))
+    # Sets that share no region have no candidate.
+    meeting = durable(regions.select("set_id").distinct().select(F.xxhash64("set_id")))
+    pairs = durable(candidates(sieve.passed(sets, F.xxhash64("set_id"), meeting), share))
+    crowded = regions.where(F.col("n") > WINDOW + 1).drop("n")
     full = _gathered(source, sets, pairs, crowded, width)
     found = components(_confirmed(full, pairs.where("closest"), share))
     others = _apart(pairs.where("NOT closest"), found)
@@ -453,16 +478,15 @@ def _with_links(found: DataFrame, links: DataFrame) -> DataFrame:
     return components(links.unionByName(known))
 
 
-def _crowded(sets: DataFrame, share: int) -> DataFrame:
-    """region, set_id and n_shingles of every set in a region with more sets than the
-    window compares all of."""
+def _regions(sets: DataFrame, share: int) -> DataFrame:
+    """region, set_id and n_shingles of every set that is not alone in a region, with the
+    number n of sets there."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = _usable(sets, share).select("set_id", "n_shingles", "labels", tree.alias("tree"))
     # Regions with one hash are searched as one.
     prefix = F.expr(f"substring(labels, tree * {LABEL} + 1, {4 * LEAST_DEPTH})")
     rows = rows.select(F.xxhash64("tree", prefix).alias("region"), "set_id", "n_shingles")
-    many = rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > WINDOW + 1)
-    return rows.join(many.select("region"), "region", "left_semi")
+    return rows.join(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "region")
 
 
 def _gathered(source: DataFrame, sets: DataFrame, pairs: DataFrame, crowded: DataFrame, width: int) -> DataFrame:
@@ -472,10 +496,11 @@ def _gathered(source: DataFrame, sets: DataFrame, pairs: DataFrame, crowded: Dat
     wanted = ends.unionByName(crowded.select("set_id")).distinct()
     wanted = durable(sets.select("set_id", "least_id").join(wanted, "set_id"))
     # A null id is looked up like any other.
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    held = source.join(wanted, key("doc_id") == key("least_id")).select("set_id", "text")
+    key = lambda c: F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    # Texts stay in their tasks, only sets move.
+    held = sieve.passed(source, key("doc_id"), wanted.select(key("least_id"))).select("text")
     full = held.mapInArrow(_full_sets(width), "set_id binary, shingles binary")
-    return durable(full.dropDuplicates(["set_id"]))
+    return durable(full.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -501,7 +526,8 @@ def _met(full: DataFrame, sets: DataFrame, crowded: DataFrame, found: DataFrame,
     apart = rows.join(regions.where("low <> high"), "region", "left_semi")
     apart = apart.select("set_id", "root", "n_shingles").distinct()
     apart = durable(apart.withColumn("node", F.xxhash64("set_id")))
-    held = durable(apart.join(full, "set_id").select("node", "root", "shingles"))
+    near = sieve.passed(full, F.xxhash64("set_id"), apart.select("node"))
+    held = durable(apart.join(near, "set_id").select("node", "root", "shingles"))
     counts = held.select("root", "shingles").mapInArrow(_holders, "shingle long, n long, low long, high long")
     counts = counts.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     counts = counts.where("low <> high").select("shingle", "n")
@@ -515,15 +541,18 @@ def _met(full: DataFrame, sets: DataFrame, crowded: DataFrame, found: DataFrame,
     )
     needed = F.ceil(F.col("n_shingles") * share / 100)
     first = listed.join(apart, "node").where(F.col("place") <= F.col("joined") + 1 - needed)
-    first = durable(first.select("shingle", "node", "root"))
+    first = first.select("shingle", "node", "root", "place", (F.col("joined") - F.col("place")).alias("rest"))
+    first = durable(first)
     lists = first.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     lists = lists.where("low <> high").select("shingle", F.ceil(F.col("n") / LANE_SETS).cast("int").alias("lanes"))
-    dealt = first.select("shingle", "node").join(lists, "shingle")
+    dealt = first.select("shingle", "node", "rest").join(lists, "shingle")
     dealt = dealt.withColumn("lane", F.expr("cast(pmod(xxhash64(node), lanes) AS int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))
-    dealt = dealt.select("shingle", "node", "lane", other.alias("other"))
+    dealt = dealt.select("shingle", "node", "rest", "lane", other.alias("other"))
     block = ["shingle", "one", "two"]
-    facts = apart.join(sets.select("set_id", "spread"), "set_id")
+    head = F.sort_array(F.collect_list(F.struct("place", "shingle"))).getField("shingle")
+    heads = first.where(F.col("place") <= HEAD).groupBy("node").agg(head.alias("head"))
+    facts = apart.join(sets.select("set_id", "spread"), "set_id").join(heads, "node")
     rows = dealt.join(facts, "node").select(
         "shingle",
         F.least("lane", "other").alias("one"),
@@ -533,6 +562,8 @@ def _met(full: DataFrame, sets: DataFrame, crowded: DataFrame, found: DataFrame,
         "root",
         "n_shingles",
         "spread",
+        "rest",
+        "head",
     )
     return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(_runs(share), "a binary, b binary")
 

@@ -1,8 +1,8 @@
 """Texts in tasks: an Arrow column as bytes, and 64-bit hashes of its words.
 
 Shared by the operators that read whole texts in Arrow batches. Everything works
-on segments of a few megabytes, so a very long text needs memory for its word
-hashes only.
+on segments of a quarter of a megabyte and blocks of a few of them, so that a task needs
+little more memory than its batch; a very long text needs some for its word hashes only.
 """
 
 import sys
@@ -16,7 +16,8 @@ from pyspark import cloudpickle
 # Task code travels with the tasks, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SEGMENT = 2_000_000
+SEGMENT = 250_000
+BLOCK = 1_000_000
 # The six ASCII white-space characters.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -45,7 +46,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[places[0] : places[-1]], places - places[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The batches, cut into slices of about ``most`` bytes of text, a row at least."""
     for batch in batches:
         _, places = utf8(batch.column(batch.schema.get_field_index(text)))
