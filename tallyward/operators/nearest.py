@@ -1,19 +1,25 @@
 """Exact nearest neighbours by squared Euclidean distance.
 
 One question against a corpus is a scan and a top-k. Many questions against a
-corpus is a block join in two passes. Vectors are packed into blocks near a common
-pivot. First each query block meets the blocks of its own cell, which gives every
+corpus is a block join in two passes. Vectors are packed into blocks of cells, which
+halve the space along its widest dimension again and again. First each query block meets the blocks of its own cell, which gives every
 query a distance that its answer cannot exceed. Then ranges of distances to all
 pivots tell, block by block, which other blocks may hold something nearer (triangle
-inequality); only those are compared. A pair of blocks is compared by matrix product
-inside a task, which hands on at most k rows per query. Nothing is sampled away: every
-skipped block is proven to hold no nearer vector.
-
-Rows are brought together by cell before they are packed, so there are about as many
-blocks as full ones and cells, however many tasks there are. Pairs of blocks never go
-through a shuffle: a task of the second pass reads a share of the query blocks and a
-share of the corpus blocks and pairs them there, so what is written grows as the
-vectors do, while the comparing is quadratic where vectors do not cluster.
+inequality); only those are compared. Nothing is sampled away: every skipped block is
+proven to hold no nearer vector.
+
+Rows are brought together by cell before they are packed, and those of a cell are halved
+along their widest dimension until they fit a block, so there are about as many blocks as
+full ones and cells, however many tasks there are, and each covers little space. Pairs of
+blocks never go through a shuffle: a task of the second pass reads a share of the query
+blocks and a share of the corpus blocks and pairs them there, so what is written grows as
+the vectors do, while the comparing is quadratic where vectors do not cluster.
+
+A task gets blocks in bundles. For a query block it goes through a bundle's blocks from
+the closest box on, with the queries that the box may serve, and bounds fall as answers
+turn up. Vectors are compared by matrix product in single precision, with room for its
+rounding; what is left is compared in doubles. A task hands on at most k rows per query
+of what it has seen of the corpus, and ties.
 
 A corpus that is asked more than once is packed once: :func:`corpus_index` keeps blocks,
 ranges and pivots as tables under the corpus's fingerprint, and opens them where they
@@ -22,6 +28,7 @@ are there already.
 
 import hashlib
 import math
+import os
 import sys
 import uuid
 from collections.abc import Iterator, Sequence
@@ -29,6 +36,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,9 +54,16 @@ MAX_PROBES = 2048
 LANE_BLOCKS = 64
 # Rows that a task packs.
 PACKED_ROWS = 32_768
-# Blocks of a share, of which a task pairs two, unless that makes too many shares.
+# Blocks of a cell that a task holds before it packs them.
+CELL_BLOCKS = 32
+# Blocks of a share of the queries, unless that makes too many shares; one of the corpus
+# has a few times as many. A task pairs two.
 SHARE_BLOCKS = 32
+CORPUS_SHARE = 4
 MAX_SHARES = 64
+# Bounds a bundle of blocks.
+BUNDLE_BLOCKS = 32
+BUNDLE_BYTES = 4_000_000
 # Pivots to which the driver and the tasks know the distances of whole cells.
 CELL_PIVOTS = 64
 # Bounds what one copy of the pivots may hold on the driver and in a task.
@@ -120,65 +136,178 @@ def _probes(corpus: DataFrame) -> tuple[np.ndarray, int]:
     return _matrix(r[0] for r in found), rows
 
 
-def _nearest_pivot(pivots: np.ndarray):
-    """Task code: rows with the number of the pivot nearest to them."""
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _vectors(column: pa.Array) -> np.ndarray:
+    """A column of vectors as a matrix."""
+    widths = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(widths) != 1:
+        raise ValueError(f"Vectors of different widths: {sorted(widths)}")
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), widths[0])
+
+
+def _halves(probes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where to halve the space, level by level, into at most so many cells: dimensions and
+    borders, so that cells hold about as many probes each."""
+    dimensions, borders, groups = [], [], [probes]
+    while 2 * len(groups) <= cells:
+        halved = []
+        for group in groups:
+            along = int(np.ptp(group, axis=0).argmax()) if len(group) else 0
+            border = float(np.median(group[:, along])) if len(group) else 0.0
+            dimensions.append(along)
+            borders.append(border)
+            above = group[:, along] > border
+            halved += [group[~above], group[above]]
+        groups = halved
+    return np.array(dimensions, np.int64), np.array(borders)
+
+
+def _cell(dimensions: np.ndarray, borders: np.ndarray):
+    """Task code: rows with the number of their cell. Neighbours have close numbers."""
+    levels = (len(borders) + 1).bit_length() - 1
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            gaps, _ = _distances(_matrix(batch["embedding"]), pivots)
-            yield batch.assign(cell=gaps.argmin(axis=1).astype(np.int32))
+            vectors, cell = _vectors(batch["embedding"]), np.zeros(batch.num_rows, np.int64)
+            for level in range(levels):
+                node = cell + (1 << level) - 1
+                values = np.take_along_axis(vectors, dimensions[node][:, None], axis=1)[:, 0]
+                cell = 2 * cell + (values > borders[node])
+            yield batch.append_column("cell", pa.array(cell.astype(np.int32)))
 
     return place
 
 
-def _by_cell(rows: DataFrame, pivots: np.ndarray, count: int) -> DataFrame:
-    """Rows with their cell, those of a cell together. A crowded cell takes several tasks."""
+def _placed(rows: DataFrame, probes: np.ndarray, pivots: np.ndarray) -> DataFrame:
+    """Rows with their cell, of as many cells as pivots or fewer."""
     placed = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())])
+    return rows.mapInArrow(_cell(*_halves(probes, len(pivots))), placed)
+
+
+def _by_cell(placed: DataFrame, count: int) -> DataFrame:
+    """Rows of a cell together. A crowded cell takes several tasks."""
     parts = max(1, -(-count // PACKED_ROWS))
-    return rows.mapInPandas(_nearest_pivot(pivots), placed).repartitionByRange(parts, "cell", "_vec_id")
+    return placed.repartitionByRange(parts, "cell", "_vec_id")
+
+
+def _halved(vectors: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Rows in groups of at most so many, as few as they fit in, each covering little space."""
+    done, left = [], [np.arange(len(vectors))]
+    while left:
+        group = left.pop()
+        if len(group) <= rows:
+            done.append(group)
+            continue
+        held = vectors[group]
+        along = held[:, np.ptp(held, axis=0).argmax()]
+        half = -(-len(group) // rows) // 2 * rows
+        order = np.argpartition(along, half)
+        left += [group[order[half:]], group[order[:half]]]
+    return done
+
+
+def _listed(values: pa.Array) -> pa.Array:
+    """One row that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _flat(table: pa.Table, name: str) -> pa.Array:
+    column = table[name]
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
 
 
 def _pack(describe, stored: str, carried: Sequence[str]):
     """Task code: rows to blocks of vectors that share their cell.
 
     ``describe(block, vectors, cell)`` adds what a block has to tell about itself.
-    Buffers hold less than one block per cell.
+    Buffers hold less than so many blocks per cell.
     """
 
-    def emit(cell: int, block: pd.DataFrame) -> pd.DataFrame:
+    def emit(cell: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, vectors = _flat(rows, "_vec_id"), _vectors(_flat(rows, "embedding"))
         # By id, so that a place in the block stands for the id among ties.
-        block = block.sort_values("_vec_id")
-        vectors = _matrix(block["embedding"])
-        return pd.DataFrame(
-            {
-                "ids": [list(block["_vec_id"])],
-                "vectors": [vectors.astype(stored).tobytes()],
-                **{c: [list(block[c])] for c in carried},
-                **describe(block, vectors, cell),
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        for group in _halved(vectors, BLOCK_ROWS):
+            group = group[rank[group].argsort()]
+            at = pa.array(group)
+            known = {"_bound": rows["_bound"].to_numpy()[group]} if "_bound" in rows.column_names else {}
+            block = {
+                "ids": _listed(ids.take(at)),
+                "vectors": pa.array([vectors[group].astype(stored).tobytes()], pa.binary()),
+                **{c: _listed(_flat(rows, c).take(at)) for c in carried},
+                **describe(pd.DataFrame(known, index=range(len(group))), vectors[group], cell),
             }
-        )
+            yield pa.RecordBatch.from_pydict(block)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: dict[int, pd.DataFrame] = {}
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list[pa.Table]] = {}
         for batch in batches:
-            if batch.empty:
-                continue
-            for cell, rows in batch.groupby("cell", sort=True):
-                if cell in waiting:
-                    rows = pd.concat([waiting.pop(cell), rows], ignore_index=True)
-                while len(rows) >= BLOCK_ROWS:
-                    yield emit(int(cell), rows.iloc[:BLOCK_ROWS])
-                    rows = rows.iloc[BLOCK_ROWS:]
-                if len(rows):
-                    waiting[cell] = rows
-        for cell, rows in waiting.items():
-            yield emit(int(cell), rows)
+            cells = batch["cell"].to_numpy()
+            rows = pa.Table.from_batches([batch])
+            for cell in np.unique(cells):
+                kept = waiting.setdefault(int(cell), [])
+                kept.append(rows.take(pa.array(np.flatnonzero(cells == cell))))
+                if sum(x.num_rows for x in kept) >= CELL_BLOCKS * BLOCK_ROWS:
+                    yield from emit(int(cell), pa.concat_tables(waiting.pop(int(cell))))
+        for cell, kept in waiting.items():
+            yield from emit(cell, pa.concat_tables(kept))
 
     return pack
 
 
+def _bundled(names: Sequence[str], carried: Sequence[str], pack=None):
+    """Task code: blocks, or rows that ``pack`` makes blocks of, to rows of many blocks.
+
+    A row tells the number of vectors (``sizes``) and the cell (``cells``) of each block,
+    and the order of its vectors by id. Of the blocks' columns it keeps those in ``names``.
+    """
+
+    def emit(blocks: pa.Table) -> pa.RecordBatch:
+        joined = lambda c: pa.array([b"".join(blocks[c].to_pylist())], pa.binary())
+        narrow = lambda v: pa.array([np.asarray(v, np.int32).tobytes()], pa.binary())
+        ids = _flat(blocks, "ids").flatten()
+        order = np.empty(len(ids), np.int32)
+        order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids), dtype=np.int32)
+        row = {
+            "key": pa.array([_key()]),
+            "ids": _listed(ids),
+            "vectors": joined("vectors"),
+            "bounds": joined("bounds") if "bounds" in names else None,
+            "sizes": narrow(pc.list_value_length(_flat(blocks, "ids")).to_numpy()),
+            "cells": narrow(blocks["cell"].to_numpy()),
+            "order": narrow(order),
+            **{c: _listed(_flat(blocks, c).flatten()) for c in carried},
+        }
+        if "targets" in names:
+            row["targets"] = _listed(pc.unique(_flat(blocks, "targets").flatten()))
+        if "held" in names:
+            row["held"] = _listed(pc.unique(_flat(blocks, "cell")))
+        return pa.RecordBatch.from_pydict({n: row[n] for n in names})
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in pack(batches) if pack else batches:
+            for at in range(batch.num_rows):
+                block = batch.slice(at, 1)
+                waiting.append(block)
+                size += len(block["vectors"][0].as_buffer())
+                if len(waiting) >= BUNDLE_BLOCKS or size >= BUNDLE_BYTES:
+                    yield emit(pa.Table.from_batches(waiting))
+                    waiting, size = [], 0
+        if waiting:
+            yield emit(pa.Table.from_batches(waiting))
+
+    return bundle
+
+
+def _key() -> int:
+    """Tells a row from its neighbours."""
+    return int.from_bytes(os.urandom(8), "big") >> 1
+
+
 def _ranges(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest distance of a block to each pivot."""
     gaps, slack = _distances(vectors, pivots)
@@ -186,11 +315,11 @@ def _ranges(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _corpus_block(pivots: np.ndarray):
-    """Where a corpus block lies: its cell, and its distances to all pivots."""
+    """Where a corpus block lies: its cell, and its distances to the pivots."""
 
     def describe(block: pd.DataFrame, vectors: np.ndarray, cell: int) -> dict:
         low, high = _ranges(vectors, pivots)
-        return {"cell": [cell], "low": [low], "high": [high]}
+        return {"cell": pa.array([cell], pa.int32()), "low": pa.array([low]), "high": pa.array([high])}
 
     return describe
 
@@ -203,40 +332,35 @@ def _probe_bounds(vectors: np.ndarray, probes: np.ndarray, rank: int) -> np.ndar
     return np.partition(near, rank - 1, axis=1)[:, rank - 1] + slack
 
 
-def _first_block(probes: np.ndarray, rank: int):
-    """A query block for its own cell."""
-
-    def describe(block: pd.DataFrame, vectors: np.ndarray, cell: int) -> dict:
-        bounds = _probe_bounds(vectors, probes, rank)
-        return {"cell": [cell], "bounds": [bounds.astype("<f8").tobytes()]}
-
-    return describe
+def _first_block(block: pd.DataFrame, vectors: np.ndarray, cell: int) -> dict:
+    """A query block for its own cell, of which nothing is known yet."""
+    bounds = np.full(len(vectors), np.inf).astype("<f8").tobytes()
+    return {
+        "cell": pa.array([cell], pa.int32()),
+        "key": pa.array([_key()]),
+        "bounds": pa.array([bounds], pa.binary()),
+    }
 
 
 def _second_block(pivots: np.ndarray, probes: np.ndarray, rank: int, cells: dict[int, tuple]):
-    """A query block with the other cells that may hold a nearer vector than it has, and the
-    ranges that tell the same of a block. Cells are known by their first few pivots."""
+    """A query block with its bounds and the other cells that may hold a nearer vector than
+    it has. Cells are known by their first few pivots."""
+    numbers = np.array(list(cells), np.int32)
+    lows = np.array([low for low, _ in cells.values()])
+    highs = np.array([high for _, high in cells.values()])
 
     def describe(block: pd.DataFrame, vectors: np.ndarray, own: int) -> dict:
-        low, high = _ranges(vectors, pivots)
+        low, high = _ranges(vectors, pivots[: lows.shape[1]])
         bounds = block["_bound"].to_numpy(np.float64).copy()
         # Queries whose own cell holds too few vectors.
         open_now = np.isinf(bounds)
         bounds[open_now] = _probe_bounds(vectors[open_now], probes, rank)
-        reach = float(bounds.max())
-        targets = [
-            c
-            for c, (cell_low, cell_high) in cells.items()
-            if c != own
-            and max((low[: len(cell_low)] - cell_high).max(), (cell_low - high[: len(cell_low)]).max()) <= reach
-        ]
+        apart = np.maximum((low - highs).max(axis=1), (lows - high).max(axis=1))
+        targets = numbers[(apart <= bounds.max()) & (numbers != own)]
         return {
-            "bounds": [bounds.astype("<f8").tobytes()],
-            "reach": [reach],
-            "cell": [own],
-            "low": [low],
-            "high": [high],
-            "targets": [targets],
+            "bounds": pa.array([bounds.astype("<f8").tobytes()], pa.binary()),
+            "cell": pa.array([own], pa.int32()),
+            "targets": _listed(pa.array(targets, pa.int32())),
         }
 
     return describe
@@ -251,46 +375,243 @@ def _best(q: np.ndarray, c: np.ndarray, distance: np.ndarray, k: int) -> np.ndar
     return order[np.arange(len(order)) - first < k]
 
 
-def _compare(width: int, stored: str, k: int, carried: Sequence[str], skip_same_id: bool):
-    """Task code: for each pair of blocks, the k nearest rows per query.
+def _lower(best: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Takes values in among the least of their rows."""
+    order = np.lexsort((values, rows))
+    rows, values = rows[order], values[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    kept = place < best.shape[1]
+    touched, at = np.unique(rows[kept], return_inverse=True)
+    fresh = np.full((len(touched), best.shape[1]), np.inf)
+    fresh[at, place[kept]] = values[kept]
+    best[touched] = np.sort(np.concatenate([best[touched], fresh], axis=1), axis=1)[:, : best.shape[1]]
+
+
+class _Blocks:
+    """The blocks of a row: vectors in doubles, squared lengths, and for each block the
+    place of its vectors, its cell and its box."""
+
+    def __init__(self, packed: bytes, stored: str, width: int, sizes: bytes | None, cells: bytes | None):
+        self.vectors = _unpacked(packed, stored, width)
+        self.norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        sizes = np.array([len(self.vectors)]) if sizes is None else np.frombuffer(sizes, np.int32)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.cells = np.zeros(len(sizes), np.int32) if cells is None else np.frombuffer(cells, np.int32)
+        self.low = np.minimum.reduceat(self.vectors, self.starts, axis=0)
+        self.high = np.maximum.reduceat(self.vectors, self.starts, axis=0)
+        self.reach = float(self.norms.max())
+        self._factors: dict = {}
+
+    def factors(self, kind: type, query: bool) -> np.ndarray:
+        """What multiplies to the squared distance less the query's squared length."""
+        if kind not in self._factors:
+            made = np.empty((len(self.vectors), self.vectors.shape[1] + 1), kind)
+            made[:, :-1] = -2.0 * self.vectors if query else self.vectors
+            made[:, -1] = 1.0 if query else self.norms
+            self._factors[kind] = made
+        return self._factors[kind]
+
+
+# Squared lengths between which single precision neither overflows nor underflows.
+SINGLE = (1e-20, 1e30)
+# Boxes are asked query by query, so many at once, as long as that spares this share of
+# the comparisons.
+SPARED, SPARED_AFTER, ASKED_BOXES = 0.1, 64, 256
+
+
+class _Search:
+    """The answers of one row of query blocks in what a task sees of the corpus."""
+
+    def __init__(self, queries: _Blocks, ids: pa.Array, bounds: bytes, k: int):
+        self.queries, self.ids = queries, ids
+        with np.errstate(over="ignore"):
+            # No answer is farther than this, in squares.
+            self.upper = np.square(np.frombuffer(bounds, "<f8")) * (1 + 1e-9)
+        self.best = np.full((len(queries.vectors), k), np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]] = []
+        self.held = 0
+        self._known: np.ndarray | None = None
+
+    @property
+    def known(self) -> np.ndarray:
+        if self._known is None:
+            self._known = self.ids.to_numpy(zero_copy_only=False)
+        return self._known
+
+    def add(self, rows: np.ndarray, distance: np.ndarray, columns: dict[str, pa.Array]) -> None:
+        _lower(self.best, rows, distance)
+        self.upper = np.minimum(self.upper, self.best[:, -1] * (1 + 1e-9))
+        self.found.append((rows, distance, columns))
+        self.held += len(rows)
+        # What later answers have ruled out is not held for long.
+        if self.held > 8 * self.best.size:
+            self.found = [self.answers()]
+            self.held = len(self.found[0][0])
+
+    def answers(self) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]:
+        """Rows among the k nearest, and those that tie with the last of them."""
+        rows = np.concatenate([f[0] for f in self.found])
+        distance = np.concatenate([f[1] for f in self.found])
+        kept = np.flatnonzero(distance <= self.best[rows, -1])
+        columns = {n: pa.concat_arrays([f[2][n] for f in self.found]).take(pa.array(kept)) for n in self.found[0][2]}
+        return rows[kept], distance[kept], columns
+
+
+def _compare(width: int, stored: str, k: int, carried: Sequence[str], skip_same_id: bool, names: Sequence[str], others: bool):
+    """Task code: for each row of query and corpus blocks, the k nearest rows per query.
 
     The matrix product picks the candidates, with room for its rounding; their
-    distances are then summed dimension by dimension, as in one question.
+    distances are then summed dimension by dimension, as in one question. With
+    ``others``, blocks of the same cell have met before. Rows of the same query blocks
+    come one after another, and are answered together. The last row tells, in place of an
+    answer, how many pairs of blocks were compared.
     """
+    spared = np.zeros(3)  # comparisons in all, spared by boxes, boxes asked
 
     def exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        gaps = np.ascontiguousarray((left - right).T)
+        gaps *= gaps
         total = np.zeros(len(left))
-        for d in range(width):
-            gap = left[:, d] - right[:, d]
-            total += gap * gap
+        for gap in gaps:
+            total += gap
         return total
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                queries = _unpacked(row.q_vectors, stored, width)
-                block = _unpacked(row.vectors, stored, width)
-                query_ids, ids = np.asarray(row.q_ids), np.asarray(row.ids)
-                rough, slack = _approximate(queries, block)
-                if skip_same_id:
-                    rough[query_ids[:, None] == ids[None, :]] = np.inf
-                at = min(k, len(ids)) - 1
-                limit = np.partition(rough, at, axis=1)[:, at] + 2.0 * slack
-                bounds = np.frombuffer(row.bounds, "<f8")
-                limit = np.minimum(limit, bounds * bounds + 2.0 * slack)
-                q, c = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+    def to_boxes(vectors: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray | None:
+        """Squared distances of queries to boxes; None where boxes spare too little."""
+        if spared[2] >= SPARED_AFTER and spared[1] < SPARED * spared[0]:
+            return None
+        total = np.zeros((len(low), len(vectors)))
+        for at, floor, roof in zip(vectors.T, low.T, high.T):
+            gaps = np.maximum(floor[:, None] - at, at - roof[:, None])
+            np.maximum(gaps, 0.0, out=gaps)
+            gaps *= gaps
+            total += gaps
+        return total * (1 - 1e-9)
+
+    def candidates(search: _Search, corpus: _Blocks, corpus_ids: np.ndarray | None):
+        """Places of queries and vectors, and no more than the squared distance of each, which
+        later candidates may have ruled out; how many pairs of blocks were compared."""
+        queries = search.queries
+        scale = queries.reach + corpus.reach
+        kind = np.float32 if SINGLE[0] < scale < SINGLE[1] else np.float64
+        left, right = queries.factors(kind, True), corpus.factors(kind, False)
+        slack = 2.0 * (width + 8) * float(np.finfo(kind).eps) * scale
+        best, found, pairs = search.best.copy(), [], 0
+        for own, (start, end) in enumerate(zip(queries.starts, queries.ends)):
+            upper = search.upper[start:end]
+            gaps = np.maximum(corpus.low - queries.high[own], queries.low[own] - corpus.high)
+            np.maximum(gaps, 0.0, out=gaps)
+            apart = np.einsum("ij,ij->i", gaps, gaps) * (1 - 1e-9)
+            met = apart <= upper.max()
+            if others:
+                met &= corpus.cells != queries.cells[own]
+            met = np.flatnonzero(met)
+            met = met[apart[met].argsort(kind="stable")]
+            norms = queries.norms[start:end]
+            limits, boxes = None, None
+            for turn, block in enumerate(met):
+                if apart[block] > upper.max():
+                    break
+                if turn % ASKED_BOXES == 0:
+                    these = met[turn : turn + ASKED_BOXES]
+                    boxes = to_boxes(queries.vectors[start:end], corpus.low[these], corpus.high[these])
+                asked, factors = None, left[start:end]
+                if boxes is not None:
+                    asked = np.flatnonzero(boxes[turn % ASKED_BOXES] <= upper)
+                    spared[:] += end - start, end - start - len(asked), 1
+                    if not len(asked):
+                        continue
+                    if len(asked) == end - start:
+                        asked = None
+                    else:
+                        factors = factors[asked]
+                pairs += 1
+                first, last = corpus.starts[block], corpus.ends[block]
+                rough = factors @ right[first:last].T
+                if limits is None:
+                    with np.errstate(over="ignore"):
+                        limits = np.nextafter((upper - norms + slack).astype(kind), kind(np.inf))
+                limit = limits if asked is None else limits[asked]
+                hits = np.flatnonzero(rough <= limit[:, None])
+                if len(hits) > 8 * k * len(factors) + 64 and last - first > k:
+                    if corpus_ids is not None:
+                        known = search.known[start:end] if asked is None else search.known[start:end][asked]
+                        rough[known[:, None] == corpus_ids[first:last][None, :]] = np.inf
+                    last_of = np.partition(rough, k - 1, axis=1)[:, k - 1] + kind(2.0 * slack)
+                    limit = np.minimum(limit, np.nextafter(last_of, kind(np.inf)))
+                    hits = np.flatnonzero((rough <= limit[:, None]) & np.isfinite(rough))
+                if not len(hits):
+                    continue
+                q, c = np.divmod(hits, last - first)
+                value = rough.ravel()[hits]
+                q, c = q if asked is None else asked[q], c + first
+                value = value + norms[q] + slack
+                if corpus_ids is not None:
+                    kept = np.flatnonzero(search.known[start:end][q] != corpus_ids[c])
+                    q, c, value = q[kept], c[kept], value[kept]
                 if not len(q):
                     continue
-                distance = exact(queries[q], block[c])
-                kept = _best(q, c, distance, k)
-                yield pd.DataFrame(
-                    {
-                        "query_id": query_ids[q[kept]],
-                        "vec_id": ids[c[kept]],
-                        "distance": distance[kept],
-                        **{n: np.asarray(getattr(row, n))[c[kept]] for n in carried},
-                    }
-                )
+                part = best[start:end]
+                _lower(part, q, value)
+                np.minimum(upper, part[:, -1], out=upper)
+                limits = None
+                found.append((q + start, c, value - 2.0 * slack))
+        if not found:
+            return None, pairs
+        return tuple(np.concatenate(part) for part in zip(*found)), pairs
+
+    def meet(search: _Search, row: dict) -> int:
+        corpus = _Blocks(row["vectors"], stored, width, row.get("sizes"), row.get("cells"))
+        ids = row["ids"]
+        found, pairs = candidates(search, corpus, ids.to_numpy(zero_copy_only=False) if skip_same_id else None)
+        if found is None:
+            return pairs
+        q, c, least = found
+        kept = np.flatnonzero(least <= search.upper[q])
+        q, c = q[kept], c[kept]
+        step = max(1, 500_000 // width)
+        slices = [slice(at, at + step) for at in range(0, len(q), step)]
+        if not slices:
+            return pairs
+        distance = np.concatenate([exact(search.queries.vectors[q[s]], corpus.vectors[c[s]]) for s in slices])
+        order = np.frombuffer(row["order"], np.int32)[c] if "order" in row else c
+        kept = _best(q, order, distance, k)
+        at = pa.array(c[kept])
+        search.add(q[kept], distance[kept], {n: row[n].take(at) for n in ("ids", *carried)})
+        return pairs
+
+    def told(search: _Search | None) -> Iterator[pa.RecordBatch]:
+        if search is not None and search.found:
+            rows, distance, columns = search.answers()
+            told = {
+                "query_id": search.ids.take(pa.array(rows)),
+                "vec_id": columns["ids"],
+                "distance": pa.array(distance),
+                **{n: columns[n] for n in carried},
+                "pairs": pa.nulls(len(rows), pa.int64()),
+            }
+            yield pa.RecordBatch.from_pydict({n: told[n] for n in names})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search, key, pairs, types = None, None, 0, None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {}
+                for n in batch.schema.names:
+                    cell = batch[n][at]
+                    row[n] = cell.values if isinstance(cell, pa.ListScalar) else cell.as_py()
+                types = types or {"query_id": row["q_ids"].type, "vec_id": row["ids"].type, **{n: row[n].type for n in carried}}
+                if row["key"] != key:
+                    yield from told(search)
+                    queries = _Blocks(row["q_vectors"], stored, width, row.get("q_sizes"), row.get("q_cells"))
+                    search, key = _Search(queries, row["q_ids"], row["bounds"], k), row["key"]
+                pairs += meet(search, row)
+        yield from told(search)
+        if "pairs" in names and types is not None:
+            last = {n: pa.nulls(1, t) for n, t in types.items()}
+            last |= {"distance": pa.nulls(1, pa.float64()), "pairs": pa.array([pairs], pa.int64())}
+            yield pa.RecordBatch.from_pydict({n: last[n] for n in names})
 
     return compare
 
@@ -303,7 +624,10 @@ def _usable(vector: Column) -> Column:
 
 def _ready(df: DataFrame, vec_id: str, embedding: str, carried: Sequence[str]) -> DataFrame:
     return df.where(_usable(F.col(embedding))).select(
-        F.col(vec_id).alias("_vec_id"), F.col(embedding).alias("embedding"), *carried
+        F.col(vec_id).alias("_vec_id"),
+        F.col(embedding).alias("embedding"),
+        # What is listed in a block may have nulls within, as far as types tell.
+        *[F.col(c).cast(df.schema[c].dataType.simpleString()) for c in carried],
     )
 
 
@@ -347,13 +671,14 @@ def _packed(corpus: DataFrame, keep: int, vec_id: str, embedding: str, carry: Se
     probes, rows = _probes(held)
     if not len(probes):
         return Index(None, probes, probes, {}, {}, stored, keep, tuple(carry))
-    pivots = np.unique(probes, axis=0)
+    # In the order of the probes, so that the first few are spread as all are.
+    pivots = probes[np.sort(np.unique(probes, axis=0, return_index=True)[1])]
     pivots = pivots[: max(1, int(math.sqrt(rows) / 2))]
     id_type = schema[vec_id].dataType.simpleString()
     carried = "".join(f", {c} array<{schema[c].dataType.simpleString()}>" for c in carry)
     ranges = "low array<double>, high array<double>"
-    blocks = _by_cell(_few_copies(held, keep), pivots, rows).mapInPandas(
-        _pack(_corpus_block(pivots), stored, carry),
+    blocks = _by_cell(_placed(_few_copies(held, keep), probes, pivots), rows).mapInArrow(
+        _pack(_corpus_block(pivots[:CELL_PIVOTS]), stored, carry),
         f"ids array<{id_type}>, vectors binary{carried}, cell int, {ranges}",
     )
     # The packed corpus is read for its ranges, and in both passes.
@@ -461,61 +786,69 @@ def nearest(
         return unanswered
     blocks, pivots, probes, stored = index.blocks, index.pivots, index.probes, index.stored
     width = probes.shape[1]
-    count = asked.count()
+    # A query keeps its cell: blocks of the cell are left out of the second pass.
+    placed = durable(_placed(asked, probes, pivots))
+    count = placed.count()
     query_type = queries.schema[query_id].dataType.simpleString()
     lanes = _lanes(index.sizes)
-    partial = T.StructType([f for f in answer.fields if f.name != "rank"])
-    columns = ("q_ids", "q_vectors", "bounds", "ids", "vectors", *carry)
-    compare = _compare(width, stored, k, carry, skip_same_id)
+    # What a list holds may be NULL, as far as types tell.
+    nullable = lambda dtype: T._parse_datatype_string(dtype.simpleString())
+    partial = T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in answer.fields if f.name != "rank"])
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
 
+    def compared(met: DataFrame, others: bool, schema: T.StructType) -> DataFrame:
+        task = _compare(width, stored, k, carry, skip_same_id, schema.fieldNames(), others)
+        return met.mapInArrow(task, schema)
+
     def ranked(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     # A cell with many blocks is dealt over several lanes, each joined on its
     # own, so that no task gets the whole of a crowded cell.
     held = blocks.select("ids", "vectors", *carry, "cell", F.pmod("block", lanes).cast("int").alias("lane"))
-    packed = f"ids array<{query_type}>, vectors binary, cell int, bounds binary"
-    named = [F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "bounds"]
-    first = _by_cell(asked, pivots, count).mapInPandas(_pack(_first_block(probes, wanted), stored, ()), packed)
+    packed = f"ids array<{query_type}>, vectors binary, cell int, key long, bounds binary"
+    named = ["key", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "bounds"]
+    first = _by_cell(placed, count).mapInArrow(_pack(_first_block, stored, ()), packed)
     lane = F.explode(F.sequence(F.lit(0), (lanes - 1).cast("int"))).alias("lane")
     # Never by broadcast: packed vectors are much smaller in a file than in memory.
     met = first.select(*named, "cell", lane).join(held.hint("merge"), ["cell", "lane"])
-    near = durable(ranked(met.select(*columns).mapInPandas(compare, partial)).select(*names))
+    met = met.select("key", "q_ids", "q_vectors", "bounds", "ids", "vectors", *carry)
+    near = durable(ranked(compared(met, False, partial)).select(*names))
 
     # With k neighbours found, the answer is no farther than the last of them.
     last = near.groupBy("query_id").agg(
         F.count("*").alias("_found"), (F.sqrt(F.max("distance")) * (1 + 1e-9)).alias("_reach")
     )
     bound = F.when(F.col("_found") >= k, F.col("_reach")).otherwise(F.lit(float("inf")))
-    bounded = asked.join(last, F.col("_vec_id") == F.col("query_id"), "left").select(
-        "_vec_id", "embedding", F.coalesce(bound, F.lit(float("inf"))).alias("_bound")
+    bounded = placed.join(last, F.col("_vec_id") == F.col("query_id"), "left").select(
+        "_vec_id", "embedding", "cell", F.coalesce(bound, F.lit(float("inf"))).alias("_bound")
     )
+    told = "sizes binary, cells binary"
+    asking = _pack(_second_block(pivots, probes, wanted, index.cells), stored, ())
+    row = f"key long, ids array<{query_type}>, vectors binary, bounds binary, {told}, targets array<int>"
     second = durable(
-        _by_cell(bounded, pivots, count).mapInPandas(
-            _pack(_second_block(pivots, probes, wanted, index.cells), stored, ()),
-            f"{packed}, reach double, low array<double>, high array<double>, targets array<int>",
-        )
+        _by_cell(bounded, count).mapInArrow(_bundled([f.split()[0] for f in row.split(", ")], (), asking), row)
+    )
+    # A vector is as its corpus says, its place in a row as the row does.
+    row = T.StructType(
+        [
+            *T._parse_datatype_string(f"vectors binary, {told}, order binary, held array<int>").fields,
+            *[blocks.schema[n] for n in ("ids", *carry)],
+        ]
     )
-    # Which blocks meet is settled on their ranges alone, first by cells and own pivots.
-    q, c = second.alias("q").repartition(_shares(second.count())), blocks.drop("block").alias("c")
-    c = c.repartition(_shares(sum(index.sizes.values())))
-    ahead = lambda a, b, at: F.get(f"{a}.low", at) - F.get(f"{b}.high", at)
-    widest = lambda a, b: F.array_max(F.zip_with(f"{a}.low", f"{b}.high", lambda x, y: x - y))
-    maybe = F.array_contains("q.targets", F.col("c.cell"))
-    for apart in (
-        ahead("q", "c", F.col("c.cell")),
-        ahead("c", "q", F.col("q.cell")),
-        widest("q", "c"),
-        widest("c", "q"),
-    ):
-        maybe = maybe & (apart <= F.col("q.reach"))
-    met = q.join(c.hint("shuffle_replicate_nl"), maybe)
-    if watch is not None:
-        met = met.observe(watch, F.count("*").alias("pairs"))
-    of_query = [F.col("q.ids").alias("q_ids"), F.col("q.vectors").alias("q_vectors"), "q.bounds"]
-    met = met.select(*of_query, "c.ids", "c.vectors", *[f"c.{n}" for n in carry])
-    rest = met.mapInPandas(compare, partial)
+    c = blocks.select("ids", "vectors", *carry, "cell").mapInArrow(_bundled(row.fieldNames(), carry), row)
+    c = c.repartition(_shares(sum(index.sizes.values()), CORPUS_SHARE * SHARE_BLOCKS)).alias("c")
+    q = second.repartition(_shares(-(-count // BLOCK_ROWS), SHARE_BLOCKS)).alias("q")
+    # Which bundles meet is settled by the cells that they can use and hold.
+    met = q.join(c.hint("shuffle_replicate_nl"), F.arrays_overlap("q.targets", "c.held"))
+    of_query = [F.col(f"q.{n}").alias(f"q_{n}") for n in ("ids", "vectors", "sizes", "cells")]
+    of_corpus = [F.col(f"c.{n}") for n in ("ids", "vectors", "sizes", "cells", "order", *carry)]
+    met = met.select("q.key", *of_query, "q.bounds", *of_corpus)
+    if watch is None:
+        rest = compared(met, True, partial)
+    else:
+        rest = compared(met, True, T.StructType([*partial.fields, T.StructField("pairs", T.LongType())]))
+        rest = rest.observe(watch, F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).where("pairs IS NULL")
     both = near.drop("rank").unionByName(rest.select(*[n for n in names if n != "rank"]))
     return ranked(both).select(*names).unionByName(unanswered)
 
@@ -539,8 +872,8 @@ def _lanes(sizes: dict[int, int]) -> Column:
     return F.coalesce(spread[F.col("cell")], F.lit(1))
 
 
-def _shares(blocks: int) -> int:
-    return max(1, min(MAX_SHARES, math.ceil(blocks / SHARE_BLOCKS)))
+def _shares(blocks: int, share: int) -> int:
+    return max(1, min(MAX_SHARES, math.ceil(blocks / share)))
 
 
 def _answer_schema(queries, query_id, schema, vec_id, carry) -> T.StructType:

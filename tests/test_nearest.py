@@ -313,3 +313,71 @@ def test_driver_holds_few_ranges_of_cells(spark, monkeypatch):
     index = nearest._packed(df, 4, "vec_id", "embedding", ())
     assert len(index.pivots) == 15 and {len(low) for low, _ in index.cells.values()} == {3}
     assert answers(nearest.nearest(df, df, k=3, skip_same_id=True, index=nearest.corpus_index(df))) == brute(points, points, 3, True)
+
+
+def test_blocks_cover_little_space(spark, monkeypatch):
+    """Points without clusters in few dimensions: a query block meets its surroundings only."""
+    from pyspark.sql import Observation
+
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 16)
+    points = np.random.default_rng(11).random(size=(4000, 3)).round(4)
+    df = frame(spark, points).repartition(4)
+    watch = Observation()
+    got = answers(nearest.nearest(df, df, k=3, skip_same_id=True, watch=watch))
+    assert watch.get["pairs"] < 0.1 * (4000 / 16) ** 2
+    for q in range(0, 4000, 250):
+        gaps = ((points - points[q]) ** 2).sum(axis=1)
+        gaps[q] = np.inf
+        assert [c for c, _ in got[q]] == list(np.lexsort((np.arange(4000), gaps))[:3])
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-7, 1000.0), (1e-30, 0.0), (1e60, 0.0)])
+def test_single_precision_decides_nothing(spark, monkeypatch, scale, shift):
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 16)
+    points = np.random.default_rng(12).normal(size=(300, 5)) * scale + shift
+    df = frame(spark, points).repartition(3)
+    got = answers(nearest.nearest(df, df, k=3, skip_same_id=True))
+    wanted = brute(points, points, 3, True)
+    assert {q: [c for c, _ in hits] for q, hits in got.items()} == {
+        q: [c for c, _ in hits] for q, hits in wanted.items()
+    }
+
+
+@pytest.mark.parametrize("skip", [True, False])
+def test_ties_go_by_id_over_blocks_bundles_and_shares(spark, monkeypatch, skip):
+    for name in ("BLOCK_ROWS", "BUNDLE_BLOCKS", "SHARE_BLOCKS", "CORPUS_SHARE", "PACKED_ROWS"):
+        monkeypatch.setattr(nearest, name, {"BLOCK_ROWS": 8, "PACKED_ROWS": 64}.get(name, 2))
+    points = np.array([(float(x), float(y)) for x in range(18) for y in range(18)])
+    points = np.concatenate([points, points[:60], points[:20]])[np.random.default_rng(13).permutation(404)]
+    names = [f"n{i:03d}" for i in range(404)]
+    rows = [(n, p.tolist()) for n, p in zip(names, points)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>").repartition(5)
+    got = answers(nearest.nearest(df, df, k=3, skip_same_id=skip))
+    wanted = brute(points, points, 3, skip)
+    assert got == {names[q]: [(names[c], d) for c, d in hits] for q, hits in wanted.items()}
+
+
+def test_a_task_hands_on_k_rows_per_query_of_all_it_has_seen():
+    import pyarrow as pa
+
+    points = np.random.default_rng(14).normal(size=(256, 4))
+    packed = lambda v: pa.array([v.astype("<f8").tobytes()], pa.binary())
+    asked = {
+        "key": pa.array([7]),
+        "q_ids": nearest._listed(pa.array(range(20))),
+        "q_vectors": packed(points[:20]),
+        "bounds": packed(np.full(20, np.inf)),
+    }
+    rows = [
+        pa.RecordBatch.from_pydict(
+            {**asked, "ids": nearest._listed(pa.array(range(at, at + 32))), "vectors": packed(points[at : at + 32])}
+        )
+        for at in range(0, 256, 32)
+    ]
+    names = ["query_id", "vec_id", "distance"]
+    told = nearest._compare(4, "<f8", 3, (), True, names, False)(iter(rows))
+    found = pa.Table.from_batches(told).to_pylist()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["distance"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["distance"]))
+    assert got == {q: hits for q, hits in brute(points, points, 3, True).items() if q < 20}
