@@ -387,6 +387,19 @@ def _lower(best: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     best[touched] = np.sort(np.concatenate([best[touched], fresh], axis=1), axis=1)[:, : best.shape[1]]
 
 
+def _places(flags: np.ndarray) -> np.ndarray:
+    """Where flags are set, in order; fast where few of many are."""
+    flags = flags.ravel()
+    if len(flags) < FEW_FLAGS or not flags.any():
+        return np.flatnonzero(flags)
+    whole = len(flags) // 8 * 8
+    words = np.flatnonzero(flags[:whole].view(np.uint64) != 0)
+    if 32 * len(words) > whole:
+        return np.flatnonzero(flags)
+    at = np.flatnonzero(flags[:whole].reshape(-1, 8)[words])
+    return np.concatenate([words[at >> 3] * 8 + (at & 7), np.flatnonzero(flags[whole:]) + whole])
+
+
 class _Blocks:
     """The blocks of a row: vectors in doubles, squared lengths, and for each block the
     place of its vectors, its cell and its box."""
@@ -415,6 +428,8 @@ class _Blocks:
 
 # Squared lengths between which single precision neither overflows nor underflows.
 SINGLE = (1e-20, 1e30)
+# So many flags are looked through in one step.
+FEW_FLAGS = 65_536
 # Boxes are asked query by query, so many at once, as long as that spares this share of
 # the comparisons.
 SPARED, SPARED_AFTER, ASKED_BOXES = 0.1, 64, 256
@@ -509,7 +524,7 @@ def _compare(width: int, stored: str, k: int, carried: Sequence[str], skip_same_
             met = np.flatnonzero(met)
             met = met[apart[met].argsort(kind="stable")]
             norms = queries.norms[start:end]
-            limits, boxes = None, None
+            limits, boxes, waiting, count = None, None, [], 0
             for turn, block in enumerate(met):
                 if apart[block] > upper.max():
                     break
@@ -533,14 +548,14 @@ def _compare(width: int, stored: str, k: int, carried: Sequence[str], skip_same_
                     with np.errstate(over="ignore"):
                         limits = np.nextafter((upper - norms + slack).astype(kind), kind(np.inf))
                 limit = limits if asked is None else limits[asked]
-                hits = np.flatnonzero(rough <= limit[:, None])
+                hits = _places(rough <= limit[:, None])
                 if len(hits) > 8 * k * len(factors) + 64 and last - first > k:
                     if corpus_ids is not None:
                         known = search.known[start:end] if asked is None else search.known[start:end][asked]
                         rough[known[:, None] == corpus_ids[first:last][None, :]] = np.inf
                     last_of = np.partition(rough, k - 1, axis=1)[:, k - 1] + kind(2.0 * slack)
                     limit = np.minimum(limit, np.nextafter(last_of, kind(np.inf)))
-                    hits = np.flatnonzero((rough <= limit[:, None]) & np.isfinite(rough))
+                    hits = _places((rough <= limit[:, None]) & np.isfinite(rough))
                 if not len(hits):
                     continue
                 q, c = np.divmod(hits, last - first)
@@ -552,11 +567,15 @@ def _compare(width: int, stored: str, k: int, carried: Sequence[str], skip_same_
                     q, c, value = q[kept], c[kept], value[kept]
                 if not len(q):
                     continue
-                part = best[start:end]
-                _lower(part, q, value)
-                np.minimum(upper, part[:, -1], out=upper)
-                limits = None
                 found.append((q + start, c, value - 2.0 * slack))
+                waiting.append((q, value))
+                count += len(q)
+                # At once where that spares comparisons, else when it is worth the while.
+                if boxes is not None or count >= end - start:
+                    part = best[start:end]
+                    _lower(part, *(np.concatenate(x) for x in zip(*waiting)))
+                    np.minimum(upper, part[:, -1], out=upper)
+                    limits, waiting, count = None, [], 0
         if not found:
             return None, pairs
         return tuple(np.concatenate(part) for part in zip(*found)), pairs
