@@ -381,3 +381,10 @@ def test_a_task_hands_on_k_rows_per_query_of_all_it_has_seen():
     for r in sorted(found, key=lambda r: (r["query_id"], r["distance"])):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["distance"]))
     assert got == {q: hits for q, hits in brute(points, points, 3, True).items() if q < 20}
+
+
+@pytest.mark.parametrize("size", [0, 7, 4096, 80_003])
+@pytest.mark.parametrize("share", [0.0, 1e-4, 0.3, 1.0])
+def test_places_of_flags(size, share):
+    flags = np.random.default_rng(size).random(size) < share
+    assert nearest._places(flags).tolist() == np.flatnonzero(flags).tolist()
