@@ -848,7 +848,7 @@ def nearest(
     second = durable(
         _by_cell(bounded, count).mapInArrow(_bundled([f.split()[0] for f in row.split(", ")], (), asking), row)
     )
-    # A vector is as its corpus says, its place in a row as the row does.
+    # Ids and carried columns are listed as they are in the blocks.
     row = T.StructType(
         [
             *T._parse_datatype_string(f"vectors binary, {told}, order binary, held array<int>").fields,
